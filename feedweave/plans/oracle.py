@@ -140,3 +140,148 @@ SELECT digest_type, source_idx, pos,
        {py_strip("coalesce(link, '')")} AS link,
        {_LABEL} AS published
 FROM staged"""
+
+# ---------------------------------------------------------------- ledger
+
+ORACLE["ledger_replay"] = "WITH RECURSIVE " + SIGHTINGS.strip() + r""",
+acc(digest_type, link, run_date) AS (
+  SELECT digest_type, link, min(run_date) FROM sightings GROUP BY digest_type, link
+  UNION ALL
+  SELECT s.digest_type, s.link, min(s.run_date)
+  FROM acc a JOIN sightings s
+    ON s.digest_type = a.digest_type AND s.link = a.link AND s.run_date >= a.run_date + 8
+  GROUP BY s.digest_type, s.link
+)
+SELECT digest_type, link, CAST(run_date AS VARCHAR) AS run_date FROM acc"""
+
+ORACLE["ledger_insert"] = _fresh_ctes() + """
+SELECT DISTINCT g.link, g.digest_type, '2024-01-05' AS first_seen
+FROM gated g
+WHERE g.link <> '' AND NOT EXISTS (
+  SELECT 1 FROM seen_ledger l WHERE l.digest_type = g.digest_type AND l.link = g.link
+    AND l.first_seen >= DATE '2024-01-05' - 7)"""
+
+ORACLE["ledger_prune"] = with_views(FEED_ITEMS, SEEN_LEDGER) + """
+SELECT link, digest_type, CAST(first_seen AS VARCHAR) AS first_seen
+FROM seen_ledger WHERE NOT (first_seen < DATE '2024-01-08' - 7)"""
+
+# ---------------------------------------------------------------- history
+
+
+def _index_sql(term: str, source: str = "digest_runs") -> str:
+    t = term.strip().replace("'", "''")
+    return f"""
+SELECT CAST(run_date AS VARCHAR) AS run_date,
+       CAST(count(*) FILTER (WHERE digest_type = 'press') AS INTEGER) AS press_runs,
+       CAST(count(*) FILTER (WHERE digest_type = 'org') AS INTEGER) AS org_runs,
+       CAST(coalesce(sum(item_count) FILTER (WHERE digest_type = 'press'), 0) AS INTEGER) AS press_items,
+       CAST(coalesce(sum(item_count) FILTER (WHERE digest_type = 'org'), 0) AS INTEGER) AS org_items
+FROM {source}
+WHERE '{t}' = '' OR markdown ILIKE '%{t}%' OR CAST(run_date AS VARCHAR) ILIKE '%{t}%'
+GROUP BY run_date
+ORDER BY run_date DESC
+LIMIT 400"""
+
+
+_RUN_TIME = "strftime(timezone('America/Chicago', created_at AT TIME ZONE 'UTC'), '%I:%M %p')"
+
+ORACLE["date_index"] = with_views(DIGEST_RUNS) + _index_sql("")
+ORACLE["date_index_search"] = with_views(DIGEST_RUNS) + _index_sql("  que ")
+ORACLE["date_index_search_date"] = with_views(DIGEST_RUNS) + _index_sql("2024-01-1")
+ORACLE["date_index_wide"] = """
+WITH wide_runs AS (
+  SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS run_date,
+         CASE WHEN o_orderstatus = 'F' THEN 'press' ELSE 'org' END AS digest_type,
+         CAST(o_orderkey % 50 AS INTEGER) AS item_count, '' AS markdown
+  FROM orders)""" + _index_sql("", "wide_runs")
+
+ORACLE["runs_for_date"] = with_views(DIGEST_RUNS) + f"""
+SELECT id, CAST(run_date AS VARCHAR) AS run_date, digest_type, source_count, item_count,
+       {_RUN_TIME} AS run_time,
+       count(*) OVER (PARTITION BY run_date, digest_type) > 1 AS show_time,
+       CAST(row_number() OVER (PARTITION BY run_date
+            ORDER BY CASE WHEN digest_type = 'press' THEN 0 ELSE 1 END, created_at DESC, id DESC)
+            AS BIGINT) AS display_rank
+FROM digest_runs"""
+
+ORACLE["run_by_id"] = with_views(DIGEST_RUNS) + f""",
+requests AS (
+  SELECT CASE CAST(floor(id / 100) AS BIGINT) % 6
+           WHEN 0 THEN CAST(id AS VARCHAR) || 'x'
+           WHEN 1 THEN '-' || CAST(id AS VARCHAR)
+           WHEN 2 THEN '0' || CAST(id AS VARCHAR)
+           WHEN 3 THEN ' ' || CAST(id AS VARCHAR)
+           WHEN 4 THEN CAST(id AS VARCHAR) || '000000000000000'
+           ELSE CAST(id AS VARCHAR) END AS raw_id
+  FROM digest_runs
+),
+checked AS (
+  SELECT raw_id,
+         coalesce(regexp_full_match(raw_id, '[0-9]+')
+                  AND try_cast(raw_id AS HUGEINT) BETWEEN 1 AND 9007199254740991, false) AS valid
+  FROM requests
+)
+SELECT c.raw_id, c.valid, r.id, r.digest_type, CAST(r.run_date AS VARCHAR) AS run_date, r.item_count,
+       {_RUN_TIME.replace('created_at', 'r.created_at')} AS run_time
+FROM checked c LEFT JOIN digest_runs r ON c.valid AND r.id = try_cast(c.raw_id AS BIGINT)"""
+
+ORACLE["previous_digest"] = with_views(DIGEST_RUNS) + """
+SELECT id, digest_type,
+       CAST(row_number() OVER w AS BIGINT) AS seq,
+       lag(id) OVER w AS prev_id,
+       CAST(lag(run_date) OVER w AS VARCHAR) AS prev_run_date
+FROM digest_runs
+WINDOW w AS (PARTITION BY digest_type ORDER BY run_date, created_at, id)"""
+
+ORACLE["latest_digest"] = with_views(DIGEST_RUNS) + """
+SELECT digest_type, id, CAST(run_date AS VARCHAR) AS run_date FROM (
+  SELECT *, row_number() OVER (PARTITION BY digest_type
+                               ORDER BY run_date DESC, created_at DESC, id DESC) AS rn
+  FROM digest_runs) WHERE rn = 1"""
+
+ORACLE["active_date"] = with_views(DIGEST_RUNS) + """,
+idx AS (""" + _index_sql("") + """),
+requests AS (
+  SELECT DISTINCT CAST(run_date + CASE WHEN id % 9 = 0 THEN 500 ELSE 0 END AS VARCHAR) AS requested
+  FROM digest_runs
+),
+resolved AS (
+  SELECT r.requested,
+         CASE WHEN EXISTS (SELECT 1 FROM idx WHERE idx.run_date = r.requested) THEN r.requested
+              ELSE (SELECT max(run_date) FROM idx) END AS active_date
+  FROM requests r
+)
+SELECT r.requested, r.active_date, i.press_runs, i.org_runs, i.press_items, i.org_items
+FROM resolved r LEFT JOIN idx i ON i.run_date = r.active_date"""
+
+ORACLE["run_time_label"] = with_views(DIGEST_RUNS) + f"""
+SELECT id, {ts_text('created_at')} AS created_at, {_RUN_TIME} AS run_time FROM digest_runs"""
+
+ORACLE["run_labels"] = with_views(DIGEST_RUNS) + """
+SELECT id, digest_type,
+       CASE digest_type WHEN 'press' THEN 'Press Highlights' WHEN 'org' THEN 'Org Watch' END AS label,
+       CAST(run_date AS VARCHAR) || '-' || digest_type || '-digest.docx' AS file_name,
+       CAST(item_count AS VARCHAR) || ' items fetched · ' || CAST(source_count AS VARCHAR) || ' sources' AS meta
+FROM digest_runs"""
+
+ORACLE["day_summary_labels"] = with_views(DIGEST_RUNS) + """,
+idx AS (""" + _index_sql("") + """)
+SELECT run_date,
+  CASE WHEN press_runs > 0 THEN press_items || ' items across ' || press_runs || ' run'
+       || CASE WHEN press_runs > 1 THEN 's' ELSE '' END ELSE '—' END AS press_label,
+  CASE WHEN org_runs > 0 THEN org_items || ' items across ' || org_runs || ' run'
+       || CASE WHEN org_runs > 1 THEN 's' ELSE '' END ELSE '—' END AS org_label,
+  CASE WHEN press_runs > 0 THEN 'Press · ' || press_items
+       || CASE WHEN press_runs > 1 THEN ' (' || press_runs || ' runs)' ELSE '' END END AS press_badge,
+  CASE WHEN org_runs > 0 THEN 'Org · ' || org_items
+       || CASE WHEN org_runs > 1 THEN ' (' || org_runs || ' runs)' ELSE '' END END AS org_badge
+FROM idx"""
+
+_RULES = ["run_date", "digest_type", "source_count", "item_count", "markdown", "created_at"]
+ORACLE["run_constraints"] = with_views(DIGEST_RUNS) + ",\nchecks AS (\n" + " UNION ALL\n".join(
+    [f"  SELECT 'not_null_{c}' AS rule, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS violations "
+     f"FROM digest_runs" for c in _RULES]
+    + ["  SELECT 'type_check', CAST(count(*) FILTER (WHERE digest_type NOT IN ('press', 'org')) AS BIGINT) "
+       "FROM digest_runs",
+       "  SELECT 'unique_id', CAST(count(*) - count(DISTINCT id) AS BIGINT) FROM digest_runs"]
+) + "\n)\nSELECT rule, violations FROM checks"

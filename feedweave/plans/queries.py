@@ -133,3 +133,129 @@ def q_clean_html(spark, sf_dir):
 def q_article_projection(spark, sf_dir):
     arts = ingest.project_articles(_staged(spark, sf_dir))
     return arts.select("digest_type", "source_idx", "pos", "title", "summary", "link", "published")
+
+
+# ---------------------------------------------------------------- ledger (§2.6 F7, §2.10)
+
+from feedweave.operators import history, ledger  # noqa: E402
+
+LEDGER_PRUNE_AS_OF = "2024-01-08"
+
+
+@query("ledger_replay")
+def q_ledger_replay(spark, sf_dir):
+    out = ledger.replay(fx.sightings(spark, sf_dir), dedup_days=7)
+    return out.select("digest_type", "link", F.col("run_date").cast("string").alias("run_date"))
+
+
+@query("ledger_insert")
+def q_ledger_insert(spark, sf_dir):
+    book = fx.seen_ledger(spark, sf_dir)
+    fresh = ingest.fresh_items(fx.feed_items(spark, sf_dir), fx.settings(spark), book,
+                               fx.AS_OF, ordered=False)
+    rows = ledger.new_rows(fresh, book, fx.AS_OF, dedup_days=7)
+    return rows.select("link", "digest_type", F.col("first_seen").cast("string").alias("first_seen"))
+
+
+@query("ledger_prune")
+def q_ledger_prune(spark, sf_dir):
+    kept = ledger.live(fx.seen_ledger(spark, sf_dir), LEDGER_PRUNE_AS_OF, dedup_days=7)
+    return kept.select("link", "digest_type", F.col("first_seen").cast("string").alias("first_seen"))
+
+
+# ---------------------------------------------------------------- history (§2.5, §2.6, §2.7)
+
+@query("date_index")
+def q_date_index(spark, sf_dir):
+    return history.date_index(fx.digest_runs(spark, sf_dir), "")
+
+
+@query("date_index_search")
+def q_date_index_search(spark, sf_dir):
+    return history.date_index(fx.digest_runs(spark, sf_dir), "  que ")
+
+
+@query("date_index_search_date")
+def q_date_index_search_date(spark, sf_dir):
+    return history.date_index(fx.digest_runs(spark, sf_dir), "2024-01-1")
+
+
+@query("date_index_wide")
+def q_date_index_wide(spark, sf_dir):
+    """The index over a long history (one run per order), exercising the 400-day limit."""
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate",
+                                                  "o_totalprice")
+    runs = o.select(
+        F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("run_date"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("press")).otherwise(F.lit("org")).alias("digest_type"),
+        (F.col("o_orderkey") % 50).cast("int").alias("item_count"))
+    return history.date_index(runs, "")
+
+
+@query("runs_for_date")
+def q_runs_for_date(spark, sf_dir):
+    out = history.runs_for_dates(fx.digest_runs(spark, sf_dir))
+    return out.select("id", "run_date", "digest_type", "source_count", "item_count",
+                      "run_time", "show_time", "display_rank")
+
+
+@query("run_by_id")
+def q_run_by_id(spark, sf_dir):
+    runs = fx.digest_runs(spark, sf_dir)
+    m = (F.col("id") / 100).cast("bigint") % 6
+    raw = (F.when(m == 0, F.concat(F.col("id").cast("string"), F.lit("x")))
+           .when(m == 1, F.concat(F.lit("-"), F.col("id").cast("string")))
+           .when(m == 2, F.concat(F.lit("0"), F.col("id").cast("string")))
+           .when(m == 3, F.concat(F.lit(" "), F.col("id").cast("string")))
+           .when(m == 4, F.concat(F.col("id").cast("string"), F.lit("000000000000000")))
+           .otherwise(F.col("id").cast("string")))
+    requests = runs.select(raw.alias("raw_id"))
+    out = history.lookup_runs(requests, runs)
+    return out.select("raw_id", "valid", "id", "digest_type",
+                      F.col("run_date").cast("string").alias("run_date"), "item_count",
+                      history.run_time_label().alias("run_time"))
+
+
+@query("previous_digest")
+def q_previous_digest(spark, sf_dir):
+    out = history.previous_run(fx.digest_runs(spark, sf_dir))
+    return out.select("id", "digest_type", "seq", "prev_id",
+                      F.col("prev_run_date").cast("string").alias("prev_run_date"))
+
+
+@query("latest_digest")
+def q_latest_digest(spark, sf_dir):
+    out = history.latest_run(fx.digest_runs(spark, sf_dir))
+    return out.select("digest_type", "id", F.col("run_date").cast("string").alias("run_date"))
+
+
+@query("active_date")
+def q_active_date(spark, sf_dir):
+    runs = fx.digest_runs(spark, sf_dir)
+    req = runs.select(F.date_add("run_date", F.when(F.col("id") % 9 == 0, F.lit(500))
+                                 .otherwise(F.lit(0))).cast("string").alias("requested")).distinct()
+    out = history.active_dates(req, history.date_index(runs, ""))
+    return out.select("requested", "active_date", "press_runs", "org_runs", "press_items",
+                      "org_items")
+
+
+@query("run_time_label")
+def q_run_time_label(spark, sf_dir):
+    runs = fx.digest_runs(spark, sf_dir)
+    return runs.select("id", ts_text("created_at").alias("created_at"),
+                       history.run_time_label().alias("run_time"))
+
+
+@query("run_labels")
+def q_run_labels(spark, sf_dir):
+    return history.run_labels(fx.digest_runs(spark, sf_dir))
+
+
+@query("day_summary_labels")
+def q_day_summary_labels(spark, sf_dir):
+    return history.day_summary_labels(history.date_index(fx.digest_runs(spark, sf_dir), ""))
+
+
+@query("run_constraints")
+def q_run_constraints(spark, sf_dir):
+    return history.constraint_violations(fx.digest_runs(spark, sf_dir))
