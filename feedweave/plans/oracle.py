@@ -285,3 +285,259 @@ ORACLE["run_constraints"] = with_views(DIGEST_RUNS) + ",\nchecks AS (\n" + " UNI
        "FROM digest_runs",
        "  SELECT 'unique_id', CAST(count(*) - count(DISTINCT id) AS BIGINT) FROM digest_runs"]
 ) + "\n)\nSELECT rule, violations FROM checks"
+
+# ---------------------------------------------------------------- responses
+
+_BODY = ("array_to_string(list_transform(list_filter(blocks, lambda b: b.type = 'text'), "
+         "lambda b: coalesce(b.text, '')), '')")
+_MEM_RE = "```digest_memory" + WS + "*(.*?)```"
+_RESP = with_views(RESPONSES) + f""",
+bodies AS (SELECT *, {_BODY} AS body FROM responses),
+scored AS (
+  SELECT *,
+    regexp_matches(body, '{_MEM_RE}', 's') AS has_memory,
+    CASE WHEN connection_error THEN 'transient'
+         WHEN status_code IS NOT NULL AND (status_code < 200 OR status_code >= 300)
+              AND (status_code = 429 OR status_code >= 500) THEN 'transient'
+         WHEN status_code IS NOT NULL AND (status_code < 200 OR status_code >= 300) THEN 'fatal'
+         WHEN stop_reason = 'refusal' THEN 'refused'
+         WHEN {py_strip('body')} = '' THEN 'empty'
+         WHEN stop_reason = 'max_tokens' THEN 'truncated'
+         ELSE 'ok' END AS outcome
+  FROM bodies
+)"""
+
+ORACLE["response_text"] = _RESP + f"""
+SELECT request_id, body AS text, {py_strip('body')} = '' AS is_blank FROM scored"""
+
+ORACLE["response_triage"] = _RESP + """
+SELECT request_id, stop_reason, status_code, outcome FROM scored"""
+
+ORACLE["memory_block"] = _RESP + f"""
+SELECT request_id, has_memory,
+       CASE WHEN has_memory THEN {py_strip(f"regexp_extract(body, '{_MEM_RE}', 1, 's')")} END AS memory
+FROM scored"""
+
+
+def _section_sql(body: str, heading: str, name: str) -> str:
+    h = "## " + heading
+    nl = "chr(10)"
+    return f"""
+  sec_{name}_1 AS (
+    SELECT request_id, {body} AS b,
+      CASE WHEN starts_with({body}, '{h}') THEN 1
+           WHEN strpos({body}, {nl} || '{h}') > 0 THEN strpos({body}, {nl} || '{h}') + 1
+           ELSE 0 END AS p
+    FROM vis),
+  sec_{name}_2 AS (
+    SELECT request_id, p, substr(b, p + {len(h)}) AS rest FROM sec_{name}_1),
+  sec_{name}_3 AS (
+    SELECT request_id, p, rest, regexp_extract(rest, '^{WS}*', 0) AS lead FROM sec_{name}_2),
+  sec_{name}_4 AS (
+    SELECT request_id,
+      CASE WHEN p = 0 OR strpos(lead, {nl}) = 0 THEN NULL
+           ELSE substr(rest, length(lead) - strpos(reverse(lead), {nl}) + 2) END AS tail
+    FROM sec_{name}_3),
+  sec_{name} AS (
+    SELECT request_id,
+      CASE WHEN tail IS NULL THEN ''
+           WHEN strpos(tail, {nl} || '## ') = 0 THEN {py_strip('tail')}
+           ELSE {py_strip(f"substr(tail, 1, strpos(tail, {nl} || '## ') - 1)")} END AS {name}
+    FROM sec_{name}_4)"""
+
+
+ORACLE["response_sections"] = _RESP + f""",
+vis AS (
+  SELECT request_id,
+    CASE WHEN has_memory
+         THEN regexp_replace(substr(body, 1, strpos(body, '```digest_memory') - 1), '{WS}+$', '')
+         ELSE body END AS visible
+  FROM scored),
+{_section_sql('visible', 'Trends & Continuity', 'trends_raw').strip()},
+{_section_sql('visible', 'Bigger Picture: Feature Pitch', 'feature_pitch_raw').strip()}
+SELECT t.request_id, t.trends_raw, p.feature_pitch_raw
+FROM sec_trends_raw t JOIN sec_feature_pitch_raw p ON t.request_id = p.request_id"""
+
+_MEM_LOG = f""",
+memory_log AS (
+  SELECT digest_type, request_id,
+         {py_strip(f"regexp_extract(body, '{_MEM_RE}', 1, 's')")} AS memory,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(request_id AS BIGINT)) AS updated_at
+  FROM scored WHERE outcome IN ('ok', 'truncated') AND has_memory),
+memory_latest AS (
+  SELECT digest_type, memory, updated_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY digest_type ORDER BY updated_at DESC, request_id DESC) AS rn
+    FROM memory_log) WHERE rn = 1)"""
+
+ORACLE["memory_latest"] = _RESP + _MEM_LOG + f"""
+SELECT digest_type, memory, {ts_text('updated_at')} AS updated_at FROM memory_latest"""
+
+_RULE60 = "'" + "=" * 60 + "'"
+ORACLE["comparison_request"] = _RESP + _MEM_LOG + ",\n" + DIGEST_RUNS.strip() + f""",
+seqd AS (
+  SELECT id, digest_type, markdown,
+         lag(id) OVER (PARTITION BY digest_type ORDER BY run_date, created_at, id) AS prev_id
+  FROM digest_runs)
+SELECT s.id, s.digest_type, s.prev_id, 3072 AS max_tokens,
+  {_RULE60} || chr(10) || 'NEW DIGEST (just written):' || chr(10) || chr(10) || coalesce(s.markdown, '')
+  || chr(10) || chr(10) || {_RULE60} || chr(10) || 'PREVIOUS DIGEST:' || chr(10) || chr(10)
+  || coalesce(nullif(p.markdown, ''), '(none — this is the first digest of this type)')
+  || chr(10) || chr(10) || {_RULE60} || chr(10) || 'DIGEST MEMORY:' || chr(10) || chr(10)
+  || coalesce(nullif(m.memory, ''), '(none yet — this is the first run)')
+  || chr(10) || {_RULE60} AS user_text
+FROM seqd s
+LEFT JOIN digest_runs p ON p.id = s.prev_id
+LEFT JOIN memory_latest m ON m.digest_type = s.digest_type"""
+
+# ---------------------------------------------------------------- markdown
+
+_JS_WS = (r"[\t\n\x0b\x0c\r \xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+          r"\x{202f}\x{205f}\x{3000}\x{feff}]")
+_JS_DOT = r"[^\n\r\x{2028}\x{2029}]"
+_HEAD = r"^(#{1,4})" + _JS_WS + r"+(" + _JS_DOT + r"*)\z"
+_BUL = r"^[-*]" + _JS_WS + r"+(" + _JS_DOT + r"*)\z"
+_SPLIT = r"(\*\*[^*]+?\*\*|\*[^*]+?\*|\[[^\]]*?\]\([^)]*?\))"
+_BOLD = r"^\*\*([^*]+)\*\*\z"
+_LINK = r"^\[([^\]]*)\]\(([^)]*)\)\z"
+_ITAL = r"^\*([^*]+)\*\z"
+
+_BLOCKS = with_views(FEED_ITEMS, MARKDOWN_DOCS) + f""",
+lines AS (
+  SELECT doc_id, unnest(range(len(string_split(markdown, chr(10))))) AS line_no,
+         unnest(string_split(markdown, chr(10))) AS raw
+  FROM markdown_docs),
+trimmed AS (
+  SELECT doc_id, CAST(line_no AS INTEGER) AS line_no,
+         regexp_replace(raw, '^{_JS_WS}+|{_JS_WS}+$', '', 'g') AS line
+  FROM lines),
+blocks AS (
+  SELECT doc_id, line_no,
+    CASE WHEN regexp_matches(line, '{_HEAD}') THEN 'heading'
+         WHEN regexp_matches(line, '{_BUL}') THEN 'bullet' ELSE 'paragraph' END AS kind,
+    CASE WHEN regexp_matches(line, '{_HEAD}') THEN CAST(length(regexp_extract(line, '{_HEAD}', 1)) AS INTEGER) END AS level,
+    CASE WHEN regexp_matches(line, '{_HEAD}') THEN regexp_extract(line, '{_HEAD}', 2)
+         WHEN regexp_matches(line, '{_BUL}') THEN regexp_extract(line, '{_BUL}', 1)
+         ELSE line END AS text
+  FROM trimmed WHERE line <> '' AND line <> '---')"""
+
+_SPANS = _BLOCKS + f""",
+parts AS (
+  SELECT doc_id, line_no,
+    list_filter(string_split(regexp_replace(text, '{_SPLIT}', chr(1) || '\\1' || chr(1), 'g'), chr(1)),
+                lambda x: x <> '') AS ps
+  FROM blocks),
+parts2 AS (
+  SELECT doc_id, line_no, CASE WHEN len(ps) = 0 THEN [''] ELSE ps END AS ps FROM parts),
+exploded AS (
+  SELECT doc_id, line_no, unnest(range(len(ps))) AS span_no, unnest(ps) AS part FROM parts2),
+spans AS (
+  SELECT doc_id, line_no, CAST(span_no AS INTEGER) AS span_no,
+    CASE WHEN regexp_matches(part, '{_BOLD}') THEN 'bold'
+         WHEN regexp_matches(part, '{_LINK}') THEN 'link'
+         WHEN regexp_matches(part, '{_ITAL}') THEN 'italic' ELSE 'plain' END AS kind,
+    CASE WHEN regexp_matches(part, '{_BOLD}') THEN regexp_extract(part, '{_BOLD}', 1)
+         WHEN regexp_matches(part, '{_LINK}') THEN regexp_extract(part, '{_LINK}', 1)
+         WHEN regexp_matches(part, '{_ITAL}') THEN regexp_extract(part, '{_ITAL}', 1)
+         ELSE part END AS text,
+    CASE WHEN NOT regexp_matches(part, '{_BOLD}') AND regexp_matches(part, '{_LINK}')
+         THEN regexp_extract(part, '{_LINK}', 2) END AS href
+  FROM exploded)"""
+
+ORACLE["markdown_blocks"] = _BLOCKS + "\nSELECT * FROM blocks"
+ORACLE["markdown_spans"] = _SPANS + "\nSELECT * FROM spans"
+ORACLE["markdown_links"] = _SPANS + "\nSELECT doc_id, line_no, span_no, text, href FROM spans WHERE kind = 'link'"
+
+ORACLE["full_document"] = with_views(DIGEST_RUNS) + """
+SELECT id, coalesce(markdown, '')
+  || CASE WHEN coalesce(length(trends_raw), 0) > 0
+          THEN chr(10) || '## Trends & Continuity' || chr(10) || trends_raw ELSE '' END
+  || CASE WHEN coalesce(length(feature_pitch_raw), 0) > 0
+          THEN chr(10) || '## Bigger Picture: Feature Pitch' || chr(10) || feature_pitch_raw ELSE '' END
+  AS document
+FROM digest_runs"""
+
+# ---------------------------------------------------------------- assembly
+
+ORACLE["digest_header"] = with_views(DIGEST_RUNS) + """
+SELECT id,
+  CASE WHEN digest_type = 'org' THEN
+    '# Org News Digest — ' || strftime(run_date, '%B %Y') || chr(10) || '**Run date:** '
+    || strftime(run_date, '%Y-%m-%d') || ' | **Sources monitored:** ' || source_count
+    || ' | **Items fetched:** ' || item_count || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+    || CASE WHEN item_count = 0 THEN '_No new items found across monitored sources for this period._' ELSE '' END
+  ELSE
+    '# Press Highlights — ' || strftime(run_date, '%B %d, %Y') || chr(10) || '**Sources monitored:** '
+    || source_count || ' | **Items fetched:** ' || item_count || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+    || CASE WHEN item_count = 0 THEN '_No new releases were found in the last 24 hours._' ELSE '' END
+  END AS header
+FROM digest_runs"""
+
+_ORDERED = """,
+ordered AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY digest_type
+                 ORDER BY pub_ts DESC NULLS LAST, source_idx, pos) AS BIGINT) AS item_no
+  FROM gated)"""
+
+_ORG_LINE = ("'[Item ' || item_no || ']' || chr(10) || 'Org: ' || org || chr(10) || 'Category: ' || category "
+             "|| chr(10) || 'Source: ' || source_name || chr(10) || 'Title: ' || title || chr(10) "
+             "|| 'Published: ' || published || chr(10) || 'Link: ' || link || chr(10) || 'Summary: ' "
+             "|| CASE WHEN coalesce(summary, '') = '' THEN '(no summary provided)' ELSE summary END "
+             "|| chr(10) || chr(10)")
+_PRESS_LINE = "'[' || source_name || '] ' || title || chr(10) || summary || chr(10) || link"
+
+
+def _chunks_sql(line: str, sep: str, where: str) -> str:
+    return f"""
+SELECT digest_type, CAST(floor((item_no - 1) / 50) AS INTEGER) AS chunk_no,
+       min(item_no) AS first_no, max(item_no) AS last_no, count(*) AS n_lines,
+       string_agg({line}, {sep} ORDER BY item_no) AS text
+FROM ordered WHERE {where}
+GROUP BY digest_type, CAST(floor((item_no - 1) / 50) AS INTEGER)"""
+
+
+ORACLE["org_items_block"] = _fresh_ctes() + _ORDERED + _chunks_sql(_ORG_LINE, "''", "digest_type = 'org'")
+ORACLE["press_items_block"] = _fresh_ctes() + _ORDERED + _chunks_sql(
+    _PRESS_LINE, "chr(10) || chr(10)", "digest_type = 'press'")
+
+ORACLE["all_items_index"] = _fresh_ctes() + _ORDERED + """,
+by_org AS (
+  SELECT *, row_number() OVER (PARTITION BY digest_type, org ORDER BY item_no) AS org_line_no
+  FROM ordered)
+SELECT digest_type, org, CAST(floor((org_line_no - 1) / 50) AS INTEGER) AS chunk_no,
+       CAST(min(org_line_no) AS BIGINT) AS first_no, CAST(max(org_line_no) AS BIGINT) AS last_no,
+       count(*) AS n_lines,
+       string_agg('- [' || title || '](' || link || ') — ' || org || ' | ' || published, chr(10)
+                  ORDER BY org_line_no) AS text
+FROM by_org
+GROUP BY digest_type, org, CAST(floor((org_line_no - 1) / 50) AS INTEGER)"""
+
+ORACLE["curation_request"] = _fresh_ctes() + _ORDERED + """,
+blocks AS (""" + _chunks_sql(_ORG_LINE, "''", "digest_type = 'org'") + " UNION ALL " + _chunks_sql(
+    _PRESS_LINE, "chr(10) || chr(10)", "digest_type = 'press'") + f"""
+)
+SELECT digest_type, chunk_no, first_no, last_no,
+  CASE WHEN digest_type = 'org' THEN 16000 ELSE 8000 END AS max_tokens,
+  CASE WHEN digest_type = 'org' THEN
+    'Please write the internal org news digest for 2024-01-05.' || chr(10) || chr(10)
+    || 'Total items to process: ' || n_lines || chr(10) || chr(10) || {_RULE60} || chr(10) || text || {_RULE60}
+  ELSE
+    'Today is 2024-01-05.' || chr(10) || chr(10) || chr(10)
+    || 'PERSONAL PREFERENCES (prioritize these above all else):' || chr(10)
+    || '- Prefer items that mention que' || chr(10) || chr(10) || text
+  END AS user_text
+FROM blocks"""
+
+_SOURCES = """,
+fixture_sources AS (SELECT DISTINCT digest_type, source_idx, source_name FROM feed_items)"""
+
+ORACLE["source_status"] = _fresh_ctes() + _SOURCES + """,
+counts AS (SELECT digest_type, source_idx, count(*) AS n FROM deduped GROUP BY digest_type, source_idx)
+SELECT s.digest_type, s.source_idx, s.source_name, coalesce(c.n, 0) AS n_items,
+       CASE WHEN coalesce(c.n, 0) > 0 THEN coalesce(c.n, 0) || ' item(s)' ELSE 'nothing new' END AS status
+FROM fixture_sources s LEFT JOIN counts c ON c.digest_type = s.digest_type AND c.source_idx = s.source_idx"""
+
+ORACLE["pass_totals"] = _fresh_ctes() + _SOURCES + """
+SELECT s.digest_type, s.source_count, g.item_count FROM
+  (SELECT digest_type, CAST(count(*) AS INTEGER) AS source_count FROM fixture_sources GROUP BY 1) s
+  JOIN (SELECT digest_type, CAST(count(*) AS INTEGER) AS item_count FROM gated GROUP BY 1) g
+  ON s.digest_type = g.digest_type"""

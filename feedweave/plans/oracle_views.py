@@ -110,9 +110,9 @@ responses_base AS (
     CASE WHEN conv_id % 11 = 0 THEN ''
          WHEN conv_id % 13 = 0 THEN '## Trends & Continuity' || chr(10) || chr(10)
          ELSE '## Trends & Continuity' || chr(10) || text || chr(10) || chr(10) END
-    || '## Bigger Picture: Feature Pitch' || chr(10) || '**The pattern:** ' || upper(text) AS first_part,
+    || '## Bigger Picture: Feature Pitch' || chr(10) || '**The pattern:** ' || text AS first_part,
     CASE WHEN conv_id % 3 = 0 THEN chr(10) || chr(10) || '```digest_memory' || chr(10)
-                                   || '## Established patterns' || chr(10) || '- ' || lower(text)
+                                   || '## Established patterns' || chr(10) || '- ' || text
                                    || chr(10) || '```' || chr(10) || 'Trailing note.'
          WHEN conv_id % 7 = 0 THEN chr(10) || chr(10) || '```digest_memory' || chr(10) || '- open ' || text
          ELSE '' END AS fence_part

@@ -259,3 +259,160 @@ def q_day_summary_labels(spark, sf_dir):
 @query("run_constraints")
 def q_run_constraints(spark, sf_dir):
     return history.constraint_violations(fx.digest_runs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- responses (§2.9 I1-I3, I8-I10, J4)
+
+from feedweave.functions import markdown as mdf  # noqa: E402
+from feedweave.functions import responses as rsp  # noqa: E402
+from feedweave.operators import assemble  # noqa: E402
+
+
+def _responses_with_body(spark, sf_dir):
+    r = fx.responses(spark, sf_dir)
+    return r.withColumn("body", rsp.response_text("blocks"))
+
+
+@query("response_text")
+def q_response_text(spark, sf_dir):
+    r = _responses_with_body(spark, sf_dir)
+    return r.select("request_id", F.col("body").alias("text"), rsp.is_blank("body").alias("is_blank"))
+
+
+@query("response_triage")
+def q_response_triage(spark, sf_dir):
+    r = _responses_with_body(spark, sf_dir)
+    return r.select("request_id", "stop_reason", "status_code",
+                    rsp.triage("body", "stop_reason", "status_code", "connection_error").alias("outcome"))
+
+
+@query("memory_block")
+def q_memory_block(spark, sf_dir):
+    r = _responses_with_body(spark, sf_dir)
+    return r.select("request_id", rsp.has_memory("body").alias("has_memory"),
+                    rsp.memory_block("body").alias("memory"))
+
+
+@query("response_sections")
+def q_response_sections(spark, sf_dir):
+    r = _responses_with_body(spark, sf_dir).withColumn("visible", rsp.visible_body("body"))
+    return r.select("request_id",
+                    rsp.named_section("visible", rsp.TRENDS_HEADING).alias("trends_raw"),
+                    rsp.named_section("visible", rsp.PITCH_HEADING).alias("feature_pitch_raw"))
+
+
+def _memory_log(spark, sf_dir):
+    """Memory revisions: usable responses with a closed fence, time-stamped by request."""
+    r = _responses_with_body(spark, sf_dir)
+    outcome = rsp.triage("body", "stop_reason", "status_code", "connection_error")
+    usable = r.filter(outcome.isin("ok", "truncated") & rsp.has_memory("body"))
+    return usable.select("digest_type", "request_id", rsp.memory_block("body").alias("memory"),
+                         F.timestamp_add("MINUTE", F.col("request_id"),
+                                         F.lit(fx.BASE_TS).cast("timestamp")).alias("updated_at"))
+
+
+def memory_latest(log):
+    """Latest memory per type (J4): append-only log + ``max_by`` on (updated_at, request_id)."""
+    key = F.struct("updated_at", "request_id")
+    return log.groupBy("digest_type").agg(F.max_by("memory", key).alias("memory"),
+                                          F.max("updated_at").alias("updated_at"))
+
+
+@query("memory_latest")
+def q_memory_latest(spark, sf_dir):
+    out = memory_latest(_memory_log(spark, sf_dir))
+    return out.select("digest_type", "memory", ts_text("updated_at").alias("updated_at"))
+
+
+@query("comparison_request")
+def q_comparison_request(spark, sf_dir):
+    runs = fx.digest_runs(spark, sf_dir)
+    prev = history.previous_run(runs)
+    mem = memory_latest(_memory_log(spark, sf_dir))
+    return assemble.comparison_requests(runs, prev, mem)
+
+
+# ---------------------------------------------------------------- markdown (§2.9 I4-I7)
+
+@query("markdown_blocks")
+def q_markdown_blocks(spark, sf_dir):
+    return mdf.line_blocks(fx.markdown_docs(spark, sf_dir), "markdown", ["doc_id"])
+
+
+@query("markdown_spans")
+def q_markdown_spans(spark, sf_dir):
+    blocks = mdf.line_blocks(fx.markdown_docs(spark, sf_dir), "markdown", ["doc_id"])
+    return mdf.inline_spans(blocks, ["doc_id", "line_no"])
+
+
+@query("markdown_links")
+def q_markdown_links(spark, sf_dir):
+    blocks = mdf.line_blocks(fx.markdown_docs(spark, sf_dir), "markdown", ["doc_id"])
+    spans = mdf.inline_spans(blocks, ["doc_id", "line_no"])
+    return spans.filter(F.col("kind") == "link").select("doc_id", "line_no", "span_no", "text", "href")
+
+
+@query("full_document")
+def q_full_document(spark, sf_dir):
+    runs = fx.digest_runs(spark, sf_dir)
+    return runs.select("id", mdf.full_document("markdown", "trends_raw", "feature_pitch_raw")
+                       .alias("document"))
+
+
+# ---------------------------------------------------------------- assembly (§2.2 B13-B15, §2.5)
+
+def _fresh_ordered(spark, sf_dir):
+    return ingest.fresh_items(fx.feed_items(spark, sf_dir), fx.settings(spark),
+                              fx.seen_ledger(spark, sf_dir), fx.AS_OF)
+
+
+def _fixture_sources(spark, sf_dir):
+    return (fx.feed_items(spark, sf_dir).select("digest_type", "source_idx", "source_name")
+            .distinct())
+
+
+@query("digest_header")
+def q_digest_header(spark, sf_dir):
+    runs = fx.digest_runs(spark, sf_dir)
+    return runs.select("id", assemble.digest_header("digest_type", "run_date", "source_count",
+                                                    "item_count").alias("header"))
+
+
+@query("org_items_block")
+def q_org_items_block(spark, sf_dir):
+    return assemble.items_blocks(_fresh_ordered(spark, sf_dir)).filter(F.col("digest_type") == "org")
+
+
+@query("press_items_block")
+def q_press_items_block(spark, sf_dir):
+    return assemble.items_blocks(_fresh_ordered(spark, sf_dir)).filter(F.col("digest_type") == "press")
+
+
+@query("all_items_index")
+def q_all_items_index(spark, sf_dir):
+    return assemble.all_items_index(_fresh_ordered(spark, sf_dir))
+
+
+FIXTURE_PREFERENCES = "- Prefer items that mention que"
+
+
+@query("curation_request")
+def q_curation_request(spark, sf_dir):
+    fresh = _fresh_ordered(spark, sf_dir)
+    totals = assemble.pass_totals(_fixture_sources(spark, sf_dir), fresh)
+    return assemble.curation_requests(assemble.items_blocks(fresh), totals, "2024-01-05",
+                                      FIXTURE_PREFERENCES)
+
+
+@query("source_status")
+def q_source_status(spark, sf_dir):
+    accepted = ingest.in_run_dedup(ingest.source_filter(ingest.recency_cutoff(
+        ingest.cap_per_source(_staged(spark, sf_dir)), fx.AS_OF)))
+    return assemble.source_status(_fixture_sources(spark, sf_dir), accepted)
+
+
+@query("pass_totals")
+def q_pass_totals(spark, sf_dir):
+    fresh = ingest.fresh_items(fx.feed_items(spark, sf_dir), fx.settings(spark),
+                               fx.seen_ledger(spark, sf_dir), fx.AS_OF, ordered=False)
+    return assemble.pass_totals(_fixture_sources(spark, sf_dir), fresh)

@@ -157,9 +157,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(cid % 13 == 0, F.lit("## Trends & Continuity\n\n"))
               .otherwise(F.concat(F.lit("## Trends & Continuity\n"), F.col("text"), F.lit("\n\n"))))
     pitch = F.concat(F.lit("## Bigger Picture: Feature Pitch\n**The pattern:** "),
-                     F.upper(F.col("text")))
+                     F.col("text"))
     fence = (F.when(cid % 3 == 0, F.concat(F.lit("\n\n```digest_memory\n## Established patterns\n- "),
-                                            F.lower(F.col("text")),
+                                            F.col("text"),
                                             F.lit("\n```\nTrailing note.")))
              .when(cid % 7 == 0, F.concat(F.lit("\n\n```digest_memory\n- open "),
                                           F.col("text")))
