@@ -541,3 +541,125 @@ SELECT s.digest_type, s.source_count, g.item_count FROM
   (SELECT digest_type, CAST(count(*) AS INTEGER) AS source_count FROM fixture_sources GROUP BY 1) s
   JOIN (SELECT digest_type, CAST(count(*) AS INTEGER) AS item_count FROM gated GROUP BY 1) g
   ON s.digest_type = g.digest_type"""
+
+# ---------------------------------------------------------------- curation
+
+_RULES_SQL = """,
+rules AS (
+  SELECT * FROM (VALUES
+    ('prefer', 'que', NULL, 2, 0), ('seek', 'the', NULL, 1, 0), ('seek', 'ung', NULL, 1, 0),
+    ('less', 'aux', NULL, -1, 0), ('skip', 'zz', NULL, 0, 0), ('skip', 'mit', NULL, 0, 0),
+    ('category', 'ción', 'Spanish', 0, 1), ('category', 'der', 'German', 0, 2),
+    ('category', 'les', 'French', 0, 3), ('category', 'and', 'English', 0, 4))
+    AS t(kind, term, label, weight, priority)),
+hits AS (
+  SELECT o.digest_type, o.item_no, r.kind, r.term, r.label, r.weight, r.priority
+  FROM ordered o JOIN rules r
+    ON contains(lower(coalesce(o.title, '') || ' ' || coalesce(o.summary, '')), r.term)),
+scored AS (
+  SELECT o.digest_type, o.item_no, o.org,
+    CAST(coalesce(sum(h.weight) FILTER (WHERE h.kind IN ('prefer', 'seek', 'less')), 0) AS INTEGER) AS score,
+    coalesce(bool_or(h.kind = 'skip'), false) AND NOT coalesce(bool_or(h.kind = 'prefer'), false) AS dropped
+  FROM ordered o LEFT JOIN hits h ON h.digest_type = o.digest_type AND h.item_no = o.item_no
+  GROUP BY o.digest_type, o.item_no, o.org),
+live AS (SELECT * FROM scored WHERE NOT dropped),
+tgt AS (
+  SELECT digest_type, least(20, greatest(15, count(*) FILTER (WHERE score > 0))) AS n_target
+  FROM live GROUP BY digest_type),
+picks AS (
+  SELECT * FROM (
+    SELECT l.*, CAST(row_number() OVER (PARTITION BY l.digest_type ORDER BY l.score DESC, l.item_no)
+                     AS BIGINT) AS pick_rank
+    FROM live l) r
+  WHERE pick_rank <= (SELECT n_target FROM tgt WHERE tgt.digest_type = r.digest_type))"""
+
+_CUR = _fresh_ctes() + _ORDERED + _RULES_SQL
+
+ORACLE["rule_score"] = _CUR + "\nSELECT digest_type, item_no, score, dropped FROM scored"
+ORACLE["top_with_floor"] = _CUR + "\nSELECT digest_type, pick_rank, item_no, score FROM picks"
+ORACLE["categorise"] = _CUR + """,
+cats AS (
+  SELECT p.digest_type, p.pick_rank,
+         coalesce((SELECT arg_min(h.label, h.priority) FROM hits h
+                   WHERE h.kind = 'category' AND h.digest_type = p.digest_type AND h.item_no = p.item_no),
+                  'General') AS category
+  FROM picks p)
+SELECT digest_type, category, count(*) AS n_picks, min(pick_rank) AS first_rank
+FROM cats GROUP BY digest_type, category"""
+ORACLE["org_groups"] = _CUR + """
+SELECT digest_type, org, count(*) AS n_picks, min(pick_rank) AS best_rank FROM picks GROUP BY digest_type, org"""
+
+_TERMS = r"[^\p{L}]+"
+
+
+def _terms_sql(src: str, text: str, keys: str, min_len: int) -> str:
+    return (f"SELECT DISTINCT {keys}, term FROM (SELECT {keys}, "
+            f"unnest(list_distinct(regexp_split_to_array(lower(coalesce({text}, '')), '{_TERMS}'))) AS term "
+            f"FROM {src}) WHERE length(term) >= {min_len}")
+
+
+_CANDS = f""",
+item_terms AS ({_terms_sql('ordered', 'title', 'digest_type, item_no, org', 4)}),
+cands AS (
+  SELECT digest_type, term, count(*) AS n_items, count(DISTINCT org) AS n_orgs
+  FROM item_terms GROUP BY digest_type, term
+  HAVING count(*) >= 2 AND count(DISTINCT org) >= 2)"""
+
+ORACLE["cross_item_themes"] = _fresh_ctes() + _ORDERED + _CANDS + """
+SELECT digest_type, theme_rank, term, n_items, n_orgs FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY digest_type ORDER BY n_items DESC, term) AS INTEGER) AS theme_rank
+  FROM cands) WHERE theme_rank <= 5"""
+
+ORACLE["unpitched_themes"] = _fresh_ctes() + _ORDERED + _CANDS + ",\n" + DIGEST_RUNS.strip() + f""",
+pitched AS ({_terms_sql('digest_runs', 'feature_pitch_raw', 'digest_type', 4)})
+SELECT c.digest_type, c.term, c.n_items, c.n_orgs FROM cands c
+WHERE NOT EXISTS (SELECT 1 FROM pitched p WHERE p.digest_type = c.digest_type AND p.term = c.term)"""
+
+ORACLE["run_continuity"] = with_views(DIGEST_RUNS) + f""",
+seqd AS (
+  SELECT id, digest_type, markdown,
+         row_number() OVER (PARTITION BY digest_type ORDER BY run_date, created_at, id) AS seq
+  FROM digest_runs),
+rt AS ({_terms_sql('seqd', 'markdown', 'digest_type, seq', 10)}),
+j AS (
+  SELECT coalesce(c.digest_type, p.digest_type) AS digest_type,
+         coalesce(c.seq, p.seq + 1) AS seq, coalesce(c.term, p.term) AS term,
+         CASE WHEN c.term IS NOT NULL AND p.term IS NOT NULL THEN 'continuing'
+              WHEN c.term IS NOT NULL THEN 'new' ELSE 'dropped' END AS status
+  FROM rt c FULL OUTER JOIN rt p
+    ON c.digest_type = p.digest_type AND c.seq = p.seq + 1 AND c.term = p.term)
+SELECT digest_type, CAST(seq AS BIGINT) AS seq, term, status FROM j
+WHERE seq > 1 AND EXISTS (SELECT 1 FROM seqd s WHERE s.digest_type = j.digest_type AND s.seq = j.seq)"""
+
+ORACLE["thread_memory"] = with_views(DIGEST_RUNS) + f""",
+rt AS ({_terms_sql('digest_runs', 'markdown', 'digest_type, id, run_date', 10)}),
+agg AS (
+  SELECT digest_type, term, count(DISTINCT id) AS n_runs, max(run_date) AS last_seen
+  FROM rt GROUP BY digest_type, term
+  HAVING max(run_date) >= DATE '2024-02-10' - 14),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY digest_type
+                 ORDER BY n_runs DESC, last_seen DESC, term) AS INTEGER) AS rank
+  FROM agg)
+SELECT digest_type, rank, term,
+       CASE WHEN n_runs >= 2 THEN 'established' ELSE 'emerging' END AS status,
+       n_runs, CAST(last_seen AS VARCHAR) AS last_seen
+FROM ranked WHERE rank <= 12"""
+
+_AUDIT = with_views(FEED_ITEMS, MARKDOWN_DOCS) + r""",
+items AS (SELECT source_name AS run_id, doc_id, entry_id, link FROM feed_items),
+docs AS (
+  SELECT i.run_id, m.markdown FROM markdown_docs m JOIN items i ON i.doc_id = m.doc_id
+  WHERE m.doc_id % 4 <> 0),
+urls AS (
+  SELECT DISTINCT run_id, unnest(regexp_extract_all(markdown, '\]\(([^)\s]+)\)', 1)) AS url FROM docs)"""
+
+ORACLE["index_audit"] = _AUDIT + """
+SELECT i.run_id, i.entry_id, i.link FROM items i
+WHERE i.link <> '' AND NOT EXISTS (SELECT 1 FROM urls u WHERE u.run_id = i.run_id AND u.url = i.link)"""
+
+ORACLE["kept_ratio"] = _AUDIT + """
+SELECT run_id, count(*) AS fetched,
+       count(*) FILTER (WHERE link <> '' AND EXISTS (
+         SELECT 1 FROM urls u WHERE u.run_id = items.run_id AND u.url = items.link)) AS kept
+FROM items GROUP BY run_id"""

@@ -416,3 +416,96 @@ def q_pass_totals(spark, sf_dir):
     fresh = ingest.fresh_items(fx.feed_items(spark, sf_dir), fx.settings(spark),
                                fx.seen_ledger(spark, sf_dir), fx.AS_OF, ordered=False)
     return assemble.pass_totals(_fixture_sources(spark, sf_dir), fresh)
+
+
+# ---------------------------------------------------------------- curation (§2.11)
+
+from feedweave.operators import curate  # noqa: E402
+
+# The fixture's rule table (terms chosen to occur in the supplied text).
+FIXTURE_RULES = [
+    {"kind": "prefer", "term": "que", "weight": 2},
+    {"kind": "seek", "term": "the", "weight": 1},
+    {"kind": "seek", "term": "ung", "weight": 1},
+    {"kind": "less", "term": "aux", "weight": -1},
+    {"kind": "skip", "term": "zz"},
+    {"kind": "skip", "term": "mit"},
+    {"kind": "category", "term": "ción", "label": "Spanish", "priority": 1},
+    {"kind": "category", "term": "der", "label": "German", "priority": 2},
+    {"kind": "category", "term": "les", "label": "French", "priority": 3},
+    {"kind": "category", "term": "and", "label": "English", "priority": 4},
+]
+THREADS_AS_OF = "2024-02-10"
+
+
+def _scored(spark, sf_dir):
+    return curate.score_items(_fresh_ordered(spark, sf_dir), FIXTURE_RULES)
+
+
+def _picks(spark, sf_dir):
+    return curate.top_with_floor(_scored(spark, sf_dir))
+
+
+@query("rule_score")
+def q_rule_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("digest_type", "item_no", "score", "dropped")
+
+
+@query("top_with_floor")
+def q_top_with_floor(spark, sf_dir):
+    return _picks(spark, sf_dir).select("digest_type", "pick_rank", "item_no", "score")
+
+
+@query("categorise")
+def q_categorise(spark, sf_dir):
+    return curate.category_counts(curate.categorise(_picks(spark, sf_dir), FIXTURE_RULES))
+
+
+@query("org_groups")
+def q_org_groups(spark, sf_dir):
+    return curate.org_groups(_picks(spark, sf_dir))
+
+
+@query("cross_item_themes")
+def q_cross_item_themes(spark, sf_dir):
+    out = curate.cross_item_themes(_fresh_ordered(spark, sf_dir))
+    return out.select("digest_type", "theme_rank", "term", "n_items", "n_orgs")
+
+
+@query("run_continuity")
+def q_run_continuity(spark, sf_dir):
+    return curate.run_continuity(fx.digest_runs(spark, sf_dir))
+
+
+@query("thread_memory")
+def q_thread_memory(spark, sf_dir):
+    out = curate.thread_memory(fx.digest_runs(spark, sf_dir), THREADS_AS_OF)
+    return out.select("digest_type", "rank", "term", "status", "n_runs",
+                      F.col("last_seen").cast("string").alias("last_seen"))
+
+
+@query("unpitched_themes")
+def q_unpitched_themes(spark, sf_dir):
+    cand = curate.theme_candidates(_fresh_ordered(spark, sf_dir))
+    pitched = curate.terms(fx.digest_runs(spark, sf_dir), "feature_pitch_raw", ["digest_type"])
+    return curate.unpitched(cand, pitched).select("digest_type", "term", "n_items", "n_orgs")
+
+
+def _audit_inputs(spark, sf_dir):
+    items = fx.feed_items(spark, sf_dir).select(
+        F.col("source_name").alias("run_id"), "doc_id", "entry_id", "link")
+    docs = (fx.markdown_docs(spark, sf_dir).filter(F.col("doc_id") % 4 != 0)
+            .join(items.select("doc_id", "run_id"), "doc_id"))
+    return items, mdf.any_urls(docs, "markdown", ["run_id"])
+
+
+@query("index_audit")
+def q_index_audit(spark, sf_dir):
+    items, urls = _audit_inputs(spark, sf_dir)
+    return curate.index_audit(items, urls).select("run_id", "entry_id", "link")
+
+
+@query("kept_ratio")
+def q_kept_ratio(spark, sf_dir):
+    items, urls = _audit_inputs(spark, sf_dir)
+    return curate.kept_counts(items, urls)
