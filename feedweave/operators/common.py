@@ -41,13 +41,24 @@ def date_lit(value) -> Column:
     return F.lit(str(value)).cast("date")
 
 
+def bounded_broadcast(df: DataFrame, bound_rows: int | None,
+                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast when a caller-proven row bound is under ``max_rows``; else count first."""
+    if bound_rows is None:
+        return sized_broadcast(df, max_rows)
+    return F.broadcast(df) if bound_rows <= max_rows else df
+
+
 def dense_ordinal(df: DataFrame, group_cols: list[str], order_cols: list[Column],
-                  name: str = "ordinal") -> DataFrame:
+                  name: str = "ordinal", max_groups: int | None = None) -> DataFrame:
     """Add ``name`` = 1..n per ``group_cols`` following ``order_cols`` (must be a total order).
 
     Intended for groups that are few and large (e.g. one per digest type),
     where ``row_number() over (partition by type ...)`` would put a whole type
-    in one task.
+    in one task.  ``max_groups`` (a bound on distinct groups, e.g. the number of
+    configured digest types) lets the offsets table be broadcast without a
+    count: range partitioning keeps each group's rows contiguous, so it has at
+    most ``#partitions + max_groups`` rows.
     """
     spark = df.sparkSession
     keys = [F.col(c) for c in group_cols] + list(order_cols)
@@ -65,8 +76,8 @@ def dense_ordinal(df: DataFrame, group_cols: list[str], order_cols: list[Column]
          .rowsBetween(Window.unboundedPreceding, -1))
     offsets = stats.select("_fw_part", *group_cols, "_fw_first",
                            F.coalesce(F.sum("_fw_n").over(w), F.lit(0)).alias("_fw_before"))
-    # offsets has at most (#partitions x #groups) rows
-    joined = tagged.join(sized_broadcast(offsets), ["_fw_part", *group_cols], "inner")
+    bound = None if max_groups is None else fixed.rdd.getNumPartitions() + max_groups
+    joined = tagged.join(bounded_broadcast(offsets, bound), ["_fw_part", *group_cols], "inner")
     return joined.select(
         *[c for c in df.columns],
         (F.col("_fw_before") + F.col("_fw_local") - F.col("_fw_first") + 1).alias(name),

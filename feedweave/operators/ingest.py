@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import text as tx
-from feedweave.operators.common import date_lit, dense_ordinal, sized_broadcast, ts_lit
+from feedweave.operators.common import (bounded_broadcast, date_lit, dense_ordinal,
+                                       sized_broadcast, ts_lit)
 
 ARTICLE_COLUMNS = ["digest_type", "source_idx", "pos", "org", "category", "source_name",
                    "title", "summary", "link", "published", "pub_ts"]
@@ -112,23 +113,28 @@ def type_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("digest_type").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def min_items_gate(df: DataFrame) -> DataFrame:
-    """A pass below ``min_items_to_send`` produces nothing."""
-    counts = sized_broadcast(type_counts(df))
+def min_items_gate(df: DataFrame, n_types: int | None = None) -> DataFrame:
+    """A pass below ``min_items_to_send`` produces nothing.
+
+    ``n_types`` (rows in the settings table) bounds the per-type counts, so
+    they are broadcast without a sizing job.
+    """
+    counts = bounded_broadcast(type_counts(df), n_types)
     return (df.join(counts, "digest_type", "inner")
             .filter(F.col("n_items") >= F.col("min_items_to_send"))
             .drop("n_items"))
 
 
-def newest_first(df: DataFrame, name: str = "item_no") -> DataFrame:
+def newest_first(df: DataFrame, name: str = "item_no", n_types: int | None = None) -> DataFrame:
     """Item ordinal per type: newest first, undated last, ties in feed order."""
     order = [F.col("pub_ts").desc_nulls_last(), F.col("source_idx").asc(), F.col("pos").asc()]
-    return dense_ordinal(df, ["digest_type"], order, name)
+    return dense_ordinal(df, ["digest_type"], order, name, max_groups=n_types)
 
 
 def fresh_items(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_of,
                 dedup_days: int = 7, ordered: bool = True) -> DataFrame:
     """Entry 1 of the daily job up to the curation request, for every type at once."""
+    n_types = settings.count()  # configuration rows: one per digest type
     df = with_settings(entries, settings)
     df = cap_per_source(df)
     df = recency_cutoff(df, as_of)
@@ -136,8 +142,8 @@ def fresh_items(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_o
     df = in_run_dedup(df)
     arts = project_articles(df)
     arts = drop_seen(arts, live_ledger(ledger, as_of, dedup_days))
-    arts = min_items_gate(arts).drop("min_items_to_send")
-    return newest_first(arts) if ordered else arts
+    arts = min_items_gate(arts, n_types).drop("min_items_to_send")
+    return newest_first(arts, n_types=n_types) if ordered else arts
 
 
 def step_counts(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_of,
