@@ -64,7 +64,7 @@ def date_index(runs: DataFrame, term: str = "", limit: int = INDEX_LIMIT) -> Dat
 def valid_date_text(col) -> Column:
     """Shape check plus a real calendar date (an impossible date matches nothing)."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.rlike(DATE_SHAPE) & F.try_to_date(c, F.lit("yyyy-MM-dd")).isNotNull()
+    return c.rlike(DATE_SHAPE) & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
 
 
 def valid_run_id(col) -> Column:
@@ -98,8 +98,8 @@ def runs_for_dates(runs: DataFrame) -> DataFrame:
 
 def runs_for_date(runs: DataFrame, run_date: str) -> DataFrame:
     """Runs of one date (the dashboard's point lookup); invalid input gives no rows."""
-    ok = F.lit(run_date).rlike(DATE_SHAPE) & F.try_to_date(F.lit(run_date), F.lit("yyyy-MM-dd")).isNotNull()
-    one = runs.filter(ok & (F.col("run_date") == F.try_to_date(F.lit(run_date), F.lit("yyyy-MM-dd"))))
+    ok = F.lit(run_date).rlike(DATE_SHAPE) & F.try_to_date(F.lit(run_date), "yyyy-MM-dd").isNotNull()
+    one = runs.filter(ok & (F.col("run_date") == F.try_to_date(F.lit(run_date), "yyyy-MM-dd")))
     return runs_for_dates(one)
 
 
