@@ -162,8 +162,19 @@ def source_status(sources: DataFrame, accepted: DataFrame) -> DataFrame:
                     .otherwise(F.lit("nothing new")).alias("status"))
 
 
-def pass_totals(sources: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``source_count`` (every configured source with a feed URL) and ``item_count`` per run."""
+def pass_totals(sources: DataFrame, fresh: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """``source_count`` (every configured source with a feed URL) and ``item_count`` per run.
+
+    Without ``settings`` only passes that have items are reported.  With
+    ``settings`` the gate decides: a pass is written when its item count
+    reaches ``min_items_to_send`` (so a threshold of 0 writes empty runs).
+    """
     sc = sources.groupBy("digest_type").agg(F.count(F.lit(1)).cast("int").alias("source_count"))
     ic = fresh.groupBy("digest_type").agg(F.count(F.lit(1)).cast("int").alias("item_count"))
-    return sc.join(ic, "digest_type", "inner")
+    if settings is None:
+        return sc.join(ic, "digest_type", "inner")
+    gate = sized_broadcast(settings.select("digest_type", "min_items_to_send"))
+    out = (sc.join(ic, "digest_type", "left").join(gate, "digest_type", "inner")
+           .withColumn("item_count", F.coalesce(F.col("item_count"), F.lit(0))))
+    return (out.filter(F.col("item_count") >= F.col("min_items_to_send"))
+            .select("digest_type", "source_count", "item_count"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from feedweave.functions.text import py_strip
+
 # Defaults applied when a key is absent.
 UNKNOWN_SOURCE = "Unknown source"
 DEFAULT_DEDUP_DAYS = 7
@@ -99,7 +101,7 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
 def read_preferences(spark: SparkSession, path: str) -> str:
     """Free-text preferences, stripped; ``''`` when the file is absent (A5)."""
     try:
-        row = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v")).first()
+        row = spark.read.text(path, wholetext=True).select(py_strip("value").alias("v")).first()
     except AnalysisException:
         return ""
     return (row.v or "") if row else ""

@@ -67,7 +67,7 @@ def process_run(spark: SparkSession, entries: DataFrame, sources: DataFrame, set
     rows = ledger.new_rows(fresh, book, as_of, dedup_days)
     target = f"{ledger_path}/batch_id={batch_id}/run_date={run_date}"
     rows.select("link", "digest_type", "first_seen").write.mode("overwrite").parquet(target)
-    totals = assemble.pass_totals(sources, fresh)
+    totals = assemble.pass_totals(sources, fresh, settings)
     (totals.withColumn("run_date", F.lit(str(run_date)).cast("date"))
      .write.mode("overwrite").parquet(f"{runs_path}/batch_id={batch_id}/run_date={run_date}"))
 
