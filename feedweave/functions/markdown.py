@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # JavaScript ``String.prototype.trim`` / ``\s`` whitespace set.
 JS_WS_CLASS = (r"[\t\n\x0b\x0c\r \xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
                r"\x{202f}\x{205f}\x{3000}\x{feff}]")
+JS_WS_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 # JavaScript ``.``: anything but a line terminator.
 JS_DOT = r"[^\n\r\x{2028}\x{2029}]"
 
@@ -33,8 +35,9 @@ _MARK = "\u0001"
 
 
 def js_trim(col) -> Column:
+    """``String.prototype.trim``: ``btrim`` with the JavaScript whitespace characters."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, f"^{JS_WS_CLASS}+|{JS_WS_CLASS}+$", "")
+    return F.btrim(c, F.lit(JS_WS_CHARS))
 
 
 def line_blocks(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFrame:
@@ -46,8 +49,10 @@ def line_blocks(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFrame:
                                                       "\n", -1)).alias("line_no", "raw"))
     t = lines.select(*key_cols, "line_no", js_trim("raw").alias("line"))
     kept = t.filter((F.col("line") != "") & (F.col("line") != "---"))
-    is_head = F.col("line").rlike(HEADING_RE)
-    is_bullet = F.col("line").rlike(BULLET_RE)
+    # cheap first-character guards keep the anchored regexes off most lines
+    line = F.col("line")
+    is_head = line.startswith("#") & line.rlike(HEADING_RE)
+    is_bullet = (line.startswith("-") | line.startswith("*")) & line.rlike(BULLET_RE)
     return kept.select(
         *key_cols, "line_no",
         F.when(is_head, F.lit("heading")).when(is_bullet, F.lit("bullet"))
@@ -64,15 +69,22 @@ def split_spans(text) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     marked = F.regexp_replace(c, SPAN_SPLIT_RE, _MARK + "$1" + _MARK)
     parts = F.filter(F.split(marked, _MARK, -1), lambda p: p != "")
-    # an empty text still yields one empty plain span
-    return F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
+    # an empty text still yields one empty plain span; text without any span
+    # delimiter is one plain span, so the alternation only runs where it can match
+    has_marks = F.contains(c, F.lit("*")) | F.contains(c, F.lit("["))
+    return (F.when(F.coalesce(c, F.lit("")) == "", F.array(F.lit("")))
+            .when(has_marks, F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts))
+            .otherwise(F.array(c)))
 
 
 def inline_spans(blocks: DataFrame, key_cols: list[str]) -> DataFrame:
     """One row per inline span of each block: ``key..., span_no, kind, text, href``."""
     parts = blocks.select(*key_cols, F.posexplode(split_spans("text")).alias("span_no", "part"))
     p = F.col("part")
-    is_bold, is_link, is_italic = p.rlike(BOLD_RE), p.rlike(LINK_RE), p.rlike(ITALIC_RE)
+    starts_star, starts_bracket = p.startswith("*"), p.startswith("[")
+    is_bold = starts_star & p.rlike(BOLD_RE)
+    is_link = starts_bracket & p.rlike(LINK_RE)
+    is_italic = starts_star & p.rlike(ITALIC_RE)
     return parts.select(
         *key_cols, "span_no",
         F.when(is_bold, F.lit("bold")).when(is_link, F.lit("link"))

@@ -17,6 +17,8 @@ PY_WS_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 PY_WS_RUN = PY_WS_CLASS + "+"
+# The same set as plain characters, derived from Python's own rule, for ``btrim``.
+PY_WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 # Summary cap, source-filter prefix length, undated label.
 SUMMARY_MAX_CHARS = 600
@@ -29,8 +31,11 @@ def _c(x) -> Column:
 
 
 def py_strip(col) -> Column:
-    """``str.strip()`` with Python's Unicode whitespace set (Spark ``trim`` only drops U+0020)."""
-    return F.regexp_replace(_c(col), f"^{PY_WS_RUN}|{PY_WS_RUN}$", "")
+    """``str.strip()`` with Python's Unicode whitespace set (Spark ``trim`` only drops U+0020).
+
+    ``btrim`` with an explicit character set: a per-end character scan, no regex.
+    """
+    return F.btrim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def empty_to_null(col) -> Column:
