@@ -103,11 +103,22 @@ def items_blocks(articles: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame
 
 
 def all_items_index(articles: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
-    """Every item of a pass as one index line, grouped by org, in final order."""
-    order = [F.col("item_no").asc()]
-    numbered = dense_ordinal(articles, ["digest_type", "org"], order, "org_line_no")
-    return chunked_text(numbered, ["digest_type", "org"], "org_line_no", index_line(), "\n",
-                        chunk_size)
+    """Every item of a pass as one index line, grouped by org, in final order.
+
+    Chunks follow the pass order: chunk ``k`` of an org holds its items with
+    ``item_no`` in ``[k*chunk_size+1, (k+1)*chunk_size]``, so no group exceeds
+    ``chunk_size`` lines even for an org holding most of the pass, and an org's
+    index is its chunks in ``chunk_no`` order.
+    """
+    chunk = F.floor((F.col("item_no") - 1) / chunk_size).cast("int")
+    rows = articles.select("digest_type", "org", chunk.alias("chunk_no"),
+                           F.col("item_no").alias("_no"), index_line().alias("_line"))
+    agg = rows.groupBy("digest_type", "org", "chunk_no").agg(
+        F.array_sort(F.collect_list(F.struct("_no", "_line"))).alias("_parts"),
+        F.min("_no").alias("first_no"), F.max("_no").alias("last_no"),
+        F.count(F.lit(1)).alias("n_lines"))
+    return agg.select("digest_type", "org", "chunk_no", "first_no", "last_no", "n_lines",
+                      F.array_join(F.transform("_parts", lambda p: p["_line"]), "\n").alias("text"))
 
 
 def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,

@@ -72,16 +72,20 @@ def score_items(items: DataFrame, rules: Iterable[dict]) -> DataFrame:
 def top_with_floor(scored: DataFrame, group_cols=("digest_type",)) -> DataFrame:
     """Keep ``least(20, greatest(15, #positive))`` best items per group (K2).
 
-    Ranking is by score, then the pass order ``item_no``.  Ranks come from a
-    distributed ordinal (no single-partition window per group); the per-group
-    target is a map-side aggregate joined back.
+    Ranking is by score, then the pass order ``item_no``.  At most ``PICK_MAX``
+    items can be kept, so ``row_number() <= PICK_MAX`` (a literal bound) lets
+    Spark cut every map partition to 20 rows per group before the shuffle
+    (partial ``WindowGroupLimit``); the per-group target is a map-side
+    aggregate joined back.
     """
     g = list(group_cols)
     live = scored.filter(~F.col("dropped"))
     target = live.groupBy(*g).agg(
         F.least(F.lit(PICK_MAX), F.greatest(F.lit(PICK_AIM), F.count_if(F.col("score") > 0)))
         .alias("n_target"))
-    ranked = dense_ordinal(live, g, [F.col("score").desc(), F.col("item_no").asc()], "pick_rank")
+    w = Window.partitionBy(*g).orderBy(F.col("score").desc(), F.col("item_no").asc())
+    ranked = (live.withColumn("pick_rank", F.row_number().over(w).cast("bigint"))
+              .filter(F.col("pick_rank") <= PICK_MAX))
     return (ranked.join(sized_broadcast(target), g, "inner")
             .filter(F.col("pick_rank") <= F.col("n_target")).drop("n_target"))
 

@@ -202,3 +202,48 @@ def constraint_violations(runs: DataFrame) -> DataFrame:
     rules = [f"not_null_{c}" for c in required] + ["type_check", "unique_id"]
     stack = ", ".join(f"'{r}', cast({r} as bigint)" for r in rules)
     return wide.selectExpr(f"stack({len(rules)}, {stack}) as (rule, violations)")
+
+
+# ---------------------------------------------------------------- sinks
+
+RUN_COLUMNS = ["id", "run_date", "digest_type", "source_count", "item_count", "markdown",
+               "trends_raw", "feature_pitch_raw", "created_at"]
+
+
+def with_run_ids(runs: DataFrame, batch_id: int, created_at) -> DataFrame:
+    """Stable run ids and creation time for an append.
+
+    ``id`` is a hash of (type, run date, batch id) folded into the safe-integer
+    range the dashboard accepts, so re-writing a batch yields the same ids.
+    """
+    h = F.xxhash64(F.col("digest_type"), F.col("run_date").cast("string"), F.lit(int(batch_id)))
+    run_id = F.pmod(h, F.lit(MAX_SAFE_INTEGER)) + 1
+    return runs.withColumn("id", run_id).withColumn(
+        "created_at", F.lit(str(created_at)).cast("timestamp"))
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Append runs to the history table, partitioned by ``run_date``."""
+    cols = [c for c in RUN_COLUMNS if c in runs.columns]
+    runs.select(*cols).write.mode("append").partitionBy("run_date").parquet(path)
+
+
+def read_runs(spark, path: str) -> DataFrame:
+    """History table with additive schema evolution: older files lack new columns."""
+    df = spark.read.option("mergeSchema", True).parquet(path)
+    for c, t in (("trends_raw", "string"), ("feature_pitch_raw", "string")):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(t))
+    return df
+
+
+def memory_latest(log: DataFrame) -> DataFrame:
+    """Latest memory per type from an append-only log (J4): ``max_by`` on (updated_at, request_id)."""
+    key = F.struct("updated_at", "request_id")
+    return log.groupBy("digest_type").agg(F.max_by("memory", key).alias("memory"),
+                                          F.max("updated_at").alias("updated_at"))
+
+
+def append_memory(log_rows: DataFrame, path: str) -> None:
+    """Append memory revisions (``digest_type, request_id, memory, updated_at``)."""
+    log_rows.write.mode("append").parquet(path)

@@ -499,17 +499,13 @@ ORACLE["org_items_block"] = _fresh_ctes() + _ORDERED + _chunks_sql(_ORG_LINE, "'
 ORACLE["press_items_block"] = _fresh_ctes() + _ORDERED + _chunks_sql(
     _PRESS_LINE, "chr(10) || chr(10)", "digest_type = 'press'")
 
-ORACLE["all_items_index"] = _fresh_ctes() + _ORDERED + """,
-by_org AS (
-  SELECT *, row_number() OVER (PARTITION BY digest_type, org ORDER BY item_no) AS org_line_no
-  FROM ordered)
-SELECT digest_type, org, CAST(floor((org_line_no - 1) / 50) AS INTEGER) AS chunk_no,
-       CAST(min(org_line_no) AS BIGINT) AS first_no, CAST(max(org_line_no) AS BIGINT) AS last_no,
-       count(*) AS n_lines,
+ORACLE["all_items_index"] = _fresh_ctes() + _ORDERED + """
+SELECT digest_type, org, CAST(floor((item_no - 1) / 50) AS INTEGER) AS chunk_no,
+       min(item_no) AS first_no, max(item_no) AS last_no, count(*) AS n_lines,
        string_agg('- [' || title || '](' || link || ') — ' || org || ' | ' || published, chr(10)
-                  ORDER BY org_line_no) AS text
-FROM by_org
-GROUP BY digest_type, org, CAST(floor((org_line_no - 1) / 50) AS INTEGER)"""
+                  ORDER BY item_no) AS text
+FROM ordered
+GROUP BY digest_type, org, CAST(floor((item_no - 1) / 50) AS INTEGER)"""
 
 ORACLE["curation_request"] = _fresh_ctes() + _ORDERED + """,
 blocks AS (""" + _chunks_sql(_ORG_LINE, "''", "digest_type = 'org'") + " UNION ALL " + _chunks_sql(

@@ -311,11 +311,7 @@ def _memory_log(spark, sf_dir):
                                          F.lit(fx.BASE_TS).cast("timestamp")).alias("updated_at"))
 
 
-def memory_latest(log):
-    """Latest memory per type (J4): append-only log + ``max_by`` on (updated_at, request_id)."""
-    key = F.struct("updated_at", "request_id")
-    return log.groupBy("digest_type").agg(F.max_by("memory", key).alias("memory"),
-                                          F.max("updated_at").alias("updated_at"))
+memory_latest = history.memory_latest
 
 
 @query("memory_latest")

@@ -64,3 +64,29 @@ def test_active_date_falls_back_to_newest(spark):
 def test_previous_run_per_type(spark):
     got = {r.id: r.prev_id for r in history.previous_run(runs(spark)).collect()}
     assert got == {1: None, 2: None, 3: 2, 4: 3}
+
+
+def test_append_runs_ids_and_schema_evolution(spark, scratch_dir):
+    path = f"{scratch_dir}/runs"
+    old = spark.createDataFrame([(dt.date(2024, 1, 1), "org", 3, 2, "old md")],
+                                "run_date date, digest_type string, source_count int, "
+                                "item_count int, markdown string")
+    history.append_runs(history.with_run_ids(old, 0, "2024-01-01 13:00:00"), path)
+    new = runs(spark).filter("id = 4").drop("id", "created_at")
+    a = history.with_run_ids(new, 1, "2024-01-02 13:00:00")
+    b = history.with_run_ids(new, 1, "2024-01-02 13:00:00")
+    assert a.first().id == b.first().id and 1 <= a.first().id <= history.MAX_SAFE_INTEGER
+    history.append_runs(a, path)
+    got = history.read_runs(spark, path)
+    rows = {r.markdown: r for r in got.collect()}
+    assert rows["old md"].trends_raw is None and rows["delta"].item_count == 4
+    assert got.filter("run_date = date'2024-01-02'").count() == 1
+
+
+def test_memory_latest_wins(spark):
+    log = spark.createDataFrame([("org", 1, "m1", dt.datetime(2024, 1, 1)),
+                                 ("org", 2, "m2", dt.datetime(2024, 1, 2)),
+                                 ("press", 3, "p1", dt.datetime(2024, 1, 1))],
+                                "digest_type string, request_id long, memory string, updated_at timestamp")
+    got = {r.digest_type: r.memory for r in history.memory_latest(log).collect()}
+    assert got == {"org": "m2", "press": "p1"}
