@@ -21,16 +21,31 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # ordinal checkpoints are dropped once their DataFrames are unreachable
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+# Starting point for a large cluster (~100 TB inputs): many shuffle partitions that
+# AQE coalesces to ~256 MB, 256 MB scan splits, skew-join splitting of any
+# partition 5x the median and above 512 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
 }
 
 
 def get_session(master: str | None = None, app: str = "feedweave",
                 shuffle_partitions: int | None = None,
-                extra_conf: dict | None = None) -> SparkSession:
+                extra_conf: dict | None = None, cluster: bool = False) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in DEFAULT_CONF.items():
+    for k, v in {**DEFAULT_CONF, **(CLUSTER_CONF if cluster else {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
