@@ -659,3 +659,23 @@ SELECT run_id, count(*) AS fetched,
        count(*) FILTER (WHERE link <> '' AND EXISTS (
          SELECT 1 FROM urls u WHERE u.run_id = items.run_id AND u.url = items.link)) AS kept
 FROM items GROUP BY run_id"""
+
+# ---------------------------------------------------------------- run sections
+
+ORACLE["run_sections"] = _RESP + f""",
+vis AS (
+  SELECT request_id,
+    CASE WHEN has_memory
+         THEN regexp_replace(substr(body, 1, strpos(body, '```digest_memory') - 1), '{WS}+$', '')
+         ELSE body END AS visible
+  FROM scored),
+{_section_sql('visible', 'Trends & Continuity', 'trends_raw').strip()},
+{_section_sql('visible', 'Bigger Picture: Feature Pitch', 'feature_pitch_raw').strip()},
+""" + DIGEST_RUNS.strip() + """
+SELECT d.id, d.digest_type, s.outcome,
+       CASE WHEN s.outcome IN ('ok', 'truncated') THEN t.trends_raw END AS trends_raw,
+       CASE WHEN s.outcome IN ('ok', 'truncated') THEN p.feature_pitch_raw END AS feature_pitch_raw
+FROM digest_runs d
+LEFT JOIN scored s ON s.request_id = d.id
+LEFT JOIN sec_trends_raw t ON t.request_id = d.id
+LEFT JOIN sec_feature_pitch_raw p ON p.request_id = d.id"""

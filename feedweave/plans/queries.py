@@ -505,3 +505,16 @@ def q_index_audit(spark, sf_dir):
 def q_kept_ratio(spark, sf_dir):
     items, urls = _audit_inputs(spark, sf_dir)
     return curate.kept_counts(items, urls)
+
+
+# ---------------------------------------------------------------- run sections (entry 2)
+
+from feedweave.operators import trends  # noqa: E402
+
+
+@query("run_sections")
+def q_run_sections(spark, sf_dir):
+    runs = fx.digest_runs(spark, sf_dir).select("id", "digest_type", "run_date")
+    parsed = trends.parse_responses(fx.responses(spark, sf_dir))
+    out = trends.attach_sections(runs, parsed.drop("digest_type"))
+    return out.select("id", "digest_type", "outcome", "trends_raw", "feature_pitch_raw")
