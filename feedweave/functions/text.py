@@ -103,12 +103,12 @@ def passes_source_filter(terms, haystack) -> Column:
 # Timestamp layouts tried for a feed date string, in order.
 # RFC-822 (weekday stripped first), ISO-8601 variants, plain date.
 ENTRY_DATE_FORMATS = (
-    "dd MMM yyyy HH:mm:ss xx",
-    "dd MMM yyyy HH:mm:ss z",
-    "dd MMM yyyy HH:mm xx",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ss",
+    "d MMM yyyy HH:mm:ss xx",
+    "d MMM yyyy HH:mm:ss z",
+    "d MMM yyyy HH:mm xx",
+    "d MMM yyyy HH:mm z",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd",
 )

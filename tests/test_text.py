@@ -75,7 +75,13 @@ def test_entry_date_fallthrough(spark):
         ("garbage", "2024-01-04T12:30:00+02:00", None),
         (None, None, "04 Jan 2024 07:00:00 GMT"),
         ("", "", ""),
+        ("Thu, 4 Jan 2024 10:00:00 GMT", None, None),
+        ("Thu, 04 Jan 2024 10:00:00 EST", None, None),
+        ("2024-01-04T10:00:00.123Z", None, None),
+        ("2024-01-04T10:00:00.123456+01:00", None, None),
     ], "p string, u string, c string")
     got = [r.x for r in df.select(F.date_format(tx.entry_date("p", "u", "c"),
                                                 "yyyy-MM-dd HH:mm:ss").alias("x")).collect()]
-    assert got == ["2024-01-04 10:00:00", "2024-01-04 10:30:00", "2024-01-04 07:00:00", None]
+    assert got == ["2024-01-04 10:00:00", "2024-01-04 10:30:00", "2024-01-04 07:00:00", None,
+                   "2024-01-04 10:00:00", "2024-01-04 15:00:00", "2024-01-04 10:00:00",
+                   "2024-01-04 09:00:00"]
