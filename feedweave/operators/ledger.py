@@ -75,3 +75,19 @@ def replay(sightings: DataFrame, dedup_days: int = 7) -> DataFrame:
             F.concat(acc, F.array(d))).otherwise(acc))
     return per_key.select("digest_type", "link",
                           F.explode(accepted).alias("run_date"))
+
+
+def save_bucketed(rows: DataFrame, table: str, n_buckets: int, mode: str = "append") -> None:
+    """Store the ledger as a table bucketed on the anti-join key (digest_type, link).
+
+    Partitioned by ``first_seen`` so prune-on-read skips expired days; bucketed
+    so the per-run anti-join reads the ledger already hash-partitioned and only
+    the run's articles are shuffled.
+    """
+    (rows.select(*LEDGER_COLUMNS).write.mode(mode).format("parquet")
+     .partitionBy("first_seen").bucketBy(n_buckets, "digest_type", "link")
+     .sortBy("digest_type", "link").saveAsTable(table))
+
+
+def read_bucketed(spark, table: str) -> DataFrame:
+    return spark.table(table)

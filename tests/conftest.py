@@ -18,7 +18,8 @@ def spark():
     from feedweave.session import get_session
     scratch = tempfile.mkdtemp(prefix="feedweave-tests-")
     s = get_session("local[4]", app="feedweave-tests", shuffle_partitions=8,
-                    extra_conf={"spark.checkpoint.dir": os.path.join(scratch, "ckpt")})
+                    extra_conf={"spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
+                                "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -70,3 +70,26 @@ def test_append_and_compact(spark, scratch_dir):
     ledger.compact(log, D0 + dt.timedelta(10), 7, f"{scratch_dir}/snap")
     snap = spark.read.parquet(f"{scratch_dir}/snap")
     assert sorted((r.link, r.first_seen) for r in snap.collect()) == [("B", D0 + dt.timedelta(9))]
+
+
+def test_bucketed_ledger_avoids_ledger_shuffle(spark):
+    from feedweave.operators import ingest
+    rows = spark.createDataFrame([(f"https://l/{i}", "org" if i % 2 else "press",
+                                   D0 + dt.timedelta(i % 10)) for i in range(200)],
+                                 "link string, digest_type string, first_seen date")
+    ledger.save_bucketed(rows, "ledger_bucketed_t", 8, mode="overwrite")
+    book = ledger.live(ledger.read_bucketed(spark, "ledger_bucketed_t"), D0 + dt.timedelta(9), 7)
+    arts = spark.createDataFrame([("org", f"https://l/{i}") for i in range(0, 40)],
+                                 "digest_type string, link string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ingest.drop_seen(arts, book)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.link for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    live = {f"https://l/{i}" for i in range(200) if i % 2 and (i % 10) >= 2}
+    assert got == sorted(f"https://l/{i}" for i in range(40) if f"https://l/{i}" not in live)
+    scan = [ln for ln in plan.split("\n") if "ledger_bucketed_t" in ln]
+    assert scan and "Bucketed: true" in scan[0] and "PartitionFilters" in scan[0]
+    assert plan.count("Exchange hashpartitioning") == 1   # only the articles move
