@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedweave.functions.markdown import JS_WS_CHARS
 from feedweave.operators.common import dense_ordinal, sized_broadcast
 
 # Dashboard conventions.
@@ -28,9 +29,10 @@ def run_time_label(col="created_at") -> Column:
 def search(runs: DataFrame, term: str = "") -> DataFrame:
     """Runs matching a search term in markdown or date text.
 
-    The term is trimmed; ``%`` and ``_`` inside it stay live wildcards.
+    The term is trimmed (JavaScript whitespace); ``%`` and ``_`` inside it stay
+    live wildcards.
     """
-    t = (term or "").strip()
+    t = (term or "").strip(JS_WS_CHARS)
     if t == "":
         return runs
     like = f"%{t}%"

@@ -61,11 +61,12 @@ def replay(sightings: DataFrame, dedup_days: int = 7) -> DataFrame:
     Input: distinct ``(digest_type, link, run_date)``.  Acceptance depends on the
     last *accepted* date, not the previous sighting, so a plain ``lag`` is wrong:
     the sorted distinct dates of each key are folded greedily.  The array per key
-    is bounded by the number of distinct run dates, and sightings are made
-    distinct before the shuffle, so a hot link ships one row per date.
+    is bounded by the number of distinct run dates.
     """
     gap = dedup_days + 1
-    per_key = (sightings.select("digest_type", "link", "run_date").distinct()
+    # collect_set de-duplicates map-side (partial aggregation), so a hot link
+    # ships at most one set of dates per map partition: one shuffle in total
+    per_key = (sightings.select("digest_type", "link", "run_date")
                .groupBy("digest_type", "link")
                .agg(F.array_sort(F.collect_set("run_date")).alias("dates")))
     accepted = F.aggregate(
