@@ -85,7 +85,9 @@ def runs_for_dates(runs: DataFrame) -> DataFrame:
     """
     mult = (runs.groupBy("run_date", "digest_type")
             .agg(F.count(F.lit(1)).alias("_n_runs")))
-    with_mult = runs.join(mult, ["run_date", "digest_type"], "inner")
+    # one row per (day, type): broadcast after a size check, so the wide run
+    # rows (markdown) are not shuffled for this join
+    with_mult = runs.join(sized_broadcast(mult), ["run_date", "digest_type"], "inner")
     order = [(F.col("digest_type") == "press").desc(), F.col("created_at").desc(),
              F.col("id").desc()]
     ranked = dense_ordinal(with_mult, ["run_date"], order, "display_rank")
