@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.operators.common import dense_ordinal, sized_broadcast
+from feedweave.operators.common import sized_broadcast
 
 # Header and block formats of the two digest types.
 ORG_TITLE = "# Org News Digest — "
