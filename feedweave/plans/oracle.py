@@ -422,10 +422,14 @@ blocks AS (
 
 _SPANS = _BLOCKS + f""",
 parts AS (
+  -- text between matches interleaved with the matches themselves, empties dropped
   SELECT doc_id, line_no,
-    list_filter(string_split(regexp_replace(text, '{_SPLIT}', chr(1) || '\\1' || chr(1), 'g'), chr(1)),
+    list_filter([p[1]] || flatten(list_transform(generate_series(1, len(m)),
+                                                 lambda i: [m[i], p[i + 1]])),
                 lambda x: x <> '') AS ps
-  FROM blocks),
+  FROM (SELECT doc_id, line_no, regexp_extract_all(text, '{_SPLIT}', 0) AS m,
+               regexp_split_to_array(text, '{_SPLIT}') AS p
+        FROM blocks)),
 parts2 AS (
   SELECT doc_id, line_no, CASE WHEN len(ps) = 0 THEN [''] ELSE ps END AS ps FROM parts),
 exploded AS (
