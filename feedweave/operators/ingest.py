@@ -99,13 +99,22 @@ def live_ledger(ledger: DataFrame, as_of, dedup_days: int = 7) -> DataFrame:
 def drop_seen(articles: DataFrame, ledger: DataFrame) -> DataFrame:
     """Left-anti join on (digest_type, link) with the live ledger.
 
-    Empty links cannot be matched, so they bypass the join entirely instead of
-    being shuffled as one hot key.
+    Empty links never match, and hashing them all as ``''`` would send every
+    link-less item to one reducer.  They are salted instead: the join key of an
+    empty link is a per-row value (NUL + feed position, or a row hash) that no
+    ledger link can equal, so those rows spread over all partitions and always survive, in a
+    single join with no second pass over the input.
     """
-    seen = ledger.select("digest_type", "link").filter(F.col("link") != "")
-    linked = articles.filter(F.col("link") != "")
-    unlinked = articles.filter(F.col("link") == "")
-    return linked.join(seen, ["digest_type", "link"], "left_anti").unionByName(unlinked)
+    if {"source_idx", "pos"} <= set(articles.columns):
+        spread = F.concat(F.col("source_idx").cast("string"), F.lit(":"), F.col("pos").cast("string"))
+    else:
+        spread = F.xxhash64(*articles.columns).cast("string")
+    salt = F.concat(F.lit("\u0000"), spread)
+    keyed = articles.withColumn("_fw_key", F.when(F.col("link") == "", salt)
+                                .otherwise(F.col("link")))
+    seen = (ledger.filter(F.col("link") != "")
+            .select("digest_type", F.col("link").alias("_fw_key")))
+    return keyed.join(seen, ["digest_type", "_fw_key"], "left_anti").drop("_fw_key")
 
 
 def type_counts(df: DataFrame) -> DataFrame:
