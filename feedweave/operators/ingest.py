@@ -151,8 +151,12 @@ def fresh_items(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_o
     df = in_run_dedup(df)
     arts = project_articles(df)
     arts = drop_seen(arts, live_ledger(ledger, as_of, dedup_days))
-    arts = min_items_gate(arts, n_types).drop("min_items_to_send")
-    return newest_first(arts, n_types=n_types) if ordered else arts
+    if ordered:
+        # The gate keeps or drops whole types, so numbering first leaves the
+        # surviving ordinals unchanged, and the gate's per-type counts then read
+        # the checkpointed rows instead of re-running the pass.
+        arts = newest_first(arts, n_types=n_types)
+    return min_items_gate(arts, n_types).drop("min_items_to_send")
 
 
 def step_counts(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_of,
