@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedweave.functions import markdown as mdf
+from feedweave.functions import responses as rsp
 from feedweave.functions import text as tx
-from feedweave.operators import ingest
+from feedweave.operators import assemble, curate, history, ingest, ledger, trends
 from feedweave.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,7 +139,6 @@ def q_article_projection(spark, sf_dir):
 
 # ---------------------------------------------------------------- ledger (§2.6 F7, §2.10)
 
-from feedweave.operators import history, ledger  # noqa: E402
 
 LEDGER_PRUNE_AS_OF = "2024-01-08"
 
@@ -263,10 +264,6 @@ def q_run_constraints(spark, sf_dir):
 
 # ---------------------------------------------------------------- responses (§2.9 I1-I3, I8-I10, J4)
 
-from feedweave.functions import markdown as mdf  # noqa: E402
-from feedweave.functions import responses as rsp  # noqa: E402
-from feedweave.operators import assemble  # noqa: E402
-
 
 def _responses_with_body(spark, sf_dir):
     r = fx.responses(spark, sf_dir)
@@ -416,7 +413,6 @@ def q_pass_totals(spark, sf_dir):
 
 # ---------------------------------------------------------------- curation (§2.11)
 
-from feedweave.operators import curate  # noqa: E402
 
 # The fixture's rule table (terms chosen to occur in the supplied text).
 FIXTURE_RULES = [
@@ -509,8 +505,6 @@ def q_kept_ratio(spark, sf_dir):
 
 # ---------------------------------------------------------------- run sections (entry 2)
 
-from feedweave.operators import trends  # noqa: E402
-
 
 @query("run_sections")
 def q_run_sections(spark, sf_dir):
