@@ -107,3 +107,56 @@ def accepted_sightings(spark: SparkSession, ledger_path: str) -> DataFrame:
     """Ledger rows written by the stream, as ``(digest_type, link, run_date)``."""
     book = _read_or_empty(spark, ledger_path, LEDGER_SCHEMA)
     return book.select("digest_type", "link", F.col("first_seen").alias("run_date"))
+
+
+# ---------------------------------------------------------------- responses (L3)
+
+RESPONSE_SCHEMA = T.StructType([
+    T.StructField("request_id", T.LongType()),
+    T.StructField("digest_type", T.StringType()),
+    T.StructField("blocks", T.ArrayType(T.StructType([
+        T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))),
+    T.StructField("stop_reason", T.StringType()),
+    T.StructField("status_code", T.IntegerType()),
+    T.StructField("connection_error", T.BooleanType()),
+    T.StructField("received_at", T.TimestampType()),
+])
+
+MEMORY_LOG_SCHEMA = T.StructType([
+    T.StructField("digest_type", T.StringType()),
+    T.StructField("request_id", T.LongType()),
+    T.StructField("memory", T.StringType()),
+    T.StructField("updated_at", T.TimestampType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
+
+def make_response_handler(sections_path: str, memory_path: str):
+    """``foreachBatch`` body: parse responses, write run sections and memory revisions."""
+    from feedweave.operators import trends
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        parsed = trends.parse_responses(batch.drop("received_at"))
+        (parsed.select("request_id", "digest_type", "outcome", "trends_raw", "feature_pitch_raw")
+         .write.mode("overwrite").parquet(f"{sections_path}/batch_id={batch_id}"))
+        stamped = parsed.join(batch.select("request_id", "received_at"), "request_id")
+        revisions = trends.memory_revisions(stamped, F.col("received_at"))
+        revisions.write.mode("overwrite").parquet(f"{memory_path}/batch_id={batch_id}")
+    return handle
+
+
+def start_responses_incremental(spark: SparkSession, responses_dir: str, sections_path: str,
+                                memory_path: str, checkpoint_location: str):
+    """Incremental parse of landed response files (JSON lines) (L3)."""
+    stream = spark.readStream.schema(RESPONSE_SCHEMA).json(responses_dir)
+    return (stream.writeStream
+            .foreachBatch(make_response_handler(sections_path, memory_path))
+            .option("checkpointLocation", checkpoint_location)
+            .trigger(availableNow=True)
+            .start())
+
+
+def current_memory(spark: SparkSession, memory_path: str) -> DataFrame:
+    """Latest memory per type from the revisions written so far."""
+    from feedweave.operators import history
+    return history.memory_latest(_read_or_empty(spark, memory_path, MEMORY_LOG_SCHEMA))

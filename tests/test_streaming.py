@@ -53,3 +53,30 @@ def test_stream_matches_replay_and_is_idempotent(spark, scratch_dir):
     assert again == want
     runs = spark.read.parquet(paths["runs"])
     assert runs.select("run_date").distinct().count() == 12
+
+
+def test_response_stream_memory_and_sections(spark, scratch_dir):
+    import json
+    rdir = os.path.join(scratch_dir, "responses")
+    os.makedirs(rdir)
+    body = ("## Trends & Continuity\nt{n}\n\n## Bigger Picture: Feature Pitch\np{n}\n\n"
+            "```digest_memory\n- mem {n}\n```")
+    rows = []
+    for n in range(6):
+        rows.append({"request_id": n, "digest_type": "org" if n % 2 else "press",
+                     "blocks": [{"type": "text", "text": body.format(n=n)}],
+                     "stop_reason": "refusal" if n == 5 else "end_turn", "status_code": 200,
+                     "connection_error": False,
+                     "received_at": f"2024-01-0{n + 1}T13:00:00"})
+    for i, chunk in enumerate((rows[:3], rows[3:])):
+        with open(os.path.join(rdir, f"part-{i}.json"), "w") as fh:
+            fh.write("\n".join(json.dumps(r) for r in chunk))
+    paths = {k: os.path.join(scratch_dir, k) for k in ("sections", "memory", "ckpt")}
+    q = incremental.start_responses_incremental(spark, rdir, paths["sections"], paths["memory"],
+                                                paths["ckpt"])
+    q.awaitTermination(300)
+    mem = {r.digest_type: r.memory for r in incremental.current_memory(spark, paths["memory"]).collect()}
+    assert mem == {"press": "- mem 4", "org": "- mem 3"}     # request 5 was refused
+    secs = {r.request_id: (r.outcome, r.trends_raw, r.feature_pitch_raw)
+            for r in spark.read.parquet(paths["sections"]).collect()}
+    assert secs[0] == ("ok", "t0", "p0") and secs[5][0] == "refused"
