@@ -43,7 +43,7 @@ def read_catalogue(spark: SparkSession, path: str, digest_type: str | Column | N
     directory of each file (``.../<digest_type>/sources.json``) or left NULL.
     """
     raw = (spark.read.schema(CATALOGUE_SCHEMA).option("multiLine", True).json(path)
-           .withColumn("_file", F.input_file_name()))
+           .withColumn("_file", F.col("_metadata.file_path")))
     rows = raw.select("_file", F.posexplode("sources").alias("source_idx", "s")).select(
         "_file", F.col("source_idx").cast("int").alias("source_idx"), "s.*")
     if digest_type is None:

@@ -29,7 +29,7 @@ ATOM_ENTRY_DDL = ("id string, title string, summary string, content string, "
 def read_landed(spark: SparkSession, landing_dir: str) -> DataFrame:
     """One row per landed file: ``digest_type, source_idx, path, value``."""
     return (spark.read.option("recursiveFileLookup", False).text(landing_dir, wholetext=True)
-            .withColumn("path", F.input_file_name())
+            .withColumn("path", F.col("_metadata.file_path"))
             .withColumn("source_idx", F.col("source_idx").cast("int")))
 
 
