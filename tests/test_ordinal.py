@@ -30,3 +30,9 @@ def test_dense_ordinal_without_group_bound(spark):
     agg = out.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
                                F.count("*").alias("c"), F.countDistinct("n").alias("d")).collect()
     assert all(r.lo == 1 and r.hi == r.c == r.d for r in agg)
+
+
+def test_dense_ordinal_empty_input(spark):
+    df = spark.createDataFrame([], "g string, v int")
+    out = dense_ordinal(df, ["g"], [F.col("v").asc()], "n", max_groups=2)
+    assert out.count() == 0 and out.columns == ["g", "v", "n"]
