@@ -76,7 +76,10 @@ def dense_ordinal(df: DataFrame, group_cols: list[str], order_cols: list[Column]
          .rowsBetween(Window.unboundedPreceding, -1))
     offsets = stats.select("_fw_part", *group_cols, "_fw_first",
                            F.coalesce(F.sum("_fw_n").over(w), F.lit(0)).alias("_fw_before"))
-    bound = None if max_groups is None else fixed.rdd.getNumPartitions() + max_groups
+    # a range repartition without a count uses spark.sql.shuffle.partitions and AQE
+    # only coalesces, so that setting bounds the partition count
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    bound = None if max_groups is None else n_parts + max_groups
     joined = tagged.join(bounded_broadcast(offsets, bound), ["_fw_part", *group_cols], "inner")
     return joined.select(
         *[c for c in df.columns],
