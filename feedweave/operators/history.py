@@ -234,11 +234,8 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 def read_runs(spark, path: str) -> DataFrame:
     """History table with additive schema evolution: older files lack new columns."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    for c, t in (("trends_raw", "string"), ("feature_pitch_raw", "string")):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast(t))
-    return df
+    from feedweave.schemas import DIGEST_RUN, conform
+    return conform(spark.read.option("mergeSchema", True).parquet(path), DIGEST_RUN)
 
 
 def memory_latest(log: DataFrame) -> DataFrame:

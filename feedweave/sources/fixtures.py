@@ -11,7 +11,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from feedweave import schemas
 
 # Fixed values of the fixture mapping (FIXTURES.md §2).
 AS_OF = dt.datetime(2024, 1, 5, 0, 0, 0)
@@ -74,14 +75,7 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
 
 
-SETTINGS_SCHEMA = T.StructType([
-    T.StructField("digest_type", T.StringType(), False),
-    T.StructField("days_back", T.IntegerType(), False),
-    T.StructField("max_items_per_source", T.IntegerType(), False),
-    T.StructField("min_items_to_send", T.IntegerType(), False),
-    T.StructField("model", T.StringType(), True),
-    T.StructField("dedup_days", T.IntegerType(), False),
-])
+SETTINGS_SCHEMA = schemas.SETTINGS
 
 
 def settings(spark: SparkSession, org_cap: int = 40, press_cap: int = 60,

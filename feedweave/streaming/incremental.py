@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedweave import schemas
 from feedweave.operators import assemble, ingest, ledger
 from feedweave.sources import feeds
 
@@ -111,24 +112,11 @@ def accepted_sightings(spark: SparkSession, ledger_path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- responses (L3)
 
-RESPONSE_SCHEMA = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("digest_type", T.StringType()),
-    T.StructField("blocks", T.ArrayType(T.StructType([
-        T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))),
-    T.StructField("stop_reason", T.StringType()),
-    T.StructField("status_code", T.IntegerType()),
-    T.StructField("connection_error", T.BooleanType()),
-    T.StructField("received_at", T.TimestampType()),
-])
+RESPONSE_SCHEMA = T.StructType(schemas.RESPONSE.fields + [
+    T.StructField("received_at", T.TimestampType())])
 
-MEMORY_LOG_SCHEMA = T.StructType([
-    T.StructField("digest_type", T.StringType()),
-    T.StructField("request_id", T.LongType()),
-    T.StructField("memory", T.StringType()),
-    T.StructField("updated_at", T.TimestampType()),
-    T.StructField("batch_id", T.LongType()),
-])
+MEMORY_LOG_SCHEMA = T.StructType(schemas.DIGEST_MEMORY.fields + [
+    T.StructField("batch_id", T.LongType())])
 
 
 def make_response_handler(sections_path: str, memory_path: str):

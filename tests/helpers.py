@@ -4,24 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import types as T
-
-ENTRY_SCHEMA = T.StructType([
-    T.StructField("digest_type", T.StringType()),
-    T.StructField("source_idx", T.IntegerType()),
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("org", T.StringType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("source_name", T.StringType()),
-    T.StructField("source_filter", T.ArrayType(T.StringType())),
-    T.StructField("link", T.StringType()),
-    T.StructField("entry_id", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("summary", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("author", T.StringType()),
-    T.StructField("pub_ts", T.TimestampType()),
-])
+from feedweave import schemas
+
+ENTRY_SCHEMA = schemas.ENTRY
 
 AS_OF = "2024-01-05 00:00:00"
 FRESH = dt.datetime(2024, 1, 4, 12, 0, 0)
