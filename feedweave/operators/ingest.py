@@ -72,7 +72,7 @@ def in_run_dedup(df: DataFrame) -> DataFrame:
     partial ``WindowGroupLimit`` before the shuffle, so even a key shared by a
     third of all rows ships at most one row per map partition.
     """
-    keyed = with_entry_key(df)
+    keyed = df if "entry_key" in df.columns else with_entry_key(df)
     w = Window.partitionBy("digest_type", "entry_key").orderBy(*FEED_ORDER)
     return (keyed.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") == 1).drop("_rn"))
@@ -87,7 +87,7 @@ def project_articles(df: DataFrame) -> DataFrame:
         tx.py_strip(F.coalesce(F.col("link"), F.lit(""))).alias("link"),
         tx.published_label("pub_ts").alias("published"),
         "pub_ts",
-        *[c for c in ("min_items_to_send",) if c in df.columns],
+        *[c for c in ("min_items_to_send", "entry_key") if c in df.columns],
     )
 
 
@@ -148,8 +148,10 @@ def fresh_items(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_o
     df = cap_per_source(df)
     df = recency_cutoff(df, as_of)
     df = source_filter(df)
-    df = in_run_dedup(df)
-    arts = project_articles(df)
+    # Key from the raw fields, then project: the dedup and anti-join shuffles
+    # carry the cleaned 600-character summary instead of the whole raw text.
+    arts = project_articles(with_entry_key(df))
+    arts = in_run_dedup(arts).drop("entry_key")
     arts = drop_seen(arts, live_ledger(ledger, as_of, dedup_days))
     if ordered:
         # The gate keeps or drops whole types, so numbering first leaves the
