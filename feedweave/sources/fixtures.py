@@ -8,6 +8,9 @@ column with built-in expressions.  Work grows linearly with the input tables.
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import os
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +28,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Fixture views are immutable lazy plans; building one re-lists files and
+# re-analyses large expression trees, so each is built once per session.  The
+# key carries the local files' modification times (changed input is never
+# reused); paths that are not local directories are not memoised.
+_MEMO: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _stamp(sf_dir: str):
+    try:
+        return max((e.stat().st_mtime_ns, e.name) for e in os.scandir(sf_dir))
+    except (OSError, ValueError):
+        return None
+
+
+def _memoised(builder):
+    @functools.wraps(builder)
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stamp = _stamp(sf_dir)
+        if stamp is None:
+            return builder(spark, sf_dir)
+        cache = _MEMO.setdefault(spark, {})
+        key = (builder.__name__, sf_dir, stamp)
+        if key not in cache:
+            cache[key] = builder(spark, sf_dir)
+        return cache[key]
+    return build
+
+
 def _block(doc_id="doc_id"):
     return F.floor(F.col(doc_id) / 1000).cast("int")
 
@@ -33,6 +64,7 @@ def _src_no(source="source"):
     return F.substring(F.col(source), 4, 1 << 20).cast("int")
 
 
+@_memoised
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed feed entries joined with their source attributes (one row per entry).
 
@@ -86,6 +118,7 @@ def settings(spark: SparkSession, org_cap: int = 40, press_cap: int = 60,
     return spark.createDataFrame(rows, SETTINGS_SCHEMA)
 
 
+@_memoised
 def seen_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live ledger rows ``(link, digest_type, first_seen)``, first sighting wins."""
     items = feed_items(spark, sf_dir)
@@ -95,6 +128,7 @@ def seen_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.min(first_seen).alias("first_seen")))
 
 
+@_memoised
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (digest_type, link, run_date) sightings from the events table."""
     e = table(spark, sf_dir, "events").select("ts", "event_type", "props")
@@ -102,6 +136,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.to_date(F.col("ts")).alias("run_date")).distinct()
 
 
+@_memoised
 def digest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run history from the conversations table (one row per turn)."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -124,6 +159,7 @@ def digest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memoised
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthesised Markdown document per feed item (FIXTURES.md §2.5)."""
     it = feed_items(spark, sf_dir).select("doc_id", "org", "title", "link", "author", "summary")
@@ -138,6 +174,7 @@ def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.select("doc_id", md.alias("markdown"))
 
 
+@_memoised
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated-response rows from assistant turns (FIXTURES.md §2.5).
 
