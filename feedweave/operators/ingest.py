@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from feedweave.functions import text as tx
 from feedweave.operators.common import (bounded_broadcast, date_lit, dense_ordinal,
                                        sized_broadcast, ts_lit)
+from feedweave.session import reliable_checkpoint
 
 ARTICLE_COLUMNS = ["digest_type", "source_idx", "pos", "org", "category", "source_name",
                    "title", "summary", "link", "published", "pub_ts"]
@@ -140,10 +141,9 @@ def newest_first(df: DataFrame, name: str = "item_no", n_types: int | None = Non
     return dense_ordinal(df, ["digest_type"], order, name, max_groups=n_types)
 
 
-def fresh_items(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_of,
-                dedup_days: int = 7, ordered: bool = True) -> DataFrame:
-    """Entry 1 of the daily job up to the curation request, for every type at once."""
-    n_types = settings.count()  # configuration rows: one per digest type
+def fresh_candidates(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_of,
+                     dedup_days: int = 7) -> DataFrame:
+    """The pass before the gate: cap, cutoff, filter, dedup, ledger anti-join (lazy)."""
     df = with_settings(entries, settings)
     df = cap_per_source(df)
     df = recency_cutoff(df, as_of)
@@ -152,12 +152,24 @@ def fresh_items(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_o
     # carry the cleaned 600-character summary instead of the whole raw text.
     arts = project_articles(with_entry_key(df))
     arts = in_run_dedup(arts).drop("entry_key")
-    arts = drop_seen(arts, live_ledger(ledger, as_of, dedup_days))
+    return drop_seen(arts, live_ledger(ledger, as_of, dedup_days))
+
+
+def fresh_items(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_of,
+                dedup_days: int = 7, ordered: bool = True) -> DataFrame:
+    """Entry 1 of the daily job up to the curation request, for every type at once."""
+    n_types = settings.count()  # configuration rows: one per digest type
+    arts = fresh_candidates(entries, settings, ledger, as_of, dedup_days)
+    # The gate needs per-type counts of the very rows it filters.  Evaluated as
+    # two branches, the whole pass would run twice (column pruning makes the
+    # branches' exchanges differ, so none is reused); the fresh set is small
+    # next to the input, so it is materialised once (reliable checkpoint) and
+    # both the counts and the filter read it.  The gate keeps or drops whole
+    # types, so numbering before it leaves the surviving ordinals unchanged.
     if ordered:
-        # The gate keeps or drops whole types, so numbering first leaves the
-        # surviving ordinals unchanged, and the gate's per-type counts then read
-        # the checkpointed rows instead of re-running the pass.
-        arts = newest_first(arts, n_types=n_types)
+        arts = newest_first(arts, n_types=n_types)       # checkpoints internally
+    else:
+        arts = reliable_checkpoint(arts)
     return min_items_gate(arts, n_types).drop("min_items_to_send")
 
 

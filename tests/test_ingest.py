@@ -100,8 +100,8 @@ def test_accepted_and_rejected_partition_input(spark):
 def test_plan_shape(spark):
     from feedweave.sources import fixtures as fx
     sf = "/root/testdata/sf0.001"
-    out = ingest.fresh_items(fx.feed_items(spark, sf), fx.settings(spark), fx.seen_ledger(spark, sf),
-                             fx.AS_OF, ordered=False)
+    out = ingest.fresh_candidates(fx.feed_items(spark, sf), fx.settings(spark),
+                                  fx.seen_ledger(spark, sf), fx.AS_OF)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
