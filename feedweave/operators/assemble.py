@@ -122,11 +122,13 @@ def all_items_index(articles: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFr
 
 
 def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,
-                      preferences: str = "") -> DataFrame:
+                      preferences: str = "", system: str = "") -> DataFrame:
     """Request text per (type, chunk) around the item blocks.
 
     Org: "write the digest for <date>", total items, rules of 60 ``=`` around the
     block.  Press: the optional preferences section, then the releases.
+    ``request_id`` is ``<run_date>-<type>-<chunk>``; ``system`` is the caller's
+    instruction text (configuration, not built here).
     """
     prefs = f"\n\n{PREFS_INTRO}\n{preferences}\n" if preferences else ""
     j = blocks.join(sized_broadcast(totals.select("digest_type", "item_count")), "digest_type")
@@ -135,13 +137,17 @@ def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,
         F.lit("Total items to process: "), F.col("n_lines").cast("string"), F.lit("\n\n"),
         F.lit(RULE + "\n"), F.col("text"), F.lit(RULE))
     press_user = F.concat(F.lit(f"Today is {run_date}.\n{prefs}\n"), F.col("text"))
+    request_id = F.concat_ws("-", F.lit(run_date), F.col("digest_type"),
+                             F.col("chunk_no").cast("string"))
     return j.select(
-        "digest_type", "chunk_no", "first_no", "last_no",
+        request_id.alias("request_id"), "digest_type", "chunk_no", "first_no", "last_no",
+        F.lit(system).alias("system"),
         F.when(F.col("digest_type") == "org", F.lit(16000)).otherwise(F.lit(8000)).alias("max_tokens"),
         F.when(F.col("digest_type") == "org", org_user).otherwise(press_user).alias("user_text"))
 
 
-def comparison_requests(runs: DataFrame, previous: DataFrame, memory: DataFrame) -> DataFrame:
+def comparison_requests(runs: DataFrame, previous: DataFrame, memory: DataFrame,
+                        system: str = "") -> DataFrame:
     """Request per run comparing it with its previous digest and the type's memory.
 
     ``previous``: ``id, prev_id`` (``history.previous_run``); ``memory``: one row per
@@ -159,8 +165,9 @@ def comparison_requests(runs: DataFrame, previous: DataFrame, memory: DataFrame)
         F.lit("\n\n" + RULE + "\nDIGEST MEMORY:\n\n"),
         F.coalesce(F.when(F.col("memory") != "", F.col("memory")), F.lit(NO_MEMORY)),
         F.lit("\n" + RULE))
-    return j.select("id", "digest_type", "prev_id", F.lit(3072).alias("max_tokens"),
-                    user.alias("user_text"))
+    return j.select(F.concat(F.lit("cmp-"), F.col("id").cast("string")).alias("request_id"),
+                    "id", "digest_type", "prev_id", F.lit(system).alias("system"),
+                    F.lit(3072).alias("max_tokens"), user.alias("user_text"))
 
 
 def source_status(sources: DataFrame, accepted: DataFrame) -> DataFrame:

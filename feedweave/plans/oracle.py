@@ -378,7 +378,8 @@ seqd AS (
   SELECT id, digest_type, markdown,
          lag(id) OVER (PARTITION BY digest_type ORDER BY run_date, created_at, id) AS prev_id
   FROM digest_runs)
-SELECT s.id, s.digest_type, s.prev_id, 3072 AS max_tokens,
+SELECT 'cmp-' || CAST(s.id AS VARCHAR) AS request_id, s.id, s.digest_type, s.prev_id,
+  '' AS system, 3072 AS max_tokens,
   {_RULE60} || chr(10) || 'NEW DIGEST (just written):' || chr(10) || chr(10) || coalesce(s.markdown, '')
   || chr(10) || chr(10) || {_RULE60} || chr(10) || 'PREVIOUS DIGEST:' || chr(10) || chr(10)
   || coalesce(nullif(p.markdown, ''), '(none — this is the first digest of this type)')
@@ -515,7 +516,8 @@ ORACLE["curation_request"] = _fresh_ctes() + _ORDERED + """,
 blocks AS (""" + _chunks_sql(_ORG_LINE, "''", "digest_type = 'org'") + " UNION ALL " + _chunks_sql(
     _PRESS_LINE, "chr(10) || chr(10)", "digest_type = 'press'") + f"""
 )
-SELECT digest_type, chunk_no, first_no, last_no,
+SELECT '2024-01-05-' || digest_type || '-' || CAST(chunk_no AS VARCHAR) AS request_id,
+  digest_type, chunk_no, first_no, last_no, '' AS system,
   CASE WHEN digest_type = 'org' THEN 16000 ELSE 8000 END AS max_tokens,
   CASE WHEN digest_type = 'org' THEN
     'Please write the internal org news digest for 2024-01-05.' || chr(10) || chr(10)
