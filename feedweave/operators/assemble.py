@@ -9,6 +9,8 @@ of a type in ``chunk_no`` order gives the single-block text.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +138,8 @@ def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,
         F.lit(f"Please write the internal org news digest for {run_date}.\n\n"),
         F.lit("Total items to process: "), F.col("n_lines").cast("string"), F.lit("\n\n"),
         F.lit(RULE + "\n"), F.col("text"), F.lit(RULE))
-    press_user = F.concat(F.lit(f"Today is {run_date}.\n{prefs}\n"), F.col("text"))
+    long_date = dt.date.fromisoformat(str(run_date)[:10]).strftime("%B %d, %Y")
+    press_user = F.concat(F.lit(f"Today is {long_date}.\n{prefs}\n"), F.col("text"))
     request_id = F.concat_ws("-", F.lit(run_date), F.col("digest_type"),
                              F.col("chunk_no").cast("string"))
     return j.select(

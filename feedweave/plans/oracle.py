@@ -523,7 +523,7 @@ SELECT '2024-01-05-' || digest_type || '-' || CAST(chunk_no AS VARCHAR) AS reque
     'Please write the internal org news digest for 2024-01-05.' || chr(10) || chr(10)
     || 'Total items to process: ' || n_lines || chr(10) || chr(10) || {_RULE60} || chr(10) || text || {_RULE60}
   ELSE
-    'Today is 2024-01-05.' || chr(10) || chr(10) || chr(10)
+    'Today is January 05, 2024.' || chr(10) || chr(10) || chr(10)
     || 'PERSONAL PREFERENCES (prioritize these above all else):' || chr(10)
     || '- Prefer items that mention que' || chr(10) || chr(10) || text
   END AS user_text
