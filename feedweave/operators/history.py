@@ -248,3 +248,23 @@ def memory_latest(log: DataFrame) -> DataFrame:
 def append_memory(log_rows: DataFrame, path: str) -> None:
     """Append memory revisions (``digest_type, request_id, memory, updated_at``)."""
     log_rows.write.mode("append").parquet(path)
+
+
+def read_history_jdbc(spark, url: str, table: str, properties: dict, schema=None,
+                      partition_column: str | None = None, lower_bound=None, upper_bound=None,
+                      num_partitions: int | None = None) -> DataFrame:
+    """History tables kept in a database (A6): a partitioned ``read.jdbc``.
+
+    With ``partition_column`` (e.g. ``id``) and bounds the read is split into
+    ``num_partitions`` parallel range queries instead of one.  The result is
+    conformed to ``schema`` (default: the run table) so the operators above
+    apply unchanged.
+    """
+    from feedweave.schemas import DIGEST_RUN, conform
+    if partition_column:
+        df = spark.read.jdbc(url, table, column=partition_column, lowerBound=lower_bound,
+                             upperBound=upper_bound, numPartitions=num_partitions,
+                             properties=properties)
+    else:
+        df = spark.read.jdbc(url, table, properties=properties)
+    return conform(df, schema or DIGEST_RUN)
