@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from feedweave.llm.batches import shared_dir, written
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state's keyed store is on disk; a small store must not reserve megabytes there.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -35,8 +36,9 @@ def stream_state(spark: SparkSession, staged: str, schema, files_per_trigger: in
     """
     checkpoint = checkpoint or shared_dir(spark, "dedup-state")
     updates = f"{checkpoint}/updates"
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(schema)
         if files_per_trigger:
@@ -47,7 +49,8 @@ def stream_state(spark: SparkSession, staged: str, schema, files_per_trigger: in
             lambda df, batch: df.write.mode("overwrite").parquet(f"{updates}/batch={batch}")).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # the last update of a digest is the one that has counted most rows
     return spark.read.parquet(updates).groupBy("digest").agg(F.max_by("keeper", "n").alias("keeper"), F.max("n").alias("n"))
 

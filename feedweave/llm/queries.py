@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import feedweave
-from feedweave.llm import byte_bpe, exact_dedup, packing, token_counts, tokenizing, url_templates
+from feedweave.llm import byte_bpe, exact_dedup, ngram_join, packing, substring_dedup, token_counts, tokenizing, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizing.vocabulary_path("byte_bpe_50k.json"), limit=1024)
 
@@ -33,6 +37,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), words=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizing.vocabulary_path("word_bpe_49k.json"), end_id=2, max_tokens=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -65,9 +74,26 @@ def _query(run):
     return query
 
 
-QUERIES = {f.__name__: _query(f) for f in (op2_token_counts, op3_byte_bpe, op4_exact_dedup, op9_packing, op10_url_filter)}
+QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op8_substring_dedup, op9_packing, op10_url_filter)}
 
 ORACLE = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS g FROM p),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.m)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.m) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        v AS (SELECT doc_id, words, unnest(range(1, len(words) - 34 + 1)) AS i FROM d WHERE len(words) >= 35),
+        h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM v),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+        o AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+        k AS (SELECT o.doc_id, string_agg(o.word, ' ' ORDER BY o.i) AS kept, count(*) AS n FROM o LEFT JOIN c ON c.doc_id = o.doc_id AND c.i = o.i WHERE c.i IS NULL GROUP BY o.doc_id)
+        SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
