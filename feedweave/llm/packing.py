@@ -152,8 +152,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int | None = 2, max_token
     """
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizing.tokenizer(path)
-        memo = tokenizing.Memo(lambda pieces: [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)])
+        encoder = tokenizing.packed_encoder(path)
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
         packer, base = VectorPacker((max_tokens, max_segments, max_loss), cut=True), _base()
         held: dict[int, tuple] = {}
@@ -171,11 +170,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int | None = 2, max_token
         kind = None
         for batch in batches.slices(rows):
             kind = batch.column(0).type
-            cut = [tokenizing.segments(x) for x in batches.as_str(batch.column(1))]
-            memo.fill(cut)
+            packed = encoder.encode(batches.as_str(batch.column(1)))
             out = []
-            for doc, x in zip(batch.column(0).to_pylist(), cut, strict=True):
-                ids = b"".join(map(memo.held.__getitem__, x)) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), packed, strict=True):
+                ids += end
                 if ids:
                     held[serial] = [doc, ids, len(ids) // 4]
                     out += packer.add(serial, len(ids) // 4, len(ids) // 4)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import feedweave
-from feedweave.llm import byte_bpe, exact_dedup, ngram_join, packing, substring_dedup, token_counts, tokenizing, url_templates
+from feedweave.llm import byte_bpe, collision_search, exact_dedup, ngram_join, packing, substring_dedup, token_counts, tokenizing, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(_table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), words=35)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -74,7 +78,7 @@ def _query(run):
     return query
 
 
-QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op8_substring_dedup, op9_packing, op10_url_filter)}
+QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op7_nearest, op8_substring_dedup, op9_packing, op10_url_filter)}
 
 ORACLE = {
     "op1_ngram_join": r"""
