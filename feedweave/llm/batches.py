@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 
@@ -54,3 +55,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows (of a few numbers) that may be broadcast.
+BROADCAST_ROWS = 1 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A narrow table, marked for broadcast if a count shows that it has at most BROADCAST_ROWS rows; a join with a larger one is shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

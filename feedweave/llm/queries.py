@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import feedweave
-from feedweave.llm import block_labeller, byte_bpe, collision_search, exact_dedup, ngram_join, packing, substring_dedup, token_counts, tokenizing, url_templates
+from feedweave.llm import block_labeller, byte_bpe, collision_search, exact_dedup, ngram_join, packing, quality_lm, substring_dedup, token_counts, tokenizing, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = block_labeller.extract(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -83,7 +87,7 @@ def _query(run):
     return query
 
 
-QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op6_html_extraction, op7_nearest, op8_substring_dedup, op9_packing, op10_url_filter)}
+QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_extraction, op7_nearest, op8_substring_dedup, op9_packing, op10_url_filter)}
 
 ORACLE = {
     "op1_ngram_join": r"""

@@ -125,9 +125,9 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
-def find_repeats(docs: DataFrame, words: int, id_col: str, text_col: str, anchor_words: int) -> tuple[DataFrame, DataFrame]:
-    """(texts with id, text, th) and (id, th, spans), th being the hash of the text: word ranges to remove, which may overlap."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+def find_repeats(docs: DataFrame, words: int, id_col: str, text_col: str, anchor_words: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(texts with id, text, th, carried) and (id, th, spans), th being the hash of the text: word ranges to remove, which may overlap."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("__"), *carry).alias("carried")).withColumn("th", F.xxhash64("text"))
     kind = texts.schema["id"].dataType.simpleString()
     gram = max(1, min(anchor_words, words - 1))
 
@@ -151,7 +151,7 @@ def find_repeats(docs: DataFrame, words: int, id_col: str, text_col: str, anchor
     found = written(texts.select("id", "text", "th").mapInArrow(anchors, f"id {kind}, th long, anchor long, n long"), "anchors")
     owners = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("th").alias("owner")).where("n > 1").drop("n")
     marks = found.select("id", "th", "anchor").join(owners, "anchor").groupBy("id", "th").agg(F.collect_set(F.struct("anchor", "owner")).alias("marks"))
-    marked = texts.join(marks.withColumnsRenamed({"id": "m_id", "th": "m_th"}), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).select("id", "text", "th", "marks")
+    marked = texts.drop("carried").join(marks.withColumnsRenamed({"id": "m_id", "th": "m_th"}), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).select("id", "text", "th", "marks")
 
     def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches.slices(rows):
@@ -225,8 +225,10 @@ def find_repeats(docs: DataFrame, words: int, id_col: str, text_col: str, anchor
     return texts, placed.select("id", "th", moved.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """One row per row of docs: id, n_words, n_removed, text (the kept words, joined by one space).
+def remove_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_words, n_removed, text (the kept words, joined by one space), and the columns in ``carry``.
+
+    With ``as_is``, a text that loses nothing stays as it is.
 
     Words are runs of anything but space and 0x09-0x0D, compared as they are.
     Null text counts as empty: no words. A text of fewer than ``words`` words
@@ -236,9 +238,9 @@ def remove_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", tex
     """
     if words < 2:
         raise ValueError("a window has two words at least")
-    texts, spans = find_repeats(docs, words, id_col, text_col, anchor_words)
+    texts, spans = find_repeats(docs, words, id_col, text_col, anchor_words, carry)
     kind = texts.schema["id"].dataType.simpleString()
-    joined = texts.join(spans.withColumnsRenamed({"id": "s_id", "th": "s_th"}), F.col("id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    joined = texts.join(spans.withColumnsRenamed({"id": "s_id", "th": "s_th"}), F.col("id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"), "carried")
 
     def removed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches.slices(rows):
@@ -253,7 +255,9 @@ def remove_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", tex
                     np.add.at(depth, b, -1)
                     left = [found[i] for i in np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()]
                 n_removed.append(len(found) - len(left))
-                kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "text"])
+                kept.append(text if as_is and len(left) == len(found) else b" ".join(left))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(4)], ["id", "n_words", "n_removed", "text", "carried"])
 
-    return joined.mapInArrow(removed, f"id {kind}, n_words long, n_removed long, text string").withColumnRenamed("id", id_col)
+    carried = texts.schema["carried"].dataType.simpleString()
+    out = joined.mapInArrow(removed, f"id {kind}, n_words long, n_removed long, text string, carried {carried}")
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "text", *(F.col("carried")[c].alias(c) for c in carry))
