@@ -15,7 +15,8 @@ of such words), and a start mark.
   often it has them, to their shards, which are joined with the counts there
   and answer with one sum for each document.
 * Of the trusted documents one in ``HELD_OUT`` is kept out of training. Their
-  perplexities give each language its threshold, a high quantile. A short
+  perplexities give each language its threshold, a high quantile, but no lower
+  than some deviations above the mean (a quantile of few texts is too low). A short
   text's mean is drawn towards its language's mean by PRIOR_WORDS words.
 """
 
@@ -38,8 +39,8 @@ VOCABULARY, LANGUAGES = 65_536, 64
 SHAPES = 8
 HELD_OUT = 10
 QUANTILE, PRIOR_WORDS = 0.99, 20
-#: A threshold lies above its quantile by this share, so that a clean text like those seen is kept.
-SLACK = 0.1
+#: A threshold is no lower than so many standard deviations of the logarithm above the mean, more of them where few texts are held out.
+SPREADS = 3.0
 #: A threshold needs so many held-out documents; a language with fewer rejects nothing.
 LEAST_HELD_OUT = 5
 #: Pairs sent to one shard, about.
@@ -150,7 +151,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     labels has id and quality; documents with quality 1 are trusted (a repeated
     label counts once). perplexity is that of the text, drawn to the language's
-    mean by ``prior_words`` words; threshold is the quantile of the held-out
+    mean by ``prior_words`` words; threshold is that of the held-out
     trusted documents of the language. Rejected: perplexity above threshold.
     Null lang is a language of its own. A language without a model or with too
     few held-out documents has null perplexity or threshold and rejects
@@ -290,7 +291,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = rows.join(broadcast_if_small(trusted.where("held_out").select("id")), "id", "left_semi").where("known and n > 0")
     mean = held.groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("held"))
     drawn = lambda c: F.exp((F.col("nats") + prior_words * c) / (F.col("n") + prior_words))
-    limits = held.join(F.broadcast(mean), "lang").groupBy("lang", "mean", "held").agg((F.percentile(drawn(F.col("mean")), F.lit(quantile)) * (1 + SLACK)).alias("threshold"))
+    value = F.log(drawn(F.col("mean")))
+    far = F.avg(value) + (SPREADS + 2 * SPREADS / F.sqrt(F.count(F.lit(1)))) * F.stddev_samp(value)
+    limits = held.join(F.broadcast(mean), "lang").groupBy("lang", "mean", "held").agg(F.exp(F.greatest(F.percentile(value, F.lit(quantile)), far)).alias("threshold"))
     limits = limits.select("lang", "mean", F.when(F.col("held") >= LEAST_HELD_OUT, F.col("threshold")).alias("threshold"))
     # at most LANGUAGES rows
     judged = rows.join(F.broadcast(limits), "lang", "left")
