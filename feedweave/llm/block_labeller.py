@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from feedweave.llm import batches
 from feedweave.llm.html_blocks import Block, blocks
 
-PATH_DIM, WORD_DIM, MEASURES = 64, 24, 6
+PATH_DIM, WORD_DIM, MEASURES = 192, 24, 6
 DIM = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN = 20
 #: Pages of the training sample, layouts made of each, and passes over them.
@@ -232,8 +232,10 @@ def train(pages: list[str], seed: int = 0, layouts: int = LAYOUTS, epochs: int =
     # as they are (twice, beside the layouts made of them)
     data = [(features(p), own) for p, own in zip(parsed, labels, strict=True) if own is not None] * 2
     others = [b.text for a in articles for b in a] or ["text"]
-    for a in articles or [[Block("Some plain words of a text.", (), 0)] * 4]:
-        for _ in range(layouts):
+    articles = articles or [[Block("Some plain words of a text.", (), 0)] * 4]
+    # a small sample is laid out more often
+    for a in articles:
+        for _ in range(max(layouts, TRAIN_PAGES * layouts // len(articles))):
             made, y = laid_out(a[:40], others, rng)
             data.append((features(made), y))
     model = Labeller(seed)
@@ -259,7 +261,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     # one task: the sample is bounded; the weights have a fixed size
     fitted = chosen.coalesce(1).mapInArrow(fit, "model binary").first()
-    model = pages.sparkSession.sparkContext.broadcast(bytes(fitted["model"]))
+    model = pages.sparkSession.sparkContext.broadcast(bytes(fitted["model"]) if fitted else pickle.dumps(Labeller(seed).p))
     kind = plain.schema["id"].dataType.simpleString()
 
     def label(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

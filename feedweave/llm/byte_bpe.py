@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,6 @@ from feedweave.llm import batches, tokenizing
 
 #: Fan-out of the bitmap: words of 64 bits, three levels (262,144 ranks).
 _BITS = 6
-_LOW = (1 << _BITS) - 1
 
 
 class RankQueue:
@@ -41,18 +41,19 @@ class RankQueue:
         self.bucket: dict[int, list[int]] = {}
 
     def push(self, rank: int, at: int) -> None:
-        have = self.bucket.get(rank)
-        if have is not None:
-            heapq.heappush(have, at)
+        bucket = self.bucket
+        if rank in bucket:
+            heapq.heappush(bucket[rank], at)
             return
-        self.bucket[rank] = [at]
-        word = rank >> _BITS
-        if not self.low[word]:
-            group = word >> _BITS
+        bucket[rank] = [at]
+        word = rank >> 6
+        low = self.low
+        if not low[word]:
+            group = rank >> 12
             if not self.mid[group]:
                 self.top |= 1 << group
-            self.mid[group] |= 1 << (word & _LOW)
-        self.low[word] |= 1 << (rank & _LOW)
+            self.mid[group] |= 1 << (word & 63)
+        low[word] |= 1 << (rank & 63)
 
     def pop(self) -> tuple[int, int] | None:
         top = self.top
@@ -60,9 +61,9 @@ class RankQueue:
             return None
         group = (top & -top).bit_length() - 1
         mid = self.mid[group]
-        word = group << _BITS | (mid & -mid).bit_length() - 1
+        word = group << 6 | (mid & -mid).bit_length() - 1
         low = self.low[word]
-        rank = word << _BITS | (low & -low).bit_length() - 1
+        rank = word << 6 | (low & -low).bit_length() - 1
         held = self.bucket[rank]
         if len(held) > 1:
             return rank, heapq.heappop(held)
@@ -80,7 +81,7 @@ class RankQueue:
 class BytePairEncoder:
     """ids of texts by the ranks at ``path`` and the pre-token ``pattern``, and bytes of ids."""
 
-    def __init__(self, path: str, pattern: str, memo_entries: int = tokenizing.MEMO_ENTRIES):
+    def __init__(self, path: str, pattern: str, memo_entries: int = 2 * tokenizing.MEMO_ENTRIES):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -106,10 +107,10 @@ class BytePairEncoder:
         if n == 2:
             return [ranks[word[:1]], ranks[word[1:]]]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair: list[int | None] = [ranks.get(word[i:i + 2]) for i in range(n - 1)]
+        get = ranks.get
+        pair: list[int | None] = [get(word[i:i + 2]) for i in range(n - 1)]
         pair.append(None)
-        queue = self.queue
-        push, pop = queue.push, queue.pop
+        push, pop = self.queue.push, self.queue.pop
         for i, rank in enumerate(pair):
             if rank is not None:
                 push(rank, i)
@@ -118,21 +119,16 @@ class BytePairEncoder:
             if pair[i] != rank:
                 continue  # stale: merged away, or its neighbour has changed
             gone = after[i]
-            end = after[gone]
-            after[i] = end
-            pair[gone] = None
+            end = after[i] = after[gone]
+            pair[gone] = pair[i] = None
             if end < n:
                 before[end] = i
-                new = ranks.get(word[i:after[end]])
-                pair[i] = new
+                new = pair[i] = get(word[i:after[end]])
                 if new is not None:
                     push(new, i)
-            else:
-                pair[i] = None
             left = before[i]
             if left >= 0:
-                new = ranks.get(word[left:end])
-                pair[left] = new
+                new = pair[left] = get(word[left:end])
                 if new is not None:
                     push(new, left)
         out, i = [], 0
@@ -150,7 +146,7 @@ class BytePairEncoder:
             for word in self.find(piece):
                 packed = words.get(word)
                 if packed is None:
-                    packed = b"".join([i.to_bytes(4, "little") for i in self.merge(word.encode())])
+                    packed = array("I", self.merge(word.encode())).tobytes()
                     if len(word) <= 64:
                         words[word] = packed
                 parts.append(packed)
@@ -168,6 +164,16 @@ class BytePairEncoder:
         return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I")))
 
 
+_ENCODERS: dict[tuple[str, str], BytePairEncoder] = {}
+
+
+def encoder(path: str, pattern: str) -> BytePairEncoder:
+    """One for each worker, so that its memo outlives a task."""
+    if (path, pattern) not in _ENCODERS:
+        _ENCODERS[path, pattern] = BytePairEncoder(path, pattern)
+    return _ENCODERS[path, pattern]
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ids (binary, little-endian unsigned 32-bit), n_tokens, ids_sha256, decoded_sha256.
 
@@ -177,7 +183,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BytePairEncoder(path, pattern)
+        bpe = encoder(path, pattern)
         for batch in batches.slices(rows):
             ids = bpe.encode(batches.as_str(batch.column(1)))
             sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -192,7 +198,7 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """The inverse: id and bytes (binary) of packed ids; null ids give no bytes."""
 
     def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BytePairEncoder(path, pattern)
+        bpe = encoder(path, pattern)
         for batch in batches.slices(parts):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.binary())], ["id", "bytes"])
 
