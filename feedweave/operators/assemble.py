@@ -14,9 +14,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedweave.functions.text import py_strip
 from feedweave.operators.common import sized_broadcast
 
-# Header and block formats of the two digest types.
+# Header, block and request wording of the two digest types.
 ORG_TITLE = "# Org News Digest — "
 PRESS_TITLE = "# Press Highlights — "
 ORG_EMPTY_BODY = "_No new items found across monitored sources for this period._"
@@ -127,7 +128,7 @@ def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,
                       preferences: str = "", system: str = "") -> DataFrame:
     """Request text per (type, chunk) around the item blocks.
 
-    Org: "write the digest for <date>", total items, rules of 60 ``=`` around the
+    Org: "write the digest for <date>", total items of the pass, rules of 60 ``=`` around the
     block.  Press: the optional preferences section, then the releases.
     ``request_id`` is ``<run_date>-<type>-<chunk>``; ``system`` is the caller's
     instruction text (configuration, not built here).
@@ -136,7 +137,7 @@ def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,
     j = blocks.join(sized_broadcast(totals.select("digest_type", "item_count")), "digest_type")
     org_user = F.concat(
         F.lit(f"Please write the internal org news digest for {run_date}.\n\n"),
-        F.lit("Total items to process: "), F.col("n_lines").cast("string"), F.lit("\n\n"),
+        F.lit("Total items to process: "), F.col("item_count").cast("string"), F.lit("\n\n"),
         F.lit(RULE + "\n"), F.col("text"), F.lit(RULE))
     long_date = dt.date.fromisoformat(str(run_date)[:10]).strftime("%B %d, %Y")
     press_user = F.concat(F.lit(f"Today is {long_date}.\n{prefs}\n"), F.col("text"))
@@ -149,6 +150,26 @@ def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,
         F.when(F.col("digest_type") == "org", org_user).otherwise(press_user).alias("user_text"))
 
 
+def digest_rows(headers: DataFrame, responses: DataFrame, totals: DataFrame, run_date: str) -> DataFrame:
+    """Run rows of the passes whose every request has a usable response.
+
+    ``headers``: ``digest_type, header``; ``responses``: ``digest_type, chunk_no,
+    body, outcome``, one per request; ``totals``: ``source_count, item_count``.
+    ``markdown`` is the header and the bodies in chunk order (org bodies are
+    stripped).  A type with a missing, refused, empty or failed response gets no row.
+    """
+    usable = F.col("outcome").isin("ok", "truncated")
+    body = F.when(F.col("digest_type") == "org", py_strip(F.col("body"))).otherwise(F.col("body"))
+    whole = (responses.withColumn("_body", body).groupBy("digest_type")
+             .agg(F.bool_and(F.coalesce(usable, F.lit(False))).alias("_done"),
+                  F.array_sort(F.collect_list(F.struct("chunk_no", "_body"))).alias("_parts"))
+             .filter("_done"))
+    text = F.array_join(F.transform("_parts", lambda p: p["_body"]), "\n\n")
+    return (whole.join(headers, "digest_type").join(totals, "digest_type")
+            .select(F.lit(str(run_date)[:10]).cast("date").alias("run_date"), "digest_type",
+                    "source_count", "item_count", F.concat("header", text).alias("markdown")))
+
+
 def comparison_requests(runs: DataFrame, previous: DataFrame, memory: DataFrame,
                         system: str = "") -> DataFrame:
     """Request per run comparing it with its previous digest and the type's memory.

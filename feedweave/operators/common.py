@@ -20,12 +20,19 @@ from feedweave.session import reliable_checkpoint
 
 # Row bound under which a dimension/config side may be broadcast.
 BROADCAST_MAX_ROWS = 200_000
+# Byte bound of the same side, as text.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` provably has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """``F.broadcast(df)`` when ``df`` provably has at most ``max_rows`` rows and ``BROADCAST_MAX_BYTES`` bytes."""
+    wide = [c for c, kind in df.dtypes if kind not in ("int", "bigint", "smallint", "tinyint", "boolean", "date", "timestamp", "double", "float")]
+    size = F.lit(8 * len(df.columns)).cast("bigint")
+    for c in wide:
+        size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).first()
+    small = seen["n"] <= max_rows and (seen["size"] or 0) <= BROADCAST_MAX_BYTES
+    return F.broadcast(df) if small else df
 
 
 def ts_lit(value) -> Column:

@@ -19,13 +19,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedweave.operators.common import dense_ordinal, sized_broadcast
-
-MAX_RULES = 10_000
+from feedweave.operators.common import dense_ordinal
 
 # Target size of a curated pass (at most 20, aim for 15).
 PICK_MAX = 20
 PICK_AIM = 15
+PICK_LEAST = 10
+#: Terms are letter runs of at least so many characters, everywhere.
+TERM_LETTERS = 4
 THEMES_TOP = 5
 MEMORY_MAX = 12
 TERM_SPLIT = r"[^\p{L}]+"
@@ -34,8 +35,6 @@ TERM_SPLIT = r"[^\p{L}]+"
 def rules_literal(rules: Iterable[dict]) -> Column:
     """Array literal ``array<struct<kind,term,label,weight,priority>>`` from config rows."""
     rows = list(rules)
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"{len(rows)} rules exceed the {MAX_RULES} that are inlined per task")
     return F.array(*[F.struct(
         F.lit(r["kind"]).alias("kind"), F.lit(str(r.get("term", "")).lower()).alias("term"),
         F.lit(r.get("label")).cast("string").alias("label"),
@@ -45,11 +44,8 @@ def rules_literal(rules: Iterable[dict]) -> Column:
 
 
 def rules_from_df(rules: DataFrame) -> list[dict]:
-    """Read a (config-sized) rules table; refuses tables larger than ``MAX_RULES``."""
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError("rules table too large to inline")
-    return [r.asDict() for r in rows]
+    """Rows of a rules table: configuration, written by hand and as small."""
+    return [r.asDict() for r in rules.collect()]
 
 
 def haystack(title="title", summary="summary") -> Column:
@@ -59,45 +55,52 @@ def haystack(title="title", summary="summary") -> Column:
 
 def score_items(items: DataFrame, rules: Iterable[dict]) -> DataFrame:
     """Add ``score`` and ``dropped`` (K1)."""
-    lit_rules = rules_literal(rules)
-    hay = haystack()
-    hits = F.filter(lit_rules, lambda r: F.contains(hay, r["term"]))
-    weighted = F.filter(hits, lambda r: r["kind"].isin("prefer", "seek", "less"))
-    score = F.aggregate(weighted, F.lit(0), lambda acc, r: acc + r["weight"])
-    any_kind = lambda k: F.exists(hits, lambda r: r["kind"] == k)
-    return items.select("*", score.alias("score"),
-                        (any_kind("skip") & ~any_kind("prefer")).alias("dropped"))
+    # the text is lowered once a row, and the rules are walked once
+    start = F.struct(F.lit(0).alias("score"), F.lit(False).alias("skip"), F.lit(False).alias("prefer"))
 
+    def step(acc, r):
+        hit = F.contains(F.col("_hay"), r["term"])
+        return F.struct(
+            (acc["score"] + F.when(hit & r["kind"].isin("prefer", "seek", "less"), r["weight"])
+             .otherwise(F.lit(0))).alias("score"),
+            (acc["skip"] | (hit & (r["kind"] == "skip"))).alias("skip"),
+            (acc["prefer"] | (hit & (r["kind"] == "prefer"))).alias("prefer"))
 
-def top_with_floor(scored: DataFrame, group_cols=("digest_type",)) -> DataFrame:
-    """Keep ``least(20, greatest(15, #positive))`` best items per group (K2).
+    found = (items.withColumn("_hay", haystack())
+             .withColumn("_found", F.aggregate(rules_literal(rules), start, step)))
+    return found.select(*items.columns, F.col("_found.score").alias("score"),
+                        (F.col("_found.skip") & ~F.col("_found.prefer")).alias("dropped"))
 
-    Ranking is by score, then the pass order ``item_no``.  At most ``PICK_MAX``
-    items can be kept, so ``row_number() <= PICK_MAX`` (a literal bound) lets
-    Spark cut every map partition to 20 rows per group before the shuffle
-    (partial ``WindowGroupLimit``); the per-group target is a map-side
-    aggregate joined back.
+
+def top_with_floor(scored: DataFrame, group_cols=("digest_type",)) -> DataFrame:
+    """Keep ``least(20, greatest(15, #positive))`` best items per group, never under 10 while items exist (K2).
+
+    Items that a skip rule dropped rank after all others and only fill up to
+    ``PICK_LEAST``.  Ranking is by score, then the pass order ``item_no``.  At
+    most ``PICK_MAX`` items can be kept, so ``row_number() <= PICK_MAX`` (a
+    literal bound) lets Spark cut every map partition to 20 rows per group
+    before the shuffle (partial ``WindowGroupLimit``); positives and kept items
+    are counted within those 20, where the best come first.
     """
     g = list(group_cols)
-    live = scored.filter(~F.col("dropped"))
-    target = live.groupBy(*g).agg(
-        F.least(F.lit(PICK_MAX), F.greatest(F.lit(PICK_AIM), F.count_if(F.col("score") > 0)))
-        .alias("n_target"))
-    w = Window.partitionBy(*g).orderBy(F.col("score").desc(), F.col("item_no").asc())
-    ranked = (live.withColumn("pick_rank", F.row_number().over(w).cast("bigint"))
+    w = Window.partitionBy(*g).orderBy(F.col("dropped").asc(), F.col("score").desc(), F.col("item_no").asc())
+    ranked = (scored.withColumn("pick_rank", F.row_number().over(w).cast("bigint"))
               .filter(F.col("pick_rank") <= PICK_MAX))
-    return (ranked.join(sized_broadcast(target), g, "inner")
-            .filter(F.col("pick_rank") <= F.col("n_target")).drop("n_target"))
+    whole = Window.partitionBy(*g)
+    positive = F.count_if(~F.col("dropped") & (F.col("score") > 0)).over(whole)
+    live = F.count_if(~F.col("dropped")).over(whole)
+    target = F.greatest(F.least(live, F.greatest(F.lit(PICK_AIM), positive)), F.lit(PICK_LEAST))
+    return ranked.withColumn("_target", target).filter(F.col("pick_rank") <= F.col("_target")).drop("_target")
 
 
 def categorise(picks: DataFrame, rules: Iterable[dict], default: str = "General") -> DataFrame:
     """Category of each pick: the matching ``category`` rule with the lowest priority (K3)."""
     cat_rules = [r for r in rules if r["kind"] == "category"]
-    hay = haystack()
-    hits = F.filter(rules_literal(cat_rules), lambda r: F.contains(hay, r["term"]))
+    hits = F.filter(rules_literal(cat_rules), lambda r: F.contains(F.col("_hay"), r["term"]))
     best = F.array_min(F.transform(hits, lambda r: F.struct(r["priority"].alias("p"),
                                                              r["label"].alias("l"))))
-    return picks.withColumn("category", F.coalesce(best["l"], F.lit(default)))
+    return (picks.withColumn("_hay", haystack())
+            .withColumn("category", F.coalesce(best["l"], F.lit(default))).drop("_hay"))
 
 
 def category_counts(categorised: DataFrame) -> DataFrame:
@@ -112,7 +115,7 @@ def org_groups(picks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_picks"), F.min("pick_rank").alias("best_rank"))
 
 
-def terms(df: DataFrame, text_col: str, key_cols: list[str], min_len: int = 4) -> DataFrame:
+def terms(df: DataFrame, text_col: str, key_cols: list[str], min_len: int = TERM_LETTERS) -> DataFrame:
     """Distinct lower-cased letter runs of at least ``min_len`` characters per row."""
     words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
                                               TERM_SPLIT)),
@@ -120,15 +123,16 @@ def terms(df: DataFrame, text_col: str, key_cols: list[str], min_len: int = 4) -
     return df.select(*key_cols, F.explode(words).alias("term"))
 
 
-def theme_candidates(items: DataFrame, min_len: int = 4) -> DataFrame:
-    """Terms shared by at least two items from at least two orgs, per type."""
-    t = terms(items, "title", ["digest_type", "item_no", "org"], min_len)
+def theme_candidates(items: DataFrame, min_len: int = TERM_LETTERS) -> DataFrame:
+    """Terms (of title and summary) shared by at least two items from at least two orgs, per type."""
+    whole = items.withColumn("_text", F.concat_ws(" ", "title", "summary"))
+    t = terms(whole, "_text", ["digest_type", "item_no", "org"], min_len)
     agg = t.groupBy("digest_type", "term").agg(
         F.count(F.lit(1)).alias("n_items"), F.countDistinct("org").alias("n_orgs"))
     return agg.filter((F.col("n_items") >= 2) & (F.col("n_orgs") >= 2))
 
 
-def cross_item_themes(items: DataFrame, top: int = THEMES_TOP, min_len: int = 4) -> DataFrame:
+def cross_item_themes(items: DataFrame, top: int = THEMES_TOP, min_len: int = TERM_LETTERS) -> DataFrame:
     """Top cross-item themes per type by item count (K4).
 
     The ``rn <= k`` filter sits right above the window, so Spark limits each map
@@ -147,32 +151,34 @@ def run_sequence(runs: DataFrame) -> DataFrame:
                          ["digest_type"], order, "seq")
 
 
-def run_continuity(runs: DataFrame, min_len: int = 10) -> DataFrame:
+def run_continuity(runs: DataFrame, min_len: int = TERM_LETTERS) -> DataFrame:
     """Per consecutive pair of runs of a type: term continuing / new / dropped (K5).
 
-    A full outer join of each run's terms with the previous run's terms on
-    (type, seq, term); a balanced shuffle on a high-cardinality key.
+    Each run's terms are emitted once for its own place and once for the next
+    run's; one aggregate on (type, seq, term) tells which of the two held it.
     """
     seq = run_sequence(runs)
     run_terms = terms(runs.join(seq.select("id", "seq"), "id"), "markdown",
                       ["digest_type", "seq"], min_len)
-    prev = run_terms.select("digest_type", (F.col("seq") + 1).alias("seq"), "term",
-                            F.lit(True).alias("_in_prev"))
-    cur = run_terms.withColumn("_in_cur", F.lit(True))
-    j = cur.join(prev, ["digest_type", "seq", "term"], "full_outer")
+    place = F.explode(F.array(
+        F.struct(F.col("seq").alias("seq"), F.lit(True).alias("cur")),
+        F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("cur"))))
+    both = run_terms.select("digest_type", "term", place.alias("at")).select("digest_type", "at.seq", "term", "at.cur")
+    held = both.groupBy("digest_type", "seq", "term").agg(
+        F.bool_or("cur").alias("_cur"), F.bool_or(~F.col("cur")).alias("_prev"))
     existing = seq.select("digest_type", "seq").filter(F.col("seq") > 1)
-    j = j.join(existing, ["digest_type", "seq"], "left_semi")
-    status = (F.when(F.col("_in_cur") & F.col("_in_prev"), F.lit("continuing"))
-              .when(F.col("_in_cur"), F.lit("new")).otherwise(F.lit("dropped")))
+    j = held.join(existing, ["digest_type", "seq"], "left_semi")
+    status = (F.when(F.col("_cur") & F.col("_prev"), F.lit("continuing"))
+              .when(F.col("_cur"), F.lit("new")).otherwise(F.lit("dropped")))
     return j.select("digest_type", "seq", "term", status.alias("status"))
 
 
 def thread_memory(runs: DataFrame, as_of, stale_days: int = 14, top: int = MEMORY_MAX,
-                  min_len: int = 10) -> DataFrame:
+                  min_len: int = TERM_LETTERS) -> DataFrame:
     """Established (>= 2 runs) vs emerging threads, stale ones dropped, top ``top`` per type (K6)."""
     t = terms(runs, "markdown", ["digest_type", "id", "run_date"], min_len)
     agg = t.groupBy("digest_type", "term").agg(
-        F.countDistinct("id").alias("n_runs"), F.max("run_date").alias("last_seen"))
+        F.count(F.lit(1)).alias("n_runs"), F.max("run_date").alias("last_seen"))
     fresh = agg.filter(F.col("last_seen") >= F.date_sub(F.lit(str(as_of)[:10]).cast("date"),
                                                         stale_days))
     w = Window.partitionBy("digest_type").orderBy(F.col("n_runs").desc(), F.col("last_seen").desc(),
@@ -184,7 +190,7 @@ def thread_memory(runs: DataFrame, as_of, stale_days: int = 14, top: int = MEMOR
 
 def unpitched(candidates: DataFrame, pitched: DataFrame) -> DataFrame:
     """Candidate themes not yet in the pitch log (K7)."""
-    return candidates.join(pitched.select("digest_type", "term"), ["digest_type", "term"],
+    return candidates.join(pitched.select("digest_type", "term").distinct(), ["digest_type", "term"],
                            "left_anti")
 
 

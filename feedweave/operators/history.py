@@ -6,6 +6,8 @@ item_count, markdown, trends_raw, feature_pitch_raw, created_at``).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from feedweave.operators.common import dense_ordinal, sized_broadcast
 # Dashboard conventions.
 INDEX_LIMIT = 400
 DISPLAY_TZ = "America/Chicago"
-DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}$"
+DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}\z"
 MAX_SAFE_INTEGER = 9007199254740991
 TYPE_LABELS = {"press": "Press Highlights", "org": "Org Watch"}
 
@@ -30,11 +32,13 @@ def search(runs: DataFrame, term: str = "") -> DataFrame:
     """Runs matching a search term in markdown or date text.
 
     The term is trimmed (JavaScript whitespace); ``%`` and ``_`` inside it stay
-    live wildcards.
+    live wildcards.  A backslash before ``%``, ``_`` or a backslash escapes it;
+    before any other character it stands for that character alone.
     """
     t = (term or "").strip(JS_WS_CHARS)
     if t == "":
         return runs
+    t = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], t, flags=re.DOTALL)
     like = f"%{t}%"
     return runs.filter(F.col("markdown").ilike(like)
                        | F.col("run_date").cast("string").ilike(like))
@@ -73,7 +77,7 @@ def valid_run_id(col) -> Column:
     """Digits only, a safe integer, greater than zero."""
     c = F.col(col) if isinstance(col, str) else col
     in_range = c.try_cast("decimal(38,0)").between(1, MAX_SAFE_INTEGER)
-    return F.coalesce(c.rlike(r"^\d+$") & in_range, F.lit(False))
+    return F.coalesce(c.rlike(r"^\d+\z") & in_range, F.lit(False))
 
 
 def runs_for_dates(runs: DataFrame) -> DataFrame:

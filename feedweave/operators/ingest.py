@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import text as tx
+from feedweave.operators import ledger as ledger_ops
 from feedweave.operators.common import (bounded_broadcast, date_lit, dense_ordinal,
                                        sized_broadcast, ts_lit)
 from feedweave.session import reliable_checkpoint
@@ -92,11 +93,6 @@ def project_articles(df: DataFrame) -> DataFrame:
     )
 
 
-def live_ledger(ledger: DataFrame, as_of, dedup_days: int = 7) -> DataFrame:
-    """Ledger rows still in force on ``as_of``: prune on read, ``first_seen >= as_of - n``."""
-    return ledger.filter(F.col("first_seen") >= F.date_sub(date_lit(as_of), dedup_days))
-
-
 def drop_seen(articles: DataFrame, ledger: DataFrame) -> DataFrame:
     """Left-anti join on (digest_type, link) with the live ledger.
 
@@ -152,7 +148,7 @@ def fresh_candidates(entries: DataFrame, settings: DataFrame, ledger: DataFrame,
     # carry the cleaned 600-character summary instead of the whole raw text.
     arts = project_articles(with_entry_key(df))
     arts = in_run_dedup(arts).drop("entry_key")
-    return drop_seen(arts, live_ledger(ledger, as_of, dedup_days))
+    return drop_seen(arts, ledger_ops.live(ledger, as_of, dedup_days))
 
 
 def fresh_items(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_of,
@@ -186,7 +182,7 @@ def step_counts(entries: DataFrame, settings: DataFrame, ledger: DataFrame, as_o
     steps.append(("source_filter", filtered))
     deduped = in_run_dedup(filtered)
     steps.append(("in_run_dedup", deduped))
-    fresh = drop_seen(project_articles(deduped), live_ledger(ledger, as_of, dedup_days))
+    fresh = drop_seen(project_articles(deduped), ledger_ops.live(ledger, as_of, dedup_days))
     steps.append(("anti_join", fresh))
     out = None
     for i, (label, d) in enumerate(steps):

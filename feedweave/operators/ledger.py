@@ -21,8 +21,13 @@ LEDGER_COLUMNS = ["link", "digest_type", "first_seen"]
 
 
 def live(ledger: DataFrame, as_of, dedup_days: int = 7) -> DataFrame:
-    """Rows in force on ``as_of`` (J3 as a read filter: ``first_seen >= as_of - n``)."""
-    return ledger.filter(F.col("first_seen") >= F.date_sub(date_lit(as_of), dedup_days))
+    """Rows in force on ``as_of`` (J3 as a read filter).
+
+    ``as_of - n <= first_seen <= as_of``: replaying an earlier day is not
+    suppressed by what later days have recorded.
+    """
+    day = date_lit(as_of)
+    return ledger.filter(F.col("first_seen").between(F.date_sub(day, dedup_days), day))
 
 
 def new_rows(articles: DataFrame, ledger: DataFrame, as_of, dedup_days: int = 7) -> DataFrame:
@@ -38,6 +43,18 @@ def new_rows(articles: DataFrame, ledger: DataFrame, as_of, dedup_days: int = 7)
     return fresh.select("link", "digest_type", date_lit(as_of).alias("first_seen"))
 
 
+def rows_of_finished(fresh: DataFrame, finished: DataFrame, as_of) -> DataFrame:
+    """Ledger rows of the passes that produced a digest (J2): links of types in ``finished``.
+
+    ``fresh`` has already been anti-joined with the live ledger, so its distinct
+    links are new; a pass without a usable response records nothing and its
+    items are offered again.
+    """
+    done = fresh.join(finished.select("digest_type").distinct(), "digest_type", "left_semi")
+    return (done.filter(F.col("link") != "").select("link", "digest_type").distinct()
+            .withColumn("first_seen", date_lit(as_of)))
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Append ledger rows to the parquet log, partitioned by ``first_seen``."""
     (rows.select(*LEDGER_COLUMNS).write.mode("append")

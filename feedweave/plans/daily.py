@@ -1,8 +1,9 @@
 """The daily job as one lazy plan per output, for every digest type at once.
 
 ``daily_pass`` wires the sources, ingest, ledger and assembly operators the way
-the scheduled job uses them: prune-on-read ledger, fresh items, the ledger rows
-to append, run totals behind the gate, headers and curation requests.  Nothing
+the scheduled job uses them: prune-on-read ledger, fresh items, run totals behind
+the gate, headers and curation requests; ``finish_pass`` takes the responses and
+gives the run rows and the ledger rows to append.  Nothing
 is collected; each output is a DataFrame the caller writes.
 """
 
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedweave.functions import responses as rsp
 from feedweave.operators import assemble, ingest, ledger
 from feedweave.sources import catalogue, feeds
 
@@ -20,10 +22,16 @@ from feedweave.sources import catalogue, feeds
 @dataclass
 class DailyPass:
     fresh: DataFrame          # ordered articles (item_no per type)
-    ledger_rows: DataFrame    # rows to append to the link ledger
     totals: DataFrame         # source_count / item_count per written run
     headers: DataFrame        # digest header per written run
     requests: DataFrame       # curation request text per (type, chunk)
+    as_of: str
+
+
+@dataclass
+class FinishedPass:
+    runs: DataFrame           # run rows (header + bodies) of the types that have a digest
+    ledger_rows: DataFrame    # links to record: only of those types
 
 
 def daily_pass(entries: DataFrame, sources: DataFrame, settings: DataFrame, book: DataFrame,
@@ -33,9 +41,9 @@ def daily_pass(entries: DataFrame, sources: DataFrame, settings: DataFrame, book
     ``sources``: catalogue rows with a feed URL (disabled ones included; they
     count towards ``source_count``).  ``book``: the ledger log, pruned on read.
     """
-    dedup_days = settings.agg(F.max("dedup_days")).first()[0] or 7  # config value
+    configured = settings.agg(F.max("dedup_days")).first()[0]
+    dedup_days = 7 if configured is None else configured  # a configured 0 stays 0
     fresh = ingest.fresh_items(entries, settings, book, as_of, dedup_days)
-    rows = ledger.new_rows(fresh, book, as_of, dedup_days)
     totals = assemble.pass_totals(sources, fresh, settings)
     run_date = str(as_of)[:10]
     headers = totals.select(
@@ -44,7 +52,22 @@ def daily_pass(entries: DataFrame, sources: DataFrame, settings: DataFrame, book
                                "item_count").alias("header"))
     requests = assemble.curation_requests(assemble.items_blocks(fresh), totals, run_date,
                                           preferences)
-    return DailyPass(fresh, rows, totals, headers, requests)
+    return DailyPass(fresh, totals, headers, requests, str(as_of))
+
+
+def finish_pass(done: DailyPass, responses: DataFrame) -> FinishedPass:
+    """Digests and ledger rows once the responses are there: all or nothing per type.
+
+    ``responses``: ``request_id, blocks, stop_reason, status_code,
+    connection_error``.  A type whose requests lack a usable response stores
+    neither run nor links, so its items come again with the next pass.
+    """
+    body = responses.withColumn("body", rsp.response_text("blocks"))
+    told = body.select("request_id", "body", rsp.triage(
+        "body", "stop_reason", "status_code", "connection_error").alias("outcome"))
+    asked = done.requests.select("request_id", "digest_type", "chunk_no").join(told, "request_id", "left")
+    runs = assemble.digest_rows(done.headers, asked, done.totals, done.as_of)
+    return FinishedPass(runs, ledger.rows_of_finished(done.fresh, runs, done.as_of))
 
 
 def daily_pass_from_files(spark: SparkSession, catalogue_path: str, settings_path: str,

@@ -187,6 +187,7 @@ _RUN_TIME = "strftime(timezone('America/Chicago', created_at AT TIME ZONE 'UTC')
 
 ORACLE["date_index"] = with_views(DIGEST_RUNS) + _index_sql("")
 ORACLE["date_index_search"] = with_views(DIGEST_RUNS) + _index_sql("  que ")
+ORACLE["date_index_search_escape"] = with_views(DIGEST_RUNS) + _index_sql("que")
 ORACLE["date_index_search_date"] = with_views(DIGEST_RUNS) + _index_sql("2024-01-1")
 ORACLE["date_index_wide"] = """
 WITH wide_runs AS (
@@ -206,12 +207,13 @@ FROM digest_runs"""
 
 ORACLE["run_by_id"] = with_views(DIGEST_RUNS) + f""",
 requests AS (
-  SELECT CASE CAST(floor(id / 100) AS BIGINT) % 6
+  SELECT CASE CAST(floor(id / 100) AS BIGINT) % 7
            WHEN 0 THEN CAST(id AS VARCHAR) || 'x'
            WHEN 1 THEN '-' || CAST(id AS VARCHAR)
            WHEN 2 THEN '0' || CAST(id AS VARCHAR)
            WHEN 3 THEN ' ' || CAST(id AS VARCHAR)
            WHEN 4 THEN CAST(id AS VARCHAR) || '000000000000000'
+           WHEN 5 THEN CAST(id AS VARCHAR) || chr(10)
            ELSE CAST(id AS VARCHAR) END AS raw_id
   FROM digest_runs
 ),
@@ -521,7 +523,7 @@ SELECT '2024-01-05-' || digest_type || '-' || CAST(chunk_no AS VARCHAR) AS reque
   CASE WHEN digest_type = 'org' THEN 16000 ELSE 8000 END AS max_tokens,
   CASE WHEN digest_type = 'org' THEN
     'Please write the internal org news digest for 2024-01-05.' || chr(10) || chr(10)
-    || 'Total items to process: ' || n_lines || chr(10) || chr(10) || {_RULE60} || chr(10) || text || {_RULE60}
+    || 'Total items to process: ' || (SELECT count(*) FROM ordered o WHERE o.digest_type = 'org') || chr(10) || chr(10) || {_RULE60} || chr(10) || text || {_RULE60}
   ELSE
     'Today is January 05, 2024.' || chr(10) || chr(10) || chr(10)
     || 'PERSONAL PREFERENCES (prioritize these above all else):' || chr(10)
@@ -564,15 +566,15 @@ scored AS (
     coalesce(bool_or(h.kind = 'skip'), false) AND NOT coalesce(bool_or(h.kind = 'prefer'), false) AS dropped
   FROM ordered o LEFT JOIN hits h ON h.digest_type = o.digest_type AND h.item_no = o.item_no
   GROUP BY o.digest_type, o.item_no, o.org),
-live AS (SELECT * FROM scored WHERE NOT dropped),
 tgt AS (
-  SELECT digest_type, least(20, greatest(15, count(*) FILTER (WHERE score > 0))) AS n_target
-  FROM live GROUP BY digest_type),
+  SELECT digest_type, greatest(10, least(count(*) FILTER (WHERE NOT dropped), 20,
+    greatest(15, count(*) FILTER (WHERE NOT dropped AND score > 0)))) AS n_target
+  FROM scored GROUP BY digest_type),
 picks AS (
   SELECT * FROM (
-    SELECT l.*, CAST(row_number() OVER (PARTITION BY l.digest_type ORDER BY l.score DESC, l.item_no)
+    SELECT l.*, CAST(row_number() OVER (PARTITION BY l.digest_type ORDER BY l.dropped, l.score DESC, l.item_no)
                      AS BIGINT) AS pick_rank
-    FROM live l) r
+    FROM scored l) r
   WHERE pick_rank <= (SELECT n_target FROM tgt WHERE tgt.digest_type = r.digest_type))"""
 
 _CUR = _fresh_ctes() + _ORDERED + _RULES_SQL
@@ -601,7 +603,7 @@ def _terms_sql(src: str, text: str, keys: str, min_len: int) -> str:
 
 
 _CANDS = f""",
-item_terms AS ({_terms_sql('ordered', 'title', 'digest_type, item_no, org', 4)}),
+item_terms AS ({_terms_sql('ordered', "concat_ws(' ', title, summary)", 'digest_type, item_no, org', 4)}),
 cands AS (
   SELECT digest_type, term, count(*) AS n_items, count(DISTINCT org) AS n_orgs
   FROM item_terms GROUP BY digest_type, term
@@ -622,7 +624,7 @@ seqd AS (
   SELECT id, digest_type, markdown,
          row_number() OVER (PARTITION BY digest_type ORDER BY run_date, created_at, id) AS seq
   FROM digest_runs),
-rt AS ({_terms_sql('seqd', 'markdown', 'digest_type, seq', 10)}),
+rt AS ({_terms_sql('seqd', 'markdown', 'digest_type, seq', 4)}),
 j AS (
   SELECT coalesce(c.digest_type, p.digest_type) AS digest_type,
          coalesce(c.seq, p.seq + 1) AS seq, coalesce(c.term, p.term) AS term,
@@ -634,7 +636,7 @@ SELECT digest_type, CAST(seq AS BIGINT) AS seq, term, status FROM j
 WHERE seq > 1 AND EXISTS (SELECT 1 FROM seqd s WHERE s.digest_type = j.digest_type AND s.seq = j.seq)"""
 
 ORACLE["thread_memory"] = with_views(DIGEST_RUNS) + f""",
-rt AS ({_terms_sql('digest_runs', 'markdown', 'digest_type, id, run_date', 10)}),
+rt AS ({_terms_sql('digest_runs', 'markdown', 'digest_type, id, run_date', 4)}),
 agg AS (
   SELECT digest_type, term, count(DISTINCT id) AS n_runs, max(run_date) AS last_seen
   FROM rt GROUP BY digest_type, term
@@ -649,10 +651,12 @@ SELECT digest_type, rank, term,
 FROM ranked WHERE rank <= 12"""
 
 _AUDIT = with_views(FEED_ITEMS, MARKDOWN_DOCS) + r""",
-items AS (SELECT source_name AS run_id, doc_id, entry_id, link FROM feed_items),
+items AS (
+  SELECT source_name AS run_id, doc_id, entry_id,
+         CASE WHEN author = 'fr' AND link <> '' THEN link || '?ref=feed' ELSE link END AS link
+  FROM feed_items),
 docs AS (
-  SELECT i.run_id, m.markdown FROM markdown_docs m JOIN items i ON i.doc_id = m.doc_id
-  WHERE m.doc_id % 4 <> 0),
+  SELECT i.run_id, m.markdown FROM markdown_docs m JOIN items i ON i.doc_id = m.doc_id),
 urls AS (
   SELECT DISTINCT run_id, unnest(regexp_extract_all(markdown, '\]\(([^)\s]+)\)', 1)) AS url FROM docs)"""
 

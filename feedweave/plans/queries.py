@@ -176,6 +176,12 @@ def q_date_index_search(spark, sf_dir):
     return history.date_index(fx.digest_runs(spark, sf_dir), "  que ")
 
 
+@query("date_index_search_escape")
+def q_date_index_search_escape(spark, sf_dir):
+    # a backslash before a plain character stands for that character
+    return history.date_index(fx.digest_runs(spark, sf_dir), " q\\ue ")
+
+
 @query("date_index_search_date")
 def q_date_index_search_date(spark, sf_dir):
     return history.date_index(fx.digest_runs(spark, sf_dir), "2024-01-1")
@@ -203,12 +209,13 @@ def q_runs_for_date(spark, sf_dir):
 @query("run_by_id")
 def q_run_by_id(spark, sf_dir):
     runs = fx.digest_runs(spark, sf_dir)
-    m = (F.col("id") / 100).cast("bigint") % 6
+    m = (F.col("id") / 100).cast("bigint") % 7
     raw = (F.when(m == 0, F.concat(F.col("id").cast("string"), F.lit("x")))
            .when(m == 1, F.concat(F.lit("-"), F.col("id").cast("string")))
            .when(m == 2, F.concat(F.lit("0"), F.col("id").cast("string")))
            .when(m == 3, F.concat(F.lit(" "), F.col("id").cast("string")))
            .when(m == 4, F.concat(F.col("id").cast("string"), F.lit("000000000000000")))
+           .when(m == 5, F.concat(F.col("id").cast("string"), F.lit("\n")))
            .otherwise(F.col("id").cast("string")))
     requests = runs.select(raw.alias("raw_id"))
     out = history.lookup_runs(requests, runs)
@@ -484,9 +491,11 @@ def q_unpitched_themes(spark, sf_dir):
 
 
 def _audit_inputs(spark, sf_dir):
+    # links of French items carry a suffix that the generated documents lack
+    link = F.when((F.col("author") == "fr") & (F.col("link") != ""), F.concat("link", F.lit("?ref=feed"))).otherwise(F.col("link"))
     items = fx.feed_items(spark, sf_dir).select(
-        F.col("source_name").alias("run_id"), "doc_id", "entry_id", "link")
-    docs = (fx.markdown_docs(spark, sf_dir).filter(F.col("doc_id") % 4 != 0)
+        F.col("source_name").alias("run_id"), "doc_id", "entry_id", link.alias("link"))
+    docs = (fx.markdown_docs(spark, sf_dir)
             .join(items.select("doc_id", "run_id"), "doc_id"))
     return items, mdf.any_urls(docs, "markdown", ["run_id"])
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from feedweave import schemas
 from feedweave.operators import assemble, ingest, ledger
@@ -46,16 +47,23 @@ LEDGER_SCHEMA = T.StructType([
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - a missing table is an empty table
-        return spark.createDataFrame([], schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # a missing table is an empty table
 
 
-def ledger_before(spark: SparkSession, ledger_path: str, batch_id: int, run_date) -> DataFrame:
-    """Ledger state seen by run ``run_date`` of batch ``batch_id`` (earlier writes only)."""
+def ledger_before(spark: SparkSession, ledger_path: str, batch_id: int, run_date, dedup_days: int = 7) -> DataFrame:
+    """Ledger state seen by run ``run_date`` of batch ``batch_id`` (earlier writes only).
+
+    ``run_date`` equals ``first_seen``, so its bounds prune the partitions that
+    are read to the days that can suppress anything; a late day doesn't see
+    the days after it.
+    """
     book = _read_or_empty(spark, ledger_path, LEDGER_SCHEMA)
     d = F.lit(str(run_date)).cast("date")
     earlier = (F.col("batch_id") < batch_id) | ((F.col("batch_id") == batch_id) & (F.col("run_date") < d))
-    return book.filter(earlier).select("link", "digest_type", "first_seen")
+    return book.filter(F.col("run_date").between(F.date_sub(d, dedup_days), d)).filter(earlier).select("link", "digest_type", "first_seen")
 
 
 def process_run(spark: SparkSession, entries: DataFrame, sources: DataFrame, settings: DataFrame,
@@ -63,7 +71,7 @@ def process_run(spark: SparkSession, entries: DataFrame, sources: DataFrame, set
                 dedup_days: int = 7) -> None:
     """One daily run: fresh items -> ledger append (L2) and run totals (L3)."""
     as_of = f"{run_date} 00:00:00"
-    book = ledger_before(spark, ledger_path, batch_id, run_date)
+    book = ledger_before(spark, ledger_path, batch_id, run_date, dedup_days)
     fresh = ingest.fresh_items(entries, settings, book, as_of, dedup_days, ordered=False)
     rows = ledger.new_rows(fresh, book, as_of, dedup_days)
     target = f"{ledger_path}/batch_id={batch_id}/run_date={run_date}"

@@ -36,7 +36,6 @@ def test_daily_pass_from_files(spark, scratch_dir):
                                       "2024-01-05 00:00:00")
     fresh = out.fresh.collect()
     assert [(r.title, r.summary, r.item_no) for r in fresh] == [("New one", "fresh x", 1)]
-    assert [(r.link, str(r.first_seen)) for r in out.ledger_rows.collect()] == [("https://n/1", "2024-01-05")]
     tot = out.totals.collect()
     assert [(r.digest_type, r.source_count, r.item_count) for r in tot] == [("org", 2, 1)]
     header = out.headers.first().header
@@ -44,3 +43,17 @@ def test_daily_pass_from_files(spark, scratch_dir):
     assert "**Sources monitored:** 2 | **Items fetched:** 1" in header
     req = out.requests.first().user_text
     assert "Total items to process: 1" in req and "[Item 1]\nOrg: A\nCategory: Cat\nSource: Feed A" in req
+
+    # nothing is recorded without a usable response; with one, run and links come together
+    schema = ("request_id string, blocks array<struct<type:string,text:string>>, stop_reason string, "
+              "status_code int, connection_error boolean")
+    rid = out.requests.first().request_id
+    for blocks, stop, status in (([("text", "no")], "refusal", 200), ([], None, 502), ([("text", "  ")], "end_turn", 200)):
+        failed = daily.finish_pass(out, spark.createDataFrame([(rid, blocks, stop, status, False)], schema))
+        assert failed.runs.count() == 0 and failed.ledger_rows.count() == 0
+    assert daily.finish_pass(out, spark.createDataFrame([], schema)).ledger_rows.count() == 0
+    good = daily.finish_pass(out, spark.createDataFrame([(rid, [("text", "\n body \n")], "end_turn", 200, False)], schema))
+    run = good.runs.first()
+    assert (str(run.run_date), run.digest_type, run.source_count, run.item_count) == ("2024-01-05", "org", 2, 1)
+    assert run.markdown == header + "body"
+    assert [(r.link, str(r.first_seen)) for r in good.ledger_rows.collect()] == [("https://n/1", "2024-01-05")]

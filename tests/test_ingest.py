@@ -115,27 +115,29 @@ def test_hot_keys_against_brute_force(spark):
     """A third of the entries share one link and a third have none."""
     import random
     rnd = random.Random(9)
-    rows, book_rows = [], []
+    rows, book_rows, same = [], [], {}
     for i in range(900):
         src, pos = i % 30, i // 30
         kind = i % 3
-        link = "https://hot/1" if kind == 0 else ("" if kind == 1 else f"https://u/{rnd.randrange(200)}")
+        shared = rnd.randrange(200)
+        link = ("https://hot/1", "", f"https://u/{shared}")[kind]
         pub = None if i % 7 == 0 else dt.datetime(2024, 1, 4, rnd.randrange(24))
-        rows.append(entry("org" if src % 2 else "press", src, pos, link=link, entry_id=f"id{i}",
-                          title=f"t{i}", pub_ts=pub))
+        digest = "org" if src % 2 else "press"
+        rows.append(entry(digest, src, pos, link=link, entry_id=f"id{i}", title=f"t{i}", pub_ts=pub))
+        # which items are one: all hot ones, those of one shared link, each without a link by itself
+        same[digest, src, pos] = (digest, ("hot", f"own {i}", f"shared {shared}")[kind])
     for j in range(0, 200, 3):
         book_rows.append((f"https://u/{j}", "org", dt.date(2024, 1, 3)))
     out = ingest.fresh_items(entries_df(spark, rows), settings_df(spark, cap=25),
                              ledger_df(spark, book_rows), AS_OF)
     got = sorted((r.digest_type, r.source_idx, r.pos) for r in out.collect())
     # brute force: cap, (no stale rows), first copy wins per type and key, ledger, gate
-    import hashlib
     seen, kept = set(), []
     for r in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        t, src, pos, link, eid, title = r[0], r[1], r[2], r[7], r[8], r[9]
+        t, src, pos, link = r[0], r[1], r[2], r[7]
         if pos >= 25:
             continue
-        key = (t, hashlib.md5((link or eid or title).strip().lower().encode()).hexdigest())
+        key = same[t, src, pos]
         if key in seen:
             continue
         seen.add(key)
