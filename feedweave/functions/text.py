@@ -101,23 +101,30 @@ def passes_source_filter(terms, haystack) -> Column:
 
 
 # Timestamp layouts tried for a feed date string, in order.
-# RFC-822 (weekday stripped first), ISO-8601 variants, plain date.
+# RFC-822 (weekday stripped, year of four digits), ISO-8601 variants (no fraction), plain date.
 ENTRY_DATE_FORMATS = (
-    "d MMM yyyy HH:mm:ss xx",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm xx",
-    "d MMM yyyy HH:mm z",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-MM-dd HH:mm:ss",
+    "d MMM yyyy HH:mm[:ss] xx",
+    "d MMM yyyy HH:mm[:ss] z",
+    "d MMM yyyy HH:mm[:ss]",
+    "yyyy-MM-dd'T'HH:mm[:ss]XXX",
+    "yyyy-MM-dd'T'HH:mm[:ss]xx",
+    "yyyy-MM-dd'T'HH:mm[:ss]",
     "yyyy-MM-dd",
 )
 
 
 def parse_feed_date(col) -> Column:
-    """One date string to a UTC timestamp truncated to whole seconds, NULL if unusable."""
+    """One date string to a UTC timestamp truncated to whole seconds, NULL if unusable.
+
+    A weekday (short or long) may come first; without a zone the time is UTC.
+    Years of two digits are 1990 to 2089.
+    """
     s = py_strip(_c(col))
-    s = F.regexp_replace(s, r"^[A-Za-z]{3},\s*", "")
+    s = F.regexp_replace(s, r"^[A-Za-z]+,\s*", "")
+    s = F.regexp_replace(s, r"^(\d{1,2} [A-Za-z]{3}) (9\d) ", "$1 19$2 ")
+    s = F.regexp_replace(s, r"^(\d{1,2} [A-Za-z]{3}) (\d{2}) ", "$1 20$2 ")
+    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}) +(\d{2}:)", "$1T$2")
+    s = F.regexp_replace(s, r"(\d{2}:\d{2}:\d{2})[.,]\d+", "$1")
     s = empty_to_null(s)
     tries = [F.try_to_timestamp(s, F.lit(fmt)) for fmt in ENTRY_DATE_FORMATS]
     return F.date_trunc("second", F.coalesce(*tries))

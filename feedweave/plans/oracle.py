@@ -128,6 +128,18 @@ parsed AS (
 )
 SELECT doc_id, {ts_text('ts')} AS entry_ts FROM parsed"""
 
+ORACLE["feed_entries"] = f"""
+SELECT CAST(doc_id AS INTEGER) AS source_idx, 0 AS pos,
+       CASE WHEN lang = 'en' THEN 'A & B' WHEN lang IN ('fr', 'de') THEN 'T' ELSE 'One' || chr(160) || 'title' END AS title,
+       'https://f/' || doc_id AS link, {clean_html('text')} AS summary,
+       CASE WHEN lang IN ('en', 'fr', 'de') THEN '2024-01-04 10:00:00' END AS pub_ts
+FROM documents"""
+
+ORACLE["feed_status"] = """
+SELECT CAST(doc_id AS INTEGER) AS source_idx, CASE WHEN lang IN ('en', 'fr', 'de') THEN 1 ELSE 2 END AS n_entries,
+       CASE WHEN lang IN ('en', 'fr', 'de') THEN 0 ELSE 1 END AS n_bad, 'ok' AS status
+FROM documents"""
+
 ORACLE["clean_html"] = f"""
 SELECT page_id, {clean_html('html')} AS text,
        coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title

@@ -16,6 +16,7 @@ from feedweave.functions import markdown as mdf
 from feedweave.functions import responses as rsp
 from feedweave.functions import text as tx
 from feedweave.operators import assemble, curate, history, ingest, ledger, trends
+from feedweave.sources import feeds
 from feedweave.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +125,36 @@ def q_entry_date(spark, sf_dir):
     return d.select("doc_id", ts_text(tx.entry_date(published, updated, created)).alias("entry_ts"))
 
 
+def _landed_feeds(spark, sf_dir):
+    """A feed file per document: RSS or Atom by its language, with what readers must cope with."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    text = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    url = F.concat(F.lit("https://f/"), F.col("doc_id").cast("string"))
+    c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    value = (F.when(F.col("lang") == "en", c("<rss><channel><item><title>A &amp; B</title><link>", url, "</link><description>", text,
+                                             "</description><pubDate>Thursday, 04 Jan 24 10:00 GMT</pubDate></item></channel></rss>"))
+             .when(F.col("lang") == "fr", c("<feed><entry><id>i</id><title>T</title><link rel=\"self\" href=\"x\"/><link href=\"", url,
+                                            "\"/><summary>", text, "</summary><updated>2024-01-04T12:00:00.1234567+0200</updated></entry></feed>"))
+             .when(F.col("lang") == "de", c("<feed><entry><id>i</id><title>T</title><link href=\"", url, "\"/><content>", text,
+                                            "</content><published>2024-01-04 10:00Z</published></entry></feed>"))
+             .otherwise(c("<rss><channel><item><title>One&nbsp;title</title><guid>", url, "</guid><content:encoded>", text,
+                          "</content:encoded></item><item><title>cut <b></title></item></channel></rss>")))
+    return d.select(F.lit("org").alias("digest_type"), F.col("doc_id").cast("int").alias("source_idx"),
+                    F.lit("feed.xml").alias("path"), value.alias("value"))
+
+
+@query("feed_entries")
+def q_feed_entries(spark, sf_dir):
+    e = feeds.parse_entries(_landed_feeds(spark, sf_dir))
+    return e.select("source_idx", "pos", "title", "link", tx.clean_html("summary").alias("summary"),
+                    ts_text("pub_ts").alias("pub_ts"))
+
+
+@query("feed_status")
+def q_feed_status(spark, sf_dir):
+    return feeds.feed_status(_landed_feeds(spark, sf_dir)).select("source_idx", "n_entries", "n_bad", "status")
+
+
 @query("clean_html")
 def q_clean_html(spark, sf_dir):
     p = fx.table(spark, sf_dir, "pages").select("page_id", "html")

@@ -11,16 +11,19 @@ reported ``malformed``; it never fails the job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import text as tx
 
-RSS_ITEM_RE = r"(?s)<item(?:\s[^>]*)?>.*?</item>"
-ATOM_ENTRY_RE = r"(?s)<entry(?:\s[^>]*)?>.*?</entry>"
+FRAGMENT_RE = r"(?s)<(item|entry)(?:\s[^>]*)?>.*?</\1>"
+
+# HTML entities that feeds use and XML doesn't define.
+HTML_ENTITIES = {"nbsp": 160, "copy": 169, "reg": 174, "eacute": 233, "ndash": 8211, "mdash": 8212, "lsquo": 8216,
+                 "rsquo": 8217, "ldquo": 8220, "rdquo": 8221, "bull": 8226, "hellip": 8230, "trade": 8482}
 
 RSS_ITEM_DDL = ("title string, link string, guid string, author string, `dc:creator` string, "
-                "description string, pubDate string, `dc:date` string")
+                "description string, `content:encoded` string, pubDate string, `dc:date` string")
 ATOM_ENTRY_DDL = ("id string, title string, summary string, content string, "
                   "link array<struct<_href:string,_rel:string>>, author struct<name:string>, "
                   "published string, updated string, created string")
@@ -34,57 +37,88 @@ def read_landed(spark: SparkSession, landing_dir: str) -> DataFrame:
 
 
 def feed_status(docs: DataFrame) -> DataFrame:
-    """Per file: number of entry fragments and ``ok`` / ``empty`` / ``malformed`` (A4)."""
+    """Per file: entry fragments, those of them that can't be parsed, and ``ok`` / ``empty`` / ``malformed`` (A4)."""
     v = F.col("value")
-    n = (F.size(F.regexp_extract_all(v, F.lit(RSS_ITEM_RE), 0))
-         + F.size(F.regexp_extract_all(v, F.lit(ATOM_ENTRY_RE), 0)))
+    frags = F.regexp_extract_all(v, F.lit(FRAGMENT_RE), 0)
     closed = v.rlike(r"(?s)</rss>\s*$") | v.rlike(r"(?s)</feed>\s*$") | v.rlike(r"(?s)</rdf:RDF>\s*$")
-    return docs.select("digest_type", "source_idx", "path", n.alias("n_entries"),
-                       F.when(n > 0, F.lit("ok")).when(closed, F.lit("empty"))
-                       .otherwise(F.lit("malformed")).alias("status"))
+    each = docs.select("digest_type", "source_idx", "path", closed.alias("closed"), F.explode_outer(frags).alias("frag"))
+    frag = F.col("frag")
+    good = F.when(frag.startswith("<item"), _parsed(frag, RSS_ITEM_DDL).isNotNull()).otherwise(
+        _parsed(frag, ATOM_ENTRY_DDL).isNotNull())
+    n, bad = F.col("n_entries"), F.col("n_bad")
+    return (each.groupBy("digest_type", "source_idx", "path", "closed")
+            .agg(F.count("frag").alias("n_entries"), F.count_if(frag.isNotNull() & ~good).alias("n_bad"))
+            .select("digest_type", "source_idx", "path", n.cast("int").alias("n_entries"), bad.cast("int").alias("n_bad"),
+                    F.when(n > bad, F.lit("ok")).when((n == 0) & F.col("closed"), F.lit("empty"))
+                    .otherwise(F.lit("malformed")).alias("status")))
+
+
+def _parsed(frag, ddl: str):
+    """The fragment as ``ddl``; with undefined entities repaired where it isn't well formed; NULL if that fails too."""
+    options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
+    schema = ddl + ", _bad string"
+    repaired = frag
+    for name, code in HTML_ENTITIES.items():
+        repaired = F.replace(repaired, F.lit(f"&{name};"), F.lit(f"&#{code};"))
+    # any other ampersand that starts no reference stands for itself
+    repaired = F.regexp_replace(repaired, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+    first, second = F.from_xml(frag, schema, options), F.from_xml(repaired, schema, options)
+    return F.when(first["_bad"].isNull(), first).when(second["_bad"].isNull(), second)
+
+
+def _fragments(docs: DataFrame) -> DataFrame:
+    """One row per item or entry; ``pos`` counts over all files of a source, in path order."""
+    path = F.col("path") if "path" in docs.columns else F.lit("").alias("path")
+    files = docs.select("digest_type", "source_idx", path,
+                        F.regexp_extract_all("value", F.lit(FRAGMENT_RE), 0).alias("_frags"))
+    # narrow rows: one per file, without its text
+    w = (Window.partitionBy("digest_type", "source_idx").orderBy("path")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    before = files.select("digest_type", "source_idx", "path", F.size("_frags").alias("_n")).groupBy(
+        "digest_type", "source_idx", "path").agg(F.sum("_n").alias("_n")).select(
+        "digest_type", "source_idx", "path", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    each = files.select("digest_type", "source_idx", "path", F.posexplode("_frags").alias("_at", "frag"))
+    return each.join(before, ["digest_type", "source_idx", "path"]).select(
+        "digest_type", "source_idx", (F.col("_at") + F.col("_before")).cast("int").alias("pos"), "frag")
+
+
+def _or_null(c):
+    return F.when(F.trim(c) != "", c)
 
 
 def parse_entries(docs: DataFrame) -> DataFrame:
     """Entry rows in feed order from RSS items and Atom entries (A3).
 
-    Fields follow common feed-reader conventions: RSS ``description`` is the
-    summary, ``guid`` the id, ``pubDate`` the published date; Atom uses the
-    ``alternate`` (else first) link href and ``author/name``.
+    Fields follow common feed-reader conventions: RSS ``description`` (else
+    ``content:encoded``) is the summary, ``guid`` the id and, unless it says that
+    it is no permalink, the link of an item without one, ``pubDate`` the published
+    date; Atom uses ``summary`` (else ``content``), the ``alternate`` (else first)
+    link href and ``author/name``.  A fragment that can't be parsed is dropped
+    (``feed_status`` counts it), and never becomes a blank article.
     """
-    rss = (docs.select("digest_type", "source_idx",
-                       F.posexplode(F.regexp_extract_all("value", F.lit(RSS_ITEM_RE), 0))
-                       .alias("pos", "frag"))
-           .select("digest_type", "source_idx", "pos",
-                   F.from_xml("frag", RSS_ITEM_DDL).alias("e"))
-           .select("digest_type", "source_idx", "pos",
-                   F.col("e.link").alias("link"), F.col("e.guid").alias("entry_id"),
-                   F.col("e.title").alias("title"),
-                   F.coalesce(F.col("e.author"), F.col("e.`dc:creator`")).alias("author"),
-                   F.col("e.description").alias("summary"),
-                   F.col("e.description").alias("description"),
-                   F.col("e.pubDate").alias("published"),
-                   F.col("e.`dc:date`").alias("updated"),
-                   F.lit(None).cast("string").alias("created")))
-    links = F.col("e.link")
+    frag = F.col("frag")
+    is_item = frag.startswith("<item")
+    both = (_fragments(docs)
+            .withColumn("r", F.when(is_item, _parsed(frag, RSS_ITEM_DDL)))
+            .withColumn("a", F.when(~is_item, _parsed(frag, ATOM_ENTRY_DDL)))
+            .filter(F.col("r").isNotNull() | F.col("a").isNotNull()))
+    links = F.col("a.link")
     alt = F.filter(links, lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
-    atom = (docs.select("digest_type", "source_idx",
-                        F.posexplode(F.regexp_extract_all("value", F.lit(ATOM_ENTRY_RE), 0))
-                        .alias("pos", "frag"))
-            .select("digest_type", "source_idx", "pos",
-                    F.from_xml("frag", ATOM_ENTRY_DDL).alias("e"))
-            .select("digest_type", "source_idx", "pos",
-                    F.coalesce(F.element_at(alt, 1)["_href"],
-                               F.element_at(links, 1)["_href"]).alias("link"),
-                    F.col("e.id").alias("entry_id"), F.col("e.title").alias("title"),
-                    F.col("e.author.name").alias("author"),
-                    F.col("e.summary").alias("summary"),
-                    F.col("e.summary").alias("description"),
-                    F.col("e.published").alias("published"),
-                    F.col("e.updated").alias("updated"),
-                    F.col("e.created").alias("created")))
-    both = rss.unionByName(atom)
-    return both.withColumn("pub_ts", tx.entry_date("published", "updated", "created")).withColumn(
-        "pos", F.col("pos").cast("int"))
+    no_permalink = frag.rlike(r"""<guid[^>]*isPermaLink\s*=\s*["']false["']""")
+    rss_link = F.coalesce(_or_null(F.col("r.link")), F.when(~no_permalink, F.col("r.guid")))
+    rss_text = F.coalesce(_or_null(F.col("r.description")), F.col("r.`content:encoded`"))
+    atom_text = F.coalesce(_or_null(F.col("a.summary")), F.col("a.content"))
+    pick = lambda r, a: F.when(F.col("r").isNotNull(), r).otherwise(a)
+    out = both.select(
+        "digest_type", "source_idx", "pos",
+        pick(rss_link, F.coalesce(F.element_at(alt, 1)["_href"], F.element_at(links, 1)["_href"])).alias("link"),
+        pick(F.col("r.guid"), F.col("a.id")).alias("entry_id"),
+        pick(F.col("r.title"), F.col("a.title")).alias("title"),
+        pick(F.coalesce(F.col("r.author"), F.col("r.`dc:creator`")), F.col("a.author.name")).alias("author"),
+        pick(rss_text, atom_text).alias("summary"), pick(rss_text, atom_text).alias("description"),
+        pick(F.col("r.pubDate"), F.col("a.published")).alias("published"),
+        pick(F.col("r.`dc:date`"), F.col("a.updated")).alias("updated"), F.col("a.created").alias("created"))
+    return out.withColumn("pub_ts", tx.entry_date("published", "updated", "created"))
 
 
 def feed_entries(docs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def start_incremental(spark: SparkSession, landing_dir: str, sources: DataFrame,
     reader = spark.readStream.schema(LANDING_SCHEMA).option("wholetext", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.format("text").load(landing_dir)
+    stream = reader.format("text").load(landing_dir).select("*", F.col("_metadata.file_path").alias("path"))
     return (stream.writeStream
             .foreachBatch(make_batch_handler(sources, settings, ledger_path, runs_path, dedup_days))
             .option("checkpointLocation", checkpoint_location)

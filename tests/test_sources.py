@@ -55,6 +55,20 @@ def test_feed_status_and_entries(spark, scratch_dir):
     assert e[(0, 1)].pub_ts is None
 
 
+def test_entries_of_awkward_feeds(spark, scratch_dir):
+    root = os.path.join(scratch_dir, "landing2")
+    land(root, "org", 0, "<rss><channel><item><title>a&nbsp;b &amp; c & d</title><guid isPermaLink=\"false\">g</guid></item>"
+                         "<item><title>p</title><guid>https://p/1</guid><content:encoded>body</content:encoded></item>"
+                         "<item><title>bad <b></title></item></channel></rss>")
+    with open(os.path.join(root, "digest_type=org", "source_idx=0", "next.xml"), "w") as fh:
+        fh.write("<feed><entry><title>n</title><content>c</content><link href=\"https://n/1\"/></entry></feed>")
+    docs = feeds.read_landed(spark, root)
+    got = {r.pos: (r.title, r.link, r.summary) for r in feeds.parse_entries(docs).collect()}
+    assert got == {0: ("a\xa0b & c & d", None, None), 1: ("p", "https://p/1", "body"), 3: ("n", "https://n/1", "c")}
+    status = sorted((r.n_entries, r.n_bad, r.status) for r in feeds.feed_status(docs).collect())
+    assert status == [(1, 0, "ok"), (3, 1, "ok")]
+
+
 def test_catalogue_order_defaults_and_filters(spark, scratch_dir):
     path = os.path.join(scratch_dir, "org", "sources.json")
     os.makedirs(os.path.dirname(path))

@@ -85,3 +85,13 @@ def test_entry_date_fallthrough(spark):
     assert got == ["2024-01-04 10:00:00", "2024-01-04 10:30:00", "2024-01-04 07:00:00", None,
                    "2024-01-04 10:00:00", "2024-01-04 15:00:00", "2024-01-04 10:00:00",
                    "2024-01-04 09:00:00"]
+
+
+def test_entry_date_forms(spark):
+    ten = "2024-01-04 10:00:00"
+    forms = ["Thu, 04 Jan 2024 10:00:00 GMT", "Thu, 04 Jan 2024 10:00:00", "Thursday, 04 Jan 2024 12:00:00 +0200", "4 Jan 24 10:00 GMT",
+             "2024-01-04T10:00Z", "2024-01-04T12:00:00+0200", "2024-01-04T10:00:00.1234567Z", "2024-01-04 12:00:00+02:00", "2024-01-04 10:00:00"]
+    df = spark.createDataFrame([(f,) for f in forms], "s string")
+    assert [str(r.t) for r in df.select(tx.parse_feed_date("s").alias("t")).collect()] == [ten] * len(forms)
+    old = spark.createDataFrame([("1 Feb 97 00:00 GMT",), ("nonsense",), ("",)], "s string")
+    assert [str(r.t) for r in old.select(tx.parse_feed_date("s").alias("t")).collect()] == ["1997-02-01 00:00:00", "None", "None"]
