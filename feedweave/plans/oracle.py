@@ -552,6 +552,19 @@ SELECT s.digest_type, s.source_idx, s.source_name, coalesce(c.n, 0) AS n_items,
        CASE WHEN coalesce(c.n, 0) > 0 THEN coalesce(c.n, 0) || ' item(s)' ELSE 'nothing new' END AS status
 FROM fixture_sources s LEFT JOIN counts c ON c.digest_type = s.digest_type AND c.source_idx = s.source_idx"""
 
+ORACLE["ledger_after_success"] = _fresh_ctes() + _ORDERED + """
+SELECT DISTINCT link, digest_type, '2024-01-05' AS first_seen FROM ordered WHERE link <> '' AND digest_type = 'org'"""
+
+ORACLE["digest_rows"] = _fresh_ctes() + _ORDERED + _SOURCES + """,
+texts AS (""" + _chunks_sql(_ORG_LINE, "''", "digest_type = 'org'") + """),
+whole AS (SELECT string_agg(text, ' ' ORDER BY chunk_no) AS body FROM texts),
+n AS (SELECT CAST(count(*) AS INTEGER) AS items FROM ordered WHERE digest_type = 'org'),
+s AS (SELECT CAST(count(*) AS INTEGER) AS sources FROM fixture_sources WHERE digest_type = 'org')
+SELECT 'org' AS digest_type, '2024-01-05' AS run_date, s.sources AS source_count, n.items AS item_count,
+       md5(rtrim(regexp_replace('# Org News Digest — January 2024 **Run date:** 2024-01-05 | **Sources monitored:** ' || s.sources
+           || ' | **Items fetched:** ' || n.items || ' --- ' || body, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS markdown_md5
+FROM whole, n, s WHERE n.items > 0"""
+
 ORACLE["pass_totals"] = _fresh_ctes() + _SOURCES + """
 SELECT s.digest_type, s.source_count, g.item_count FROM
   (SELECT digest_type, CAST(count(*) AS INTEGER) AS source_count FROM fixture_sources GROUP BY 1) s

@@ -435,6 +435,33 @@ def q_curation_request(spark, sf_dir):
                                       FIXTURE_PREFERENCES)
 
 
+def _finished(spark, sf_dir):
+    """The fixture's pass with an answer to each request: the org chunks' are usable, one press chunk's is refused."""
+    fresh = _fresh_ordered(spark, sf_dir)
+    totals = assemble.pass_totals(_fixture_sources(spark, sf_dir), fresh)
+    headers = totals.select("digest_type", assemble.digest_header(
+        "digest_type", F.lit("2024-01-05").cast("date"), "source_count", "item_count").alias("header"))
+    asked = assemble.items_blocks(fresh).select("digest_type", "chunk_no", "text")
+    refused = (F.col("digest_type") == "press") & (F.col("chunk_no") == 0)
+    told = asked.select("digest_type", "chunk_no", F.concat(F.lit(" "), "text").alias("body"),
+                        F.when(refused, F.lit("refused")).otherwise(F.lit("ok")).alias("outcome"))
+    return fresh, assemble.digest_rows(headers, told, totals, "2024-01-05")
+
+
+@query("digest_rows")
+def q_digest_rows(spark, sf_dir):
+    runs = _finished(spark, sf_dir)[1]
+    return runs.select("digest_type", F.col("run_date").cast("string").alias("run_date"), "source_count", "item_count",
+                       F.md5(F.regexp_replace("markdown", r"\s+", " ")).alias("markdown_md5"))
+
+
+@query("ledger_after_success")
+def q_ledger_after_success(spark, sf_dir):
+    fresh, runs = _finished(spark, sf_dir)
+    out = ledger.rows_of_finished(fresh, runs, "2024-01-05")
+    return out.select("link", "digest_type", F.col("first_seen").cast("string").alias("first_seen"))
+
+
 @query("source_status")
 def q_source_status(spark, sf_dir):
     accepted = ingest.in_run_dedup(ingest.source_filter(ingest.recency_cutoff(

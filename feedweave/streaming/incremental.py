@@ -5,13 +5,16 @@ Landed feed files arrive under
 stream with ``trigger(availableNow=True)`` hands each micro-batch to
 ``foreachBatch``, which runs the *same* batch functions as the daily job:
 
-* every run date in the batch is processed in date order, because a day's
-  ledger depends on what earlier days accepted;
-* ledger rows and run totals are written to
-  ``.../batch_id=<b>/run_date=<d>`` in overwrite mode, so re-executing a batch
-  (after a failure) rewrites the same directories: exactly-once output;
-* the ledger a run sees excludes its own and later writes, so a replay reads
-  the same state as the first attempt.
+* a run is all files landed for its date, however many micro-batches they come
+  in: every run date of the batch is computed from all of them, so the gate and
+  the in-run dedup see whole runs (``max_files_per_trigger`` changes no result);
+* dates go in order, because a day's ledger depends on what earlier days
+  accepted; days after a late one that have been computed are computed again;
+* ledger rows and run totals are written to ``.../run_date=<d>`` in overwrite
+  mode, so re-executing a batch (after a failure) rewrites the same directories:
+  exactly-once output;
+* the ledger a run sees holds the days before it only, so a replay reads the
+  same state as the first attempt.
 
 The stream's own progress lives in ``checkpointLocation`` (a shared directory
 on a cluster).
@@ -39,7 +42,6 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("link", T.StringType()),
     T.StructField("digest_type", T.StringType()),
     T.StructField("first_seen", T.DateType()),
-    T.StructField("batch_id", T.LongType()),
     T.StructField("run_date", T.DateType()),
 ])
 
@@ -53,49 +55,60 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], schema)  # a missing table is an empty table
 
 
-def ledger_before(spark: SparkSession, ledger_path: str, batch_id: int, run_date, dedup_days: int = 7) -> DataFrame:
-    """Ledger state seen by run ``run_date`` of batch ``batch_id`` (earlier writes only).
+def ledger_before(spark: SparkSession, ledger_path: str, run_date, dedup_days: int = 7) -> DataFrame:
+    """Ledger state seen by the run of ``run_date``: what earlier days wrote.
 
     ``run_date`` equals ``first_seen``, so its bounds prune the partitions that
-    are read to the days that can suppress anything; a late day doesn't see
-    the days after it.
+    are read to the days that can suppress anything.
     """
     book = _read_or_empty(spark, ledger_path, LEDGER_SCHEMA)
     d = F.lit(str(run_date)).cast("date")
-    earlier = (F.col("batch_id") < batch_id) | ((F.col("batch_id") == batch_id) & (F.col("run_date") < d))
-    return book.filter(F.col("run_date").between(F.date_sub(d, dedup_days), d)).filter(earlier).select("link", "digest_type", "first_seen")
+    return book.filter((F.col("run_date") >= F.date_sub(d, dedup_days)) & (F.col("run_date") < d)).select(
+        "link", "digest_type", "first_seen")
 
 
 def process_run(spark: SparkSession, entries: DataFrame, sources: DataFrame, settings: DataFrame,
-                ledger_path: str, runs_path: str, batch_id: int, run_date,
-                dedup_days: int = 7) -> None:
-    """One daily run: fresh items -> ledger append (L2) and run totals (L3)."""
+                ledger_path: str, runs_path: str, run_date, dedup_days: int = 7) -> None:
+    """One daily run: fresh items -> its ledger rows (L2) and run totals (L3)."""
     as_of = f"{run_date} 00:00:00"
-    book = ledger_before(spark, ledger_path, batch_id, run_date, dedup_days)
+    book = ledger_before(spark, ledger_path, run_date, dedup_days)
     fresh = ingest.fresh_items(entries, settings, book, as_of, dedup_days, ordered=False)
-    rows = ledger.new_rows(fresh, book, as_of, dedup_days)
-    target = f"{ledger_path}/batch_id={batch_id}/run_date={run_date}"
-    rows.select("link", "digest_type", "first_seen").write.mode("overwrite").parquet(target)
+    rows = ledger.rows_of_finished(fresh, fresh, as_of)
+    rows.select("link", "digest_type", "first_seen").write.mode("overwrite").parquet(
+        f"{ledger_path}/run_date={run_date}")
     totals = assemble.pass_totals(sources, fresh, settings)
-    (totals.withColumn("run_date", F.lit(str(run_date)).cast("date"))
-     .write.mode("overwrite").parquet(f"{runs_path}/batch_id={batch_id}/run_date={run_date}"))
+    totals.write.mode("overwrite").parquet(f"{runs_path}/run_date={run_date}")
+
+
+RUNS_SCHEMA = T.StructType([T.StructField("digest_type", T.StringType()), T.StructField("run_date", T.DateType())])
 
 
 def make_batch_handler(sources: DataFrame, settings: DataFrame, ledger_path: str,
-                       runs_path: str, dedup_days: int = 7):
-    """``foreachBatch`` body: every run date of the micro-batch, in order."""
+                       runs_path: str, dedup_days: int = 7, landing_dir: str | None = None):
+    """``foreachBatch`` body: every run date of the micro-batch, and computed later ones, in order.
+
+    With ``landing_dir``, a run's entries are all files landed for its date;
+    without, those of the micro-batch.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # the distinct run dates of one micro-batch: a handful of calendar days
-        dates = [r.run_date for r in batch.select("run_date").distinct().orderBy("run_date").collect()]
-        for d in dates:
-            docs = batch.filter(F.col("run_date") == F.lit(str(d)).cast("date"))
-            entries = feeds.feed_entries(docs, sources)
-            process_run(spark, entries, sources, settings, ledger_path, runs_path,
-                        batch_id, d, dedup_days)
+        # run dates are calendar days: a handful in one micro-batch
+        dates = {r.run_date for r in batch.select("run_date").distinct().collect()}
+        landed = batch
+        if landing_dir and dates:
+            landed = _landed(spark.read.schema(LANDING_SCHEMA).option("wholetext", True).format("text").load(landing_dir))
+            known = _read_or_empty(spark, runs_path, RUNS_SCHEMA).select("run_date").distinct()
+            dates |= {r.run_date for r in known.filter(F.col("run_date") > F.lit(min(dates))).collect()}
+        for d in sorted(dates):
+            docs = landed.filter(F.col("run_date") == F.lit(str(d)).cast("date"))
+            process_run(spark, feeds.feed_entries(docs, sources), sources, settings, ledger_path, runs_path, d, dedup_days)
     return handle
 
 
+def _landed(files: DataFrame) -> DataFrame:
+    return files.select("*", F.col("_metadata.file_path").alias("path"))
+
+
 def start_incremental(spark: SparkSession, landing_dir: str, sources: DataFrame,
                       settings: DataFrame, ledger_path: str, runs_path: str,
                       checkpoint_location: str, dedup_days: int = 7,
@@ -104,9 +117,9 @@ def start_incremental(spark: SparkSession, landing_dir: str, sources: DataFrame,
     reader = spark.readStream.schema(LANDING_SCHEMA).option("wholetext", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.format("text").load(landing_dir).select("*", F.col("_metadata.file_path").alias("path"))
-    return (stream.writeStream
-            .foreachBatch(make_batch_handler(sources, settings, ledger_path, runs_path, dedup_days))
+    stream = reader.format("text").load(landing_dir)
+    return (_landed(stream).writeStream
+            .foreachBatch(make_batch_handler(sources, settings, ledger_path, runs_path, dedup_days, landing_dir))
             .option("checkpointLocation", checkpoint_location)
             .trigger(availableNow=True)
             .start())

@@ -55,6 +55,30 @@ def test_stream_matches_replay_and_is_idempotent(spark, scratch_dir):
     assert runs.select("run_date").distinct().count() == 12
 
 
+def test_a_run_is_whole_however_its_files_come(spark, scratch_dir):
+    """Two files of one run, each below the gate: the gate counts the run, not the micro-batch."""
+    from helpers import settings_df
+    landing = os.path.join(scratch_dir, "landing")
+    for day, idx, links in (("2024-01-02", 0, ["https://a/1", "https://a/2"]), ("2024-01-02", 1, ["https://a/2", "https://a/3"]),
+                            ("2024-01-03", 0, ["https://a/1", "https://a/4"]), ("2024-01-03", 1, ["https://a/5"])):
+        p = os.path.join(landing, f"run_date={day}", "digest_type=org", f"source_idx={idx}")
+        os.makedirs(p)
+        with open(os.path.join(p, "feed.xml"), "w") as fh:
+            fh.write(rss(links))
+    sources = spark.createDataFrame([("org", i, f"o{i}", "o", "c", []) for i in (0, 1)],
+                                    "digest_type string, source_idx int, source_name string, org string, category string, "
+                                    "source_filter array<string>")
+    got = {}
+    for files in (None, 1):
+        paths = {k: os.path.join(scratch_dir, f"{k}-{files}") for k in ("ledger", "runs", "ckpt")}
+        q = incremental.start_incremental(spark, landing, sources, settings_df(spark, cap=20, min_items=2), paths["ledger"],
+                                          paths["runs"], paths["ckpt"], max_files_per_trigger=files)
+        q.awaitTermination(600)
+        got[files] = sorted((r.link, str(r.run_date)) for r in incremental.accepted_sightings(spark, paths["ledger"]).collect())
+    assert got[None] == got[1] == [("https://a/1", "2024-01-02"), ("https://a/2", "2024-01-02"), ("https://a/3", "2024-01-02"),
+                                   ("https://a/4", "2024-01-03"), ("https://a/5", "2024-01-03")]
+
+
 def test_response_stream_memory_and_sections(spark, scratch_dir):
     import json
     rdir = os.path.join(scratch_dir, "responses")
