@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions.markdown import JS_WS_CHARS
-from feedweave.operators.common import dense_ordinal, sized_broadcast
+from feedweave.operators.common import dense_ordinal
 
 # Dashboard conventions.
 INDEX_LIMIT = 400
@@ -84,17 +84,15 @@ def runs_for_dates(runs: DataFrame) -> DataFrame:
     """Every run of every date with the per-day display fields.
 
     ``show_time``: more than one run of that type on that date.  ``display_rank``:
-    press before org, newest first within a type.  Multiplicities come from a
-    map-side aggregate joined back, not a window over a low-cardinality key.
+    press before org, newest first within a type.  A date has few runs and there
+    are many dates, so both come from windows over ``run_date`` on one shuffle;
+    columns that a caller drops (markdown, sections) are pruned before it.
     """
-    mult = (runs.groupBy("run_date", "digest_type")
-            .agg(F.count(F.lit(1)).alias("_n_runs")))
-    # one row per (day, type): broadcast after a size check, so the wide run
-    # rows (markdown) are not shuffled for this join
-    with_mult = runs.join(sized_broadcast(mult), ["run_date", "digest_type"], "inner")
     order = [(F.col("digest_type") == "press").desc(), F.col("created_at").desc(),
              F.col("id").desc()]
-    ranked = dense_ordinal(with_mult, ["run_date"], order, "display_rank")
+    day = Window.partitionBy("run_date")
+    ranked = (runs.withColumn("display_rank", F.row_number().over(day.orderBy(*order)).cast("bigint"))
+              .withColumn("_n_runs", F.count(F.lit(1)).over(Window.partitionBy("run_date", "digest_type"))))
     return ranked.select(
         "id", F.col("run_date").cast("string").alias("run_date"), "digest_type",
         "source_count", "item_count", "markdown", "trends_raw", "feature_pitch_raw",
@@ -116,7 +114,9 @@ def lookup_runs(requests: DataFrame, runs: DataFrame, raw_col: str = "raw_id") -
     checked = requests.select(
         raw_col, valid_run_id(raw_col).alias("valid"),
         F.when(valid_run_id(raw_col), F.col(raw_col).cast("bigint")).alias("id"))
-    return checked.join(runs, "id", "left")
+    # only valid ids are joined: the invalid ones, all NULL, would meet in one task
+    found = checked.filter("valid").join(runs, "id", "left")
+    return found.unionByName(checked.filter("not valid"), allowMissingColumns=True)
 
 
 def previous_run(runs: DataFrame) -> DataFrame:
@@ -237,9 +237,12 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def read_runs(spark, path: str) -> DataFrame:
-    """History table with additive schema evolution: older files lack new columns."""
+    """History table with additive schema evolution: older files lack new columns.
+
+    The schema is given, so no footers are read to plan; what a file lacks is NULL.
+    """
     from feedweave.schemas import DIGEST_RUN, conform
-    return conform(spark.read.option("mergeSchema", True).parquet(path), DIGEST_RUN)
+    return conform(spark.read.schema(DIGEST_RUN).parquet(path), DIGEST_RUN)
 
 
 def memory_latest(log: DataFrame) -> DataFrame:
