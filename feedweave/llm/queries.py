@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import tempfile
 import zipfile
 from pathlib import Path
@@ -89,7 +90,54 @@ def _query(run):
 
 QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_extraction, op7_nearest, op8_substring_dedup, op9_packing, op10_url_filter)}
 
+_LOWERED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _merged_sql(nodes: str, parent: str) -> str:
+    """Nodes with l_eff and b_eff, as url_templates merges them."""
+    on = " AND ".join(f"n.{c} = w.{c}" for c in parent.split(", "))
+    width = math.sqrt(0.5 * math.log(2 / url_templates.MERGE_ALPHA))
+    return f"""(
+        SELECT t.*, CASE WHEN alike THEN sum(CASE WHEN alike THEN l END) OVER (PARTITION BY {parent}) ELSE l END AS l_eff,
+               CASE WHEN alike THEN sum(CASE WHEN alike THEN b END) OVER (PARTITION BY {parent}) ELSE b END AS b_eff
+        FROM (SELECT n.*, n.l = 0 OR abs(n.b / n.l - w.b / w.l) <= {width!r} * (1 / sqrt(n.l) + 1 / sqrt(w.l)) AS alike
+              FROM {nodes} n JOIN (SELECT {parent}, sum(l) AS l, sum(b) AS b FROM {nodes} GROUP BY ALL) w ON {on}) t)"""
+
+
+def _url_sql() -> str:
+    rules = sorted(url_templates.RULES, key=lambda r: (-len(r.text), r.text))
+    case = lambda value: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{value(r)}'" for r in rules) + " END"
+    return rf"""
+        WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LOWERED}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+        f AS (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS said,
+                     [regexp_replace(CASE WHEN regexp_full_match(s, '[0-9A-Fa-f-]{{12,}}') AND regexp_matches(s, '[0-9]') THEN '<x>' ELSE s END, '[0-9]+', '<n>', 'g')
+                      for s in string_split(path, '/') if s <> ''] AS whole FROM h),
+        u AS (SELECT page_id, host, path, rule, said, CASE WHEN len(whole) > {url_templates.MAX_DEPTH} THEN list_append(whole[1:{url_templates.MAX_DEPTH}], '<rest>') ELSE whole END AS forms FROM f),
+        s AS (SELECT host, forms, count(*) AS n, count(said) AS l, count(*) FILTER (WHERE said = 'block') AS b FROM u GROUP BY ALL),
+        lv AS (SELECT host, forms, n, unnest(range(1, len(forms) + 1)) AS k FROM s),
+        lp AS (SELECT host, forms, n, k, array_to_string(forms[1:k - 1], '/') AS parent, forms[k] AS form FROM lv),
+        c AS (SELECT host, k, parent, form, sum(n) AS n FROM lp GROUP BY ALL),
+        v AS (SELECT host, k, parent FROM c GROUP BY ALL HAVING count(*) >= {url_templates.VARIABLE_CHILDREN} AND sum(n) <= {url_templates.VARIABLE_MEAN} * count(*)),
+        t AS (SELECT lp.host, lp.forms, list(CASE WHEN v.k IS NULL THEN lp.form ELSE '<any>' END ORDER BY lp.k) AS template
+              FROM lp LEFT JOIN v ON v.host = lp.host AND v.k = lp.k AND v.parent = lp.parent GROUP BY ALL),
+        st AS (SELECT s.*, coalesce(t.template, []) AS template FROM s LEFT JOIN t ON t.host = s.host AND t.forms = s.forms),
+        ne AS (SELECT host, template, l, b, unnest(range(0, len(template) + 1)) AS k FROM st),
+        n AS (SELECT host, k, coalesce(array_to_string(template[1:k], '/'), '') AS node, CASE WHEN k > 0 THEN coalesce(array_to_string(template[1:k - 1], '/'), '') ELSE '' END AS parent,
+                     sum(l) AS l, sum(b) AS b FROM ne GROUP BY ALL),
+        g AS (SELECT k, node, parent, sum(l) AS l, sum(b) AS b FROM n GROUP BY ALL),
+        e AS (SELECT * FROM {_merged_sql("g", "k, parent")}),
+        p AS (SELECT k, node, (b_eff + {url_templates.SMOOTHING / 2}) / (l_eff + {url_templates.SMOOTHING}) AS p FROM e WHERE k = 0
+              UNION ALL SELECT e.k, e.node, (e.b_eff + {url_templates.SMOOTHING} * p.p) / (e.l_eff + {url_templates.SMOOTHING}) FROM p JOIN e ON e.k = p.k + 1 AND e.parent = p.node),
+        o AS (SELECT m.host, m.k, m.node, (m.b_eff + {url_templates.SMOOTHING} * p.p) / (m.l_eff + {url_templates.SMOOTHING}) AS purity
+              FROM {_merged_sql("n", "host, k, parent")} m JOIN p ON p.k = m.k AND p.node = m.node)
+        SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN o.purity >= {url_templates.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u JOIN st ON st.host = u.host AND st.forms = u.forms
+        JOIN o ON o.host = st.host AND o.k = len(st.template) AND o.node = coalesce(array_to_string(st.template, '/'), '')"""
+
+
 ORACLE = {
+    "op10_url_filter": _url_sql(),
     "op1_ngram_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
         p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0),
