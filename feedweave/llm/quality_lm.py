@@ -43,8 +43,8 @@ QUANTILE, PRIOR_WORDS = 0.99, 20
 SPREADS = 3.0
 #: A threshold needs so many held-out documents; a language with fewer rejects nothing.
 LEAST_HELD_OUT = 5
-#: Pairs sent to one shard, about.
-SHARD_PAIRS = 1 << 21
+#: Pairs sent to one shard, about; counts that a task combines before it sends them; bytes of text scored at a time.
+SHARD_PAIRS, COMBINED, SCORED_BYTES = 1 << 23, 1 << 21, 2 << 20
 _ID_BITS = 20
 #: Marks byte pairs of spellings among the pairs of ids.
 _SPELLING = 1 << 60
@@ -135,6 +135,31 @@ class Model:
         return np.log((count - cut) / self.total[first] + lower) - np.log(lower)
 
 
+class Combined:
+    """Counts by key, added up in a task; given out once there are many different keys."""
+
+    def __init__(self, most: int = COMBINED):
+        self.parts, self.size, self.most = [], 0, most
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.parts.append((keys, n))
+        self.size += len(keys)
+        if self.size <= self.most:
+            return []
+        out = self.rest()
+        if 2 * len(out[0][0]) > self.most:
+            return out
+        self.parts, self.size = out, len(out[0][0])
+        return []
+
+    def rest(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts, self.parts, self.size = self.parts, [], 0
+        if not parts:
+            return []
+        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return [(keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64))]
+
+
 def _pack(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -170,14 +195,22 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number = {x: i for i, x in enumerate(languages)}
 
     def word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {x: Combined() for x in number.values()}
+
+        def table(language: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), language, np.int32)), pa.array(n, pa.int64())], ["word", "language", "n"])
+
         for batch in batches.slices(rows, text=0):
             found, langs = hashing.Words(batches.as_bytes(batch.column(0))), batch.column(1).to_pylist()
             # all words of the slice's documents of one language at a time
             for lang in dict.fromkeys(langs):
                 if lang in number:
                     own = np.concatenate([found.hash[found.first[i]:found.first[i + 1]] for i, x in enumerate(langs) if x == lang])
-                    keys, n = np.unique(Vocabulary.key(own, number[lang]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), number[lang], np.int32)), pa.array(n, pa.int64())], ["word", "language", "n"])
+                    for out in held[number[lang]].add(*np.unique(Vocabulary.key(own, number[lang]), return_counts=True)):
+                        yield table(number[lang], *out)
+        for language, own in held.items():
+            for out in own.rest():
+                yield table(language, *out)
 
     frequent = training.select("text", "lang").mapInArrow(word_counts, "word long, language int, n long").groupBy("word", "language").agg(F.sum("n").alias("n")).where("n > 1")
     listed = frequent.orderBy(F.desc("n"), "word").limit(vocabulary).select("word", "language").toArrow()
@@ -188,14 +221,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent_words = spark.sparkContext.broadcast(words)
 
     def pair_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent_words.value
+        vocabulary, held = sent_words.value, Combined()
+        table = lambda pair, n: pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], ["pair", "n"])
         for batch in batches.slices(rows, text=0):
             found, pairs = _pairs(batch, 0, 1, vocabulary)
             own = [x for x in pairs if x is not None]
             if own:
                 spelled = _spelled(found, pairs, vocabulary)
-                pair, n = np.unique(np.concatenate([*own, spelled | _SPELLING]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], ["pair", "n"])
+                for out in held.add(*np.unique(np.concatenate([*own, spelled | _SPELLING]), return_counts=True)):
+                    yield table(*out)
+        for out in held.rest():
+            yield table(*out)
 
     pairs = written(training.select("text", "lang").mapInArrow(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     # at most 65,536 for each language
@@ -227,7 +263,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def requests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """By shard: rows, how many distinct pairs of each, the pairs and their counts; with each row's own sum at its home."""
         vocabulary, (model, spelling) = sent_words.value, sent_model.value
-        for batch in batches.slices(rows, text=0):
+        for batch in batches.slices(rows, text=0, limit=SCORED_BYTES):
             row = batch.column(2).to_numpy()
             base, length = np.zeros(len(row)), np.zeros(len(row), dtype=np.int64)
             pair, times, doc = [], [], []
@@ -239,6 +275,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     base[i] += spelled[found.first[i]:found.first[i + 1]][(own & (1 << _ID_BITS) - 1) < vocabulary.offset].sum()
                     length[i] = len(own)
                     distinct, n = np.unique(own, return_counts=True)
+                    # a count is one byte; a pair that a document has more often is sent more than once
+                    while (often := np.flatnonzero(n > 255)).size:
+                        distinct, n = np.append(distinct, distinct[often]), np.append(np.where(n > 255, 255, n), n[often] - 255)
                     pair.append(distinct)
                     times.append(n)
                     doc.append(np.full(len(distinct), i))
@@ -254,7 +293,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 here, homes = order[cuts[s]:cuts[s + 1]], by_home[home_cuts[s]:home_cuts[s + 1]]
                 if len(here) or len(homes):
                     d, n = np.unique(doc[here], return_counts=True)
-                    out.append((s, row[d].tobytes(), n.astype("<i4").tobytes(), _pack(pair[here]), times[here].astype("<u4").tobytes(), row[homes].tobytes(), base[homes].tobytes(), length[homes].tobytes()))
+                    out.append((s, row[d].tobytes(), n.astype("<i4").tobytes(), _pack(pair[here]), times[here].astype(np.uint8).tobytes(), row[homes].tobytes(), base[homes].tobytes(), length[homes].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 7], strict=True)], ["shard", "rows", "counts", "pairs", "times", "home", "base", "length"])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -266,7 +305,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         column = lambda name, kind: [np.frombuffer(x, kind) for x in asked.column(name).to_pylist()]
         rows, sums, lengths, copies = column("home", "<i8"), column("base", "<f8"), column("length", "<i8"), []
         copies = [np.ones(len(x), dtype=np.int64) for x in rows]
-        for owner, counts, wanted, times in zip(column("rows", "<i8"), column("counts", "<i4"), map(_unpack, asked.column("pairs").to_pylist()), column("times", "<u4"), strict=True):
+        for owner, counts, wanted, times in zip(column("rows", "<i8"), column("counts", "<i4"), map(_unpack, asked.column("pairs").to_pylist()), column("times", np.uint8), strict=True):
             if len(owner):
                 value = np.zeros(len(wanted))
                 if len(pair):

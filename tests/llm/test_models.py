@@ -94,7 +94,7 @@ def brute_perplexity(train, held, texts, vocabulary_size, prior):
 
 def test_perplexity_equals_a_plain_model(llm):
     rng = random.Random(8)
-    rows = [(i, " ".join(samples.words(rng, rng.choice([5, 30, 80])))) for i in range(150)] + [(900, None), (901, " "), (902, "### *** !!! " * 20), (903, "LOUD WORDS!! " * 30), (None, "no id"), (3, "again")]
+    rows = [(i, " ".join(samples.words(rng, rng.choice([5, 30, 80])))) for i in range(150)] + [(900, None), (901, " "), (902, "### *** !!! " * 300), (903, "LOUD WORDS!! " * 30), (None, "no id"), (3, "again")]
     docs = samples.documents(llm, rows).withColumn("lang", F.lit("xx"))
     labels = llm.createDataFrame([(i, int(i % 5 > 0)) for i in range(150)] + [(1, 1), (None, 1), (5000, 1)], "doc_id long, quality int")
     held = {r[0] for r in llm.range(0, 150).where(F.pmod(F.xxhash64("id"), F.lit(quality_lm.HELD_OUT)) == 0).collect()}
