@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of an index block, queries of a query block.
-INDEX_BLOCK, QUERY_BLOCK = 8_192, 4_096
+INDEX_BLOCK, QUERY_BLOCK = 16_384, 4_096
 #: Share of a vector's windows that must hold it.
 THRESHOLD = 0.5
 #: The search ends when half a window is at least so many times the distance of the k-th nearest found.
@@ -47,7 +47,7 @@ class CollisionIndex:
     def __init__(self, vectors: np.ndarray, directions: np.ndarray):
         self.directions = directions
         values = directions @ vectors.T
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(values, axis=1, kind="stable")  # of the type that bincount counts without a copy
         self.sorted = np.take_along_axis(values, self.order, axis=1)
         self.n = len(vectors)
 
