@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.llm import batches, hashing
@@ -184,6 +184,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     are never trusted. Repeated rows are judged alike. Other columns are not
     read. An empty table, or one without labels, rejects nothing.
     """
+    return _judged(docs, labels, id_col, text_col, lang_col, quality_col, vocabulary, quantile, prior_words).drop("__row")
+
+
+def _row(id_col: str, text_col: str, lang_col: str) -> Column:
+    """What tells rows apart: equal rows are judged alike, others each for itself."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality",
+            vocabulary: int = VOCABULARY, quantile: float = QUANTILE, prior_words: int = PRIOR_WORDS) -> DataFrame:
+    """As judge, with each row's __row."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     trusted = labels.where((F.col(quality_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
@@ -255,7 +266,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(words, context | {"language": word_language}, continuation, per_language)
     sent_model = spark.sparkContext.broadcast((model, spelling))
 
-    keyed = plain.withColumn("row", F.xxhash64("id", "text", "lang"))
+    keyed = plain.withColumn("row", _row("id", "text", "lang"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a word is about seven bytes; odd, so that both words of a pair choose its shard
     shards = max(16, size // 7 // SHARD_PAIRS) | 1
@@ -337,7 +348,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most LANGUAGES rows
     judged = rows.join(F.broadcast(limits), "lang", "left")
     perplexity = F.when(F.col("known") & (F.col("n") > 0), drawn(F.coalesce("mean", F.col("nats") / F.col("n"))))
-    return judged.select(F.col("id").alias(id_col), "lang", F.col("n").alias("n_words"), perplexity.alias("perplexity"), "threshold", F.coalesce(perplexity <= F.col("threshold"), F.lit(True)).alias("kept"))
+    return judged.select(F.col("id").alias(id_col), "lang", F.col("n").alias("n_words"), perplexity.alias("perplexity"), "threshold", F.coalesce(perplexity <= F.col("threshold"), F.lit(True)).alias("kept"), F.col("row").alias("__row"))
 
 
 def _pairs(batch: pa.RecordBatch, text: int, lang: int, vocabulary: Vocabulary) -> tuple[hashing.Words, list[np.ndarray | None]]:
@@ -387,6 +398,7 @@ def _spelled(found: hashing.Words, pairs: list[np.ndarray | None], vocabulary: V
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that aren't rejected, with all their columns."""
-    rejected = written(judge(docs, labels, id_col).where("not kept").select(F.col(id_col).alias("__id")).distinct(), "rejected")
-    return docs.join(broadcast_if_small(rejected), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs that aren't rejected, with all their columns. A rejected row takes no other text or language of its id (or of null ids) with it."""
+    rejected = written(_judged(docs, labels, id_col).where("not kept").select(F.col(id_col).alias("__id"), F.col("__row").alias("__rejected")).distinct(), "rejected")
+    marked = docs.withColumn("__row", _row(id_col, "text", "lang"))
+    return marked.join(broadcast_if_small(rejected), (F.col("__row") == F.col("__rejected")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").drop("__row")

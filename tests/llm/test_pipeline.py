@@ -73,6 +73,25 @@ def test_packing_holds_every_token(stages, llm):
     assert len(corpus_pipeline.run(llm, stages[0]).select("doc_id").distinct().collect()) == len(before)
 
 
+def test_stages_drop_rows_by_id_and_text(llm, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: " ".join(samples.words(rng, n))
+    rows = [(i, text(60)) for i in range(150)]
+    junk = "&&&&Q!! ****Q!! " * 100
+    rows += [(None, junk), (None, text(60)), (500, junk), (500, text(60))]
+    docs = samples.documents(llm, rows).selectExpr("doc_id", "text", "'en' AS lang", "source", "n_chars")
+    llm.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.quality(llm, docs, str(tmp_path)).collect()}
+    assert rows[-3] in kept and rows[-1] in kept and rows[-4] not in kept and rows[-2] not in kept
+
+    rows += [(None, rows[7][1] + " more"), (600, rows[8][1] + " more"), (600, text(60))]
+    docs = samples.documents(llm, rows).selectExpr("doc_id", "text", "'en' AS lang", "source", "n_chars")
+    left = corpus_pipeline.near(llm, docs, str(tmp_path)).collect()
+    kept = {(r["doc_id"], r["text"]) for r in left}
+    assert set(rows) - kept == {(None, rows[7][1] + " more"), (600, rows[8][1] + " more"), (500, junk), (None, junk)} - kept
+    assert {(None, rows[7][1] + " more"), (600, rows[8][1] + " more")}.isdisjoint(kept) and rows[-1] in kept and rows[-6] in kept
+
+
 def test_registry():
     import __spark_entry__ as entry
 
