@@ -1,19 +1,23 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney bigram model, trained on trusted text.
 
 Words are runs of anything but space and 0x09-0x0D. Each language has its own
-model over a closed vocabulary: the words that its trusted text uses most
-(``VOCABULARY`` over all languages, a bound on what is broadcast), all others by
-their shape (lower case, capitals, digits, symbols, ...) and their spelling (byte pairs
-of such words), and a start mark.
-
-* Counts of words and of pairs are combined in each task, then by shuffles.
+model over a closed vocabulary: all words that its trusted text uses twice or
+more, all others by their shape (lower case, capitals, digits, symbols, ...) and
+their spelling (byte pairs of such words), and a start mark. Neither words nor
+languages are limited; an id is a 64-bit hash of language and word.
+
+* Texts are encoded once, in slices of about SCORED_BYTES: a slice has its
+  distinct words once, and its documents as places among these.
+* Vocabulary, unigrams and pairs are tables that grow with the corpus and stay
+  sharded. A slice sends its distinct words to their shards, which answer
+  which of them are in the vocabulary, with their log(weight) and log(p).
 * Interpolation makes the score of an unseen pair a sum of two parts that
-  depend on one word each: log(weight of v) + log(p(w)). Both are tables as
-  long as the vocabulary, so a task sums them for whole documents.
-* What seen pairs add to that lies in the pair table, which grows with the
-  corpus and stays sharded: each document sends its distinct pairs, with how
-  often it has them, to their shards, which are joined with the counts there
-  and answer with one sum for each document.
+  depend on one word each: log(weight of v) + log(p(w)), summed at the slice.
+* What seen pairs add to that comes from the pair table: each document sends
+  its distinct pairs, with how often it has them, to their shards, which
+  answer with one sum for each document.
+* What is broadcast has a few numbers, eight shapes and at most 65,536 byte
+  pairs for each language.
 * Of the trusted documents one in ``HELD_OUT`` is kept out of training. Their
   perplexities give each language its threshold, a high quantile, but no lower
   than some deviations above the mean (a quantile of few texts is too low). A short
@@ -27,14 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.llm import batches, hashing
 from feedweave.llm.batches import broadcast_if_small, written
 
-#: Most words in the vocabularies of all languages together; languages that have a model (the most frequent ones).
-VOCABULARY, LANGUAGES = 65_536, 64
+#: Different ids that words can have; nothing else bounds a vocabulary.
+VOCABULARY = 1 << 64
 #: Shapes of words outside the vocabulary; 0 is the start of a text.
 SHAPES = 8
 HELD_OUT = 10
@@ -43,11 +49,10 @@ QUANTILE, PRIOR_WORDS = 0.99, 20
 SPREADS = 3.0
 #: A threshold needs so many held-out documents; a language with fewer rejects nothing.
 LEAST_HELD_OUT = 5
-#: Pairs sent to one shard, about; counts that a task combines before it sends them; bytes of text scored at a time.
-SHARD_PAIRS, COMBINED, SCORED_BYTES = 1 << 23, 1 << 21, 2 << 20
-_ID_BITS = 20
-#: Marks byte pairs of spellings among the pairs of ids.
-_SPELLING = 1 << 60
+#: Pairs sent to one shard, about; bytes of text in a slice.
+SHARD_PAIRS, SCORED_BYTES = 1 << 23, 2 << 20
+#: Bytes of an id or pair that are sent to its shard.
+_SENT = 6
 
 _KIND = np.full(256, 3, dtype=np.uint8)  # 0 lower or not ASCII, 1 upper, 2 digit, 3 symbol
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 0, 1, 2, 0
@@ -68,29 +73,13 @@ def shapes(words: hashing.Words) -> np.ndarray:
     return np.select([lower + upper + digit == 0, inner > 0, digit > 0, (lower == 0) & (upper > 1), first_upper & (upper == 1), upper == 0], [6, 7, 5, 3, 2, 1], 4).astype(np.int64)
 
 
-class Vocabulary:
-    """ids of words: language l has SHAPES ids from l * SHAPES on; words follow, in the order of their (mixed) hashes."""
-
-    def __init__(self, languages: list[str], keys: np.ndarray):
-        self.languages, self.keys = {x: i for i, x in enumerate(languages)}, np.sort(keys)
-        self.offset = len(languages) * SHAPES
-        self.size = self.offset + len(keys)
-
-    @staticmethod
-    def key(words: np.ndarray, language: int) -> np.ndarray:
-        return hashing.mix(words + np.uint64((language + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-
-    def ids(self, words: np.ndarray, shape: np.ndarray, language: int) -> np.ndarray:
-        """With the start of the text before them."""
-        out = np.empty(len(words) + 1, dtype=np.int64)
-        out[0] = language * SHAPES
-        if len(self.keys) and len(words):
-            keys = self.key(words, language)
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            out[1:] = np.where(self.keys[at] == keys, self.offset + at, language * SHAPES + shape)
-        else:
-            out[1:] = language * SHAPES + shape
-        return out
+def key(words: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """Ids of words by their hashes; the start of a text and the shapes have 0 to SHAPES - 1 for a hash."""
+    return hashing.mix(words.astype(np.uint64) + (language + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return hashing.mix(first * np.uint64(0xD6E8FEB86659FD93) + second)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -104,74 +93,170 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 class Model:
-    """What tasks need: log p(w) and log weight(v) by id, discounts and totals for seen pairs."""
+    """By number of language: discounts, and what ids score that the tables don't have. A few numbers for each language."""
 
-    def __init__(self, vocabulary: Vocabulary, context: dict[str, np.ndarray], continuation: np.ndarray, pair_counts: np.ndarray):
-        """context: total, n1, n2, n3 of each id as first word; continuation: different words before each id; pair_counts: (language, 4)."""
-        size, languages = vocabulary.size, len(vocabulary.languages)
-        of = np.concatenate([np.repeat(np.arange(languages), SHAPES), context["language"]]).astype(np.int64)
-        self.total = np.maximum(context["total"], 1).astype(float)
+    def __init__(self, pair_counts: np.ndarray, before: np.ndarray, words: np.ndarray):
+        """pair_counts: pairs seen 1 to 4 times; before: how many ids have 1, 2, 3, 4, and 3 or more different words before them, and the sum over all ids; words: the vocabulary's size."""
         self.discount = np.array([discounts(list(map(int, row))) for row in pair_counts]).reshape(-1, 3)
-        d = self.discount[of]
-        weight = (d[:, 0] * context["n1"] + d[:, 1] * context["n2"] + d[:, 2] * context["n3"]) / self.total
+        self.low = np.array([discounts(list(map(int, row[:4]))) for row in before]).reshape(-1, 3)
+        self.all_pairs = np.maximum(before[:, 5], 1).astype(float)
+        cut = (self.low * before[:, [0, 1, 4]]).sum(axis=1)
+        self.rest = np.where(before[:, 5] > 0, cut / self.all_pairs, 1.0) / (SHAPES + words)
+
+    def log_weight(self, language: np.ndarray, total: np.ndarray, kinds: list[np.ndarray]) -> np.ndarray:
+        """kinds: how many pairs begin with the id that were seen once, twice, and more often."""
+        weight = (self.discount[language] * np.stack(kinds, axis=1)).sum(axis=1) / np.maximum(total, 1)
         # a word that nothing followed gives all its weight to the lower order
-        self.log_weight = np.log(np.where(context["total"] > 0, np.maximum(weight, 1e-9), 1.0))
-        p = np.zeros(size)
-        for x in range(languages):
-            own = np.flatnonzero(of == x)
-            c = continuation[own].astype(float)
-            low = np.array(discounts([int((c == k).sum()) for k in (1, 2, 3, 4)]))
-            all_pairs = max(c.sum(), 1.0)
-            cut = np.where(c > 0, low[np.clip(c, 1, 3).astype(int) - 1], 0.0)
-            rest = cut.sum() / all_pairs if c.sum() else 1.0
-            p[own] = (c - cut) / all_pairs + rest / len(own)
-        self.log_p = np.log(p)
-        self.of = of
-
-    def seen_gain(self, first: np.ndarray, second: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """How much more a seen pair scores than an unseen one of the same words."""
-        cut = self.discount[self.of[first], np.minimum(count, 3) - 1]
-        lower = np.exp(self.log_weight[first] + self.log_p[second])
-        return np.log((count - cut) / self.total[first] + lower) - np.log(lower)
-
-
-class Combined:
-    """Counts by key, added up in a task; given out once there are many different keys."""
-
-    def __init__(self, most: int = COMBINED):
-        self.parts, self.size, self.most = [], 0, most
-
-    def add(self, keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        self.parts.append((keys, n))
-        self.size += len(keys)
-        if self.size <= self.most:
-            return []
-        out = self.rest()
-        if 2 * len(out[0][0]) > self.most:
-            return out
-        self.parts, self.size = out, len(out[0][0])
-        return []
-
-    def rest(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        parts, self.parts, self.size = self.parts, [], 0
-        if not parts:
-            return []
-        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return [(keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64))]
+        return np.log(np.where(total > 0, np.maximum(weight, 1e-9), 1.0))
+
+    def log_p(self, language: np.ndarray, before: np.ndarray) -> np.ndarray:
+        cut = np.where(before > 0, self.low[language, np.clip(before, 1, 3) - 1], 0.0)
+        return np.log((before - cut) / self.all_pairs[language] + self.rest[language])
+
+    def seen_gain(self, language: np.ndarray, n: np.ndarray, total: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """How much more a seen pair scores than an unseen one of the same words, whose logarithm is lower."""
+        cut = self.discount[language, np.minimum(n, 3) - 1]
+        return np.log((n - cut) / total + np.exp(lower)) - lower
+
+
+class Spelling:
+    """log p(byte | byte before) by language, from the byte pairs (language << 16 | before << 8 | byte) that were seen."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray):
+        order = np.argsort(pairs)
+        self.pairs, n = pairs[order], n[order].astype(float)
+        self.before, at = np.unique(self.pairs >> 8, return_inverse=True)
+        total = np.bincount(at, n, len(self.before)) + 256 * 0.05
+        self.seen, self.unseen = np.log((n + 0.05) / total[at]), np.log(0.05 / total)
+
+    def score(self, pairs: np.ndarray) -> np.ndarray:
+        out = np.full(len(pairs), -math.log(256))
+        if len(self.pairs):
+            at = np.minimum(np.searchsorted(self.before, pairs >> 8), len(self.before) - 1)
+            out = np.where(self.before[at] == pairs >> 8, self.unseen[at], out)
+            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            out = np.where(self.pairs[at] == pairs, self.seen[at], out)
+        return out
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT].tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<i8").reshape(-1)
+    out = np.zeros((len(packed) // _SENT, 8), dtype=np.uint8)
+    out[:, :_SENT] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, _SENT)
+    return out.view("<u8").reshape(-1)
+
+
+_SLICE = "slice long, training boolean, rows binary, lengths binary, languages binary, places binary, keys binary, shapes binary, letters binary, sizes binary"
+
+
+def _encoded(batch: pa.RecordBatch, number: dict[str, int]) -> tuple:
+    """A slice of texts (text, lang, row) as columns of _SLICE from rows on. Texts of languages without a model have no words."""
+    langs = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], dtype=np.int64)
+    texts = [t if x >= 0 else b"" for t, x in zip(batches.as_bytes(batch.column(0)), langs, strict=True)]
+    found = hashing.Words(texts)
+    lengths = np.diff(found.first)
+    keys, at, places = np.unique(key(found.hash, np.repeat(langs, lengths)), return_index=True, return_inverse=True)
+    shape = shapes(found)[at] if len(at) else np.zeros(0, dtype=np.int64)
+    size = found.end[at] - found.start[at]
+    letters = np.frombuffer(found.data, dtype=np.uint8)[np.repeat(found.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    return (batch.column(2).to_numpy().astype("<i8").tobytes(), lengths.astype("<i4").tobytes(), langs.astype("<i4").tobytes(), places.astype(_places(len(keys))).tobytes(),
+            keys.astype("<u8").tobytes(), shape.astype(np.uint8).tobytes(), letters.tobytes(), size.astype("<i4").tobytes())
+
+
+def _places(keys: int) -> str:
+    return "<u2" if keys <= 1 << 16 else "<u4"
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by shard, and where each shard begins in it."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+class Slice:
+    """A slice, with what the shards answered for its distinct words (hits, and values for each of them)."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table, shards: int, values: int = 0):
+        r = table.slice(0, 1).to_pylist()[0]
+        read = lambda name, kind: np.frombuffer(r[name], kind)
+        self.rows, self.lengths, self.languages = read("rows", "<i8"), read("lengths", "<i4").astype(np.int64), read("languages", "<i4").astype(np.int64)
+        keys, self.shape = read("keys", "<u8"), read("shapes", np.uint8).astype(np.int64)
+        self.places = read("places", _places(len(keys))).astype(np.int64)
+        self.language = np.zeros(len(keys), dtype=np.int64)
+        self.language[self.places] = np.repeat(self.languages, self.lengths)
+        self.known, self.values = np.zeros(len(keys), dtype=bool), np.zeros((len(keys), values))
+        order, cuts = _by_shard(keys, shards)
+        for s, hits, value in zip(answers.column("s").to_pylist(), answers.column("hits").to_pylist(), answers.column("values").to_pylist(), strict=True):
+            at = order[cuts[s] + np.frombuffer(hits, "<u4").astype(np.int64)]
+            self.known[at] = True
+            self.values[at] = np.frombuffer(value, "<f8").reshape(len(at), values)
+        self.ids = np.where(self.known, keys, key(self.shape, self.language))
+        # documents with words; the start of a text comes before its first word
+        self.full = np.flatnonzero(self.lengths)
+        self.starts = (np.cumsum(self.lengths) - self.lengths)[self.full]
+        self.letters, self.sizes = read("letters", np.uint8).astype(np.int64), read("sizes", "<i4").astype(np.int64)
+
+    def before(self, by_word: np.ndarray, at_start: np.ndarray) -> np.ndarray:
+        """For each word in the texts, the value of the one before it; at_start: by document."""
+        own = by_word[self.places]
+        out = np.concatenate([own[:1], own[:-1]])
+        out[self.starts] = at_start[self.full]
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.before(self.ids, key(np.zeros(len(self.languages)), self.languages)), self.ids[self.places]
+
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Byte pairs of the distinct words outside the vocabulary, with the white space around them, and which word each belongs to."""
+        outside = np.flatnonzero(~self.known)
+        size, begin = self.sizes[outside], (np.cumsum(self.sizes) - self.sizes)[outside]
+        word = np.repeat(np.arange(len(outside)), size + 1)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
+        at, end = begin[word] + place, size[word]
+        byte = lambda at, inside: np.where(inside, self.letters[np.clip(at, 0, max(len(self.letters) - 1, 0))], 32) if len(at) else at
+        return self.language[outside][word] << 16 | byte(at - 1, place > 0) << 8 | byte(at, place < end), outside[word]
+
+
+def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int) -> DataFrame:
+    """What the shards of table (key, names) answer for the distinct words of each slice: slice, s, hits (places among the slice's words of the shard), values."""
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for number, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = np.frombuffer(keys, "<u8")
+                order, cuts = _by_shard(keys, shards)
+                held = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), number)), pa.array([_pack(keys[order[cuts[s]:cuts[s + 1]]]) for s in held], pa.binary())], ["s", "slice", "keys"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        own = _unpack(_pack(known.column("key").to_numpy().view(np.uint64)))
+        order = np.argsort(own)
+        own = own[order]
+        value = np.stack([known.column(x).to_numpy()[order] for x in names], axis=1) if names else np.zeros((len(own), 0))
+        hits, values = [], []
+        for wanted in map(_unpack, asked.column("keys").to_pylist()):
+            at = np.minimum(np.searchsorted(own, wanted), max(len(own) - 1, 0))
+            hit = np.flatnonzero(own[at] == wanted) if len(own) else np.zeros(0, dtype=np.int64)
+            hits.append(hit.astype("<u4").tobytes())
+            values.append(value[at[hit]].astype("<f8").tobytes())
+        return pa.table({"s": asked.column("s"), "slice": asked.column("slice"), "hits": pa.array(hits, pa.binary()), "values": pa.array(values, pa.binary())})
+
+    asked = slices.select("slice", "keys").mapInArrow(ask, "s long, slice long, keys binary")
+    held = table.select(_shard("key", shards).alias("s"), "key", *names)
+    return asked.groupBy("s").cogroup(held.groupBy("s")).applyInArrow(answer, "s long, slice long, hits binary, values binary")
+
+
+def _shard(name: str, shards: int) -> Column:
+    """Of a 64-bit number without sign, as Spark has it with one."""
+    return F.pmod(F.pmod(F.col(name), F.lit(shards)) + F.when(F.col(name) < 0, F.lit((1 << 64) % shards)).otherwise(F.lit(0)), F.lit(shards))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality",
-          vocabulary: int = VOCABULARY, quantile: float = QUANTILE, prior_words: int = PRIOR_WORDS) -> DataFrame:
+          quantile: float = QUANTILE, prior_words: int = PRIOR_WORDS) -> DataFrame:
     """One row per row of docs: id, lang, n_words, perplexity, threshold, kept.
 
     labels has id and quality; documents with quality 1 are trusted (a repeated
@@ -184,7 +269,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     are never trusted. Repeated rows are judged alike. Other columns are not
     read. An empty table, or one without labels, rejects nothing.
     """
-    return _judged(docs, labels, id_col, text_col, lang_col, quality_col, vocabulary, quantile, prior_words).drop("__row")
+    return _judged(docs, labels, id_col, text_col, lang_col, quality_col, quantile, prior_words).drop("__row")
 
 
 def _row(id_col: str, text_col: str, lang_col: str) -> Column:
@@ -193,7 +278,7 @@ def _row(id_col: str, text_col: str, lang_col: str) -> Column:
 
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality",
-            vocabulary: int = VOCABULARY, quantile: float = QUANTILE, prior_words: int = PRIOR_WORDS) -> DataFrame:
+            quantile: float = QUANTILE, prior_words: int = PRIOR_WORDS) -> DataFrame:
     """As judge, with each row's __row."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
@@ -202,117 +287,137 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     marks = broadcast_if_small(trusted)
     training = plain.join(marks.where("not held_out").select("id"), "id", "left_semi")
 
-    languages = [r["lang"] for r in training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    languages = sorted(r["lang"] for r in training.select("lang").distinct().collect())
     number = {x: i for i, x in enumerate(languages)}
-
-    def word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {x: Combined() for x in number.values()}
-
-        def table(language: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), language, np.int32)), pa.array(n, pa.int64())], ["word", "language", "n"])
-
-        for batch in batches.slices(rows, text=0):
-            found, langs = hashing.Words(batches.as_bytes(batch.column(0))), batch.column(1).to_pylist()
-            # all words of the slice's documents of one language at a time
-            for lang in dict.fromkeys(langs):
-                if lang in number:
-                    own = np.concatenate([found.hash[found.first[i]:found.first[i + 1]] for i, x in enumerate(langs) if x == lang])
-                    for out in held[number[lang]].add(*np.unique(Vocabulary.key(own, number[lang]), return_counts=True)):
-                        yield table(number[lang], *out)
-        for language, own in held.items():
-            for out in own.rest():
-                yield table(language, *out)
-
-    frequent = training.select("text", "lang").mapInArrow(word_counts, "word long, language int, n long").groupBy("word", "language").agg(F.sum("n").alias("n")).where("n > 1")
-    listed = frequent.orderBy(F.desc("n"), "word").limit(vocabulary).select("word", "language").toArrow()
-    keys = listed.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    words = Vocabulary(languages, keys)
-    word_language = listed.column("language").to_numpy()[order]
-    sent_words = spark.sparkContext.broadcast(words)
-
-    def pair_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held = sent_words.value, Combined()
-        table = lambda pair, n: pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], ["pair", "n"])
-        for batch in batches.slices(rows, text=0):
-            found, pairs = _pairs(batch, 0, 1, vocabulary)
-            own = [x for x in pairs if x is not None]
-            if own:
-                spelled = _spelled(found, pairs, vocabulary)
-                for out in held.add(*np.unique(np.concatenate([*own, spelled | _SPELLING]), return_counts=True)):
-                    yield table(*out)
-        for out in held.rest():
-            yield table(*out)
-
-    pairs = written(training.select("text", "lang").mapInArrow(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    # at most 65,536 for each language
-    letters = pairs.where(F.col("pair") >= _SPELLING).toArrow()
-    pairs = pairs.where(F.col("pair") < _SPELLING)
-    spelling = np.full(max(1, len(languages)) << 16, 0.05)
-    spelling[letters.column("pair").to_numpy() & _SPELLING - 1] += letters.column("n").to_numpy()
-    spelling = spelling.reshape(-1, 256, 256)
-    spelling = np.log(spelling / spelling.sum(axis=2, keepdims=True)).ravel()
-    first, second = F.shiftright("pair", _ID_BITS), F.col("pair").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    by_first = pairs.groupBy(first.alias("id")).agg(F.sum("n").alias("total"), *(F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)), *(F.count_if(F.col("n") == k).alias(f"is{k}") for k in (3, 4))).toArrow()
-    by_second = pairs.groupBy(second.alias("id")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    context = {k: np.zeros(words.size, dtype=np.int64) for k in ("total", "n1", "n2", "n3", "is3", "is4")}
-    at = by_first.column("id").to_numpy()
-    for k in context:
-        context[k][at] = by_first.column(k).to_numpy()
-    continuation = np.zeros(words.size, dtype=np.int64)
-    continuation[by_second.column("id").to_numpy()] = by_second.column("n").to_numpy()
-    of = np.concatenate([np.repeat(np.arange(len(languages)), SHAPES), word_language]).astype(np.int64)
-    per_language = np.array([[context[k][of == x].sum() for k in ("n1", "n2", "is3", "is4")] for x in range(len(languages))]).reshape(-1, 4)
-    model = Model(words, context | {"language": word_language}, continuation, per_language)
-    sent_model = spark.sparkContext.broadcast((model, spelling))
-
+    sent_number = spark.sparkContext.broadcast(number)
     keyed = plain.withColumn("row", _row("id", "text", "lang"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a word is about seven bytes; odd, so that both words of a pair choose its shard
     shards = max(16, size // 7 // SHARD_PAIRS) | 1
 
-    def requests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """By shard: rows, how many distinct pairs of each, the pairs and their counts; with each row's own sum at its home."""
-        vocabulary, (model, spelling) = sent_words.value, sent_model.value
+    def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId() << 32, 0
         for batch in batches.slices(rows, text=0, limit=SCORED_BYTES):
-            row = batch.column(2).to_numpy()
-            base, length = np.zeros(len(row)), np.zeros(len(row), dtype=np.int64)
-            pair, times, doc = [], [], []
-            found, pairs = _pairs(batch, 0, 1, vocabulary)
-            spelled = _by_word(found, spelling[_transitions(found, batch.column(1).to_pylist(), vocabulary)])
-            for i, own in enumerate(pairs):
-                if own is not None and len(own):
-                    base[i] = (model.log_weight[own >> _ID_BITS] + model.log_p[own & (1 << _ID_BITS) - 1]).sum()
-                    base[i] += spelled[found.first[i]:found.first[i + 1]][(own & (1 << _ID_BITS) - 1) < vocabulary.offset].sum()
-                    length[i] = len(own)
-                    distinct, n = np.unique(own, return_counts=True)
-                    # a count is one byte; a pair that a document has more often is sent more than once
-                    while (often := np.flatnonzero(n > 255)).size:
-                        distinct, n = np.append(distinct, distinct[often]), np.append(np.where(n > 255, 255, n), n[often] - 255)
-                    pair.append(distinct)
-                    times.append(n)
-                    doc.append(np.full(len(distinct), i))
-            home = row % shards
-            pair, times, doc = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (pair, times, doc))
-            shard = pair % shards
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            by_home = np.argsort(home, kind="stable")
-            home_cuts = np.searchsorted(home[by_home], np.arange(shards + 1))
-            out = []
-            for s in range(shards):
-                here, homes = order[cuts[s]:cuts[s + 1]], by_home[home_cuts[s]:home_cuts[s + 1]]
-                if len(here) or len(homes):
-                    d, n = np.unique(doc[here], return_counts=True)
-                    out.append((s, row[d].tobytes(), n.astype("<i4").tobytes(), _pack(pair[here]), times[here].astype(np.uint8).tobytes(), row[homes].tobytes(), base[homes].tobytes(), length[homes].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 7], strict=True)], ["shard", "rows", "counts", "pairs", "times", "home", "base", "length"])
+            for training in (True, False):
+                own = batch.filter(pc.equal(batch.column(3), training))
+                if own.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task + count, training, *_encoded(own, sent_number.value))], [c.split()[0] for c in _SLICE.split(", ")])
+                    count += 1
 
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    marked = keyed.join(marks.where("not held_out").select("id", F.lit(True).alias("training")), "id", "left")
+    slices = written(marked.select("text", "lang", "row", F.coalesce("training", F.lit(False)).alias("training")).mapInArrow(encode, _SLICE), "slices")
+    trained = slices.where("training")
+
+    def word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for keys, places, lengths, langs in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
+                keys = np.frombuffer(keys, "<u8")
+                places = np.frombuffer(places, _places(len(keys)))
+                language = np.zeros(len(keys), dtype=np.int32)
+                language[places] = np.repeat(np.frombuffer(langs, "<i4"), np.frombuffer(lengths, "<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(language), pa.array(np.bincount(places, minlength=len(keys)))], ["key", "language", "n"])
+
+    counted = trained.select("keys", "places", "lengths", "languages").mapInArrow(word_counts, "key long, language int, n long")
+    words = written(counted.groupBy("key").agg(F.min("language").alias("language"), F.sum("n").alias("n")).where("n > 1").select("key", "language"), "vocabulary")
+
+    def pair_counts(one: pa.Table, answers: pa.Table) -> pa.Table:
+        """Pairs of ids (language 0 and up), and byte pairs of words outside the vocabulary (language -1)."""
+        own = Slice(one, answers, shards)
+        first, second = own.pairs()
+        pair, at, n = np.unique(pair_key(first, second), return_index=True, return_counts=True)
+        language = np.repeat(own.languages, own.lengths)[at]
+        spelled, word = own.spelled()
+        spelled, back = np.unique(spelled, return_inverse=True)
+        times = np.bincount(back, np.bincount(own.places, minlength=len(own.ids))[word], len(spelled)).astype(np.int64)
+        none = np.zeros(len(spelled), dtype=np.int64)
+        joined = lambda a, b, kind: pa.array(np.concatenate([a.astype(kind), b.astype(kind)]))
+        signed = lambda x: x.view(np.int64)
+        return pa.table({"pair": joined(signed(pair), spelled, np.int64), "language": joined(language, none - 1, np.int32), "first": joined(signed(first[at]), none, np.int64), "second": joined(signed(second[at]), none, np.int64), "n": joined(n, times, np.int64)})
+
+    found = trained.groupBy("slice").cogroup(_looked_up(trained, words, [], shards).groupBy("slice")).applyInArrow(pair_counts, "pair long, language int, first long, second long, n long")
+    pairs = written(found.groupBy("language", "pair").agg(F.min("first").alias("first"), F.min("second").alias("second"), F.sum("n").alias("n")), "pairs")
+    # at most 65,536 for each language
+    letters = pairs.where("language < 0").select("pair", "n").toArrow()
+    pairs = pairs.where("language >= 0")
+    by_first = pairs.groupBy(F.col("first").alias("key")).agg(F.min("language").alias("language"), F.sum("n").alias("total"), *(F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)))
+    by_second = pairs.groupBy(F.col("second").alias("key")).agg(F.min("language").alias("language"), F.count(F.lit(1)).alias("before"))
+    unigrams = written(by_first.join(by_second, ["key", "language"], "full").na.fill(0, ["total", "n1", "n2", "n3", "before"]), "unigrams")
+
+    def by_language(counts: DataFrame, names: list[str]) -> np.ndarray:
+        out = np.zeros((len(languages), len(names)), dtype=np.int64)
+        for r in counts.collect():
+            out[r["language"]] = [r[x] for x in names]
+        return out
+
+    several = lambda c: [*(F.count_if(F.col(c) == k).alias(f"is{k}") for k in (1, 2, 3, 4)), F.count_if(F.col(c) >= 3).alias("more"), F.sum(c).alias("sum")]
+    model = Model(by_language(pairs.groupBy("language").agg(*several("n")), ["is1", "is2", "is3", "is4"]), by_language(unigrams.groupBy("language").agg(*several("before")), ["is1", "is2", "is3", "is4", "more", "sum"]),
+                  by_language(words.groupBy("language").count(), ["count"])[:, 0])
+
+    def scores(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent_model.value[0]
+        for batch in rows:
+            language, total, n1, n2, n3, before = (batch.column(x).to_numpy() for x in ("language", "total", "n1", "n2", "n3", "before"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("total"), pa.array(model.log_weight(language, total, [n1, n2, n3])), pa.array(model.log_p(language, before))], ["key", "total", "log_weight", "log_p"])
+
+    sent_model = spark.sparkContext.broadcast((model,))
+    scored_ids = written(unigrams.mapInArrow(scores, "key long, total long, log_weight double, log_p double"), "unigram-scores")
+    # the start of a text and the shapes, of each language
+    every, of_shape = np.repeat(np.arange(len(languages)), SHAPES), np.tile(np.arange(SHAPES), len(languages))
+    marks_of = key(of_shape, every).view(np.int64)
+    place = {int(k): i for i, k in enumerate(marks_of)}
+    start_weight, start_p = np.zeros(len(every)), model.log_p(every, np.zeros(len(every), dtype=np.int64)) if len(every) else np.zeros(0)
+    if languages:
+        wanted = spark.createDataFrame([(k,) for k in place], "key long")
+        for r in scored_ids.join(F.broadcast(wanted), "key", "left_semi").collect():
+            start_weight[place[r["key"]]], start_p[place[r["key"]]] = r["log_weight"], r["log_p"]
+    sent_scores = spark.sparkContext.broadcast((model, start_weight, start_p, Spelling(letters.column("pair").to_numpy(), letters.column("n").to_numpy())))
+
+    def requests(one: pa.Table, answers: pa.Table) -> pa.Table:
+        """By shard: rows, how many distinct pairs of each, the pairs and their counts; with each row's own sum at its home."""
+        _, shape_weight, shape_p, spelling = sent_scores.value
+        own = Slice(one, answers, shards, values=2)
+        at_shape = own.language * SHAPES + own.shape
+        log_weight, log_p = (np.where(own.known, own.values[:, k], x[at_shape] if len(at_shape) else 0.0) for k, x in enumerate((shape_weight, shape_p)))
+        spelled, word = own.spelled()
+        log_p = log_p + np.bincount(word, spelling.score(spelled), len(log_p))
+        base = np.zeros(len(own.rows))
+        if len(own.full):
+            of_start = np.where(own.languages >= 0, shape_weight[np.maximum(own.languages, 0) * SHAPES], 0.0)
+            base[own.full] = np.add.reduceat(own.before(log_weight, of_start) + log_p[own.places], own.starts)
+        pair, times, doc = [], [], []
+        keys = pair_key(*own.pairs())
+        for i, a in zip(own.full, own.starts, strict=True):
+            distinct, n = np.unique(keys[a:a + own.lengths[i]], return_counts=True)
+            # a count is one byte; a pair that a document has more often is sent more than once
+            while (often := np.flatnonzero(n > 255)).size:
+                distinct, n = np.append(distinct, distinct[often]), np.append(np.where(n > 255, 255, n), n[often] - 255)
+            pair.append(distinct)
+            times.append(n)
+            doc.append(np.full(len(distinct), i))
+        times, doc = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (times, doc))
+        pair = np.concatenate(pair) if pair else np.zeros(0, dtype=np.uint64)
+        order, cuts = _by_shard(pair, shards)
+        home = own.rows % shards
+        by_home = np.argsort(home, kind="stable")
+        home_cuts = np.searchsorted(home[by_home], np.arange(shards + 1))
+        out = []
+        for s in range(shards):
+            here, homes = order[cuts[s]:cuts[s + 1]], by_home[home_cuts[s]:home_cuts[s + 1]]
+            if len(here) or len(homes):
+                d, n = np.unique(doc[here], return_counts=True)
+                out.append((s, own.rows[d].tobytes(), n.astype("<i4").tobytes(), _pack(pair[here]), times[here].astype(np.uint8).tobytes(), own.rows[homes].tobytes(), base[homes].tobytes(), own.lengths[homes].tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 7], strict=True)], ["shard", "rows", "counts", "pairs", "times", "home", "base", "length"])
+
+    def gains(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent_model.value[0]
-        pair = known.column("pair").to_numpy()
+        for batch in rows:
+            language, n, total, lower = (batch.column(x).to_numpy() for x in ("language", "n", "total", "lower"))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("pair"), pa.array(model.seen_gain(language, n, total, lower))], ["shard", "pair", "gain"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        pair = _unpack(_pack(known.column("pair").to_numpy().view(np.uint64)))
         order = np.argsort(pair)
-        pair, n = pair[order], known.column("n").to_numpy()[order]
-        gain = model.seen_gain(pair >> _ID_BITS, pair & (1 << _ID_BITS) - 1, n)
+        pair, gain = pair[order], known.column("gain").to_numpy()[order]
         column = lambda name, kind: [np.frombuffer(x, kind) for x in asked.column(name).to_pylist()]
         rows, sums, lengths, copies = column("home", "<i8"), column("base", "<f8"), column("length", "<i8"), []
         copies = [np.ones(len(x), dtype=np.int64) for x in rows]
@@ -329,14 +434,19 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         joined = [np.concatenate(x) if x else np.zeros(0) for x in (rows, sums, lengths, copies)]
         return pa.table({"row": pa.array(joined[0].astype(np.int64)), "log_p": pa.array(joined[1]), "n": pa.array(joined[2].astype(np.int64)), "copies": pa.array(joined[3].astype(np.int64))})
 
-    asked = keyed.select("text", "lang", "row").mapInArrow(requests, "shard long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
-    known = pairs.withColumn("shard", F.col("pair") % F.lit(shards))
+    vocabulary = scored_ids.join(words.select("key"), "key", "left_semi")
+    looked = _looked_up(slices, vocabulary, ["log_weight", "log_p"], shards)
+    asked = slices.groupBy("slice").cogroup(looked.groupBy("slice")).applyInArrow(requests, "shard long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
+    ids = broadcast_if_small(scored_ids)
+    of_first, of_second = ids.select(F.col("key").alias("first"), "total", "log_weight"), ids.select(F.col("key").alias("second"), "log_p")
+    lower = pairs.join(of_first, "first").join(of_second, "second").select(_shard("pair", shards).alias("shard"), "pair", "language", "n", "total", (F.col("log_weight") + F.col("log_p")).alias("lower"))
+    known = lower.mapInArrow(gains, "shard long, pair long, gain double")
     sums = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "row long, log_p double, n long, copies long")
     scored = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
     # rows that repeat were summed together
     scored = scored.select("row", (-F.col("log_p") / F.col("copies")).alias("nats"), (F.col("n") / F.col("copies")).cast("long").alias("n"))
-    known_language = F.col("lang").isin(languages) if languages else F.lit(False)
-    rows = written(keyed.select("id", "lang", "row").join(scored, "row").withColumn("known", known_language), "scored")
+    modelled = F.broadcast(spark.createDataFrame([(x, True) for x in languages], "lang string, known boolean"))
+    rows = written(keyed.select("id", "lang", "row").join(scored, "row").join(modelled, "lang", "left").na.fill(False, ["known"]), "scored")
 
     held = rows.join(broadcast_if_small(trusted.where("held_out").select("id")), "id", "left_semi").where("known and n > 0")
     mean = held.groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("held"))
@@ -345,58 +455,12 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     far = F.avg(value) + (SPREADS + 2 * SPREADS / F.sqrt(F.count(F.lit(1)))) * F.stddev_samp(value)
     limits = held.join(F.broadcast(mean), "lang").groupBy("lang", "mean", "held").agg(F.exp(F.greatest(F.percentile(value, F.lit(quantile)), far)).alias("threshold"))
     limits = limits.select("lang", "mean", F.when(F.col("held") >= LEAST_HELD_OUT, F.col("threshold")).alias("threshold"))
-    # at most LANGUAGES rows
+    # a row for each language
     judged = rows.join(F.broadcast(limits), "lang", "left")
     perplexity = F.when(F.col("known") & (F.col("n") > 0), drawn(F.coalesce("mean", F.col("nats") / F.col("n"))))
     return judged.select(F.col("id").alias(id_col), "lang", F.col("n").alias("n_words"), perplexity.alias("perplexity"), "threshold", F.coalesce(perplexity <= F.col("threshold"), F.lit(True)).alias("kept"), F.col("row").alias("__row"))
 
 
-def _pairs(batch: pa.RecordBatch, text: int, lang: int, vocabulary: Vocabulary) -> tuple[hashing.Words, list[np.ndarray | None]]:
-    """The words, and the pairs of ids of each text, in order; None where the language has no model."""
-    found = hashing.Words(batches.as_bytes(batch.column(text)))
-    shape = shapes(found) if len(found.start) else np.zeros(0, dtype=np.int64)
-    out: list[np.ndarray | None] = []
-    for a, b, x in zip(found.first[:-1], found.first[1:], batch.column(lang).to_pylist(), strict=True):
-        number = vocabulary.languages.get(x)
-        if number is None:
-            out.append(None)
-        else:
-            ids = vocabulary.ids(found.hash[a:b], shape[a:b], number)
-            out.append(ids[:-1] << _ID_BITS | ids[1:])
-    return found, out
-
-
-def _transitions(found: hashing.Words, langs: list[str], vocabulary: Vocabulary) -> np.ndarray:
-    """language << 16 | byte before << 8 | byte, for each byte; white space is one byte."""
-    raw = np.frombuffer(found.data, dtype=np.uint8)
-    folded = np.where((raw >= 9) & (raw <= 13), 32, raw).astype(np.int64)
-    number = np.array([vocabulary.languages.get(x, 0) for x in langs], dtype=np.int64)
-    return np.repeat(number, np.diff(found.cuts)) << 16 | np.concatenate([[32], folded[:-1]]) << 8 | folded
-
-
-def _by_word(found: hashing.Words, value: np.ndarray) -> np.ndarray:
-    """Sums over each word's bytes and the white space after it."""
-    total = np.concatenate([[0.0], np.cumsum(value)])
-    return total[found.end + 1] - total[found.start]
-
-
-def _spelled(found: hashing.Words, pairs: list[np.ndarray | None], vocabulary: Vocabulary) -> np.ndarray:
-    """Transitions of the words outside the vocabulary."""
-    out = [np.zeros(0, dtype=np.int64)]
-    raw = np.frombuffer(found.data, dtype=np.uint8)
-    folded = np.where((raw >= 9) & (raw <= 13), 32, raw).astype(np.int64)
-    for i, own in enumerate(pairs):
-        if own is not None and len(own):
-            second = own & (1 << _ID_BITS) - 1
-            outside = np.flatnonzero(second < vocabulary.offset) + found.first[i]
-            language = int(own[0] >> _ID_BITS) // SHAPES
-            size = found.end[outside] + 1 - found.start[outside]
-            at = np.repeat(found.start[outside] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(outside) else np.zeros(0, dtype=np.int64)
-            before = np.where(at > 0, folded[at - 1], 32)
-            out.append(language << 16 | before << 8 | folded[at])
-    return np.concatenate(out)
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns. A rejected row takes no other text or language of its id (or of null ids) with it."""
     rejected = written(_judged(docs, labels, id_col).where("not kept").select(F.col(id_col).alias("__id"), F.col("__row").alias("__rejected")).distinct(), "rejected")

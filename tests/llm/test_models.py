@@ -119,6 +119,23 @@ def test_quality_without_labels_or_documents(llm):
     assert quality_lm.keep_good(docs, none).columns == docs.columns
 
 
+def test_neither_words_nor_languages_are_limited(llm):
+    rng = random.Random(9)
+    many = [f"v{k}" for k in range(70_000)] * 3
+    rng.shuffle(many)
+    texts = [" ".join(many[k:k + 2000]) for k in range(0, len(many), 2000)]
+    rows = [(i, t, "xx") for i, t in enumerate(texts)] + [(10_000 + 100 * x + k, f"only{x} " * (40 if x < 69 else 3) + f"and{x}", f"l{x}") for x in range(70) for k in range(12 if x < 69 else 8)]
+    docs = llm.createDataFrame([(i, t, lang, "s") for i, t, lang in rows], "doc_id long, text string, lang string, source string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    held = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality_lm.HELD_OUT)) == 0).select("doc_id").collect()}
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.judge(docs.repartition(3), labels).collect()}
+    assert len(got) == len(rows) and all(p is not None for p in got.values())
+    train = [t for i, t in enumerate(texts) if i not in held]
+    assert sum(n > 1 for n in Counter(w for t in train for w in t.split()).values()) > 65_536
+    counts = brute_perplexity(train, [t for i, t in enumerate(texts) if i in held], texts[:3], quality_lm.VOCABULARY, quality_lm.PRIOR_WORDS)
+    assert all(math.isclose(got[i], p, rel_tol=1e-6) for i, p in enumerate(counts))
+
+
 def test_shapes():
     texts = ["a The ABC aBc x1 ... don't end. &&& w*** ÉÉ É é! A"]
     assert quality_lm.shapes(hashing.Words([t.encode() for t in texts])).tolist() == [shape(w) for w in texts[0].split()]
