@@ -18,10 +18,12 @@ languages are limited; an id is a 64-bit hash of language and word.
   answer with one sum for each document.
 * What is broadcast has a few numbers, eight shapes and at most 65,536 byte
   pairs for each language.
-* Of the trusted documents one in ``HELD_OUT`` is kept out of training. Their
-  perplexities give each language its threshold, a high quantile, but no lower
-  than some deviations above the mean (a quantile of few texts is too low). A short
-  text's mean is drawn towards its language's mean by PRIOR_WORDS words.
+* Of the trusted documents one in ``HELD_OUT`` is kept out of training. The
+  others are held out in turn, by models that are trained without a third of
+  them (cross-validation), so each trusted document has a held-out perplexity.
+  How far these lie above their model's mean gives each language its threshold,
+  a high quantile. A short text's mean is drawn towards its language's mean by
+  PRIOR_WORDS words.
 """
 
 from __future__ import annotations
@@ -43,16 +45,17 @@ from feedweave.llm.batches import broadcast_if_small, written
 VOCABULARY = 1 << 64
 #: Shapes of words outside the vocabulary; 0 is the start of a text.
 SHAPES = 8
-HELD_OUT = 10
+#: Of the trusted documents one in so many is fold 0; the others are dealt to folds 1 to FOLDS - 1. Model k is trained without fold k; model 0 judges.
+HELD_OUT, FOLDS = 10, 4
 QUANTILE, PRIOR_WORDS = 0.99, 20
-#: A threshold is no lower than so many standard deviations of the logarithm above the mean, more of them where few texts are held out.
-SPREADS = 3.0
 #: A threshold needs so many held-out documents; a language with fewer rejects nothing.
 LEAST_HELD_OUT = 5
 #: Pairs sent to one shard, about; bytes of text in a slice.
 SHARD_PAIRS, SCORED_BYTES = 1 << 23, 2 << 20
 #: Bytes of an id or pair that are sent to its shard.
 _SENT = 6
+#: Tells a row's scores by another model from those by model 0.
+_OTHER = 0x123456789ABCDEF
 
 _KIND = np.full(256, 3, dtype=np.uint8)  # 0 lower or not ASCII, 1 upper, 2 digit, 3 symbol
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 0, 1, 2, 0
@@ -101,6 +104,7 @@ class Model:
         self.low = np.array([discounts(list(map(int, row[:4]))) for row in before]).reshape(-1, 3)
         self.all_pairs = np.maximum(before[:, 5], 1).astype(float)
         cut = (self.low * before[:, [0, 1, 4]]).sum(axis=1)
+        self.trained = before[:, 5] > 0
         self.rest = np.where(before[:, 5] > 0, cut / self.all_pairs, 1.0) / (SHAPES + words)
 
     def log_weight(self, language: np.ndarray, total: np.ndarray, kinds: list[np.ndarray]) -> np.ndarray:
@@ -149,7 +153,10 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-_SLICE = "slice long, training boolean, rows binary, lengths binary, languages binary, places binary, keys binary, shapes binary, letters binary, sizes binary"
+_SLICE = "slice long, fold int, rows binary, lengths binary, languages binary, places binary, hashes binary, shapes binary, letters binary, sizes binary"
+
+
+_WORDS = ["model", "places", "hashes", "lengths", "languages"]
 
 
 def _encoded(batch: pa.RecordBatch, number: dict[str, int]) -> tuple:
@@ -158,18 +165,31 @@ def _encoded(batch: pa.RecordBatch, number: dict[str, int]) -> tuple:
     texts = [t if x >= 0 else b"" for t, x in zip(batches.as_bytes(batch.column(0)), langs, strict=True)]
     found = hashing.Words(texts)
     lengths = np.diff(found.first)
-    keys, at, places = np.unique(key(found.hash, np.repeat(langs, lengths)), return_index=True, return_inverse=True)
+    _, at, places = np.unique(key(found.hash, np.repeat(langs, lengths)), return_index=True, return_inverse=True)
     shape = shapes(found)[at] if len(at) else np.zeros(0, dtype=np.int64)
     size = found.end[at] - found.start[at]
     letters = np.frombuffer(found.data, dtype=np.uint8)[np.repeat(found.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    return (batch.column(2).to_numpy().astype("<i8").tobytes(), lengths.astype("<i4").tobytes(), langs.astype("<i4").tobytes(), places.astype(_places(len(keys))).tobytes(),
-            keys.astype("<u8").tobytes(), shape.astype(np.uint8).tobytes(), letters.tobytes(), size.astype("<i4").tobytes())
+    return (batch.column(2).to_numpy().astype("<i8").tobytes(), lengths.astype("<i4").tobytes(), langs.astype("<i4").tobytes(), places.astype(_places(len(at))).tobytes(),
+            found.hash[at].astype("<u8").tobytes(), shape.astype(np.uint8).tobytes(), letters.tobytes(), size.astype("<i4").tobytes())
 
 
 def _places(keys: int) -> str:
     return "<u2" if keys <= 1 << 16 else "<u4"
 
 
+class Words:
+    """Of a slice as one model sees it: each document's length and language, the distinct words' ids and languages, and where the documents have them. Language x of model k is k * languages + x."""
+
+    def __init__(self, r: dict, languages: int):
+        read = lambda name, kind: np.frombuffer(r[name], kind)
+        hashes, own = read("hashes", "<u8"), read("languages", "<i4").astype(np.int64)
+        self.lengths, self.languages = read("lengths", "<i4").astype(np.int64), np.where(own >= 0, own + r["model"] * languages, -1)
+        self.places = read("places", _places(len(hashes))).astype(np.int64)
+        self.language = np.zeros(len(hashes), dtype=np.int64)
+        self.language[self.places] = np.repeat(self.languages, self.lengths)
+        self.keys = key(hashes, self.language)
+
+
 def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of keys by shard, and where each shard begins in it."""
     shard = (keys % np.uint64(shards)).astype(np.int64)
@@ -177,17 +197,15 @@ def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-class Slice:
-    """A slice, with what the shards answered for its distinct words (hits, and values for each of them)."""
+class Slice(Words):
+    """These, with what the shards answered for its distinct words (hits, and values for each of them)."""
 
-    def __init__(self, table: pa.Table, answers: pa.Table, shards: int, values: int = 0):
+    def __init__(self, table: pa.Table, answers: pa.Table, shards: int, languages: int, values: int = 0):
         r = table.slice(0, 1).to_pylist()[0]
         read = lambda name, kind: np.frombuffer(r[name], kind)
-        self.rows, self.lengths, self.languages = read("rows", "<i8"), read("lengths", "<i4").astype(np.int64), read("languages", "<i4").astype(np.int64)
-        keys, self.shape = read("keys", "<u8"), read("shapes", np.uint8).astype(np.int64)
-        self.places = read("places", _places(len(keys))).astype(np.int64)
-        self.language = np.zeros(len(keys), dtype=np.int64)
-        self.language[self.places] = np.repeat(self.languages, self.lengths)
+        super().__init__(r, languages)
+        keys, self.shape = self.keys, read("shapes", np.uint8).astype(np.int64)
+        self.rows = read("rows", "<i8") ^ np.int64(r["model"] * _OTHER)
         self.known, self.values = np.zeros(len(keys), dtype=bool), np.zeros((len(keys), values))
         order, cuts = _by_shard(keys, shards)
         for s, hits, value in zip(answers.column("s").to_pylist(), answers.column("hits").to_pylist(), answers.column("values").to_pylist(), strict=True):
@@ -221,16 +239,16 @@ class Slice:
         return self.language[outside][word] << 16 | byte(at - 1, place > 0) << 8 | byte(at, place < end), outside[word]
 
 
-def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int) -> DataFrame:
+def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int, languages: int) -> DataFrame:
     """What the shards of table (key, names) answer for the distinct words of each slice: slice, s, hits (places among the slice's words of the shard), values."""
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for number, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = np.frombuffer(keys, "<u8")
+            for r in batch.to_pylist():
+                keys = Words(r, languages).keys
                 order, cuts = _by_shard(keys, shards)
                 held = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), number)), pa.array([_pack(keys[order[cuts[s]:cuts[s + 1]]]) for s in held], pa.binary())], ["s", "slice", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), r["slice"])), pa.array([_pack(keys[order[cuts[s]:cuts[s + 1]]]) for s in held], pa.binary())], ["s", "slice", "keys"])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         own = _unpack(_pack(known.column("key").to_numpy().view(np.uint64)))
@@ -245,7 +263,7 @@ def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: in
             values.append(value[at[hit]].astype("<f8").tobytes())
         return pa.table({"s": asked.column("s"), "slice": asked.column("slice"), "hits": pa.array(hits, pa.binary()), "values": pa.array(values, pa.binary())})
 
-    asked = slices.select("slice", "keys").mapInArrow(ask, "s long, slice long, keys binary")
+    asked = slices.select("slice", *_WORDS).mapInArrow(ask, "s long, slice long, keys binary")
     held = table.select(_shard("key", shards).alias("s"), "key", *names)
     return asked.groupBy("s").cogroup(held.groupBy("s")).applyInArrow(answer, "s long, slice long, hits binary, values binary")
 
@@ -261,8 +279,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     labels has id and quality; documents with quality 1 are trusted (a repeated
     label counts once). perplexity is that of the text, drawn to the language's
-    mean by ``prior_words`` words; threshold is that of the held-out
-    trusted documents of the language. Rejected: perplexity above threshold.
+    mean by ``prior_words`` words; threshold is the ``quantile`` of the language's
+    trusted documents, each scored by a model that has not seen it. Rejected: perplexity above threshold.
     Null lang is a language of its own. A language without a model or with too
     few held-out documents has null perplexity or threshold and rejects
     nothing; neither does a text without words (null text is empty). Null ids
@@ -283,11 +301,11 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     trusted = labels.where((F.col(quality_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    trusted = trusted.withColumn("held_out", F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0)
-    marks = broadcast_if_small(trusted)
-    training = plain.join(marks.where("not held_out").select("id"), "id", "left_semi")
+    dealt = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT))
+    marks = broadcast_if_small(trusted.withColumn("fold", F.when(dealt == 0, 0).otherwise(1 + F.floor((dealt - 1) * (FOLDS - 1) / (HELD_OUT - 1))).cast("int")))
 
-    languages = sorted(r["lang"] for r in training.select("lang").distinct().collect())
+    languages = sorted(r["lang"] for r in plain.join(marks, "id", "left_semi").select("lang").distinct().collect())
+    numbers = len(languages) * FOLDS
     number = {x: i for i, x in enumerate(languages)}
     sent_number = spark.sparkContext.broadcast(number)
     keyed = plain.withColumn("row", _row("id", "text", "lang"))
@@ -298,31 +316,30 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId() << 32, 0
         for batch in batches.slices(rows, text=0, limit=SCORED_BYTES):
-            for training in (True, False):
-                own = batch.filter(pc.equal(batch.column(3), training))
+            for fold in range(-1, FOLDS):
+                own = batch.filter(pc.equal(batch.column(3), fold))
                 if own.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task + count, training, *_encoded(own, sent_number.value))], [c.split()[0] for c in _SLICE.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if x is fold else None) for x in (task + count, fold, *_encoded(own, sent_number.value))], [c.split()[0] for c in _SLICE.split(", ")])
                     count += 1
 
-    marked = keyed.join(marks.where("not held_out").select("id", F.lit(True).alias("training")), "id", "left")
-    slices = written(marked.select("text", "lang", "row", F.coalesce("training", F.lit(False)).alias("training")).mapInArrow(encode, _SLICE), "slices")
-    trained = slices.where("training")
+    # a slice's documents are of one fold, -1 if they aren't trusted
+    slices = written(keyed.join(marks, "id", "left").select("text", "lang", "row", F.coalesce("fold", F.lit(-1)).alias("fold")).mapInArrow(encode, _SLICE), "slices")
+    by_model = lambda df, models: df.withColumn("model", F.explode(models)).withColumn("slice", F.col("slice") * FOLDS + F.col("model")).drop("fold")
+    trained = by_model(slices.where("fold >= 0"), F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold")))
+    scoring = by_model(slices, F.when(F.col("fold") > 0, F.array(F.lit(0), F.col("fold"))).otherwise(F.array(F.lit(0))))
 
     def word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for keys, places, lengths, langs in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
-                keys = np.frombuffer(keys, "<u8")
-                places = np.frombuffer(places, _places(len(keys)))
-                language = np.zeros(len(keys), dtype=np.int32)
-                language[places] = np.repeat(np.frombuffer(langs, "<i4"), np.frombuffer(lengths, "<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(language), pa.array(np.bincount(places, minlength=len(keys)))], ["key", "language", "n"])
-
-    counted = trained.select("keys", "places", "lengths", "languages").mapInArrow(word_counts, "key long, language int, n long")
+            for r in batch.to_pylist():
+                own = Words(r, len(languages))
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys.view(np.int64)), pa.array(own.language.astype(np.int32)), pa.array(np.bincount(own.places, minlength=len(own.keys)))], ["key", "language", "n"])
+
+    counted = trained.select(*_WORDS).mapInArrow(word_counts, "key long, language int, n long")
     words = written(counted.groupBy("key").agg(F.min("language").alias("language"), F.sum("n").alias("n")).where("n > 1").select("key", "language"), "vocabulary")
 
     def pair_counts(one: pa.Table, answers: pa.Table) -> pa.Table:
         """Pairs of ids (language 0 and up), and byte pairs of words outside the vocabulary (language -1)."""
-        own = Slice(one, answers, shards)
+        own = Slice(one, answers, shards, len(languages))
         first, second = own.pairs()
         pair, at, n = np.unique(pair_key(first, second), return_index=True, return_counts=True)
         language = np.repeat(own.languages, own.lengths)[at]
@@ -334,9 +351,9 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         signed = lambda x: x.view(np.int64)
         return pa.table({"pair": joined(signed(pair), spelled, np.int64), "language": joined(language, none - 1, np.int32), "first": joined(signed(first[at]), none, np.int64), "second": joined(signed(second[at]), none, np.int64), "n": joined(n, times, np.int64)})
 
-    found = trained.groupBy("slice").cogroup(_looked_up(trained, words, [], shards).groupBy("slice")).applyInArrow(pair_counts, "pair long, language int, first long, second long, n long")
+    found = trained.groupBy("slice").cogroup(_looked_up(trained, words, [], shards, len(languages)).groupBy("slice")).applyInArrow(pair_counts, "pair long, language int, first long, second long, n long")
     pairs = written(found.groupBy("language", "pair").agg(F.min("first").alias("first"), F.min("second").alias("second"), F.sum("n").alias("n")), "pairs")
-    # at most 65,536 for each language
+    # at most 65,536 for each language of a model
     letters = pairs.where("language < 0").select("pair", "n").toArrow()
     pairs = pairs.where("language >= 0")
     by_first = pairs.groupBy(F.col("first").alias("key")).agg(F.min("language").alias("language"), F.sum("n").alias("total"), *(F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)))
@@ -344,7 +361,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     unigrams = written(by_first.join(by_second, ["key", "language"], "full").na.fill(0, ["total", "n1", "n2", "n3", "before"]), "unigrams")
 
     def by_language(counts: DataFrame, names: list[str]) -> np.ndarray:
-        out = np.zeros((len(languages), len(names)), dtype=np.int64)
+        out = np.zeros((numbers, len(names)), dtype=np.int64)
         for r in counts.collect():
             out[r["language"]] = [r[x] for x in names]
         return out
@@ -362,7 +379,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     sent_model = spark.sparkContext.broadcast((model,))
     scored_ids = written(unigrams.mapInArrow(scores, "key long, total long, log_weight double, log_p double"), "unigram-scores")
     # the start of a text and the shapes, of each language
-    every, of_shape = np.repeat(np.arange(len(languages)), SHAPES), np.tile(np.arange(SHAPES), len(languages))
+    every, of_shape = np.repeat(np.arange(numbers), SHAPES), np.tile(np.arange(SHAPES), numbers)
     marks_of = key(of_shape, every).view(np.int64)
     place = {int(k): i for i, k in enumerate(marks_of)}
     start_weight, start_p = np.zeros(len(every)), model.log_p(every, np.zeros(len(every), dtype=np.int64)) if len(every) else np.zeros(0)
@@ -375,7 +392,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def requests(one: pa.Table, answers: pa.Table) -> pa.Table:
         """By shard: rows, how many distinct pairs of each, the pairs and their counts; with each row's own sum at its home."""
         _, shape_weight, shape_p, spelling = sent_scores.value
-        own = Slice(one, answers, shards, values=2)
+        own = Slice(one, answers, shards, len(languages), values=2)
         at_shape = own.language * SHAPES + own.shape
         log_weight, log_p = (np.where(own.known, own.values[:, k], x[at_shape] if len(at_shape) else 0.0) for k, x in enumerate((shape_weight, shape_p)))
         spelled, word = own.spelled()
@@ -435,8 +452,8 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return pa.table({"row": pa.array(joined[0].astype(np.int64)), "log_p": pa.array(joined[1]), "n": pa.array(joined[2].astype(np.int64)), "copies": pa.array(joined[3].astype(np.int64))})
 
     vocabulary = scored_ids.join(words.select("key"), "key", "left_semi")
-    looked = _looked_up(slices, vocabulary, ["log_weight", "log_p"], shards)
-    asked = slices.groupBy("slice").cogroup(looked.groupBy("slice")).applyInArrow(requests, "shard long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
+    looked = _looked_up(scoring, vocabulary, ["log_weight", "log_p"], shards, len(languages))
+    asked = scoring.groupBy("slice").cogroup(looked.groupBy("slice")).applyInArrow(requests, "shard long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
     ids = broadcast_if_small(scored_ids)
     of_first, of_second = ids.select(F.col("key").alias("first"), "total", "log_weight"), ids.select(F.col("key").alias("second"), "log_p")
     lower = pairs.join(of_first, "first").join(of_second, "second").select(_shard("pair", shards).alias("shard"), "pair", "language", "n", "total", (F.col("log_weight") + F.col("log_p")).alias("lower"))
@@ -444,17 +461,21 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     sums = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "row long, log_p double, n long, copies long")
     scored = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
     # rows that repeat were summed together
-    scored = scored.select("row", (-F.col("log_p") / F.col("copies")).alias("nats"), (F.col("n") / F.col("copies")).cast("long").alias("n"))
-    modelled = F.broadcast(spark.createDataFrame([(x, True) for x in languages], "lang string, known boolean"))
-    rows = written(keyed.select("id", "lang", "row").join(scored, "row").join(modelled, "lang", "left").na.fill(False, ["known"]), "scored")
-
-    held = rows.join(broadcast_if_small(trusted.where("held_out").select("id")), "id", "left_semi").where("known and n > 0")
-    mean = held.groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("held"))
+    scored = written(scored.select("row", (-F.col("log_p") / F.col("copies")).alias("nats"), (F.col("n") / F.col("copies")).cast("long").alias("n")), "scored")
+    modelled = F.broadcast(spark.createDataFrame([(x, k, True) for k in range(FOLDS) for x in languages if model.trained[k * len(languages) + number[x]]], "lang string, fold int, known boolean"))
+    rows = keyed.select("id", "lang", "row").join(scored, "row").join(modelled.where("fold = 0").drop("fold"), "lang", "left").na.fill(False, ["known"])
+
+    # each trusted document by the model that has not seen it
+    held = keyed.select("id", "lang", "row").join(marks, "id").withColumn("row", F.col("row").bitwiseXOR(F.col("fold").cast("long") * F.lit(_OTHER)))
+    held = written(held.join(scored, "row").join(modelled, ["lang", "fold"]).where("n > 0").select("lang", "fold", "nats", "n"), "held-out")
+    means = held.groupBy("lang", "fold").agg((F.sum("nats") / F.sum("n")).alias("of_fold"))
+    above = held.join(F.broadcast(means), ["lang", "fold"]).withColumn("above", (F.col("nats") - F.col("n") * F.col("of_fold")) / (F.col("n") + prior_words))
+    level = F.percentile_approx("above", F.lit(quantile), F.lit(100_000))
+    # the mean of the judging model's own held-out documents, or else that of the other models'
+    limits = above.groupBy("lang").agg(F.sum(F.when(F.col("fold") == 0, F.col("nats"))).alias("own"), F.sum(F.when(F.col("fold") == 0, F.col("n"))).alias("own_n"), (F.sum("nats") / F.sum("n")).alias("all"), F.count(F.lit(1)).alias("held"), level.alias("level"))
+    limits = limits.withColumn("mean", F.coalesce(F.col("own") / F.col("own_n"), "all"))
+    limits = limits.select("lang", "mean", F.when(F.col("held") >= LEAST_HELD_OUT, F.exp(F.col("mean") + F.col("level"))).alias("threshold"))
     drawn = lambda c: F.exp((F.col("nats") + prior_words * c) / (F.col("n") + prior_words))
-    value = F.log(drawn(F.col("mean")))
-    far = F.avg(value) + (SPREADS + 2 * SPREADS / F.sqrt(F.count(F.lit(1)))) * F.stddev_samp(value)
-    limits = held.join(F.broadcast(mean), "lang").groupBy("lang", "mean", "held").agg(F.exp(F.greatest(F.percentile(value, F.lit(quantile)), far)).alias("threshold"))
-    limits = limits.select("lang", "mean", F.when(F.col("held") >= LEAST_HELD_OUT, F.col("threshold")).alias("threshold"))
     # a row for each language
     judged = rows.join(F.broadcast(limits), "lang", "left")
     perplexity = F.when(F.col("known") & (F.col("n") > 0), drawn(F.coalesce("mean", F.col("nats") / F.col("n"))))

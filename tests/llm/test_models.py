@@ -136,6 +136,16 @@ def test_neither_words_nor_languages_are_limited(llm):
     assert all(math.isclose(got[i], p, rel_tol=1e-6) for i, p in enumerate(counts))
 
 
+def test_thresholds_of_given_documents(llm):
+    sf = "/root/testdata/sf0.01"
+    labels = llm.read.parquet(f"{sf}/labels.parquet")
+    found = quality_lm.judge(llm.read.parquet(f"{sf}/documents.parquet"), labels).collect()
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    gone = Counter((r["lang"], quality.get(r["doc_id"])) for r in found if not r["kept"])
+    assert gone["en", 0] >= 36 and gone["es", 0] == 5
+    assert sum(n for (_, q), n in gone.items() if q == 1) <= 0.02 * sum(quality.get(r["doc_id"]) == 1 for r in found)
+
+
 def test_shapes():
     texts = ["a The ABC aBc x1 ... don't end. &&& w*** ÉÉ É é! A"]
     assert quality_lm.shapes(hashing.Words([t.encode() for t in texts])).tolist() == [shape(w) for w in texts[0].split()]
