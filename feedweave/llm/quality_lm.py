@@ -22,7 +22,7 @@ languages are limited; an id is a 64-bit hash of language and word.
   others are held out in turn, by models that are trained without a third of
   them (cross-validation), so each trusted document has a held-out perplexity.
   How far these lie above their model's mean gives each language its threshold,
-  a high quantile. A short text's mean is drawn towards its language's mean by
+  a high quantile; a language with few of them takes that of all languages. A short text's mean is drawn towards its language's mean by
   PRIOR_WORDS words.
 """
 
@@ -48,7 +48,7 @@ SHAPES = 8
 #: Of the trusted documents one in so many is fold 0; the others are dealt to folds 1 to FOLDS - 1. Model k is trained without fold k; model 0 judges.
 HELD_OUT, FOLDS = 10, 4
 QUANTILE, PRIOR_WORDS = 0.99, 20
-#: A threshold needs so many held-out documents; a language with fewer rejects nothing.
+#: A language's own quantile needs so many held-out documents; one with fewer takes that of all languages, if it is higher.
 LEAST_HELD_OUT = 5
 #: Pairs sent to one shard, about; bytes of text in a slice.
 SHARD_PAIRS, SCORED_BYTES = 1 << 23, 2 << 20
@@ -281,8 +281,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label counts once). perplexity is that of the text, drawn to the language's
     mean by ``prior_words`` words; threshold is the ``quantile`` of the language's
     trusted documents, each scored by a model that has not seen it. Rejected: perplexity above threshold.
-    Null lang is a language of its own. A language without a model or with too
-    few held-out documents has null perplexity or threshold and rejects
+    Null lang is a language of its own. A language with fewer than
+    LEAST_HELD_OUT trusted documents has the quantile of all languages, above
+    its own mean. One without trusted text, or with all of it in one fold, has
+    no text to hold against a model: null perplexity or threshold, rejects
     nothing; neither does a text without words (null text is empty). Null ids
     are never trusted. Repeated rows are judged alike. Other columns are not
     read. An empty table, or one without labels, rejects nothing.
@@ -319,7 +321,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             for fold in range(-1, FOLDS):
                 own = batch.filter(pc.equal(batch.column(3), fold))
                 if own.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if x is fold else None) for x in (task + count, fold, *_encoded(own, sent_number.value))], [c.split()[0] for c in _SLICE.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((task + count, fold, *_encoded(own, sent_number.value)), [pa.int64(), pa.int32(), *[pa.binary()] * 8], strict=True)], [c.split()[0] for c in _SLICE.split(", ")])
                     count += 1
 
     # a slice's documents are of one fold, -1 if they aren't trusted
@@ -474,7 +476,8 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     # the mean of the judging model's own held-out documents, or else that of the other models'
     limits = above.groupBy("lang").agg(F.sum(F.when(F.col("fold") == 0, F.col("nats"))).alias("own"), F.sum(F.when(F.col("fold") == 0, F.col("n"))).alias("own_n"), (F.sum("nats") / F.sum("n")).alias("all"), F.count(F.lit(1)).alias("held"), level.alias("level"))
     limits = limits.withColumn("mean", F.coalesce(F.col("own") / F.col("own_n"), "all"))
-    limits = limits.select("lang", "mean", F.when(F.col("held") >= LEAST_HELD_OUT, F.exp(F.col("mean") + F.col("level"))).alias("threshold"))
+    limits = limits.crossJoin(F.broadcast(above.agg(level.alias("pooled")))).withColumn("level", F.when(F.col("held") >= LEAST_HELD_OUT, F.col("level")).otherwise(F.greatest("level", "pooled")))
+    limits = limits.select("lang", "mean", F.exp(F.col("mean") + F.col("level")).alias("threshold"))
     drawn = lambda c: F.exp((F.col("nats") + prior_words * c) / (F.col("n") + prior_words))
     # a row for each language
     judged = rows.join(F.broadcast(limits), "lang", "left")

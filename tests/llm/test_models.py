@@ -146,6 +146,16 @@ def test_thresholds_of_given_documents(llm):
     assert sum(n for (_, q), n in gone.items() if q == 1) <= 0.02 * sum(quality.get(r["doc_id"]) == 1 for r in found)
 
 
+def test_a_small_language_rejects_junk(llm):
+    rng = random.Random(10)
+    rows = [(i, " ".join(samples.words(rng, 60)), "xx") for i in range(150)] + [(200 + k, " ".join(samples.words(rng, 60, 0.1)), "yy") for k in range(4)] + [(300, "&&&&Q!! ****Q!! " * 100, "yy")]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = llm.createDataFrame([(i, int(i < 300)) for i, _, _ in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_lm.judge(docs, labels).collect()}
+    assert got[200]["threshold"] is not None and not got[300]["kept"]
+    assert sum(got[i]["kept"] for i in (200, 201, 202, 203)) >= 3
+
+
 def test_shapes():
     texts = ["a The ABC aBc x1 ... don't end. &&& w*** ÉÉ É é! A"]
     assert quality_lm.shapes(hashing.Words([t.encode() for t in texts])).tolist() == [shape(w) for w in texts[0].split()]
