@@ -23,6 +23,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_ngram_join with the number of links of each document; every pair of classes is searched."""
+    return ngram_join.join_links(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizing.vocabulary_path("byte_bpe_50k.json"), limit=1024)
 
@@ -88,7 +93,7 @@ def _query(run):
     return query
 
 
-QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_extraction, op7_nearest, op8_substring_dedup, op9_packing, op10_url_filter)}
+QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, ngram_links, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_extraction, op7_nearest, op8_substring_dedup, op9_packing, op10_url_filter)}
 
 _LOWERED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 

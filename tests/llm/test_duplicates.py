@@ -92,6 +92,20 @@ def test_ngram_join(llm, monkeypatch, n, percent, block):
     assert samples.rows_of(got, "doc_id", "n_shingles", "component_id") == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("n, percent, block", [(4, 85, None), (5, 80, 100)])
+def test_every_link_is_counted(llm, monkeypatch, n, percent, block):
+    if block:
+        monkeypatch.setattr(ngram_join, "BLOCK_POSTINGS", block)
+        monkeypatch.setattr(ngram_join, "FREQUENT_SHARE", 0.05)
+    rows = samples.texts(n)
+    sets = [shingles(t, n) for _, t in rows]
+    links = [sum(i != j and bool(a and b) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = ngram_join.join_links(samples.documents(llm, rows).repartition(3), n, percent)
+    assert samples.rows_of(got, "doc_id", "n_shingles", "component_id") == brute_components(rows, n, percent)
+    assert samples.rows_of(got, "doc_id", "n_shingles", "n_links") == sorted(((i, len(s), k) for (i, _), s, k in zip(rows, sets, links, strict=True)), key=repr)
+    assert max(links) > 8
+
+
 def test_ngram_join_of_nothing(llm):
     assert ngram_join.join_components(samples.documents(llm, [])).count() == 0
     only_empty = samples.documents(llm, [(1, None), (2, ""), (3, "a")])
