@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import feedweave
-from feedweave.llm import block_labeller, byte_bpe, collision_search, exact_dedup, ngram_join, packing, quality_lm, substring_dedup, token_counts, tokenizing, url_templates
+from feedweave.llm import block_labeller, byte_bpe, collision_search, collocations, exact_dedup, merkle_manifest, merkle_sql, ngram_join, packing, quality_lm, string_kernel, substring_dedup, token_counts, tokenizing, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_kernel.predict_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"), top=2000, longest=5, least=100, subsumed_percent=100)
+
+
 def shipped(spark: SparkSession) -> None:
     """Lets Python workers import this package wherever the session runs: one zip file, sent by Spark, once a context."""
     context = spark.sparkContext
@@ -93,7 +105,7 @@ def _query(run):
     return query
 
 
-QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, ngram_links, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_extraction, op7_nearest, op8_substring_dedup, op9_packing, op10_url_filter)}
+QUERIES = {f.__name__: _query(f) for f in (op1_ngram_join, ngram_links, op2_token_counts, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_extraction, op7_nearest, op8_substring_dedup, op9_packing, op10_url_filter, op11_language, op12_merkle_manifest, op13_collocations)}
 
 _LOWERED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -143,6 +155,8 @@ def _url_sql() -> str:
 
 ORACLE = {
     "op10_url_filter": _url_sql(),
+    "op12_merkle_manifest": merkle_sql.MERKLE_SQL,
+    "op13_collocations": collocations.COLLOCATIONS_SQL,
     "op1_ngram_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
         p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0),
