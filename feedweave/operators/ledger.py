@@ -12,10 +12,13 @@ by a compaction job that rewrites a snapshot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.operators.common import date_lit
+from feedweave.session import reliable_checkpoint
 
 LEDGER_COLUMNS = ["link", "digest_type", "first_seen"]
 
@@ -95,6 +98,99 @@ def replay(sightings: DataFrame, dedup_days: int = 7) -> DataFrame:
                           F.explode(accepted).alias("run_date"))
 
 
+KEY = ["digest_type", "link"]
+ACCEPTED_COLUMNS = [*KEY, "run_date"]
+
+
+def _fold(dates: Column, held: Column, gap: int) -> Column:
+    """Accepted dates of a key's sorted distinct dates, after a sighting accepted on ``held`` (NULL: none)."""
+    def step(acc, d):
+        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), held)
+        return F.when(last.isNull() | (d >= F.date_add(last, gap)), F.concat(acc, F.array(d))).otherwise(acc)
+    return F.aggregate(dates, F.array().cast("array<date>"), step)
+
+
+def refold(sightings: DataFrame, accepted: DataFrame, late: DataFrame, dedup_days: int = 7,
+           span_days: int | None = None) -> DataFrame:
+    """Changes that late sightings make to the accepted ones (L1): ``(digest_type, link, run_date, added)``.
+
+    ``sightings``: every known one, the late ones included; ``accepted``: the
+    replay without the late ones; ``late``: those that came after their day was
+    computed.  All are ``(digest_type, link, run_date)``, stored by ``run_date``.
+
+    Only keys of ``late`` are folded again, each from its first late date, in
+    spans of ``span_days``: a span reads its own days only.  A key goes on to
+    the next span while its last accepted date differs from the stored one and
+    either could still suppress a sighting; after that both folds are the same
+    for good, unless more late dates follow.  ``added`` is false where a stored date is no longer accepted.
+    """
+    gap = dedup_days + 1
+    span = span_days or 4 * gap
+    end = sightings.agg(F.max("run_date")).first()[0]
+    active = late.groupBy(*KEY).agg(F.min("run_date").alias("from_date"), F.max("run_date").alias("to_date"))
+    # the last date accepted before a key's first late one, as far as it can suppress anything
+    first = late.agg(F.min("run_date")).first()[0]
+    no_change = accepted.select(*ACCEPTED_COLUMNS).limit(0).withColumn("added", F.lit(True))
+    if first is None or end is None:
+        return no_change
+    near = accepted.filter(F.col("run_date") >= F.lit(first - dt.timedelta(dedup_days)))
+    before = (near.join(active, KEY).filter(F.col("run_date") < F.col("from_date"))
+              .groupBy(*KEY).agg(F.max("run_date").alias("held")))
+    active = reliable_checkpoint(active.join(before, KEY, "left").withColumn("stored", F.col("held")))
+    out = None
+    while first is not None and first <= end:
+        last = first + dt.timedelta(span - 1)
+        days = F.col("run_date").between(F.lit(first), F.lit(last))
+        seen = (sightings.filter(days).join(active.select(*KEY, "from_date"), KEY)
+                .filter(F.col("run_date") >= F.col("from_date"))
+                .groupBy(*KEY).agg(F.array_sort(F.collect_set("run_date")).alias("dates")))
+        old = (accepted.filter(days).join(active.select(*KEY, "from_date"), KEY)
+               .filter(F.col("run_date") >= F.col("from_date"))
+               .groupBy(*KEY).agg(F.array_sort(F.collect_set("run_date")).alias("old")))
+        none = F.array().cast("array<date>")
+        state = (active.join(seen, KEY, "left").join(old, KEY, "left")
+                 .withColumn("old", F.coalesce("old", none))
+                 .withColumn("new", _fold(F.coalesce("dates", none), F.col("held"), gap)))
+        state = reliable_checkpoint(state.select(*KEY, "from_date", "to_date", "old", "new", F.coalesce(F.try_element_at("new", F.lit(-1)), "held").alias("held"),
+                                                 F.coalesce(F.try_element_at("old", F.lit(-1)), "stored").alias("stored")))
+        changes = F.concat(F.transform(F.array_except("new", "old"), lambda d: F.struct(d.alias("run_date"), F.lit(True).alias("added"))),
+                           F.transform(F.array_except("old", "new"), lambda d: F.struct(d.alias("run_date"), F.lit(False).alias("added"))))
+        delta = state.select(*KEY, F.explode(changes).alias("c")).select(*KEY, "c.run_date", "c.added")
+        out = delta if out is None else out.unionByName(delta)
+        following = last + dt.timedelta(1)
+        reach = F.date_sub(F.lit(following), gap)
+        differs = ~F.col("held").eqNullSafe(F.col("stored")) & ((F.col("held") > reach) | (F.col("stored") > reach))
+        more = F.col("to_date") > F.lit(last)
+        active = state.filter(more | F.coalesce(differs, F.lit(False))).select(
+            *KEY, F.greatest("from_date", F.lit(following)).alias("from_date"), "to_date", "held", "stored")
+        first = active.agg(F.min("from_date")).first()[0]
+    return no_change if out is None else out
+
+
+def apply_changes(accepted: DataFrame, changes: DataFrame) -> DataFrame:
+    """The accepted sightings after ``refold``'s changes."""
+    gone = changes.filter("NOT added").select(*ACCEPTED_COLUMNS)
+    kept = accepted.select(*ACCEPTED_COLUMNS).join(gone, ACCEPTED_COLUMNS, "left_anti")
+    return kept.unionByName(changes.filter("added").select(*ACCEPTED_COLUMNS))
+
+
+def rewrite_changed(accepted: DataFrame, changes: DataFrame, path: str) -> list[dt.date]:
+    """Write the changed dates of the accepted log (``path/run_date=<d>``) again; others stay as they are.
+
+    The dates are calendar days, newest first: what is left half done by a
+    failure is found again by the next ``refold`` of the same late sightings.
+    """
+    changes = reliable_checkpoint(changes)
+    dates = sorted((r.run_date for r in changes.select("run_date").distinct().collect()), reverse=True)
+    if not dates:
+        return []
+    # read before anything is overwritten
+    now = reliable_checkpoint(apply_changes(accepted.filter(F.col("run_date").isin(dates)), changes))
+    for d in dates:
+        now.filter(F.col("run_date") == F.lit(d)).select(*KEY).write.mode("overwrite").parquet(f"{path}/run_date={d}")
+    return dates
+
+
 def save_bucketed(rows: DataFrame, table: str, n_buckets: int, mode: str = "append") -> None:
     """Store the ledger as a table bucketed on the anti-join key (digest_type, link).
 

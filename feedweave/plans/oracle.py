@@ -166,6 +166,10 @@ acc(digest_type, link, run_date) AS (
 )
 SELECT digest_type, link, CAST(run_date AS VARCHAR) AS run_date FROM acc"""
 
+# the keyed-state stream and the late days end where the whole replay ends
+ORACLE["ledger_stream"] = ORACLE["ledger_replay"]
+ORACLE["ledger_late_days"] = ORACLE["ledger_replay"]
+
 ORACLE["ledger_insert"] = _fresh_ctes() + """
 SELECT DISTINCT g.link, g.digest_type, '2024-01-05' AS first_seen
 FROM gated g

@@ -7,6 +7,7 @@ both engines hash the same values.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,10 @@ from feedweave.functions import markdown as mdf
 from feedweave.functions import responses as rsp
 from feedweave.functions import text as tx
 from feedweave.operators import assemble, curate, history, ingest, ledger, trends
+from feedweave.session import reliable_checkpoint, shared_folder
 from feedweave.sources import feeds
 from feedweave.sources import fixtures as fx
+from feedweave.streaming import ledger_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -180,6 +183,34 @@ def q_ledger_replay(spark, sf_dir):
     return out.select("digest_type", "link", F.col("run_date").cast("string").alias("run_date"))
 
 
+@query("ledger_stream")
+def q_ledger_stream(spark, sf_dir):
+    """``ledger_replay`` by the stream's keyed state: sightings landed week by week, two files a micro-batch."""
+    sightings = fx.sightings(spark, sf_dir)
+    base = shared_folder(spark, "ledger-stream")
+    for week in range(6):  # the events span 30 days; files of a week are open together
+        days = F.date_diff("run_date", F.lit(fx.BASE_DATE).cast("date"))
+        ledger_state.land(sightings.filter(F.floor(days / 6) == week).coalesce(2), f"{base}/sightings")
+    last = sightings.agg(F.max("run_date")).first()[0]
+    if last is not None:
+        ledger_state.heartbeat(spark, f"{base}/sightings", last + dt.timedelta(30))
+    ledger_state.start_ledger_stream(spark, f"{base}/sightings", f"{base}/accepted", f"{base}/state", dedup_days=7,
+                                     late_days=6, max_files_per_trigger=2).awaitTermination()
+    out = ledger_state.read_accepted(spark, f"{base}/accepted")
+    return out.select("digest_type", "link", F.col("run_date").cast("string").alias("run_date"))
+
+
+@query("ledger_late_days")
+def q_ledger_late_days(spark, sf_dir):
+    """``ledger_replay`` without the days whose files come late, then those days worked in by key."""
+    sightings = fx.sightings(spark, sf_dir)
+    is_late = F.dayofmonth("run_date") % 9 == 4
+    accepted = reliable_checkpoint(ledger.replay(sightings.filter(~is_late), dedup_days=7))
+    changes = ledger.refold(sightings, accepted, sightings.filter(is_late), dedup_days=7, span_days=10)
+    out = ledger.apply_changes(accepted, changes)
+    return out.select("digest_type", "link", F.col("run_date").cast("string").alias("run_date"))
+
+
 @query("ledger_insert")
 def q_ledger_insert(spark, sf_dir):
     book = fx.seen_ledger(spark, sf_dir)
