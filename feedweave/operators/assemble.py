@@ -150,24 +150,41 @@ def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,
         F.when(F.col("digest_type") == "org", org_user).otherwise(press_user).alias("user_text"))
 
 
+def usable_outcome(outcome="outcome") -> Column:
+    """Whether a response's body may be stored; a missing one may not."""
+    return F.coalesce(F.col(outcome).isin("ok", "truncated"), F.lit(False))
+
+
+def digest_chunks(responses: DataFrame, keys: list[str]) -> DataFrame:
+    """Markdown of each chunk of the given passes: ``keys..., chunk_no, markdown``.
+
+    ``responses``: ``keys..., digest_type, chunk_no, body, header``.  Chunk 0
+    begins with the header, later ones with the blank line between bodies (org
+    bodies are stripped), so the chunks of a pass in order are its whole text.
+    """
+    body = F.when(F.col("digest_type") == "org", py_strip(F.col("body"))).otherwise(F.col("body"))
+    lead = F.when(F.col("chunk_no") == 0, F.col("header")).otherwise(F.lit("\n\n"))
+    return responses.select(*keys, "chunk_no", F.concat(lead, body).alias("markdown"))
+
+
 def digest_rows(headers: DataFrame, responses: DataFrame, totals: DataFrame, run_date: str) -> DataFrame:
-    """Run rows of the passes whose every request has a usable response.
+    """Run rows of the passes whose every request has a usable response (J1): one a chunk.
 
     ``headers``: ``digest_type, header``; ``responses``: ``digest_type, chunk_no,
     body, outcome``, one per request; ``totals``: ``source_count, item_count``.
-    ``markdown`` is the header and the bodies in chunk order (org bodies are
-    stripped).  A type with a missing, refused, empty or failed response gets no row.
+    Which passes are done is decided on narrow rows; no row or group holds more
+    than one response.  A type with a missing, refused, empty or failed
+    response gets no row.
     """
-    usable = F.col("outcome").isin("ok", "truncated")
-    body = F.when(F.col("digest_type") == "org", py_strip(F.col("body"))).otherwise(F.col("body"))
-    whole = (responses.withColumn("_body", body).groupBy("digest_type")
-             .agg(F.bool_and(F.coalesce(usable, F.lit(False))).alias("_done"),
-                  F.array_sort(F.collect_list(F.struct("chunk_no", "_body"))).alias("_parts"))
-             .filter("_done"))
-    text = F.array_join(F.transform("_parts", lambda p: p["_body"]), "\n\n")
-    return (whole.join(headers, "digest_type").join(totals, "digest_type")
-            .select(F.lit(str(run_date)[:10]).cast("date").alias("run_date"), "digest_type",
-                    "source_count", "item_count", F.concat("header", text).alias("markdown")))
+    done = (responses.groupBy("digest_type")
+            .agg(F.bool_and(usable_outcome()).alias("_done"), F.count(F.lit(1)).cast("int").alias("n_chunks"))
+            .filter("_done").drop("_done"))
+    passes = done.join(headers, "digest_type").join(totals, "digest_type")
+    # one row for each configured type
+    whole = responses.join(sized_broadcast(passes), "digest_type")
+    return digest_chunks(whole, ["digest_type", "n_chunks", "source_count", "item_count"]).select(
+        F.lit(str(run_date)[:10]).cast("date").alias("run_date"), "digest_type", "chunk_no", "n_chunks",
+        "source_count", "item_count", "markdown")
 
 
 def comparison_requests(runs: DataFrame, previous: DataFrame, memory: DataFrame,

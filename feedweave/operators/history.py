@@ -60,8 +60,12 @@ def date_index(runs: DataFrame, term: str = "", limit: int = INDEX_LIMIT) -> Dat
     """Dates with at least one matching run, newest first, at most ``limit``.
 
     The index never reads ``markdown`` unless a term is given (column pruning).
+    Of runs kept as chunks, one with a matching chunk matches, and counts once.
     """
-    summary = day_summary(search(runs, term))
+    found = search(runs, term)
+    if "chunk_no" in runs.columns:
+        found = run_heads(runs).join(found.select("id").distinct(), "id", "left_semi") if found is not runs else run_heads(runs)
+    summary = day_summary(found)
     top = summary.orderBy(F.col("run_date").desc()).limit(limit)
     return top.select(F.col("run_date").cast("string").alias("run_date"),
                       "press_runs", "org_runs", "press_items", "org_items")
@@ -215,7 +219,7 @@ def constraint_violations(runs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sinks
 
 RUN_COLUMNS = ["id", "run_date", "digest_type", "source_count", "item_count", "markdown",
-               "trends_raw", "feature_pitch_raw", "created_at"]
+               "trends_raw", "feature_pitch_raw", "created_at", "chunk_no", "n_chunks"]
 
 
 def with_run_ids(runs: DataFrame, batch_id: int, created_at) -> DataFrame:
@@ -231,9 +235,20 @@ def with_run_ids(runs: DataFrame, batch_id: int, created_at) -> DataFrame:
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append runs to the history table, partitioned by ``run_date``."""
+    """Write runs into the history table, a partition each.
+
+    ``run_date``, ``digest_type`` and ``id`` name the partition and the ids are
+    stable, so writing a batch again replaces its own runs and no others.  A
+    run's chunks are rows of their own.
+    """
     cols = [c for c in RUN_COLUMNS if c in runs.columns]
-    runs.select(*cols).write.mode("append").partitionBy("run_date").parquet(path)
+    (runs.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_date", "digest_type", "id").parquet(path))
+
+
+def run_heads(runs: DataFrame) -> DataFrame:
+    """One row per run of a history table that holds a row per chunk: the first chunk's."""
+    return runs.filter(F.coalesce(F.col("chunk_no"), F.lit(0)) == 0)
 
 
 def read_runs(spark, path: str) -> DataFrame:

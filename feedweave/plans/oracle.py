@@ -561,13 +561,41 @@ SELECT DISTINCT link, digest_type, '2024-01-05' AS first_seen FROM ordered WHERE
 
 ORACLE["digest_rows"] = _fresh_ctes() + _ORDERED + _SOURCES + """,
 texts AS (""" + _chunks_sql(_ORG_LINE, "''", "digest_type = 'org'") + """),
-whole AS (SELECT string_agg(text, ' ' ORDER BY chunk_no) AS body FROM texts),
 n AS (SELECT CAST(count(*) AS INTEGER) AS items FROM ordered WHERE digest_type = 'org'),
 s AS (SELECT CAST(count(*) AS INTEGER) AS sources FROM fixture_sources WHERE digest_type = 'org')
-SELECT 'org' AS digest_type, '2024-01-05' AS run_date, s.sources AS source_count, n.items AS item_count,
-       md5(rtrim(regexp_replace('# Org News Digest — January 2024 **Run date:** 2024-01-05 | **Sources monitored:** ' || s.sources
-           || ' | **Items fetched:** ' || n.items || ' --- ' || body, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS markdown_md5
-FROM whole, n, s WHERE n.items > 0"""
+SELECT 'org' AS digest_type, '2024-01-05' AS run_date, chunk_no, CAST(count(*) OVER () AS INTEGER) AS n_chunks, s.sources AS source_count, n.items AS item_count,
+       md5(rtrim(regexp_replace(CASE WHEN chunk_no = 0 THEN '# Org News Digest — January 2024 **Run date:** 2024-01-05 | **Sources monitored:** ' || s.sources
+           || ' | **Items fetched:** ' || n.items || ' --- ' ELSE ' ' END || text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS markdown_md5
+FROM texts, n, s"""
+
+_PASSES = """,
+turns AS (SELECT conv_id * 100 + turn AS rid, text, CAST(conv_id % 40 AS INTEGER) AS day, CASE WHEN turn % 4 = 1 THEN 'press' ELSE 'org' END AS digest_type
+          FROM conversations WHERE role = 'assistant'),
+chunks AS (SELECT *, CAST(row_number() OVER (PARTITION BY digest_type, day ORDER BY rid) - 1 AS INTEGER) AS chunk_no,
+                  CAST(count(*) OVER (PARTITION BY digest_type, day) AS INTEGER) AS n_chunks FROM turns),
+told AS (SELECT *, NOT (chunk_no = 0 AND day % 5 IN (1, 2, 3)) AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 AS usable FROM chunks),
+settled AS (SELECT digest_type, day, CAST(DATE '2024-01-01' + day AS DATE) AS run_date, max(n_chunks) AS n_chunks, CAST(count(*) FILTER (WHERE usable) AS INTEGER) AS n_usable,
+                   bool_and(usable) AS done FROM told GROUP BY digest_type, day),
+pass_items AS (SELECT digest_type, CAST(DATE '2024-01-01' + CAST(doc_id % 40 AS INTEGER) AS DATE) AS run_date, link FROM feed_items),
+pass_totals AS (SELECT digest_type, run_date, CAST(count(*) % 18 + 1 AS INTEGER) AS source_count, CAST(count(*) AS INTEGER) AS item_count FROM pass_items GROUP BY 1, 2)"""
+
+ORACLE["stream_passes"] = with_views(FEED_ITEMS) + _PASSES + """
+SELECT s.digest_type, CAST(s.run_date AS VARCHAR) AS run_date, CASE WHEN done THEN 'done' ELSE 'given_up' END AS status, n_chunks, n_usable,
+       CASE WHEN done AND t.item_count IS NOT NULL THEN CAST(n_chunks AS BIGINT) ELSE 0 END AS n_rows, CASE WHEN done THEN coalesce(l.n, 0) ELSE 0 END AS n_links
+FROM settled s LEFT JOIN pass_totals t ON t.digest_type = s.digest_type AND t.run_date = s.run_date
+LEFT JOIN (SELECT digest_type, run_date, count(DISTINCT link) AS n FROM pass_items WHERE link <> '' GROUP BY 1, 2) l
+  ON l.digest_type = s.digest_type AND l.run_date = s.run_date"""
+
+ORACLE["stream_pass_runs"] = with_views(FEED_ITEMS) + _PASSES + f"""
+SELECT s.digest_type, CAST(s.run_date AS VARCHAR) AS run_date, c.chunk_no, c.n_chunks, t.source_count, t.item_count,
+  md5(CASE WHEN c.chunk_no > 0 THEN chr(10) || chr(10)
+           WHEN s.digest_type = 'org' THEN '# Org News Digest — ' || strftime(s.run_date, '%B %Y') || chr(10) || '**Run date:** ' || strftime(s.run_date, '%Y-%m-%d')
+             || ' | **Sources monitored:** ' || t.source_count || ' | **Items fetched:** ' || t.item_count || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+           ELSE '# Press Highlights — ' || strftime(s.run_date, '%B %d, %Y') || chr(10) || '**Sources monitored:** ' || t.source_count
+             || ' | **Items fetched:** ' || t.item_count || chr(10) || chr(10) || '---' || chr(10) || chr(10) END
+      || CASE WHEN s.digest_type = 'org' THEN {py_strip('c.text')} ELSE c.text END) AS markdown_md5
+FROM settled s JOIN told c ON c.digest_type = s.digest_type AND c.day = s.day
+JOIN pass_totals t ON t.digest_type = s.digest_type AND t.run_date = s.run_date WHERE s.done"""
 
 ORACLE["pass_totals"] = _fresh_ctes() + _SOURCES + """
 SELECT s.digest_type, s.source_count, g.item_count FROM

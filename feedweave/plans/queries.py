@@ -20,7 +20,7 @@ from feedweave.operators import assemble, curate, history, ingest, ledger, trend
 from feedweave.session import reliable_checkpoint, shared_folder
 from feedweave.sources import feeds
 from feedweave.sources import fixtures as fx
-from feedweave.streaming import ledger_state
+from feedweave.streaming import ledger_state, passes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -482,7 +482,7 @@ def _finished(spark, sf_dir):
 @query("digest_rows")
 def q_digest_rows(spark, sf_dir):
     runs = _finished(spark, sf_dir)[1]
-    return runs.select("digest_type", F.col("run_date").cast("string").alias("run_date"), "source_count", "item_count",
+    return runs.select("digest_type", F.col("run_date").cast("string").alias("run_date"), "chunk_no", "n_chunks", "source_count", "item_count",
                        F.md5(F.regexp_replace("markdown", r"\s+", " ")).alias("markdown_md5"))
 
 
@@ -493,6 +493,39 @@ def q_ledger_after_success(spark, sf_dir):
     return out.select("link", "digest_type", F.col("first_seen").cast("string").alias("first_seen"))
 
 
+def _settled_passes(spark, sf_dir):
+    """The folder in which the stream has settled the fixture's passes: two landings, then both streams come to March."""
+    requests, answers, totals, items = fx.pass_stream(spark, sf_dir)
+    out = shared_folder(spark, "passes")
+    q, a = f"{out}/requests", f"{out}/responses"
+    for early in (True, False):
+        half = lambda df, at: df.filter((F.col(at) < F.lit("2024-01-20").cast("timestamp")) == F.lit(early)).coalesce(2)  # noqa: B023, E731
+        half(requests, "asked_at").write.mode("append").parquet(q)
+        half(answers, "received_at").write.mode("append").parquet(a)
+    passes.heartbeat(spark, q, a, "2024-03-01 00:00:00")
+    totals, items = reliable_checkpoint(totals), reliable_checkpoint(items.filter(F.col("link") != "").distinct())
+    passes.start_passes(spark, q, a, totals, items, out, f"{out}/state", max_files_per_trigger=3).awaitTermination()
+    return out
+
+
+@query("stream_passes")
+def q_stream_passes(spark, sf_dir):
+    """Decision of every pass, with the run chunks and ledger rows that its commit made visible."""
+    out = _settled_passes(spark, sf_dir)
+    runs = passes.committed_runs(spark, out).groupBy(*passes.PASS).agg(F.count(F.lit(1)).alias("n_rows"))
+    links = passes.committed_ledger(spark, out).withColumnRenamed("first_seen", "run_date").groupBy(*passes.PASS).agg(F.count(F.lit(1)).alias("n_links"))
+    both = passes.commits(spark, out).join(runs, passes.PASS, "left").join(links, passes.PASS, "left")
+    return both.select("digest_type", F.col("run_date").cast("string").alias("run_date"), "status", "n_chunks", "n_usable",
+                       F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query("stream_pass_runs")
+def q_stream_pass_runs(spark, sf_dir):
+    runs = passes.committed_runs(spark, _settled_passes(spark, sf_dir))
+    return runs.select("digest_type", F.col("run_date").cast("string").alias("run_date"), "chunk_no", "n_chunks", "source_count", "item_count",
+                       F.md5("markdown").alias("markdown_md5"))
+
+
 @query("source_status")
 def q_source_status(spark, sf_dir):
     accepted = ingest.in_run_dedup(ingest.source_filter(ingest.recency_cutoff(

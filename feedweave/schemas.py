@@ -36,7 +36,7 @@ ARTICLE = _struct(("digest_type", S), ("source_idx", I), ("pos", I), ("org", S),
 
 DIGEST_RUN = _struct(("id", L), ("run_date", D), ("digest_type", S), ("source_count", I),
                      ("item_count", I), ("markdown", S), ("trends_raw", S),
-                     ("feature_pitch_raw", S), ("created_at", TS))
+                     ("feature_pitch_raw", S), ("created_at", TS), ("chunk_no", I), ("n_chunks", I))
 
 SEEN_LINK = _struct(("link", S), ("digest_type", S), ("first_seen", D))
 

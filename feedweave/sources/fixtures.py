@@ -220,3 +220,36 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status_code"),
         (cid % 29 == 0).alias("connection_error"),
     )
+
+
+def pass_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Requests, responses, totals and items of a pass per (type, day), from assistant turns and documents.
+
+    By the day's remainder modulo 5, chunk 0 of its passes is 1: refused, 2:
+    never answered, 3: answered after seven hours; every third chunk is
+    answered twice.
+    """
+    c = (table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").filter(F.col("role") == "assistant"))
+    day = (F.col("conv_id") % 40).cast("int")
+    base = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("rid"), "text", day.alias("day"),
+                    F.when(F.col("turn") % 4 == 1, F.lit("press")).otherwise(F.lit("org")).alias("digest_type"))
+    # numbers of chunks: narrow rows of one pass
+    w = Window.partitionBy("digest_type", "day")
+    numbered = base.select("rid", "digest_type", "day", (F.row_number().over(w.orderBy("rid")) - 1).cast("int").alias("chunk_no"),
+                           F.count(F.lit(1)).over(w).cast("int").alias("n_chunks"))
+    run_date = F.date_add(F.lit(BASE_DATE).cast("date"), F.col("day"))
+    asked_at = F.timestamp_add("HOUR", F.lit(6), run_date.cast("timestamp"))
+    request_id = F.concat(F.lit("req-"), F.col("rid").cast("string"))
+    requests = numbered.select(request_id.alias("request_id"), "digest_type", run_date.alias("run_date"), "chunk_no", "n_chunks", asked_at.alias("asked_at"))
+    fault = F.when(F.col("chunk_no") == 0, F.col("day") % 5).otherwise(F.lit(0))
+    hours = F.when(fault == 3, F.lit(7)).otherwise(F.lit(1))
+    told = numbered.join(base.select("rid", "text"), "rid").filter(fault != 2).withColumn("again", F.explode(
+        F.when(F.col("chunk_no") % 3 == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    answers = told.select(
+        request_id.alias("request_id"),
+        F.array(F.struct(F.lit("text").alias("type"), F.concat(F.when(F.col("again") == 1, F.lit("again ")).otherwise(F.lit("")), F.col("text")).alias("text"))).alias("blocks"),
+        F.when(fault == 1, F.lit("refusal")).otherwise(F.lit("end_turn")).alias("stop_reason"), F.lit(200).alias("status_code"), F.lit(False).alias("connection_error"),
+        F.timestamp_add("HOUR", hours + F.col("again"), asked_at).alias("received_at"))
+    items = feed_items(spark, sf_dir).select("digest_type", F.date_add(F.lit(BASE_DATE).cast("date"), (F.col("doc_id") % 40).cast("int")).alias("run_date"), "link")
+    totals = items.groupBy("digest_type", "run_date").agg((F.count(F.lit(1)) % 18 + 1).cast("int").alias("source_count"), F.count(F.lit(1)).cast("int").alias("item_count"))
+    return requests, answers, totals, items
