@@ -1,10 +1,14 @@
 """Document assembly: headers, ordered item blocks, request texts, pass totals.
 
-Ordered text aggregation never builds one string per digest type: items are
-numbered per type (distributed ordinal), cut into chunks of ``chunk_size``
-consecutive items, and each chunk is aggregated on its own, so a group holds at
-most ``chunk_size`` rows however large a pass grows.  Concatenating the chunks
-of a type in ``chunk_no`` order gives the single-block text.
+Ordered text aggregation never builds one string per digest type: a type's
+lines are cut into chunks, and each chunk is aggregated on its own.
+
+* ``sized_text`` cuts by bytes (distributed running totals of the lines'
+  lengths); each chunk has the separator that stands before it as ``lead``, so
+  ``lead`` and ``text`` of all chunks, in order, are the single text.  The daily
+  job's requests are these chunks.
+* ``chunked_text`` cuts by ``chunk_size`` consecutive items; a separator at the
+  seam of two chunks is in neither.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.functions.text import py_strip
-from feedweave.operators.common import sized_broadcast
+from feedweave.operators.common import running_total, sized_broadcast
 
 # Header, block and request wording of the two digest types.
 ORG_TITLE = "# Org News Digest — "
@@ -29,6 +33,8 @@ NO_MEMORY = "(none yet — this is the first run)"
 PREFS_INTRO = "PERSONAL PREFERENCES (prioritize these above all else):"
 
 CHUNK_SIZE = 50
+# UTF-8 bytes of text after which a new chunk begins.
+CHUNK_BYTES = 40_000
 
 
 def digest_header(digest_type, run_date, source_count, item_count) -> Column:
@@ -124,6 +130,54 @@ def all_items_index(articles: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFr
                       F.array_join(F.transform("_parts", lambda p: p["_line"]), "\n").alias("text"))
 
 
+def sized_text(df: DataFrame, group_cols: list[str], order_cols: list[str], line: Column, sep: str = "",
+               budget: int = CHUNK_BYTES, whole: str | None = None, number: str | None = None) -> DataFrame:
+    """Ordered text per group in chunks by size: ``group..., chunk_no, n_lines, n_bytes, lead, text``.
+
+    A line belongs to chunk ``floor(bytes before it / budget)``, so a chunk is
+    shorter than the budget and one line.  Lines with one value of ``whole``
+    (consecutive in the order) stay in one chunk if they fit the budget; more
+    than that is cut like single lines, so a chunk is always shorter than two
+    budgets and a line.  ``chunk_no`` ascends with the text, may leave numbers
+    out, and begins with 0.  ``number``: its least and largest value in a chunk
+    are ``first_no`` and ``last_no``.
+    """
+    others = [c for c in dict.fromkeys([whole, number]) if c and c not in order_cols and c not in group_cols]
+    rows = df.select(*group_cols, *order_cols, *others, line.alias("_line"))
+    rows = rows.withColumn("_size", (F.octet_length("_line") + len(sep.encode())).cast("bigint"))
+    placed = running_total(rows, group_cols, order_cols, "_size", "_start")
+    at = F.col("_start")
+    if whole:
+        units = placed.groupBy(*group_cols, whole).agg(F.min("_start").alias("_first"), F.sum("_size").alias("_all"))
+        placed = placed.join(sized_broadcast(units), [*group_cols, whole])
+        at = F.when(F.col("_all") <= budget, F.col("_first")).otherwise(at)
+    numbered = placed.withColumn("chunk_no", F.floor(at / budget).cast("int"))
+    ends = [F.min(number).alias("first_no"), F.max(number).alias("last_no")] if number else []
+    agg = numbered.groupBy(*group_cols, "chunk_no").agg(
+        F.array_sort(F.collect_list(F.struct("_start", "_line"))).alias("_parts"), *ends, F.count(F.lit(1)).alias("n_lines"))
+    text = F.array_join(F.transform("_parts", lambda p: p["_line"]), sep)
+    return agg.select(*group_cols, "chunk_no", *(["first_no", "last_no"] if number else []), "n_lines",
+                      F.octet_length(text).alias("n_bytes"), F.when(F.col("chunk_no") > 0, F.lit(sep)).otherwise(F.lit("")).alias("lead"),
+                      text.alias("text"))
+
+
+def sized_blocks(articles: DataFrame, budget: int = CHUNK_BYTES) -> DataFrame:
+    """Item blocks of every type in final order, cut by size (E4, E5): org shape for ``org``, press shape otherwise."""
+    def of(rows, line, sep):
+        return sized_text(rows, ["digest_type"], ["item_no"], line, sep, budget, number="item_no")
+    org = of(articles.filter(F.col("digest_type") == "org"), org_item_line(), "")
+    press = of(articles.filter(F.col("digest_type") != "org"), press_item_line(), "\n\n")
+    return org.unionByName(press)
+
+
+def sized_index(articles: DataFrame, budget: int = CHUNK_BYTES) -> DataFrame:
+    """Every item of a pass as one index line, orgs by name, an org's items in final order.
+
+    An org whose lines fit the budget is never split.
+    """
+    return sized_text(articles, ["digest_type"], ["org", "item_no"], index_line(), "\n", budget, whole="org")
+
+
 def curation_requests(blocks: DataFrame, totals: DataFrame, run_date: str,
                       preferences: str = "", system: str = "") -> DataFrame:
     """Request text per (type, chunk) around the item blocks.

@@ -7,6 +7,7 @@
   type, a run) without a single-partition window: range-partitioned sort, a
   reliable checkpoint so partition boundaries are fixed, per-partition counts
   (a table of #partitions x #groups rows), and a broadcast of those offsets.
+* ``running_total`` is the same with weights: the sum of what comes before a row.
 """
 
 from __future__ import annotations
@@ -92,3 +93,22 @@ def dense_ordinal(df: DataFrame, group_cols: list[str], order_cols: list[Column]
         *[c for c in df.columns],
         (F.col("_fw_before") + F.col("_fw_local") - F.col("_fw_first") + 1).alias(name),
     )
+
+
+def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str], weight: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``weight`` over the rows of the group that come before, by ``order_cols`` (a total order).
+
+    As ``dense_ordinal``: range partitions, fixed by a reliable checkpoint, and
+    a table of their sums; the sum inside a range partition is a window over
+    that partition's rows only, so no task holds a whole group.
+    """
+    keys = [F.col(c) for c in [*group_cols, *order_cols]]
+    fixed = reliable_checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    tagged = fixed.withColumn("_fw_part", F.spark_partition_id())
+    sums = tagged.groupBy("_fw_part", *group_cols).agg(F.sum(weight).alias("_fw_sum"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_fw_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_fw_part", *group_cols, F.coalesce(F.sum("_fw_sum").over(earlier), F.lit(0)).alias("_fw_before"))
+    inside = Window.partitionBy("_fw_part", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    placed = tagged.withColumn("_fw_own", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    joined = placed.join(sized_broadcast(offsets), ["_fw_part", *group_cols])
+    return joined.select(*df.columns, (F.col("_fw_before") + F.col("_fw_own")).alias(name))

@@ -28,6 +28,14 @@ def run_time_label(col="created_at") -> Column:
     return F.date_format(F.from_utc_timestamp(c, DISPLAY_TZ), "hh:mm a")
 
 
+def like_pattern(term: str) -> str | None:
+    """The pattern of a search term, None if the term is empty."""
+    t = (term or "").strip(JS_WS_CHARS)
+    if t == "":
+        return None
+    return "%" + re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], t, flags=re.DOTALL) + "%"
+
+
 def search(runs: DataFrame, term: str = "") -> DataFrame:
     """Runs matching a search term in markdown or date text.
 
@@ -35,11 +43,9 @@ def search(runs: DataFrame, term: str = "") -> DataFrame:
     live wildcards.  A backslash before ``%``, ``_`` or a backslash escapes it;
     before any other character it stands for that character alone.
     """
-    t = (term or "").strip(JS_WS_CHARS)
-    if t == "":
+    like = like_pattern(term)
+    if like is None:
         return runs
-    t = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], t, flags=re.DOTALL)
-    like = f"%{t}%"
     return runs.filter(F.col("markdown").ilike(like)
                        | F.col("run_date").cast("string").ilike(like))
 
@@ -56,13 +62,14 @@ def day_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def date_index(runs: DataFrame, term: str = "", limit: int = INDEX_LIMIT) -> DataFrame:
+def date_index(runs: DataFrame, term: str = "", limit: int = INDEX_LIMIT, found: DataFrame | None = None) -> DataFrame:
     """Dates with at least one matching run, newest first, at most ``limit``.
 
     The index never reads ``markdown`` unless a term is given (column pruning).
     Of runs kept as chunks, one with a matching chunk matches, and counts once.
+    ``found``: the matching runs, where an index has them (``search_index``).
     """
-    found = search(runs, term)
+    found = search(runs, term) if found is None else found
     if "chunk_no" in runs.columns:
         found = run_heads(runs).join(found.select("id").distinct(), "id", "left_semi") if found is not runs else run_heads(runs)
     summary = day_summary(found)
@@ -84,26 +91,31 @@ def valid_run_id(col) -> Column:
     return F.coalesce(c.rlike(r"^\d+\z") & in_range, F.lit(False))
 
 
-def runs_for_dates(runs: DataFrame) -> DataFrame:
-    """Every run of every date with the per-day display fields.
+def day_ranks(runs: DataFrame) -> DataFrame:
+    """Per-day display fields of every run, without its texts.
 
     ``show_time``: more than one run of that type on that date.  ``display_rank``:
     press before org, newest first within a type.  A date has few runs and there
-    are many dates, so both come from windows over ``run_date`` on one shuffle;
-    columns that a caller drops (markdown, sections) are pruned before it.
+    are many dates, so both come from windows over ``run_date`` on one shuffle
+    of narrow rows.
     """
     order = [(F.col("digest_type") == "press").desc(), F.col("created_at").desc(),
              F.col("id").desc()]
     day = Window.partitionBy("run_date")
-    ranked = (runs.withColumn("display_rank", F.row_number().over(day.orderBy(*order)).cast("bigint"))
+    ranked = (runs.select("id", "run_date", "digest_type", "source_count", "item_count", "created_at")
+              .withColumn("display_rank", F.row_number().over(day.orderBy(*order)).cast("bigint"))
               .withColumn("_n_runs", F.count(F.lit(1)).over(Window.partitionBy("run_date", "digest_type"))))
     return ranked.select(
-        "id", F.col("run_date").cast("string").alias("run_date"), "digest_type",
-        "source_count", "item_count", "markdown", "trends_raw", "feature_pitch_raw",
-        run_time_label().alias("run_time"),
-        (F.col("_n_runs") > 1).alias("show_time"),
-        "display_rank",
-    )
+        "id", F.col("run_date").cast("string").alias("run_date"), "digest_type", "source_count", "item_count",
+        run_time_label().alias("run_time"), (F.col("_n_runs") > 1).alias("show_time"), "display_rank")
+
+
+def runs_for_dates(runs: DataFrame) -> DataFrame:
+    """``day_ranks`` with the runs' texts, which join by id and are in no window."""
+    texts = runs.select("id", "markdown", "trends_raw", "feature_pitch_raw")
+    return day_ranks(runs).join(texts, "id").select(
+        "id", "run_date", "digest_type", "source_count", "item_count", "markdown", "trends_raw", "feature_pitch_raw",
+        "run_time", "show_time", "display_rank")
 
 
 def runs_for_date(runs: DataFrame, run_date: str) -> DataFrame:

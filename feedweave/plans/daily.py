@@ -50,7 +50,7 @@ def daily_pass(entries: DataFrame, sources: DataFrame, settings: DataFrame, book
         "digest_type",
         assemble.digest_header("digest_type", F.lit(run_date).cast("date"), "source_count",
                                "item_count").alias("header"))
-    requests = assemble.curation_requests(assemble.items_blocks(fresh), totals, run_date,
+    requests = assemble.curation_requests(assemble.sized_blocks(fresh), totals, run_date,
                                           preferences)
     return DailyPass(fresh, totals, headers, requests, str(as_of))
 

@@ -221,6 +221,17 @@ SELECT id, CAST(run_date AS VARCHAR) AS run_date, digest_type, source_count, ite
             AS BIGINT) AS display_rank
 FROM digest_runs"""
 
+ORACLE["day_documents"] = with_views(DIGEST_RUNS) + """
+SELECT id, CAST(run_date AS VARCHAR) AS run_date, count(*) OVER (PARTITION BY run_date, digest_type) > 1 AS show_time,
+       row_number() OVER (PARTITION BY run_date ORDER BY digest_type = 'press' DESC, created_at DESC, id DESC) AS display_rank,
+       md5(markdown) AS markdown_md5, md5(feature_pitch_raw) AS pitch_md5
+FROM digest_runs"""
+
+# the pattern that each term of the indexed search stands for
+_TERM_PATTERNS = [("  que ", "que"), ("q\\ue", "que"), ("2024-01-1", "2024-01-1"), ("er%ung", "er%ung"), ("e", "e"), ("zzzzzz", "zzzzzz")]
+ORACLE["indexed_search"] = with_views(DIGEST_RUNS) + "\nUNION ALL\n".join(
+    f"SELECT '{term}' AS term, * FROM ({_index_sql(pattern)})" for term, pattern in _TERM_PATTERNS)
+
 ORACLE["run_by_id"] = with_views(DIGEST_RUNS) + f""",
 requests AS (
   SELECT CASE CAST(floor(id / 100) AS BIGINT) % 7
@@ -530,6 +541,32 @@ SELECT digest_type, org, CAST(floor((item_no - 1) / 50) AS INTEGER) AS chunk_no,
 FROM ordered
 GROUP BY digest_type, org, CAST(floor((item_no - 1) / 50) AS INTEGER)"""
 
+
+
+def _sized_sql(lines: str, order: str, budget: int, extra: str) -> str:
+    """Chunks cut out of the whole text, which is put together first: ``lines`` has digest_type, line, sep and the order."""
+    before = f"OVER (PARTITION BY digest_type ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f""",
+lines AS ({lines}),
+starts AS (SELECT *, coalesce(sum(strlen(line) + strlen(sep)) {before}, 0) AS b, coalesce(sum(length(line) + length(sep)) {before}, 0) AS c FROM lines),
+units AS (SELECT *, min(b) OVER (PARTITION BY digest_type, unit) AS u, sum(strlen(line) + strlen(sep)) OVER (PARTITION BY digest_type, unit) AS size FROM starts),
+cut AS (SELECT *, CAST(floor(CASE WHEN size <= {budget} THEN u ELSE b END / {budget}) AS INTEGER) AS chunk_no FROM units),
+whole AS (SELECT digest_type, string_agg(line || sep, '' ORDER BY {order}) AS text FROM lines GROUP BY digest_type),
+parts AS (SELECT digest_type, chunk_no, {extra} count(*) AS n_lines, any_value(sep) AS sep, min(c) AS c, sum(length(line) + length(sep)) - length(any_value(sep)) AS n
+          FROM cut GROUP BY digest_type, chunk_no)
+SELECT p.* EXCLUDE (sep, c, n), CAST(strlen(substr(w.text, CAST(c + 1 AS BIGINT), CAST(n AS BIGINT))) AS INTEGER) AS n_bytes,
+       CASE WHEN chunk_no > 0 THEN sep ELSE '' END AS lead, substr(w.text, CAST(c + 1 AS BIGINT), CAST(n AS BIGINT)) AS text
+FROM parts p JOIN whole w ON w.digest_type = p.digest_type"""
+
+
+ORACLE["items_text"] = _fresh_ctes() + _ORDERED + _sized_sql(
+    f"SELECT digest_type, item_no, item_no AS unit, CASE WHEN digest_type = 'org' THEN {_ORG_LINE} ELSE {_PRESS_LINE} END AS line, "
+    "CASE WHEN digest_type = 'org' THEN '' ELSE chr(10) || chr(10) END AS sep FROM ordered",
+    "item_no", 5000, "min(item_no) AS first_no, max(item_no) AS last_no,")
+ORACLE["index_text"] = _fresh_ctes() + _ORDERED + _sized_sql(
+    "SELECT digest_type, org, item_no, org AS unit, '- [' || title || '](' || link || ') — ' || org || ' | ' || published AS line, chr(10) AS sep FROM ordered",
+    "org, item_no", 5000, "")
+
 ORACLE["curation_request"] = _fresh_ctes() + _ORDERED + """,
 blocks AS (""" + _chunks_sql(_ORG_LINE, "''", "digest_type = 'org'") + " UNION ALL " + _chunks_sql(
     _PRESS_LINE, "chr(10) || chr(10)", "digest_type = 'press'") + f"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from feedweave.functions import markdown as mdf
 from feedweave.functions import responses as rsp
 from feedweave.functions import text as tx
-from feedweave.operators import assemble, curate, history, ingest, ledger, trends
+from feedweave.operators import assemble, curate, history, ingest, ledger, search_index, trends
 from feedweave.session import reliable_checkpoint, shared_folder
 from feedweave.sources import feeds
 from feedweave.sources import fixtures as fx
@@ -263,9 +263,31 @@ def q_date_index_wide(spark, sf_dir):
 
 @query("runs_for_date")
 def q_runs_for_date(spark, sf_dir):
+    return history.day_ranks(fx.digest_runs(spark, sf_dir))
+
+
+@query("day_documents")
+def q_day_documents(spark, sf_dir):
+    """Every run of every date with its texts."""
     out = history.runs_for_dates(fx.digest_runs(spark, sf_dir))
-    return out.select("id", "run_date", "digest_type", "source_count", "item_count",
-                      "run_time", "show_time", "display_rank")
+    return out.select("id", "run_date", "show_time", "display_rank", F.md5("markdown").alias("markdown_md5"),
+                      F.md5("feature_pitch_raw").alias("pitch_md5"))
+
+
+# terms of the search by index: plain, escaped, of the date text, with wildcards, too short, found nowhere
+INDEXED_TERMS = ["  que ", "q\\ue", "2024-01-1", "er%ung", "e", "zzzzzz"]
+
+
+@query("indexed_search")
+def q_indexed_search(spark, sf_dir):
+    """The date index of several terms, their runs found by the trigram index."""
+    runs = fx.digest_runs(spark, sf_dir)
+    index = search_index.build(runs, shared_folder(spark, "search-index"))
+    out = None
+    for term in INDEXED_TERMS:
+        days = history.date_index(runs, term, found=search_index.search(runs, index, term)).select(F.lit(term).alias("term"), "*")
+        out = days if out is None else out.unionByName(days)
+    return out
 
 
 @query("run_by_id")
@@ -455,6 +477,20 @@ def q_all_items_index(spark, sf_dir):
     return assemble.all_items_index(_fresh_ordered(spark, sf_dir))
 
 
+# a small budget, so that the fixture's passes have several chunks
+FIXTURE_BUDGET = 5000
+
+
+@query("items_text")
+def q_items_text(spark, sf_dir):
+    return assemble.sized_blocks(_fresh_ordered(spark, sf_dir), FIXTURE_BUDGET)
+
+
+@query("index_text")
+def q_index_text(spark, sf_dir):
+    return assemble.sized_index(_fresh_ordered(spark, sf_dir), FIXTURE_BUDGET)
+
+
 FIXTURE_PREFERENCES = "- Prefer items that mention que"
 
 
