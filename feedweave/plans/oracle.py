@@ -401,6 +401,25 @@ memory_latest AS (
 ORACLE["memory_latest"] = _RESP + _MEM_LOG + f"""
 SELECT digest_type, memory, {ts_text('updated_at')} AS updated_at FROM memory_latest"""
 
+
+def _rules_of(table: str, source: str, required: list[str], key: list[str]) -> list[str]:
+    counts = [(f"not_null_{c}", f"count(*) FILTER (WHERE {c} IS NULL)") for c in required]
+    counts += [("type_check", "count(*) FILTER (WHERE digest_type NOT IN ('press', 'org'))"),
+               ("unique_" + "_".join(key), f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(key)} FROM {source}))")]
+    return [f"SELECT '{table}' AS \"table\", '{rule}' AS rule, CAST({n} AS BIGINT) AS violations FROM {source}" for rule, n in counts]
+
+
+ORACLE["write_rules"] = _RESP + _MEM_LOG + ",\n" + DIGEST_RUNS.strip() + ",\n" + SIGHTINGS.strip() + """,
+faulty_runs AS (SELECT CASE WHEN id % 5 = 0 THEN 100 ELSE id END AS id, run_date, CASE WHEN id % 7 = 0 THEN 'other' ELSE digest_type END AS digest_type,
+                       source_count, item_count, CASE WHEN id % 11 <> 0 THEN markdown END AS markdown, created_at FROM digest_runs),
+faulty_book AS (SELECT link, digest_type, CASE WHEN day(run_date) > 2 THEN run_date END AS first_seen FROM sightings)
+""" + "\nUNION ALL ".join(_rules_of("runs", "faulty_runs", ["run_date", "digest_type", "source_count", "item_count", "markdown", "created_at"], ["id"])
+                         + _rules_of("ledger", "faulty_book", ["link", "digest_type", "first_seen"], ["link", "digest_type"])
+                         + _rules_of("memory", "memory_log", ["digest_type", "memory", "updated_at"], ["digest_type"]))
+
+# the index that is kept up to date ends where the full aggregate ends
+ORACLE["day_index_updates"] = ORACLE["date_index"]
+
 _RULE60 = "'" + "=" * 60 + "'"
 ORACLE["comparison_request"] = _RESP + _MEM_LOG + ",\n" + DIGEST_RUNS.strip() + f""",
 seqd AS (

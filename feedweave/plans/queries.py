@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from feedweave.functions import markdown as mdf
 from feedweave.functions import responses as rsp
 from feedweave.functions import text as tx
-from feedweave.operators import assemble, curate, history, ingest, ledger, search_index, trends
+from feedweave.operators import assemble, checks, curate, day_index, history, ingest, ledger, search_index, trends
 from feedweave.session import reliable_checkpoint, shared_folder
 from feedweave.sources import feeds
 from feedweave.sources import fixtures as fx
@@ -353,6 +353,35 @@ def q_run_constraints(spark, sf_dir):
     return history.constraint_violations(fx.digest_runs(spark, sf_dir))
 
 
+@query("day_index_updates")
+def q_day_index_updates(spark, sf_dir):
+    """The date index after three batches: overlapping ones, and one with late days."""
+    runs = fx.digest_runs(spark, sf_dir)
+    path = shared_folder(spark, "day-index")
+    late = F.dayofmonth("run_date") % 7 == 3
+    day_index.update(runs.filter(~late & (F.col("id") % 3 != 0)), path)
+    # a batch that repeats a third of the first; a row stands for its first, wrong, delivery
+    day_index.update(runs.filter(~late & (F.col("id") % 3 != 1)), path)
+    wrong = runs.withColumn("item_count", F.col("item_count") + 1).withColumn("created_at", F.timestamp_add("DAY", F.lit(-1), "created_at"))
+    day_index.update(runs.filter(late).unionByName(wrong.filter(late & (F.col("id") % 2 == 0))), path)
+    return day_index.read(spark, path)
+
+
+@query("write_rules")
+def q_write_rules(spark, sf_dir):
+    """Rules of the three tables, counted while rows with faults are written."""
+    out = shared_folder(spark, "write-rules")
+    runs = fx.digest_runs(spark, sf_dir)
+    runs = runs.withColumns({"id": F.when(F.col("id") % 5 == 0, F.lit(100)).otherwise(F.col("id")),
+                             "digest_type": F.when(F.col("id") % 7 == 0, F.lit("other")).otherwise(F.col("digest_type")),
+                             "markdown": F.when(F.col("id") % 11 != 0, F.col("markdown"))})
+    book = fx.sightings(spark, sf_dir).select("link", "digest_type", F.when(F.dayofmonth("run_date") > 2, F.col("run_date")).alias("first_seen"))
+    found = []
+    for table, rows in (("runs", runs), ("ledger", book), ("memory", _memory_log(spark, sf_dir))):
+        found += checks.write_checked(rows, table, lambda df, to=f"{out}/{table}": df.write.parquet(to))
+    return checks.report(spark, found)
+
+
 # ---------------------------------------------------------------- responses (§2.9 I1-I3, I8-I10, J4)
 
 
