@@ -59,15 +59,16 @@ def entry_key(link, entry_id, title) -> Column:
     return F.md5(F.lower(py_strip(raw)))
 
 
-def clean_html(col, max_chars: int = SUMMARY_MAX_CHARS) -> Column:
-    """Tags to a space, whitespace runs to one space, strip, keep ``max_chars`` code points.
+def clean_html(col, max_chars: int | None = SUMMARY_MAX_CHARS) -> Column:
+    """Tags to a space, whitespace runs to one space, strip, keep ``max_chars`` code points (None: all).
 
     Only tags are removed: script/style bodies stay and entities are not decoded.
     Truncation is last, so a trailing space may remain.
     """
     no_tags = F.regexp_replace(F.coalesce(_c(col), F.lit("")), "<[^>]+>", " ")
     collapsed = F.regexp_replace(no_tags, PY_WS_RUN, " ")
-    return F.substring(F.trim(collapsed), 1, max_chars)
+    whole = F.trim(collapsed)
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 def summary_fallback(summary, description) -> Column:

@@ -1,9 +1,9 @@
 """Deterministic curation: rule scores, top-k with a floor, categories, themes.
 
 The original hands selection to a language model; these are the data jobs the
-selection instructions describe.  Rules are configuration (a preferences file),
-so they are compiled into one array literal and evaluated inside the projection
-(no join of items x rules).  Rule kinds:
+selection instructions describe.  A few rules (a preferences file) are compiled
+into one array literal and evaluated inside the projection; rules of a table, of
+any number, are found by ``term_match``.  Rule kinds:
 
 * ``prefer`` / ``seek`` / ``less`` — add ``weight`` when the term occurs;
 * ``skip`` — drop the item when a skip term occurs and no ``prefer`` term does;
@@ -19,6 +19,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedweave.functions import text as tx
+from feedweave.operators import term_match
 from feedweave.operators.common import dense_ordinal
 
 # Target size of a curated pass (at most 20, aim for 15).
@@ -43,11 +45,6 @@ def rules_literal(rules: Iterable[dict]) -> Column:
         F.array().cast("array<struct<kind:string,term:string,label:string,weight:int,priority:int>>")
 
 
-def rules_from_df(rules: DataFrame) -> list[dict]:
-    """Rows of a rules table: configuration, written by hand and as small."""
-    return [r.asDict() for r in rules.collect()]
-
-
 def haystack(title="title", summary="summary") -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")),
                                F.coalesce(F.col(summary), F.lit(""))))
@@ -72,6 +69,34 @@ def score_items(items: DataFrame, rules: Iterable[dict]) -> DataFrame:
                         (F.col("_found.skip") & ~F.col("_found.prefer")).alias("dropped"))
 
 
+def rule_hits(items: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., kind, term, label, weight, priority`` of the rules (``schemas.RULE``) whose term an item has."""
+    own = items.select(*keys, haystack().alias("_hay"))
+    found = term_match.matches(own, "_hay", keys, rules)
+    each = rules.select("kind", F.lower(F.coalesce("term", F.lit(""))).alias("term"), "label", "weight", "priority")
+    return found.join(each, "term")
+
+
+def score_by_table(items: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("digest_type", "item_no")) -> DataFrame:
+    """``score_items`` with the rules of a table (K1); ``keys`` name an item."""
+    k = list(keys)
+    hits = rule_hits(items, rules, k).groupBy(*k).agg(
+        F.sum(F.when(F.col("kind").isin("prefer", "seek", "less"), F.coalesce("weight", F.lit(0))).otherwise(F.lit(0))).cast("int").alias("_score"),
+        F.bool_or(F.col("kind") == "skip").alias("_skip"), F.bool_or(F.col("kind") == "prefer").alias("_prefer"))
+    j = items.join(hits, k, "left")
+    return j.select(*items.columns, F.coalesce("_score", F.lit(0)).alias("score"),
+                    F.coalesce(F.col("_skip") & ~F.col("_prefer"), F.lit(False)).alias("dropped"))
+
+
+def categorise_by_table(picks: DataFrame, rules: DataFrame, default: str = "General",
+                        keys: tuple[str, ...] = ("digest_type", "item_no")) -> DataFrame:
+    """``categorise`` with the rules of a table (K3)."""
+    k = list(keys)
+    hits = rule_hits(picks, rules.filter(F.col("kind") == "category"), k)
+    best = hits.groupBy(*k).agg(F.min(F.struct("priority", "label")).alias("_best"))
+    return picks.join(best, k, "left").withColumn("category", F.coalesce("_best.label", F.lit(default))).drop("_best")
+
+
 def top_with_floor(scored: DataFrame, group_cols=("digest_type",)) -> DataFrame:
     """Keep ``least(20, greatest(15, #positive))`` best items per group, never under 10 while items exist (K2).
 
@@ -123,12 +148,26 @@ def terms(df: DataFrame, text_col: str, key_cols: list[str], min_len: int = TERM
     return df.select(*key_cols, F.explode(words).alias("term"))
 
 
+def with_whole_text(articles: DataFrame, entries: DataFrame) -> DataFrame:
+    """Articles with ``text``: the title and the whole cleaned summary of their entry, which ``summary`` cuts."""
+    whole = entries.select("digest_type", "source_idx", "pos", F.concat_ws(
+        " ", F.coalesce("title", F.lit("")), tx.clean_html(tx.summary_fallback("summary", "description"), None)).alias("text"))
+    return articles.join(whole, ["digest_type", "source_idx", "pos"])
+
+
 def theme_candidates(items: DataFrame, min_len: int = TERM_LETTERS) -> DataFrame:
-    """Terms (of title and summary) shared by at least two items from at least two orgs, per type."""
-    whole = items.withColumn("_text", F.concat_ws(" ", "title", "summary"))
+    """Terms shared by at least two items from at least two orgs, per type.
+
+    Terms are those of ``text`` (``with_whole_text``) where the items have it, else
+    of title and summary.  Counted in two steps: items for each term and org,
+    combined before the shuffle and spread by the org, so a term that every
+    item has is in no single task; then orgs, a row each.
+    """
+    whole = items.withColumn("_text", F.col("text") if "text" in items.columns else F.concat_ws(" ", "title", "summary"))
     t = terms(whole, "_text", ["digest_type", "item_no", "org"], min_len)
-    agg = t.groupBy("digest_type", "term").agg(
-        F.count(F.lit(1)).alias("n_items"), F.countDistinct("org").alias("n_orgs"))
+    by_org = t.groupBy("digest_type", "term", "org").agg(F.count(F.lit(1)).alias("n"))
+    agg = by_org.groupBy("digest_type", "term").agg(
+        F.sum("n").alias("n_items"), F.count("org").alias("n_orgs"))
     return agg.filter((F.col("n_items") >= 2) & (F.col("n_orgs") >= 2))
 
 

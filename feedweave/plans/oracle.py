@@ -715,13 +715,31 @@ def _terms_sql(src: str, text: str, keys: str, min_len: int) -> str:
             f"FROM {src}) WHERE length(term) >= {min_len}")
 
 
+_WHOLE_SUMMARY = f"trim(regexp_replace(regexp_replace(coalesce(nullif(f.summary, ''), nullif(f.description, ''), ''), '<[^>]+>', ' ', 'g'), '{WS}+', ' ', 'g'), ' ')"
 _CANDS = f""",
-item_terms AS ({_terms_sql('ordered', "concat_ws(' ', title, summary)", 'digest_type, item_no, org', 4)}),
+whole_items AS (SELECT o.digest_type, o.item_no, o.org, coalesce(f.title, '') || ' ' || {_WHOLE_SUMMARY} AS whole_text
+                FROM ordered o JOIN feed_items f ON f.digest_type = o.digest_type AND f.source_idx = o.source_idx AND f.pos = o.pos),
+item_terms AS ({_terms_sql('whole_items', "whole_text", 'digest_type, item_no, org', 4)}),
 cands AS (
   SELECT digest_type, term, count(*) AS n_items, count(DISTINCT org) AS n_orgs
   FROM item_terms GROUP BY digest_type, term
   HAVING count(*) >= 2 AND count(DISTINCT org) >= 2)"""
 
+# crc32 by a table of 256 remainders of the reflected polynomial 0xEDB88320
+_CRC32 = """xor(4294967295, list_reduce(list_transform(range(1, strlen(term) + 1), lambda i: CAST(('0x' || substr(hex(encode(term)), 2 * i - 1, 2)) AS BIGINT)),
+    lambda c, b: xor(c // 256, t[1 + CAST(xor(c % 256, b) AS INTEGER)]), CAST(4294967295 AS BIGINT)))"""
+ORACLE["rules_table_score"] = _fresh_ctes() + _ORDERED + f""",
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS t),
+words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM conversations),
+hashed AS (SELECT term, CASE WHEN term = '' THEN 0 ELSE {_CRC32} END AS h FROM words, crc),
+many AS (SELECT ['prefer', 'seek', 'less', 'skip', 'category'][CAST(h % 5 AS INTEGER) + 1] AS kind, term, 'about ' || term AS label,
+                CAST(h % 4 - 1 AS INTEGER) AS weight, CAST(h % 1000003 AS INTEGER) AS priority FROM hashed),
+hit AS (SELECT o.digest_type, o.item_no, r.* FROM ordered o JOIN many r ON contains(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), r.term))
+SELECT o.digest_type, o.item_no, CAST(coalesce(sum(h.weight) FILTER (WHERE h.kind IN ('prefer', 'seek', 'less')), 0) AS INTEGER) AS score,
+       coalesce(bool_or(h.kind = 'skip'), false) AND NOT coalesce(bool_or(h.kind = 'prefer'), false) AS dropped,
+       coalesce(arg_min(h.label, struct_pack(p := h.priority, l := h.label)) FILTER (WHERE h.kind = 'category'), 'General') AS category
+FROM ordered o LEFT JOIN hit h ON h.digest_type = o.digest_type AND h.item_no = o.item_no GROUP BY o.digest_type, o.item_no"""
+
 ORACLE["cross_item_themes"] = _fresh_ctes() + _ORDERED + _CANDS + """
 SELECT digest_type, theme_rank, term, n_items, n_orgs FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY digest_type ORDER BY n_items DESC, term) AS INTEGER) AS theme_rank

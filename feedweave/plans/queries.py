@@ -652,9 +652,30 @@ def q_org_groups(spark, sf_dir):
     return curate.org_groups(_picks(spark, sf_dir))
 
 
+def _rule_table(spark, sf_dir):
+    """A rule for each word of the conversations: its kind, weight and priority by its checksum."""
+    c = fx.table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).distinct()
+    h = F.crc32("term")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("prefer", "seek", "less", "skip", "category")]), (h % 5 + 1).cast("int"))
+    return c.select(kind.alias("kind"), "term", F.concat(F.lit("about "), "term").alias("label"), (h % 4 - 1).cast("int").alias("weight"),
+                    (h % 1000003).cast("int").alias("priority"))
+
+
+@query("rules_table_score")
+def q_rules_table_score(spark, sf_dir):
+    """Score and category of every fresh item by a large rule table."""
+    rules = reliable_checkpoint(_rule_table(spark, sf_dir))
+    scored = curate.score_by_table(_fresh_ordered(spark, sf_dir), rules)
+    return curate.categorise_by_table(scored, rules).select("digest_type", "item_no", "score", "dropped", "category")
+
+
+def _whole_items(spark, sf_dir):
+    return curate.with_whole_text(_fresh_ordered(spark, sf_dir), fx.feed_items(spark, sf_dir))
+
+
 @query("cross_item_themes")
 def q_cross_item_themes(spark, sf_dir):
-    out = curate.cross_item_themes(_fresh_ordered(spark, sf_dir))
+    out = curate.cross_item_themes(_whole_items(spark, sf_dir))
     return out.select("digest_type", "theme_rank", "term", "n_items", "n_orgs")
 
 
@@ -672,7 +693,7 @@ def q_thread_memory(spark, sf_dir):
 
 @query("unpitched_themes")
 def q_unpitched_themes(spark, sf_dir):
-    cand = curate.theme_candidates(_fresh_ordered(spark, sf_dir))
+    cand = curate.theme_candidates(_whole_items(spark, sf_dir))
     pitched = curate.terms(fx.digest_runs(spark, sf_dir), "feature_pitch_raw", ["digest_type"])
     return curate.unpitched(cand, pitched).select("digest_type", "term", "n_items", "n_orgs")
 
