@@ -11,7 +11,7 @@ reported ``malformed``; it never fails the job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import text as tx
@@ -41,29 +41,44 @@ def feed_status(docs: DataFrame) -> DataFrame:
     v = F.col("value")
     frags = F.regexp_extract_all(v, F.lit(FRAGMENT_RE), 0)
     closed = v.rlike(r"(?s)</rss>\s*$") | v.rlike(r"(?s)</feed>\s*$") | v.rlike(r"(?s)</rdf:RDF>\s*$")
-    each = docs.select("digest_type", "source_idx", "path", closed.alias("closed"), F.explode_outer(frags).alias("frag"))
-    frag = F.col("frag")
-    good = F.when(frag.startswith("<item"), _parsed(frag, RSS_ITEM_DDL).isNotNull()).otherwise(
-        _parsed(frag, ATOM_ENTRY_DDL).isNotNull())
+    each = _parsed(docs.select("digest_type", "source_idx", "path", closed.alias("closed"), F.explode_outer(frags).alias("frag")))
     n, bad = F.col("n_entries"), F.col("n_bad")
     return (each.groupBy("digest_type", "source_idx", "path", "closed")
-            .agg(F.count("frag").alias("n_entries"), F.count_if(frag.isNotNull() & ~good).alias("n_bad"))
+            .agg(F.count("frag").alias("n_entries"), F.count_if(F.col("frag").isNotNull() & ~F.col("good")).alias("n_bad"))
             .select("digest_type", "source_idx", "path", n.cast("int").alias("n_entries"), bad.cast("int").alias("n_bad"),
                     F.when(n > bad, F.lit("ok")).when((n == 0) & F.col("closed"), F.lit("empty"))
                     .otherwise(F.lit("malformed")).alias("status")))
 
 
-def _parsed(frag, ddl: str):
-    """The fragment as ``ddl``; with undefined entities repaired where it isn't well formed; NULL if that fails too."""
-    options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
-    schema = ddl + ", _bad string"
-    repaired = frag
+def _repaired(frag: Column) -> Column:
+    """The fragment with entities that XML doesn't define as references."""
     for name, code in HTML_ENTITIES.items():
-        repaired = F.replace(repaired, F.lit(f"&{name};"), F.lit(f"&#{code};"))
+        frag = F.replace(frag, F.lit(f"&{name};"), F.lit(f"&#{code};"))
     # any other ampersand that starts no reference stands for itself
-    repaired = F.regexp_replace(repaired, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
-    first, second = F.from_xml(frag, schema, options), F.from_xml(repaired, schema, options)
-    return F.when(first["_bad"].isNull(), first).when(second["_bad"].isNull(), second)
+    return F.regexp_replace(frag, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+
+
+def _parsed(frags: DataFrame) -> DataFrame:
+    """Add ``r`` (an RSS item) or ``a`` (an Atom entry), and ``good``: whether the fragment could be parsed.
+
+    Each fragment is parsed once, and a second time, repaired, only if it isn't
+    well formed.  The parses are the outputs of generators: as plain columns
+    they would be computed again for every field that is read from them.
+    """
+    is_item = F.col("frag").startswith("<item")
+    options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
+
+    def parse(frag: Column) -> Column:
+        return F.struct(F.when(is_item, F.from_xml(frag, RSS_ITEM_DDL + ", _bad string", options)).alias("r"),
+                        F.when(~is_item, F.from_xml(frag, ATOM_ENTRY_DDL + ", _bad string", options)).alias("a"))
+
+    bad = lambda p: F.coalesce(p["r"]["_bad"], p["a"]["_bad"]).isNotNull()
+    once = frags.select("*", F.explode(F.array(parse(F.col("frag")))).alias("_first"))
+    again = F.when(bad(F.col("_first")), parse(_repaired(F.col("frag")))).otherwise(F.col("_first"))
+    both = once.select("*", F.explode(F.array(again)).alias("_told"))
+    told = F.col("_told")
+    return both.select(*frags.columns, told["r"].alias("r"), told["a"].alias("a"),
+                       (~bad(told) & (told["r"].isNotNull() | told["a"].isNotNull())).alias("good"))
 
 
 def _fragments(docs: DataFrame) -> DataFrame:
@@ -97,11 +112,7 @@ def parse_entries(docs: DataFrame) -> DataFrame:
     (``feed_status`` counts it), and never becomes a blank article.
     """
     frag = F.col("frag")
-    is_item = frag.startswith("<item")
-    both = (_fragments(docs)
-            .withColumn("r", F.when(is_item, _parsed(frag, RSS_ITEM_DDL)))
-            .withColumn("a", F.when(~is_item, _parsed(frag, ATOM_ENTRY_DDL)))
-            .filter(F.col("r").isNotNull() | F.col("a").isNotNull()))
+    both = _parsed(_fragments(docs)).filter("good")
     links = F.col("a.link")
     alt = F.filter(links, lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
     no_permalink = frag.rlike(r"""<guid[^>]*isPermaLink\s*=\s*["']false["']""")
