@@ -32,6 +32,16 @@ NO_PREVIOUS = "(none — this is the first digest of this type)"
 NO_MEMORY = "(none yet — this is the first run)"
 PREFS_INTRO = "PERSONAL PREFERENCES (prioritize these above all else):"
 
+# What a digest of each type is called, and whom it is for, in the instruction of a comparison.
+DIGEST_CONTEXT = {
+    "org": ("an org news digest for a freelance journalist covering aging, senior care, and elder health",
+            "read by a freelance journalist and content creator who pitches consumer and trade outlets. "
+            "Items are grouped by organisation, each with consumer and trade story angles already noted."),
+    "press": ("a press-release highlights digest",
+              "read by a freelance writer curating morning press-release highlights across health, wellness, "
+              "food, lifestyle, and consumer categories."),
+}
+
 CHUNK_SIZE = 50
 # UTF-8 bytes of text after which a new chunk begins.
 CHUNK_BYTES = 40_000
@@ -241,12 +251,22 @@ def digest_rows(headers: DataFrame, responses: DataFrame, totals: DataFrame, run
         "source_count", "item_count", "markdown")
 
 
+def with_context(template: str, digest_type="digest_type") -> Column:
+    """The instruction ``template`` with ``{label}`` and ``{context}`` of the row's type (B16); no text for other types."""
+    t = F.col(digest_type) if isinstance(digest_type, str) else digest_type
+    out = F.lit("") if "{label}" in template or "{context}" in template else F.lit(template)
+    for name, (label, context) in DIGEST_CONTEXT.items():
+        out = F.when(t == name, F.lit(template.replace("{label}", label).replace("{context}", context))).otherwise(out)
+    return out
+
+
 def comparison_requests(runs: DataFrame, previous: DataFrame, memory: DataFrame,
                         system: str = "") -> DataFrame:
     """Request per run comparing it with its previous digest and the type's memory.
 
     ``previous``: ``id, prev_id`` (``history.previous_run``); ``memory``: one row per
     type (``memory_latest``).  Missing or empty inputs get the "(none ...)" texts.
+    ``system`` may name its type's ``{label}`` and ``{context}``.
     """
     prev_md = runs.select(F.col("id").alias("prev_id"), F.col("markdown").alias("prev_markdown"))
     j = (runs.select("id", "digest_type", "markdown")
@@ -261,7 +281,7 @@ def comparison_requests(runs: DataFrame, previous: DataFrame, memory: DataFrame,
         F.coalesce(F.when(F.col("memory") != "", F.col("memory")), F.lit(NO_MEMORY)),
         F.lit("\n" + RULE))
     return j.select(F.concat(F.lit("cmp-"), F.col("id").cast("string")).alias("request_id"),
-                    "id", "digest_type", "prev_id", F.lit(system).alias("system"),
+                    "id", "digest_type", "prev_id", with_context(system).alias("system"),
                     F.lit(3072).alias("max_tokens"), user.alias("user_text"))
 
 

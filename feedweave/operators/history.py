@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions.markdown import JS_WS_CHARS
 from feedweave.operators.common import dense_ordinal
+from feedweave.session import reliable_checkpoint
 
 # Dashboard conventions.
 INDEX_LIMIT = 400
@@ -247,15 +249,28 @@ def with_run_ids(runs: DataFrame, batch_id: int, created_at) -> DataFrame:
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Write runs into the history table, a partition each.
+    """Write runs into the history table, ``run_date`` and ``digest_type`` folders.
 
-    ``run_date``, ``digest_type`` and ``id`` name the partition and the ids are
-    stable, so writing a batch again replaces its own runs and no others.  A
-    run's chunks are rows of their own.
+    Only the folders of the given runs are written.  Other runs of such a
+    folder (a second run of a day) stay; ids are stable, so writing a batch
+    again replaces its own runs.  A run's chunks are rows of their own.
     """
-    cols = [c for c in RUN_COLUMNS if c in runs.columns]
-    (runs.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_date", "digest_type", "id").parquet(path))
+    from feedweave.schemas import DIGEST_RUN, conform
+    new = runs.select(*[c for c in RUN_COLUMNS if c in runs.columns])
+    # calendar days of one batch
+    days = [r.run_date for r in new.select("run_date").distinct().collect()]
+    try:
+        there = runs.sparkSession.read.schema(DIGEST_RUN).parquet(path).filter(F.col("run_date").isin(days))
+        others = there.join(new.select("run_date", "digest_type").distinct(), ["run_date", "digest_type"], "left_semi").join(
+            new.select("id").distinct(), "id", "left_anti")
+        if not others.isEmpty():
+            # read before the folders are overwritten
+            new = reliable_checkpoint(conform(new, DIGEST_RUN).unionByName(conform(others, DIGEST_RUN)))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # else the first runs
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_date", "digest_type").parquet(path))
 
 
 def run_heads(runs: DataFrame) -> DataFrame:

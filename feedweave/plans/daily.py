@@ -70,10 +70,14 @@ def finish_pass(done: DailyPass, responses: DataFrame) -> FinishedPass:
     return FinishedPass(runs, ledger.rows_of_finished(done.fresh, runs, done.as_of))
 
 
-def daily_pass_from_files(spark: SparkSession, catalogue_path: str, settings_path: str,
+def daily_pass_from_files(spark: SparkSession, catalogue_path: str | list[str], settings_path: str,
                           landing_dir: str, book: DataFrame, as_of,
                           preferences_path: str | None = None) -> DailyPass:
-    """``daily_pass`` reading configuration files and landed feeds."""
+    """``daily_pass`` reading configuration files and landed feeds.
+
+    ``catalogue_path``: one or more files, each named ``<type>_sources.json`` or
+    in a folder named after its type.
+    """
     active = catalogue.with_source_defaults(
         catalogue.active_sources(catalogue.read_catalogue(spark, catalogue_path)))
     settings = catalogue.read_settings(spark, settings_path)

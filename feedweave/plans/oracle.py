@@ -232,6 +232,25 @@ _TERM_PATTERNS = [("  que ", "que"), ("q\\ue", "que"), ("2024-01-1", "2024-01-1"
 ORACLE["indexed_search"] = with_views(DIGEST_RUNS) + "\nUNION ALL\n".join(
     f"SELECT '{term}' AS term, * FROM ({_index_sql(pattern)})" for term, pattern in _TERM_PATTERNS)
 
+ORACLE["comparison_context"] = with_views(DIGEST_RUNS) + """
+SELECT id, CASE WHEN digest_type = 'org' THEN 'Synthesis at the end of an org news digest for a freelance journalist covering aging, senior care, and elder health, read by a freelance journalist and content creator who pitches consumer and trade outlets. Items are grouped by organisation, each with consumer and trade story angles already noted.'
+  ELSE 'Synthesis at the end of a press-release highlights digest, read by a freelance writer curating morning press-release highlights across health, wellness, food, lifestyle, and consumer categories.' END AS system
+FROM digest_runs"""
+
+ORACLE["landed_sources"] = """
+SELECT 't' || CAST(floor(c_custkey / 100) AS BIGINT) AS digest_type, CAST(row_number() OVER (PARTITION BY floor(c_custkey / 100) ORDER BY c_custkey) - 1 AS INTEGER) AS source_idx,
+  c_custkey AS k, c_name FROM customer"""
+ORACLE["landed_sources"] = f"""
+SELECT digest_type, source_idx, CASE WHEN k % 7 <> 0 THEN c_name ELSE 'Unknown source' END AS source_name,
+  CASE WHEN k % 5 <> 0 THEN 'org ' || c_name WHEN k % 7 <> 0 THEN c_name ELSE 'Unknown source' END AS org,
+  CASE WHEN k % 3 <> 0 THEN 'cat' ELSE '' END AS category, 'https://' || k AS feed_url, CASE WHEN k % 4 = 0 THEN 'a,b' ELSE '' END AS source_filter
+FROM ({ORACLE["landed_sources"]}) WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 6 <> 0 AND k % 17 <> 0"""
+
+ORACLE["runs_of_two_schemas"] = with_views(DIGEST_RUNS) + f"""
+SELECT id, CAST(run_date AS VARCHAR) AS run_date, digest_type, item_count, md5(markdown) AS markdown_md5,
+  CASE WHEN run_date >= DATE '2024-01-15' THEN md5(trends_raw) END AS trends_md5, CASE WHEN run_date >= DATE '2024-01-15' THEN {ts_text('created_at')} END AS created_at
+FROM digest_runs"""
+
 ORACLE["run_by_id"] = with_views(DIGEST_RUNS) + f""",
 requests AS (
   SELECT CASE CAST(floor(id / 100) AS BIGINT) % 7

@@ -18,7 +18,7 @@ from feedweave.functions import responses as rsp
 from feedweave.functions import text as tx
 from feedweave.operators import assemble, checks, curate, day_index, history, ingest, ledger, search_index, trends
 from feedweave.session import reliable_checkpoint, shared_folder
-from feedweave.sources import feeds
+from feedweave.sources import catalogue, feeds
 from feedweave.sources import fixtures as fx
 from feedweave.streaming import ledger_state, passes
 
@@ -445,6 +445,51 @@ def q_comparison_request(spark, sf_dir):
     return assemble.comparison_requests(runs, prev, mem)
 
 
+INSTRUCTION = "Synthesis at the end of {label}, {context}"
+
+
+@query("comparison_context")
+def q_comparison_context(spark, sf_dir):
+    """Instruction of each run's comparison, by its type."""
+    runs = fx.digest_runs(spark, sf_dir)
+    return runs.select("id", assemble.with_context(INSTRUCTION).alias("system"))
+
+
+# ---------------------------------------------------------------- landed configuration (§2.1 A1, A2, A5, B1, B2, C1), J6
+
+
+@query("landed_sources")
+def q_landed_sources(spark, sf_dir):
+    """Catalogue files as they are landed, one for each type, to active, defaulted and fetchable sources."""
+    path = shared_folder(spark, "catalogue")
+    c = fx.table(spark, sf_dir, "customer").select("c_custkey", "c_name").withColumn("k", F.col("c_custkey"))
+    some = lambda every, value: F.when(F.col("k") % every != 0, value)
+    source = F.struct(some(7, F.col("c_name")).alias("name"), some(5, F.concat(F.lit("org "), "c_name")).alias("org"), some(3, F.lit("cat")).alias("category"),
+                      some(11, F.when(F.col("k") % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("https://"), F.col("k").cast("string")))).alias("feed_url"),
+                      F.when(F.col("k") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).alias("source_filter"), F.when(F.col("k") % 6 == 0, F.lit(True)).alias("_disabled"),
+                      F.when(F.col("k") % 17 == 0, F.lit("head")).alias("_section"))
+    # a file holds the sources of one configuration: 100 of them
+    listed = c.select(F.floor(F.col("k") / 100).alias("file"), F.struct("k", source.alias("s")).alias("s")).groupBy("file").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    listed.select(F.concat(F.lit("t"), F.col("file").cast("string")).alias("type"), F.to_json(F.struct(F.col("s.s").alias("sources"))).alias("value")).write.partitionBy("type").text(path)
+    read = catalogue.read_catalogue(spark, path, F.regexp_extract("_file", "type=([^/]+)/", 1))
+    kept = catalogue.fetchable_sources(catalogue.with_source_defaults(catalogue.active_sources(read)))
+    return kept.select("digest_type", "source_idx", "source_name", "org", "category", "feed_url", F.array_join("source_filter", ",").alias("source_filter"))
+
+
+@query("runs_of_two_schemas")
+def q_runs_of_two_schemas(spark, sf_dir):
+    """History written before the sections existed and after, read as one."""
+    path = shared_folder(spark, "runs")
+    runs = fx.digest_runs(spark, sf_dir)
+    old = F.col("run_date") < F.lit("2024-01-15").cast("date")
+    history.append_runs(runs.filter(old).drop("trends_raw", "feature_pitch_raw", "created_at"), path)
+    history.append_runs(runs.filter(~old), path)
+    history.append_runs(runs.filter(~old), path)  # once more: replaces itself
+    out = history.read_runs(spark, path)
+    return out.select("id", F.col("run_date").cast("string").alias("run_date"), "digest_type", "item_count", F.md5("markdown").alias("markdown_md5"),
+                      F.md5("trends_raw").alias("trends_md5"), ts_text("created_at").alias("created_at"))
+
+
 # ---------------------------------------------------------------- markdown (§2.9 I4-I7)
 
 @query("markdown_blocks")

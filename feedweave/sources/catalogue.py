@@ -7,10 +7,10 @@ files hold a top-level ``dedup_days`` and one object per digest type.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from feedweave.functions.text import py_strip
 
@@ -36,19 +36,21 @@ TYPE_SETTINGS_DDL = ("days_back int, max_items_per_source int, min_items_to_send
                      "model string")
 
 
-def read_catalogue(spark: SparkSession, path: str, digest_type: str | Column | None = None) -> DataFrame:
+def read_catalogue(spark: SparkSession, path: str | list[str], digest_type: str | Column | None = None) -> DataFrame:
     """One row per catalogue entry with ``source_idx`` = position in the array (A1).
 
-    ``digest_type`` names the pass; when omitted it is taken from the parent
-    directory of each file (``.../<digest_type>/sources.json``) or left NULL.
+    ``digest_type`` names the pass; when omitted it is taken from the name of
+    each file (``.../<digest_type>_sources.json``), else from its parent directory
+    (``.../<digest_type>/sources.json``), or left NULL.  ``path`` may be a list.
     """
     raw = (spark.read.schema(CATALOGUE_SCHEMA).option("multiLine", True).json(path)
            .withColumn("_file", F.col("_metadata.file_path")))
     rows = raw.select("_file", F.posexplode("sources").alias("source_idx", "s")).select(
         "_file", F.col("source_idx").cast("int").alias("source_idx"), "s.*")
     if digest_type is None:
-        dtype = F.regexp_extract("_file", r"/([^/]+)/[^/]+$", 1)
-        dtype = F.when(dtype == "", F.lit(None).cast("string")).otherwise(dtype)
+        own = F.regexp_extract("_file", r"/([^/]+)_sources\.json$", 1)
+        folder = F.regexp_extract("_file", r"/([^/]+)/[^/]+$", 1)
+        dtype = F.coalesce(F.when(own != "", own), F.when(folder != "", folder))
     elif isinstance(digest_type, str):
         dtype = F.lit(digest_type)
     else:
@@ -102,6 +104,8 @@ def read_preferences(spark: SparkSession, path: str) -> str:
     """Free-text preferences, stripped; ``''`` when the file is absent (A5)."""
     try:
         row = spark.read.text(path, wholetext=True).select(py_strip("value").alias("v")).first()
-    except AnalysisException:
-        return ""
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return ""  # no preferences
     return (row.v or "") if row else ""

@@ -57,3 +57,25 @@ def test_daily_pass_from_files(spark, scratch_dir):
     assert (str(run.run_date), run.digest_type, run.source_count, run.item_count) == ("2024-01-05", "org", 2, 1)
     assert run.markdown == header + "body"
     assert [(r.link, str(r.first_seen)) for r in good.ledger_rows.collect()] == [("https://n/1", "2024-01-05")]
+
+
+def test_both_flat_catalogues(spark, scratch_dir):
+    """config/{org,press}_sources.json beside each other: the file's name gives the type."""
+    cfg = os.path.join(scratch_dir, "config")
+    os.makedirs(cfg)
+    for t in ("org", "press"):
+        with open(os.path.join(cfg, f"{t}_sources.json"), "w") as fh:
+            json.dump({"sources": [{"name": f"Feed {t}", "feed_url": f"https://{t}"}]}, fh)
+        land = os.path.join(scratch_dir, "landing", f"digest_type={t}", "source_idx=0")
+        os.makedirs(land)
+        with open(os.path.join(land, "feed.xml"), "w") as fh:
+            fh.write(RSS)
+    with open(os.path.join(cfg, "digest_config.json"), "w") as fh:
+        one = {"days_back": 2, "max_items_per_source": 20, "min_items_to_send": 1, "model": "m"}
+        json.dump({"_comment": "c", "dedup_days": 7, "org": one, "press": one}, fh)
+    book = spark.createDataFrame([], "link string, digest_type string, first_seen date")
+    paths = [os.path.join(cfg, f"{t}_sources.json") for t in ("org", "press")]
+    out = daily.daily_pass_from_files(spark, paths, os.path.join(cfg, "digest_config.json"), os.path.join(scratch_dir, "landing"), book, "2024-01-05 00:00:00",
+                                      preferences_path=os.path.join(cfg, "absent.md"))
+    assert sorted((r.digest_type, r.source_count, r.item_count) for r in out.totals.collect()) == [("org", 1, 2), ("press", 1, 2)]
+    assert {r.source_name for r in out.fresh.collect()} == {"Feed org", "Feed press"}

@@ -90,3 +90,18 @@ def test_memory_latest_wins(spark):
                                 "digest_type string, request_id long, memory string, updated_at timestamp")
     got = {r.digest_type: r.memory for r in history.memory_latest(log).collect()}
     assert got == {"org": "m2", "press": "p1"}
+
+
+def test_append_runs_again_and_a_second_run_of_a_day(spark, scratch_dir):
+    path = f"{scratch_dir}/runs"
+    cols = "id long, run_date date, digest_type string, chunk_no int, n_chunks int, markdown string"
+    row = lambda i, t, c, text: (i, dt.date(2024, 1, 1), t, c, 2, text)
+    first = spark.createDataFrame([row(1, "org", 0, "a"), row(1, "org", 1, "b"), row(2, "press", 0, "p")], cols)
+    second = spark.createDataFrame([row(3, "org", 0, "c"), row(3, "org", 1, "d")], cols)
+    for batch in (first, second, first, second, second):
+        history.append_runs(batch, path)
+    got = sorted((r.id, r.chunk_no, r.markdown) for r in history.read_runs(spark, path).collect())
+    assert got == [(1, 0, "a"), (1, 1, "b"), (2, 0, "p"), (3, 0, "c"), (3, 1, "d")]
+    assert history.run_heads(history.read_runs(spark, path)).count() == 3
+    history.append_runs(spark.createDataFrame([row(1, "org", 0, "x")], cols), path)  # run 1 anew, with one chunk
+    assert sorted((r.id, r.markdown) for r in history.read_runs(spark, path).collect()) == [(1, "x"), (2, "p"), (3, "c"), (3, "d")]
