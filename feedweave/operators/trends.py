@@ -16,8 +16,8 @@ from feedweave.functions import responses as rsp
 USABLE = ("ok", "truncated")
 
 
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """Per response: outcome, memory revision and the two sections."""
+def parse_responses(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per response: outcome, memory revision and the two sections (I1-I3, I8, I9), and the columns in ``carry``."""
     body = rsp.response_text("blocks")
     with_body = responses.withColumn("_body", body)
     outcome = rsp.triage("_body", "stop_reason", "status_code", "connection_error")
@@ -26,7 +26,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         "request_id", "digest_type", outcome.alias("outcome"),
         rsp.memory_block("_body").alias("memory"),
         rsp.named_section(vis, rsp.TRENDS_HEADING).alias("trends_raw"),
-        rsp.named_section(vis, rsp.PITCH_HEADING).alias("feature_pitch_raw"))
+        rsp.named_section(vis, rsp.PITCH_HEADING).alias("feature_pitch_raw"), *carry)
 
 
 def attach_sections(runs: DataFrame, parsed: DataFrame, run_key: str = "id") -> DataFrame:

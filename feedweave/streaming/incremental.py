@@ -9,7 +9,9 @@ stream with ``trigger(availableNow=True)`` hands each micro-batch to
   in: every run date of the batch is computed from all of them, so the gate and
   the in-run dedup see whole runs (``max_files_per_trigger`` changes no result);
 * dates go in order, because a day's ledger depends on what earlier days
-  accepted; days after a late one that have been computed are computed again;
+  accepted; of the days after a late one, those are computed again before which,
+  within the retention, a day's accepted links have changed: where the change
+  dies out, later days stay as they are;
 * ledger rows and run totals are written to ``.../run_date=<d>`` in overwrite
   mode, so re-executing a batch (after a failure) rewrites the same directories:
   exactly-once output;
@@ -29,6 +31,7 @@ from pyspark.errors import AnalysisException
 
 from feedweave import schemas
 from feedweave.operators import assemble, ingest, ledger
+from feedweave.session import reliable_checkpoint
 from feedweave.sources import feeds
 
 LANDING_SCHEMA = T.StructType([
@@ -68,16 +71,23 @@ def ledger_before(spark: SparkSession, ledger_path: str, run_date, dedup_days: i
 
 
 def process_run(spark: SparkSession, entries: DataFrame, sources: DataFrame, settings: DataFrame,
-                ledger_path: str, runs_path: str, run_date, dedup_days: int = 7) -> None:
-    """One daily run: fresh items -> its ledger rows (L2) and run totals (L3)."""
+                ledger_path: str, runs_path: str, run_date, dedup_days: int = 7) -> bool:
+    """One daily run: fresh items -> its ledger rows (L2) and run totals (L3).
+
+    Returns whether its ledger rows differ from those that were there.
+    """
     as_of = f"{run_date} 00:00:00"
     book = ledger_before(spark, ledger_path, run_date, dedup_days)
     fresh = ingest.fresh_items(entries, settings, book, as_of, dedup_days, ordered=False)
-    rows = ledger.rows_of_finished(fresh, fresh, as_of)
-    rows.select("link", "digest_type", "first_seen").write.mode("overwrite").parquet(
+    rows = reliable_checkpoint(ledger.rows_of_finished(fresh, fresh, as_of).select("link", "digest_type", "first_seen"))
+    there = _read_or_empty(spark, ledger_path, LEDGER_SCHEMA).filter(F.col("run_date") == F.lit(str(run_date)).cast("date"))
+    key = ["digest_type", "link"]
+    changed = not (rows.join(there, key, "left_anti").isEmpty() and there.join(rows, key, "left_anti").isEmpty())
+    rows.write.mode("overwrite").parquet(
         f"{ledger_path}/run_date={run_date}")
     totals = assemble.pass_totals(sources, fresh, settings)
     totals.write.mode("overwrite").parquet(f"{runs_path}/run_date={run_date}")
+    return changed
 
 
 RUNS_SCHEMA = T.StructType([T.StructField("digest_type", T.StringType()), T.StructField("run_date", T.DateType())])
@@ -85,7 +95,7 @@ RUNS_SCHEMA = T.StructType([T.StructField("digest_type", T.StringType()), T.Stru
 
 def make_batch_handler(sources: DataFrame, settings: DataFrame, ledger_path: str,
                        runs_path: str, dedup_days: int = 7, landing_dir: str | None = None):
-    """``foreachBatch`` body: every run date of the micro-batch, and computed later ones, in order.
+    """``foreachBatch`` body: every run date of the micro-batch, and computed later ones that it changes, in order.
 
     With ``landing_dir``, a run's entries are all files landed for its date;
     without, those of the micro-batch.
@@ -93,15 +103,20 @@ def make_batch_handler(sources: DataFrame, settings: DataFrame, ledger_path: str
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # run dates are calendar days: a handful in one micro-batch
-        dates = {r.run_date for r in batch.select("run_date").distinct().collect()}
+        came = {r.run_date for r in batch.select("run_date").distinct().collect()}
+        dates = set(came)
         landed = batch
         if landing_dir and dates:
             landed = _landed(spark.read.schema(LANDING_SCHEMA).option("wholetext", True).format("text").load(landing_dir))
             known = _read_or_empty(spark, runs_path, RUNS_SCHEMA).select("run_date").distinct()
             dates |= {r.run_date for r in known.filter(F.col("run_date") > F.lit(min(dates))).collect()}
+        last_change = None
         for d in sorted(dates):
+            if d not in came and (last_change is None or (d - last_change).days > dedup_days):
+                continue  # sees the ledger that it has seen
             docs = landed.filter(F.col("run_date") == F.lit(str(d)).cast("date"))
-            process_run(spark, feeds.feed_entries(docs, sources), sources, settings, ledger_path, runs_path, d, dedup_days)
+            if process_run(spark, feeds.feed_entries(docs, sources), sources, settings, ledger_path, runs_path, d, dedup_days):
+                last_change = d
     return handle
 
 
@@ -145,11 +160,10 @@ def make_response_handler(sections_path: str, memory_path: str):
     from feedweave.operators import trends
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = trends.parse_responses(batch.drop("received_at"))
+        parsed = trends.parse_responses(batch, carry=("received_at",))
         (parsed.select("request_id", "digest_type", "outcome", "trends_raw", "feature_pitch_raw")
          .write.mode("overwrite").parquet(f"{sections_path}/batch_id={batch_id}"))
-        stamped = parsed.join(batch.select("request_id", "received_at"), "request_id")
-        revisions = trends.memory_revisions(stamped, F.col("received_at"))
+        revisions = trends.memory_revisions(parsed, F.col("received_at"))
         revisions.write.mode("overwrite").parquet(f"{memory_path}/batch_id={batch_id}")
     return handle
 

@@ -104,3 +104,33 @@ def test_response_stream_memory_and_sections(spark, scratch_dir):
     secs = {r.request_id: (r.outcome, r.trends_raw, r.feature_pitch_raw)
             for r in spark.read.parquet(paths["sections"]).collect()}
     assert secs[0] == ("ok", "t0", "p0") and secs[5][0] == "refused"
+
+
+def test_a_late_file_computes_only_the_days_that_it_changes(spark, scratch_dir):
+    import glob
+    from helpers import settings_df
+    landing = os.path.join(scratch_dir, "landing")
+
+    def put(day, idx, links):
+        p = os.path.join(landing, f"run_date=2024-01-{day:02}", "digest_type=org", f"source_idx={idx}")
+        os.makedirs(p)
+        with open(os.path.join(p, "feed.xml"), "w") as fh:
+            fh.write(rss(links))
+
+    put(2, 0, ["https://a/1"])
+    put(4, 0, ["https://a/2"])
+    put(20, 0, ["https://a/1", "https://a/2"])
+    sources = spark.createDataFrame([("org", i, f"o{i}", "o", "c", []) for i in (0, 1)],
+                                    "digest_type string, source_idx int, source_name string, org string, category string, "
+                                    "source_filter array<string>")
+    paths = {k: os.path.join(scratch_dir, k) for k in ("ledger", "runs", "ckpt")}
+    go = lambda: incremental.start_incremental(spark, landing, sources, settings_df(spark, cap=20, min_items=0), paths["ledger"],
+                                               paths["runs"], paths["ckpt"]).awaitTermination(600)
+    go()
+    files = {d: sorted(glob.glob(f"{paths['runs']}/run_date=2024-01-{d:02}/part-*")) for d in (2, 4, 20)}
+    put(2, 1, ["https://a/2"])  # late: day 4 loses its link, day 20 is beyond the retention of both
+    go()
+    now = {d: sorted(glob.glob(f"{paths['runs']}/run_date=2024-01-{d:02}/part-*")) for d in (2, 4, 20)}
+    assert now[20] == files[20] and now[4] != files[4] and now[2] != files[2]
+    got = sorted((r.link, r.run_date.day) for r in incremental.accepted_sightings(spark, paths["ledger"]).collect())
+    assert got == [("https://a/1", 2), ("https://a/1", 20), ("https://a/2", 2), ("https://a/2", 20)]
