@@ -96,5 +96,5 @@ def test_registry():
     import __spark_entry__ as entry
 
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(re.match(r"op(\d+)", k)[1]) for k in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", k)[1]) for k in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(ORACLE) <= set(QUERIES) <= set(entry.queries())
