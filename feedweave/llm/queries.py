@@ -127,10 +127,9 @@ def _url_sql() -> str:
     return rf"""
         WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LOWERED}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-        f AS (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS said,
+        u AS (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS said,
                      [regexp_replace(CASE WHEN regexp_full_match(s, '[0-9A-Fa-f-]{{12,}}') AND regexp_matches(s, '[0-9]') THEN '<x>' ELSE s END, '[0-9]+', '<n>', 'g')
-                      for s in string_split(path, '/') if s <> ''] AS whole FROM h),
-        u AS (SELECT page_id, host, path, rule, said, CASE WHEN len(whole) > {url_templates.MAX_DEPTH} THEN list_append(whole[1:{url_templates.MAX_DEPTH}], '<rest>') ELSE whole END AS forms FROM f),
+                      for s in string_split(path, '/') if s <> ''] AS forms FROM h),
         s AS (SELECT host, forms, count(*) AS n, count(said) AS l, count(*) FILTER (WHERE said = 'block') AS b FROM u GROUP BY ALL),
         lv AS (SELECT host, forms, n, unnest(range(1, len(forms) + 1)) AS k FROM s),
         lp AS (SELECT host, forms, n, k, array_to_string(forms[1:k - 1], '/') AS parent, forms[k] AS form FROM lv),

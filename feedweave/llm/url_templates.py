@@ -11,7 +11,8 @@ all hosts, which is smoothed towards its parent there, up to the root.
 Templates whose purity reaches the threshold are rejected.
 
 Counts are combined by (host, path form) before any join, so a host that holds
-a third of all URLs is a few rows a task.
+a third of all URLs is a few rows a task. Paths have any depth: a node is known
+by the digest of its path, and a template's purity is one fold over its nodes.
 """
 
 from __future__ import annotations
@@ -39,8 +40,6 @@ class Rule:
 #: The rules of the query's contract.
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
-#: Deeper segments fold into one wildcard.
-MAX_DEPTH = 8
 #: A node with at least so many children, on average seen at most so often, has variable children.
 VARIABLE_CHILDREN, VARIABLE_MEAN = 20, 2.0
 #: Error probability of the merge test; weight of the smoothing; purity from which a template is rejected.
@@ -69,12 +68,12 @@ def _by_rule(rules: tuple[Rule, ...], value) -> Column:
 def _forms(path: Column) -> Column:
     """The path's segments with numbers and long codes replaced by wildcards."""
     parts = F.filter(F.split(path, _SEP), lambda s: s != "")
-    numbers = F.transform(parts, lambda s: F.regexp_replace(F.when(s.rlike(r"^(?=.*[0-9])[0-9A-Fa-f-]{12,}$"), F.lit("<x>")).otherwise(s), "[0-9]+", "<n>"))
-    return F.when(F.size(numbers) > MAX_DEPTH, F.concat(F.slice(numbers, 1, MAX_DEPTH), F.array(F.lit("<rest>")))).otherwise(numbers)
+    return F.transform(parts, lambda s: F.regexp_replace(F.when(s.rlike(r"^(?=.*[0-9])[0-9A-Fa-f-]{12,}$"), F.lit("<x>")).otherwise(s), "[0-9]+", "<n>"))
 
 
-def _prefix(forms: str, level: str) -> Column:
-    return F.expr(f"array_join(slice({forms}, 1, {level}), '{_SEP}')")
+def _node(forms: str, level: str) -> Column:
+    """The node that the first segments lead to: a digest, so that the nodes of a deep path don't each carry it."""
+    return F.expr(f"md5(array_join(slice({forms}, 1, {level}), '{_SEP}'))")
 
 
 def _merged(nodes: DataFrame, parent: list[str]) -> DataFrame:
@@ -93,42 +92,38 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     Null urls and urls without :// have an empty host and path and are judged
     like any other host. Null ids and repeated rows pass through; repeated rows
     count as often as they appear. Without any labelled URL the purity is a
-    half, which the threshold of a half rejects. Other columns are not read;
-    an empty table gives an empty result.
+    half, which the threshold of a half rejects. A path of any number of
+    segments is judged by all of them. Other columns are not read; an empty
+    table gives an empty result.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumns({"rule": _by_rule(rules, lambda r: r.text), "said": _by_rule(rules, lambda r: r.verdict), "forms": _forms(F.col("path"))})
 
-    shapes = written(urls.groupBy("host", "forms").agg(F.count(F.lit(1)).alias("n"), F.count("said").alias("l"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).cast("long").alias("b")), "url-shapes")
+    shapes = urls.groupBy("host", "forms").agg(F.count(F.lit(1)).alias("n"), F.count("said").alias("l"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).cast("long").alias("b"))
+    shapes = written(shapes.withColumn("shape", F.md5(F.concat_ws(_SEP, F.col("host"), F.array_join("forms", _SEP)))), "url-shapes")
     # children that vary: one row for each node and child, then for each node
-    levels = shapes.select("host", "forms", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.size("forms"), F.lit(1)))).alias("k")).where(F.col("k") <= F.size("forms"))
-    child = levels.groupBy("host", "k", _prefix("forms", "k - 1").alias("parent"), F.expr("forms[k - 1]").alias("form")).agg(F.sum("n").alias("n"))
+    levels = shapes.select("host", "shape", "forms", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.size("forms"), F.lit(1)))).alias("k")).where(F.col("k") <= F.size("forms"))
+    levels = levels.select("host", "shape", "n", "k", _node("forms", "k - 1").alias("parent"), F.expr("forms[k - 1]").alias("form"))
+    child = levels.groupBy("host", "k", "parent", "form").agg(F.sum("n").alias("n"))
     vary = child.groupBy("host", "k", "parent").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where((F.col("c") >= VARIABLE_CHILDREN) & (F.col("n") <= VARIABLE_MEAN * F.col("c"))).select("host", "k", "parent", F.lit(True).alias("varies"))
-    named = levels.withColumn("parent", _prefix("forms", "k - 1")).join(vary, ["host", "k", "parent"], "left").select(
-        "host", "forms", F.struct("k", F.when(F.col("varies"), F.lit("<any>")).otherwise(F.expr("forms[k - 1]")).alias("form")).alias("part"))
-    # a path has MAX_DEPTH + 1 parts at most
-    templates = named.groupBy("host", "forms").agg(F.expr("transform(array_sort(collect_list(part)), x -> x.form)").alias("template"))
-    shapes = written(shapes.join(templates, ["host", "forms"], "left").withColumn("template", F.coalesce("template", F.array().cast("array<string>"))), "url-templates")
+    named = levels.join(vary, ["host", "k", "parent"], "left").select("shape", F.struct("k", F.when(F.col("varies"), F.lit("<any>")).otherwise(F.col("form")).alias("form")).alias("part"))
+    # as many parts as the path has segments
+    templates = named.groupBy("shape").agg(F.expr("transform(array_sort(collect_list(part)), x -> x.form)").alias("template"))
+    shapes = shapes.join(templates, "shape", "left").withColumn("template", F.coalesce("template", F.array().cast("array<string>")))
+    shapes = written(shapes.withColumn("node", _node("template", "size(template)")), "url-templates")
 
     nodes = shapes.select("host", "l", "b", "template", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("k")).select(
-        "host", "k", _prefix("template", "k").alias("node"), F.when(F.col("k") > 0, _prefix("template", "k - 1")).otherwise(F.lit("")).alias("parent"), "l", "b")
+        "host", "k", _node("template", "k").alias("node"), F.when(F.col("k") > 0, _node("template", "k - 1")).otherwise(F.lit("")).alias("parent"), "l", "b")
     nodes = written(nodes.groupBy("host", "k", "node", "parent").agg(F.sum("l").alias("l"), F.sum("b").alias("b")), "url-nodes")
 
-    # the same templates over all hosts, from the root down
-    everywhere = _merged(nodes.groupBy("k", "node", "parent").agg(F.sum("l").alias("l"), F.sum("b").alias("b")), ["k", "parent"])
-    everywhere = written(everywhere, "url-everywhere")
-    depth = everywhere.agg(F.max("k")).first()[0] or 0
-    known = everywhere.where("k = 0").select("k", "node", ((F.col("b_eff") + smoothing / 2) / (F.col("l_eff") + smoothing)).alias("p"))
-    levels_p = [known]
-    for k in range(1, depth + 1):
-        above = levels_p[-1].select(F.col("node").alias("parent"), F.col("p").alias("above"))
-        levels_p.append(everywhere.where(F.col("k") == k).join(above, "parent").select("k", "node", ((F.col("b_eff") + smoothing * F.col("above")) / (F.col("l_eff") + smoothing)).alias("p")))
-    known = levels_p[0]
-    for x in levels_p[1:]:
-        known = known.unionByName(x)
-    own = _merged(nodes, ["host", "k", "parent"]).join(known, ["k", "node"]).select(
-        "host", "k", "node", ((F.col("b_eff") + smoothing * F.col("p")) / (F.col("l_eff") + smoothing)).alias("purity"))
-    judged = shapes.select("host", "forms", F.size("template").alias("k"), F.array_join("template", _SEP).alias("node")).join(own, ["host", "k", "node"])
-    out = urls.join(judged.select("host", "forms", "node", "purity"), ["host", "forms"])
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.concat(F.lit(_SEP), "node").alias("template"))
+    # the same templates over all hosts: purity from the root down, along each template's nodes
+    everywhere = _merged(nodes.groupBy("k", "node", "parent").agg(F.sum("l").alias("l"), F.sum("b").alias("b")), ["k", "parent"]).select("k", "node", "l_eff", "b_eff")
+    ends = shapes.groupBy("node").agg(F.first("template").alias("template")).withColumnRenamed("node", "end")
+    steps = ends.select("end", "template", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("k")).select("end", "k", _node("template", "k").alias("node"))
+    steps = steps.join(everywhere, ["k", "node"]).groupBy("end").agg(F.array_sort(F.collect_list(F.struct("k", "b_eff", "l_eff"))).alias("steps"))
+    known = steps.select(F.col("end").alias("node"), F.aggregate("steps", F.lit(0.5), lambda above, x: (x["b_eff"] + smoothing * above) / (x["l_eff"] + smoothing)).alias("p"))
+    own = _merged(nodes, ["host", "k", "parent"]).join(known, "node").select("host", "node", ((F.col("b_eff") + smoothing * F.col("p")) / (F.col("l_eff") + smoothing)).alias("purity"))
+    judged = shapes.join(own, ["host", "node"]).select("host", "forms", F.array_join("template", _SEP).alias("path_form"), "purity")
+    out = urls.join(judged, ["host", "forms"])
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.concat(F.lit(_SEP), "path_form").alias("template"))

@@ -290,8 +290,18 @@ def test_url_templates(llm):
     assert by[at["http://c.net/fr/3"]]["verdict"] == by[at["http://c.net/en/3"]]["verdict"] == "allow"
     assert by[at["http://c.net/de/3"]]["template"] == "/de/<n>" and by[at["http://b.org/en/7.html"]]["template"] == "/en/<n>.html"
     assert by[at["http://d.net/user/nameabx"]]["template"] == "/user/<any>"
-    assert by[at["http://deep.net/" + "/".join("abcdefghijklmnop")]]["template"] == "/a/b/c/d/e/f/g/h/<rest>"
+    assert by[at["http://deep.net/" + "/".join("abcdefghijklmnop")]]["template"] == "/" + "/".join("abcdefghijklmnop")
     assert by[at[""]]["host"] == "" and by[at[None]]["template"] == "/"
     plan = url_templates.filter_urls(pages)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
     assert url_templates.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_url_templates_of_deep_paths(llm):
+    top = "/".join("abcdefghijk")
+    urls = [f"http://x.com/{top}/{last}/{k}" for last in ("good", "bad") for k in range(30)] + ["http://y.net/" + "s/" * 1500 + "end"]
+    rules = (url_templates.Rule("allow", "x.com", f"/{top}/good/1"), url_templates.Rule("block", "x.com", f"/{top}/bad/1"))
+    got = {r["page_id"]: r for r in url_templates.filter_urls(llm.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    # paths of 13 segments that differ in the twelfth only
+    assert [got[k]["verdict"] for k in (5, 35)] == ["allow", "block"] and got[35]["rule"] is None
+    assert got[35]["template"] == f"/{top}/bad/<n>" and got[60]["template"].endswith("s/s/end") and got[60]["template"].count("/") == 1501
