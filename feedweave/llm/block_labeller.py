@@ -15,6 +15,7 @@ forms, sidebars, adverts, comments) whose texts are taken from the sample too.
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
 import zlib
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.llm import batches
-from feedweave.llm.html_blocks import Block, blocks
+from feedweave.llm.html_blocks import KEPT_PATHS, Block, Path, blocks, path_of
 
 PATH_DIM, WORD_DIM, MEASURES = 192, 24, 6
 DIM = PATH_DIM + WORD_DIM + MEASURES
@@ -34,7 +35,8 @@ HIDDEN = 20
 #: Pages of the training sample, layouts made of each, and passes over them.
 TRAIN_PAGES, LAYOUTS, EPOCHS = 200, 3, 8
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+_paths: dict[Path, np.ndarray] = {}
+_NO_PATH = np.zeros(PATH_DIM)
 
 
 def _signed(tokens, dim: int) -> np.ndarray:
@@ -43,15 +45,14 @@ def _signed(tokens, dim: int) -> np.ndarray:
 
 
 def features(page: list[Block]) -> np.ndarray:
+    if len(_paths) > KEPT_PATHS:
+        _paths.clear()
     out = np.zeros((len(page), DIM), dtype=np.float32)
     for i, b in enumerate(page):
-        path = _paths.get(b.path)
-        if path is None:
-            if len(_paths) > 50_000:
-                _paths.clear()
-            # near elements say more than far ones
-            near = dict.fromkeys(b.path[::-1][:12])
-            path = _paths[b.path] = _signed(set(b.path) | {"leaf:" + t for t in list(near)[:2]}, PATH_DIM)
+        path = b.path if isinstance(b.path, Path) else path_of(b.path)
+        # near elements say more than far ones
+        near = {"leaf:" + t for t in list(dict.fromkeys(itertools.islice(path.backwards(), 12)))[:2]}
+        path = path.fold(_paths, _NO_PATH, lambda above, own: above + _signed(own.fresh, PATH_DIM) if own.fresh else above) + _signed(near, PATH_DIM)
         out[i, :PATH_DIM] = path
         words = b.text.split()
         out[i, PATH_DIM:PATH_DIM + WORD_DIM] = _signed(words, WORD_DIM) / math.sqrt(len(words))
@@ -176,7 +177,9 @@ _OUTSIDE = frozenset("nav header footer aside form".split()) | {n for names in S
 
 def own_labels(page: list[Block]) -> np.ndarray | None:
     """1 for blocks inside an article or main element, but not in what surrounds it; None if the page has no such element."""
-    inside = [("article" in b.path or "main" in b.path) and not _OUTSIDE & set(b.path) for b in page]
+    known: dict[Path, tuple[bool, bool]] = {}
+    marks = [b.path.fold(known, (False, False), lambda above, own: (above[0] or not {"article", "main"}.isdisjoint(own.names), above[1] or not _OUTSIDE.isdisjoint(own.names))) for b in page]
+    inside = [article and not outside for article, outside in marks]
     return np.array(inside, dtype=np.float32) if any(inside) and not all(inside) else None
 
 
@@ -248,7 +251,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     The training sample is the ``train_pages`` pages of the smallest hash of id
     and html; one task trains on it. Null html
-    counts as empty: no blocks, empty text. Null ids and urls are kept;
+    counts as empty: no blocks, empty text. A page is read whole, in time that
+    grows with its length. Null ids and urls are kept;
     repeated rows are read one by one. Other columns are not read. An empty
     table gives an empty result.
     """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -175,6 +176,27 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in html_blocks.blocks("text <b")] == ["text"]
 
 
+@pytest.mark.parametrize("page, n", [
+    ("<a " * 350_000, 0), ('<a b="x' * 150_000, None), ("<a b='\"x" * 120_000, None), ('<a "' * 250_000, None), ("<" * 1_000_000, 1), ("<!-" * 300_000, 0), ("<p title=it's>x</p>" * 20_000, 20_000),
+    ("<div>x" * 20_000, 20_000), ("<ul><li>x" * 20_000, 20_000), ("<b>" * 20_000 + "x</i></b>" * 20_000, 1), ("".join(f'<div class="c{i}">x' for i in range(20_000)), 20_000)])
+def test_time_grows_with_a_broken_page(page, n):
+    took = time.process_time()
+    found = html_blocks.blocks(page)
+    # ten times what is expected; at quadratic time these take minutes
+    assert time.process_time() - took < 10 and (n is None or len(found) == n)
+    if n == 20_000:
+        took = time.process_time()
+        assert block_labeller.features(found).shape == (n, block_labeller.DIM) and time.process_time() - took < 20
+
+
+def test_quotes_and_open_tags():
+    assert [b.text for b in html_blocks.blocks("<p title=it's>one</p><p>don't</p>")] == ["one", "don't"]
+    assert [b.text for b in html_blocks.blocks('<p title="a > b <i>">one</p><div <p>two')] == ["one", "two"]
+    found = html_blocks.blocks('<div class="x y"><div class=x><p>one<p>two</div>three')
+    assert [tuple(b.path) for b in found] == [("div", "x", "y", "div", "x", "p")] * 2 + [("div", "x", "y")]
+    assert found[0].path is found[1].path and "y" in found[1].path and found[0].path.fresh == ("p",)
+
+
 def test_extraction(llm):
     rng = random.Random(3)
     said = {i: " ".join(samples.words(rng, rng.choice([4, 15, 50]), 0.8)) for i in range(150)}
