@@ -1,24 +1,26 @@
 """Byte-level BPE encoding and decoding with a rank queue made of hierarchical bitmaps.
 
 The ranks file gives each byte string its rank; ids are ranks. A pre-token
-that has a rank is that id. Otherwise its bytes are parts of a doubly linked
-list, and the adjacent pair whose joined bytes have the lowest rank is merged
-first, the leftmost of equals. Each rank has a bucket of the list positions
-whose pair has it; a three-level bitmap over the ranks marks the buckets that
-hold any, so that find-first-set on three words gives the next rank. A merge
-changes two neighbours; what their old buckets hold of them is left there and
-skipped as stale when it comes up. So a pre-token of n bytes takes O(n) bucket
-entries whatever its length, each O(log) for its place in a bucket.
+that has a rank is that id. The others are merged many at a time: their bytes
+are parts of doubly linked lists in one buffer, and the adjacent pairs whose
+joined bytes have the lowest rank are merged first, from left to right. Each
+rank has a bucket of the list positions whose pair has it; a three-level bitmap
+over the ranks marks the buckets that hold any, so that find-first-set on three
+words gives the next rank, for all pre-tokens of the buffer. A merge changes two
+neighbours; what their old buckets hold of them is left there and skipped as
+stale when it comes up. So n bytes take O(n) bucket entries, however they are
+split into pre-tokens, each O(log) for its place in a bucket.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +29,12 @@ from feedweave.llm import batches, tokenizing
 
 #: Fan-out of the bitmap: words of 64 bits, three levels (262,144 ranks).
 _BITS = 6
+#: Bytes of pre-tokens that are merged together; a longer one is alone.
+MERGED_BYTES = 1 << 18
 
 
 class RankQueue:
-    """Positions by rank; pop gives the lowest rank's smallest position. Empty again after a full drain, so it is reused."""
+    """Positions by rank; the lowest rank's bucket is taken whole. Empty again after a full drain, so it is reused."""
 
     __slots__ = ("top", "mid", "low", "bucket")
 
@@ -40,12 +44,13 @@ class RankQueue:
         self.low = [0] * (1 << 2 * _BITS)
         self.bucket: dict[int, list[int]] = {}
 
-    def push(self, rank: int, at: int) -> None:
+    def add(self, rank: int, held: list[int]) -> None:
+        """Positions in any order."""
         bucket = self.bucket
         if rank in bucket:
-            heapq.heappush(bucket[rank], at)
+            bucket[rank] += held
             return
-        bucket[rank] = [at]
+        bucket[rank] = held
         word = rank >> 6
         low = self.low
         if not low[word]:
@@ -55,7 +60,8 @@ class RankQueue:
             self.mid[group] |= 1 << (word & 63)
         low[word] |= 1 << (rank & 63)
 
-    def pop(self) -> tuple[int, int] | None:
+    def take(self) -> tuple[int, list[int]] | None:
+        """The lowest rank and its positions, the last first."""
         top = self.top
         if not top:
             return None
@@ -64,10 +70,6 @@ class RankQueue:
         word = group << 6 | (mid & -mid).bit_length() - 1
         low = self.low[word]
         rank = word << 6 | (low & -low).bit_length() - 1
-        held = self.bucket[rank]
-        if len(held) > 1:
-            return rank, heapq.heappop(held)
-        del self.bucket[rank]
         low &= low - 1
         self.low[word] = low
         if not low:
@@ -75,7 +77,23 @@ class RankQueue:
             self.mid[group] = mid
             if not mid:
                 self.top = top & (top - 1)
-        return rank, held[0]
+        held = self.bucket.pop(rank)
+        held.sort(reverse=True)
+        return rank, held
+
+    def push(self, rank: int, at: int) -> None:
+        self.add(rank, [at])
+
+    def pop(self) -> tuple[int, int] | None:
+        """The lowest rank's smallest position."""
+        lowest = self.take()
+        if lowest is None:
+            return None
+        rank, held = lowest
+        at = held.pop()
+        if held:
+            self.add(rank, held)
+        return rank, at
 
 
 class BytePairEncoder:
@@ -94,63 +112,102 @@ class BytePairEncoder:
         if max(self.ranks.values()) >= 1 << 3 * _BITS:
             raise ValueError("the bitmap has room for 262,144 ranks")
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.packed = {rank: array("I", [rank]).tobytes() for rank in self.tokens}
+        self.of_one = np.array([self.ranks[bytes([x])] for x in range(256)])
+        self.of_two = np.array([self.ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)])
         self.memo = tokenizing.Memo(self._packed, memo_entries)
         self.words: dict[str, bytes] = {}
         self.queue = RankQueue()
 
-    def merge(self, word: bytes) -> list[int]:
-        """ids of one pre-token."""
-        whole = self.ranks.get(word)
-        if whole is not None:
-            return [whole]
-        n, ranks = len(word), self.ranks
-        if n == 2:
-            return [ranks[word[:1]], ranks[word[1:]]]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = ranks.get
-        pair: list[int | None] = [get(word[i:i + 2]) for i in range(n - 1)]
-        pair.append(None)
-        push, pop = self.queue.push, self.queue.pop
-        for i, rank in enumerate(pair):
-            if rank is not None:
-                push(rank, i)
-        while (next_one := pop()) is not None:
-            rank, i = next_one
-            if pair[i] != rank:
-                continue  # stale: merged away, or its neighbour has changed
-            gone = after[i]
-            end = after[i] = after[gone]
-            pair[gone] = pair[i] = None
-            if end < n:
-                before[end] = i
-                new = pair[i] = get(word[i:after[end]])
-                if new is not None:
-                    push(new, i)
-            left = before[i]
-            if left >= 0:
-                new = pair[left] = get(word[left:end])
-                if new is not None:
-                    push(new, left)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[word[i:after[i]]])
-            i = after[i]
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens, which are merged together in buffers of about MERGED_BYTES."""
+        ranks = self.ranks
+        out = [b"" if not word else self.packed[whole] if (whole := ranks.get(word)) is not None else None for word in words]
+        rest = [i for i, x in enumerate(out) if x is None]
+        at = 0
+        while at < len(rest):
+            to, size = at, 0
+            while to < len(rest) and (to == at or size + len(words[rest[to]]) <= MERGED_BYTES):
+                size += len(words[rest[to]])
+                to += 1
+            for i, ids in zip(rest[at:to], self._merged([words[i] for i in rest[at:to]]), strict=True):
+                out[i] = ids
+            at = to
+        return out
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """Of words that aren't empty and have no rank of their own, each of which has a place after it in the buffer."""
+        get, queue = self.ranks.get, self.queue
+        add = queue.add
+        data = b"\n".join([*words, b""])
+        n = len(data)
+        raw = np.frombuffer(data, np.uint8).astype(np.int32)
+        ends = np.cumsum([len(x) + 1 for x in words]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        rank_at = np.append(self.of_two[raw[:-1] << 8 | raw[1:]], -1)
+        rank_at[ends] = rank_at[ends - 1] = -1
+        left_of = np.arange(-1, n - 1)
+        left_of[starts] = -1
+        edge = bytearray(n)
+        for end in ends.tolist():
+            edge[end] = 1
+        after, before, pair, ident = list(range(1, n + 1)), left_of.tolist(), rank_at.tolist(), self.of_one[raw].tolist()
+        places = np.flatnonzero(rank_at >= 0)
+        places = places[np.argsort(rank_at[places], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank_at[places], prepend=-1)).tolist()
+        for a, b in pairwise([*cuts, len(places)]):
+            add(int(rank_at[places[a]]), places[a:b].tolist())
+        while (lowest := queue.take()) is not None:
+            rank, held = lowest
+            while held:
+                i = held.pop()
+                if pair[i] != rank:
+                    continue  # stale: merged away, or its neighbour has changed
+                ident[i] = rank
+                gone = after[i]
+                end = after[i] = after[gone]
+                pair[gone] = pair[i] = -1
+                least = rank + 1
+                if not edge[end]:
+                    before[end] = i
+                    new = get(data[i:after[end]])
+                    if new is not None:
+                        pair[i] = new
+                        add(new, [i])
+                        least = new
+                left = before[i]
+                if left >= 0:
+                    new = get(data[left:end])
+                    if new is None:
+                        pair[left] = -1
+                    else:
+                        pair[left] = new
+                        add(new, [left])
+                        if new < least:
+                            least = new
+                if least <= rank:
+                    # what this merge has made comes before the rest of the bucket
+                    if held:
+                        add(rank, held)
+                    break
+        out = []
+        for i, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            ids = []
+            while i < end:
+                ids.append(ident[i])
+                i = after[i]
+            out.append(array("I", ids).tobytes())
         return out
 
     def _packed(self, pieces: list[str]) -> list[bytes]:
-        words, out = self.words, []
+        words = self.words
         if len(words) > self.memo.entries:
             words.clear()
-        for piece in pieces:
-            parts = []
-            for word in self.find(piece):
-                packed = words.get(word)
-                if packed is None:
-                    packed = array("I", self.merge(word.encode())).tobytes()
-                    if len(word) <= 64:
-                        words[word] = packed
-                parts.append(packed)
-            out.append(b"".join(parts))
+        cut = [self.find(piece) for piece in pieces]
+        new = list({w for found in cut for w in found if w not in words})
+        made = dict(zip(new, self.merge([w.encode() for w in new]), strict=True))
+        out = [b"".join([words[w] if w in words else made[w] for w in found]) for found in cut]
+        words.update((w, ids) for w, ids in made.items() if len(w) <= 64)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

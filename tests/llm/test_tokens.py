@@ -62,6 +62,36 @@ def test_rank_queue_is_a_priority_queue():
         assert queue.pop() is None
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 18])
+def test_words_merged_together_equal_the_library(monkeypatch, size):
+    monkeypatch.setattr(byte_bpe, "MERGED_BYTES", size)
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz \n\u00e9\u4e2d\U0001f600'0"
+    words = ["".join(rng.choices(letters, k=rng.choice([1, 2, 3, 8, 30]))) for _ in range(400)] + ["a" * 3000, "ab" * 2000, "aab" * 700, "\n" * 500, "", "x"]
+    bpe, library = byte_bpe.BytePairEncoder(P.path(RANKS), P.PATTERN), reference_bpe()
+    got = [list(memoryview(x).cast("I")) for x in bpe.merge([w.encode() for w in words])]
+    assert got == [library._encode_single_piece(w.encode()) if w else [] for w in words]
+    assert bpe.queue.take() is None and not any(bpe.queue.low)
+
+
+def test_ranks_that_put_a_later_merge_first(tmp_path):
+    """A pair made by a merge may have a lower rank than that merge: it comes before the rest of its bucket."""
+    tokens = [bytes([x]) for x in range(256)] + [b"aba", b"abab", b"ab", b"ba", b"bab", b"aa", b"baa"]
+    path = tmp_path / "ranks.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
+    bpe, ranks = byte_bpe.BytePairEncoder(str(path), P.PATTERN), {t: i for i, t in enumerate(tokens)}
+
+    def plain(word: bytes) -> list[int]:
+        parts = [word[i:i + 1] for i in range(len(word))]
+        while (best := min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks), default=None)) is not None:
+            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return [ranks[x] for x in parts]
+
+    rng = random.Random(5)
+    words = [bytes(rng.choices(b"ab", k=rng.randrange(1, 25))) for _ in range(500)]
+    assert [list(memoryview(x).cast("I")) for x in bpe.merge(words)] == [[ranks[w]] if w in ranks else plain(w) for w in words]
+
+
 def test_bpe_equals_the_library_and_goes_back(llm):
     rows = samples.texts()
     library = reference_bpe()
