@@ -35,7 +35,9 @@ HIDDEN = 20
 #: Pages of the training sample, layouts made of each, and passes over them.
 TRAIN_PAGES, LAYOUTS, EPOCHS = 200, 3, 8
 
+#: By path: the vector of its elements, and that with its leaf's marks.
 _paths: dict[Path, np.ndarray] = {}
+_leaves: dict[Path, np.ndarray] = {}
 _NO_PATH = np.zeros(PATH_DIM)
 
 
@@ -45,15 +47,19 @@ def _signed(tokens, dim: int) -> np.ndarray:
 
 
 def features(page: list[Block]) -> np.ndarray:
-    if len(_paths) > KEPT_PATHS:
-        _paths.clear()
     out = np.zeros((len(page), DIM), dtype=np.float32)
     for i, b in enumerate(page):
+        if len(_paths) + len(_leaves) > KEPT_PATHS:
+            _paths.clear()
+            _leaves.clear()
         path = b.path if isinstance(b.path, Path) else path_of(b.path)
-        # near elements say more than far ones
-        near = {"leaf:" + t for t in list(dict.fromkeys(itertools.islice(path.backwards(), 12)))[:2]}
-        path = path.fold(_paths, _NO_PATH, lambda above, own: above + _signed(own.fresh, PATH_DIM) if own.fresh else above) + _signed(near, PATH_DIM)
-        out[i, :PATH_DIM] = path
+        whole = _leaves.get(path)
+        if whole is None:
+            # near elements say more than far ones
+            near = {"leaf:" + t for t in list(dict.fromkeys(itertools.islice(path.backwards(), 12)))[:2]}
+            above = path.fold(_paths, _NO_PATH, lambda above, own: above + _signed(own.fresh, PATH_DIM) if own.fresh else above)
+            whole = _leaves[path] = (above + _signed(near, PATH_DIM)).astype(np.float32)
+        out[i, :PATH_DIM] = whole
         words = b.text.split()
         out[i, PATH_DIM:PATH_DIM + WORD_DIM] = _signed(words, WORD_DIM) / math.sqrt(len(words))
         n = len(b.text)
