@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.batches import broadcast_if_small, shared_dir, written
+from feedweave.llm.batches import broadcast_if_small, shared_dir, unused, written
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The state's keyed store is on disk; a small store must not reserve megabytes there.
@@ -96,12 +96,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay, with all their columns."""
     found = written(dedup_exact(docs, id_col, text_col), "exact")
     goes = found.where("not kept")
-    own, sha = F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")
-    marked = docs.withColumn("__text_sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
+    text_sha, goes_sha, goes_id = (unused(docs, x) for x in ("__text_sha", "__sha", "__id"))
+    own, sha = F.col(id_col).alias(goes_id), F.col("text_sha256").alias(goes_sha)
+    marked = docs.withColumn(text_sha, F.sha2(normalised(F.col(text_col)), 256))
+    same = F.col(id_col).eqNullSafe(F.col(goes_id)) & (F.col(text_sha) == F.col(goes_sha))
     others = goes.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(own, sha).distinct()
     left = marked.join(broadcast_if_small(others), same, "left_anti")
     if not goes.where(F.col(id_col).eqNullSafe(F.col("keep_id"))).isEmpty():
         # rows that repeat an id and its text
-        left = left.dropDuplicates([id_col, "__text_sha"])
-    return left.drop("__text_sha")
+        left = left.dropDuplicates([id_col, text_sha])
+    return left.drop(text_sha)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.llm import batches, hashing
-from feedweave.llm.batches import broadcast_if_small, written
+from feedweave.llm.batches import broadcast_if_small, unused, written
 
 #: Different ids that words can have; nothing else bounds a vocabulary.
 VOCABULARY = 1 << 64
@@ -487,6 +487,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns. A rejected row takes no other text or language of its id (or of null ids) with it."""
-    rejected = written(_judged(docs, labels, id_col).where("not kept").select(F.col(id_col).alias("__id"), F.col("__row").alias("__rejected")).distinct(), "rejected")
-    marked = docs.withColumn("__row", _row(id_col, "text", "lang"))
-    return marked.join(broadcast_if_small(rejected), (F.col("__row") == F.col("__rejected")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").drop("__row")
+    row, gone, gone_id = (unused(docs, x) for x in ("__row", "__rejected", "__id"))
+    rejected = written(_judged(docs, labels, id_col).where("not kept").select(F.col(id_col).alias(gone_id), F.col("__row").alias(gone)).distinct(), "rejected")
+    marked = docs.withColumn(row, _row(id_col, "text", "lang"))
+    return marked.join(broadcast_if_small(rejected), (F.col(row) == F.col(gone)) & F.col(id_col).eqNullSafe(F.col(gone_id)), "left_anti").drop(row)

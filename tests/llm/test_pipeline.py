@@ -98,3 +98,13 @@ def test_registry():
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
     assert sorted(int(re.match(r"op(\d+)", k)[1]) for k in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(ORACLE) <= set(QUERIES) <= set(entry.queries())
+
+
+def test_stages_keep_columns_named_like_their_own(llm, tmp_path):
+    names = ("__row", "__rejected", "__id", "__text_hash", "__goes", "__text_sha", "__sha")
+    rows = [(i, f"some words of text number {i} and a few more", "en") for i in range(40)] + [(50, "some words of text number 3 and a few more", "en"), (51, None, None)]
+    docs = llm.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in names))
+    llm.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage, most in ((corpus_pipeline.quality, 42), (corpus_pipeline.exact, 41), (corpus_pipeline.near, 41)):
+        left = stage(llm, docs, str(tmp_path)).collect()
+        assert 0 < len(left) <= most and all(tuple(r)[3:] == names for r in left)
