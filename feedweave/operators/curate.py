@@ -69,20 +69,19 @@ def score_items(items: DataFrame, rules: Iterable[dict]) -> DataFrame:
                         (F.col("_found.skip") & ~F.col("_found.prefer")).alias("dropped"))
 
 
-def rule_hits(items: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys..., kind, term, label, weight, priority`` of the rules (``schemas.RULE``) whose term an item has."""
+def rule_hits(items: DataFrame, rules: DataFrame, keys: list[str], **of_term: Column) -> DataFrame:
+    """``keys..., term, of_term...`` of the terms of ``rules`` (``schemas.RULE``) that an item has; ``of_term`` are aggregates over the rules of a term."""
     own = items.select(*keys, haystack().alias("_hay"))
-    found = term_match.matches(own, "_hay", keys, rules)
-    each = rules.select("kind", F.lower(F.coalesce("term", F.lit(""))).alias("term"), "label", "weight", "priority")
-    return found.join(each, "term")
+    each = rules.groupBy(F.lower(F.coalesce("term", F.lit(""))).alias("term")).agg(F.max("term").alias("_any"), *(c.alias(name) for name, c in of_term.items()))
+    return term_match.matches(own, "_hay", keys, each.filter(F.col("_any").isNotNull()), carried=tuple(of_term))
 
 
 def score_by_table(items: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("digest_type", "item_no")) -> DataFrame:
     """``score_items`` with the rules of a table (K1); ``keys`` name an item."""
     k = list(keys)
-    hits = rule_hits(items, rules, k).groupBy(*k).agg(
-        F.sum(F.when(F.col("kind").isin("prefer", "seek", "less"), F.coalesce("weight", F.lit(0))).otherwise(F.lit(0))).cast("int").alias("_score"),
-        F.bool_or(F.col("kind") == "skip").alias("_skip"), F.bool_or(F.col("kind") == "prefer").alias("_prefer"))
+    weight = F.when(F.col("kind").isin("prefer", "seek", "less"), F.coalesce("weight", F.lit(0))).otherwise(F.lit(0))
+    hits = rule_hits(items, rules, k, _weight=F.sum(weight), _skips=F.bool_or(F.col("kind") == "skip"), _prefers=F.bool_or(F.col("kind") == "prefer")).groupBy(*k).agg(
+        F.sum("_weight").cast("int").alias("_score"), F.bool_or("_skips").alias("_skip"), F.bool_or("_prefers").alias("_prefer"))
     j = items.join(hits, k, "left")
     return j.select(*items.columns, F.coalesce("_score", F.lit(0)).alias("score"),
                     F.coalesce(F.col("_skip") & ~F.col("_prefer"), F.lit(False)).alias("dropped"))
@@ -92,8 +91,8 @@ def categorise_by_table(picks: DataFrame, rules: DataFrame, default: str = "Gene
                         keys: tuple[str, ...] = ("digest_type", "item_no")) -> DataFrame:
     """``categorise`` with the rules of a table (K3)."""
     k = list(keys)
-    hits = rule_hits(picks, rules.filter(F.col("kind") == "category"), k)
-    best = hits.groupBy(*k).agg(F.min(F.struct("priority", "label")).alias("_best"))
+    hits = rule_hits(picks, rules.filter(F.col("kind") == "category"), k, _first=F.min(F.struct("priority", "label")))
+    best = hits.groupBy(*k).agg(F.min("_first").alias("_best"))
     return picks.join(best, k, "left").withColumn("category", F.coalesce("_best.label", F.lit(default))).drop("_best")
 
 

@@ -1,27 +1,35 @@
 """Many terms at once: which terms of a table occur in which texts (C4, K1, K3).
 
-A term can only occur where its rarest run of three characters does.  That run
-is the term's anchor: texts are cut into their distinct runs, equi-joined with
-the anchors, and ``contains`` decides on the pairs that meet.  A term of fewer
-characters is its own anchor and meets the texts' runs of that length.  Work
-grows with the texts and the hits, not with texts times terms, and no term
-passes through the driver.
+A term can only occur where each run of its characters does.  One run of
+``ANCHOR`` characters is the term's anchor, the one around its rarest ``RUN``
+characters; a shorter term is its own anchor.  Texts are cut into their distinct
+runs, equi-joined with the anchors, and ``contains`` decides on the pairs that
+meet.  The anchors are broadcast, a slice of bounded size at a time, and meet
+the runs where the texts are read: no run and no pair is shuffled or written.
+What is counted first are the texts' runs of ``RUN`` characters, of which there
+are few.  No term passes through the driver other than as a broadcast.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.operators.common import sized_broadcast
+from feedweave.operators.common import BROADCAST_MAX_BYTES, sized_broadcast
 from feedweave.session import reliable_checkpoint
 
-ANCHOR = 3
+#: Characters of a run that is counted, and of an anchor.
+RUN, ANCHOR = 3, 5
+#: Terms of one slice, which is broadcast.
+SLICE_TERMS = 1 << 20
 
 
 def runs_of(chars: Column, n: int) -> Column:
     """Distinct runs of ``n`` characters of an array of characters."""
-    parts = [chars] + [F.slice(chars, k, F.greatest(F.size(chars) - (k - 1), F.lit(0))) for k in range(2, n + 1)]
+    parts = [F.slice(chars, k, F.greatest(F.size(chars) - (k - 1), F.lit(0))) for k in range(1, n + 1)]
     beside = F.transform(F.arrays_zip(*parts), lambda z: F.concat(*(z[str(k)] for k in range(n))))
     return F.array_distinct(F.filter(beside, lambda t: t.isNotNull()))
 
@@ -30,42 +38,43 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def matches(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame, term_col: str = "term") -> DataFrame:
-    """``keys..., term``: the distinct terms that occur in a row's text, case apart.
+def matches(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame, term_col: str = "term", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``keys..., term, carried...``: the distinct terms that occur in a row's text, case apart.
 
     ``keys`` name a row of ``texts``.  The empty term occurs everywhere, a null
-    term or text nowhere.  A term that nearly every text has makes its join
-    key as large as its hits; Spark splits such a key at run time.
+    term or text nowhere.  ``carried``: columns of ``terms`` that come with each
+    hit; it then has one row a term, apart from case.
     """
     spark = texts.sparkSession
-    own = reliable_checkpoint(terms.select(F.lower(term_col).alias("term")).filter(F.col("term").isNotNull()).distinct())
+    own = terms.select(F.lower(term_col).alias("term"), *carried).filter(F.col("term").isNotNull())
+    own = reliable_checkpoint((own if carried else own.distinct()).withColumn("n", F.size(_chars(F.col("term")))))
+    sizes = own.agg(F.collect_set(F.least("n", F.lit(ANCHOR))).alias("of"), F.max("n").alias("most")).first()
+    lengths = sorted(sizes["of"])  # 0 to ANCHOR
     low = texts.select(*keys, F.lower(text_col).alias("_hay")).filter(F.col("_hay").isNotNull())
-    size = F.least(F.size(_chars(F.col("term"))), F.lit(ANCHOR))
-    sized = own.select("term", size.alias("n"))
-    lengths = sorted(r["n"] for r in sized.select("n").distinct().collect())  # 0 to ANCHOR
     if not lengths:
-        return low.limit(0).select(*keys, F.lit("").alias("term"))
+        return low.limit(0).select(*keys, F.lit("").alias("term"), *(F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in carried))
+    # a text is lowered and cut once, not for each of its runs, and few short texts don't share one task
+    low = low.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *keys).withColumn("_chars", _chars(F.col("_hay")))
 
-    def grams(df: DataFrame, text: str, own_keys: list[str], n: int) -> DataFrame:
-        cut = F.array(F.lit("")) if n == 0 else runs_of(_chars(F.col(text)), n)
-        return df.select(*own_keys, F.explode(cut).alias("gram"))
+    anchors = own.withColumn("gram", F.col("term"))
+    if sizes["most"] > ANCHOR:
+        often = reliable_checkpoint(low.select(F.explode(runs_of(F.col("_chars"), RUN)).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("often")))
+        chars = _chars(F.col("term"))
+        run = F.transform(F.sequence(F.lit(1), F.col("n") - (RUN - 1)), lambda i: F.array_join(F.slice(chars, i, RUN), ""))
+        longer = own.filter(F.col("n") > ANCHOR).select("term", "n", F.posexplode(run).alias("at", "run"))
+        # a run that no text has is the rarest: the term is then met nowhere
+        rarest = longer.join(sized_broadcast(often), "run", "left").groupBy("term").agg(
+            F.min_by("at", F.struct(F.coalesce("often", F.lit(0)), "run", "at")).alias("at"))
+        first = F.greatest(F.lit(1), F.least(F.col("at"), F.col("n") - (ANCHOR - 1)))
+        anchors = own.join(rarest, "term", "left").withColumn(
+            "gram", F.when(F.col("at").isNotNull(), F.array_join(F.slice(chars, first, ANCHOR), "")).otherwise(F.col("term"))).drop("at")
+    size = sum((F.octet_length(F.to_json(F.struct(c))) for c in ("term", "gram", *carried)), F.lit(16))
+    anchors = reliable_checkpoint(anchors.select("term", "gram", *carried, F.xxhash64("term").alias("_deal"), size.cast("bigint").alias("_size")))
+    seen = anchors.agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("size")).first()
+    slices = max(math.ceil(seen["n"] / SLICE_TERMS), math.ceil(seen["size"] / BROADCAST_MAX_BYTES))
 
-    hay_grams = None
-    for n in lengths:
-        part = grams(low, "_hay", keys, n)
-        hay_grams = part if hay_grams is None else hay_grams.unionByName(part)
-    choices = None
-    for n in lengths:
-        part = grams(sized.filter(F.col("n") == n), "term", ["term"], n)
-        choices = part if choices is None else choices.unionByName(part)
-    choices = reliable_checkpoint(choices)
-    # how many texts have each run that a term could be found by
-    wanted = sized_broadcast(choices.select("gram").distinct())
-    met = reliable_checkpoint(hay_grams.join(wanted, "gram"))
-    often = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # a run that no text has is the rarest: the term is then met nowhere
-    anchors = choices.join(often, "gram", "left").groupBy("term").agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    pairs = met.join(sized_broadcast(anchors), "gram").select(*keys, "term")
-    found = pairs.join(low, keys).filter(F.contains("_hay", "term"))
-    return found.select(*keys, "term")
+    cut = F.concat(*(runs_of(F.col("_chars"), n) if n else F.array(F.lit("")) for n in lengths))
+    runs = low.select(*keys, "_hay", F.explode(cut).alias("gram"))
+    found = [runs.join(F.broadcast(anchors.filter(F.pmod("_deal", F.lit(slices)) == k)), "gram")
+             .filter(F.contains("_hay", "term")).select(*keys, "term", *carried) for k in range(slices)]
+    return reduce(DataFrame.unionByName, found)

@@ -43,3 +43,17 @@ def test_themes_beyond_the_summary(spark):
     articles = spark.createDataFrame([("org", 0, 0, 1, "o1"), ("org", 1, 0, 2, "o2")], "digest_type string, source_idx int, pos int, item_no long, org string")
     found = curate.theme_candidates(curate.with_whole_text(articles, entries)).collect()
     assert [(r.term, r.n_items, r.n_orgs) for r in found] == [("beyond", 2, 2)]
+
+
+def test_nothing_but_counts_is_shuffled_however_many_terms(spark, monkeypatch):
+    monkeypatch.setattr(term_match, "SLICE_TERMS", 7)
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abü") for _ in range(rnd.randrange(9))) for _ in range(60)]
+    texts = [" ".join(rnd.choice(words) for _ in range(6)) for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    table = spark.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(words))], "term string, place int")
+    found = term_match.matches(rows, "t", ["k"], table, carried=("place",))
+    assert sorted(map(tuple, found.collect())) == sorted((k, w, i) for k, x in enumerate(texts) for i, w in enumerate(dict.fromkeys(words)) if w in x)
+    # runs and hits meet by broadcast: one exchange of the texts a slice, and no join by shuffle
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == -(-len(set(words)) // 7) and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
