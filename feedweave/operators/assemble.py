@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions.text import py_strip
 from feedweave.operators.common import running_total, sized_broadcast
+from feedweave.session import reliable_checkpoint
 
 # Header, block and request wording of the two digest types.
 ORG_TITLE = "# Org News Digest — "
@@ -251,6 +252,18 @@ def digest_rows(headers: DataFrame, responses: DataFrame, totals: DataFrame, run
         "source_count", "item_count", "markdown")
 
 
+def with_whole_md5(rows: DataFrame, keys: list[str], order_col: str, md5_col: str, name: str) -> DataFrame:
+    """Add ``name``: the md5 of the chunk digests ``md5_col`` of a run (``keys``), joined in the order of ``order_col``.
+
+    It changes with any chunk that is lost, repeated, altered or out of order.
+    Only digests meet; the chunks' texts never come together in one value.
+    """
+    fixed = reliable_checkpoint(rows)
+    parts = F.array_sort(F.collect_list(F.struct(order_col, md5_col)))
+    whole = fixed.groupBy(*keys).agg(F.md5(F.array_join(F.transform(parts, lambda p: p[md5_col]), "")).alias(name))
+    return fixed.join(sized_broadcast(whole), keys).select(*rows.columns, name)
+
+
 def with_context(template: str, digest_type="digest_type") -> Column:
     """The instruction ``template`` with ``{label}`` and ``{context}`` of the row's type (B16); no text for other types."""
     t = F.col(digest_type) if isinstance(digest_type, str) else digest_type

@@ -637,11 +637,12 @@ SELECT DISTINCT link, digest_type, '2024-01-05' AS first_seen FROM ordered WHERE
 ORACLE["digest_rows"] = _fresh_ctes() + _ORDERED + _SOURCES + """,
 texts AS (""" + _chunks_sql(_ORG_LINE, "''", "digest_type = 'org'") + """),
 n AS (SELECT CAST(count(*) AS INTEGER) AS items FROM ordered WHERE digest_type = 'org'),
-s AS (SELECT CAST(count(*) AS INTEGER) AS sources FROM fixture_sources WHERE digest_type = 'org')
-SELECT 'org' AS digest_type, '2024-01-05' AS run_date, chunk_no, CAST(count(*) OVER () AS INTEGER) AS n_chunks, s.sources AS source_count, n.items AS item_count,
+s AS (SELECT CAST(count(*) AS INTEGER) AS sources FROM fixture_sources WHERE digest_type = 'org'),
+told AS (SELECT 'org' AS digest_type, '2024-01-05' AS run_date, chunk_no, CAST(count(*) OVER () AS INTEGER) AS n_chunks, s.sources AS source_count, n.items AS item_count,
        md5(rtrim(regexp_replace(CASE WHEN chunk_no = 0 THEN '# Org News Digest — January 2024 **Run date:** 2024-01-05 | **Sources monitored:** ' || s.sources
            || ' | **Items fetched:** ' || n.items || ' --- ' ELSE ' ' END || text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS markdown_md5
-FROM texts, n, s"""
+FROM texts, n, s)
+SELECT *, (SELECT md5(string_agg(markdown_md5, '' ORDER BY chunk_no)) FROM told) AS digest_md5 FROM told"""
 
 _PASSES = """,
 turns AS (SELECT conv_id * 100 + turn AS rid, text, CAST(conv_id % 40 AS INTEGER) AS day, CASE WHEN turn % 4 = 1 THEN 'press' ELSE 'org' END AS digest_type

@@ -591,9 +591,11 @@ def _finished(spark, sf_dir):
 
 @query("digest_rows")
 def q_digest_rows(spark, sf_dir):
+    """Run rows, a row a chunk, with the digest of the whole run's markdown over those of its chunks."""
     runs = _finished(spark, sf_dir)[1]
-    return runs.select("digest_type", F.col("run_date").cast("string").alias("run_date"), "chunk_no", "n_chunks", "source_count", "item_count",
+    rows = runs.select("digest_type", F.col("run_date").cast("string").alias("run_date"), "chunk_no", "n_chunks", "source_count", "item_count",
                        F.md5(F.regexp_replace("markdown", r"\s+", " ")).alias("markdown_md5"))
+    return assemble.with_whole_md5(rows, ["digest_type", "run_date"], "chunk_no", "markdown_md5", "digest_md5")
 
 
 @query("ledger_after_success")

@@ -1,9 +1,11 @@
 """The daily job end to end from configuration files and landed feeds."""
 
 import datetime as dt
+import hashlib
 import json
 import os
 
+from feedweave.operators import assemble
 from feedweave.plans import daily
 
 RSS = ("<rss><channel>"
@@ -79,3 +81,19 @@ def test_both_flat_catalogues(spark, scratch_dir):
                                       preferences_path=os.path.join(cfg, "absent.md"))
     assert sorted((r.digest_type, r.source_count, r.item_count) for r in out.totals.collect()) == [("org", 1, 2), ("press", 1, 2)]
     assert {r.source_name for r in out.fresh.collect()} == {"Feed org", "Feed press"}
+
+
+def test_a_run_has_one_digest_over_all_its_chunks(spark):
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    runs = {"org": ["a", "b", "c"], "press": ["a", "c", "b"], "other": ["a"]}
+    rows = spark.createDataFrame([(t, i, md5(x)) for t, texts in runs.items() for i, x in enumerate(texts)], "t string, chunk_no int, h string").repartition(3)
+    got = {(r.t, r.chunk_no): (r.h, r.whole) for r in assemble.with_whole_md5(rows, ["t"], "chunk_no", "h", "whole").collect()}
+    assert got == {(t, i): (md5(x), md5("".join(map(md5, texts)))) for t, texts in runs.items() for i, x in enumerate(texts)}
+
+
+def test_digest_rows_tell_the_whole_run(spark):
+    from __spark_entry__ import queries
+    rows = [r for r in queries()["digest_rows"](spark, "/root/testdata/sf0.001").collect() if r.digest_type == "org"]
+    rows.sort(key=lambda r: r.chunk_no)
+    assert rows and [r.n_chunks for r in rows] == [len(rows)] * len(rows)
+    assert {r.digest_md5 for r in rows} == {hashlib.md5("".join(r.markdown_md5 for r in rows).encode()).hexdigest()}
