@@ -52,7 +52,12 @@ class Manifest:
 
 
 def _joined(hashes: Column) -> Column:
-    return F.array_join(hashes, "")
+    """Digests, kept as 32 bytes each, as the hex text that is hashed."""
+    return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), "")
+
+
+def _hashed(hashes: Column) -> Column:
+    return F.unhex(F.sha2(_joined(hashes), 256))
 
 
 def _above(level: Column, trees: int, fan: int) -> list[Column]:
@@ -74,7 +79,7 @@ def _levels(base: DataFrame, width: int, fan: int, name: str) -> list[DataFrame]
         kids = F.array_sort(F.collect_list(F.struct("idx", "hash")))
         up = now.where("width > 1").groupBy("tag", F.expr(f"idx div {fan}").alias("up")).agg(
             kids.alias("kids"), F.first("width").alias("width"), F.first("pos").alias("pos"), F.sum("runs").alias("runs"))
-        now = written(up.select("tag", F.lit(level).alias("level"), F.col("up").alias("idx"), F.sha2(_joined(F.col("kids.hash")), 256).alias("hash"),
+        now = written(up.select("tag", F.lit(level).alias("level"), F.col("up").alias("idx"), _hashed(F.col("kids.hash")).alias("hash"),
                                 F.col("kids.hash").alias("kids"), F.expr(f"(width + {fan - 1}) div {fan}").alias("width"), "pos", "runs"), f"merkle-{name}-{level}")
         out.append(now)
         width = -(-width // fan)
@@ -92,8 +97,8 @@ def build(docs: DataFrame, recorded: Column, held: Column | None = None, source_
     if fan < 2:
         raise ValueError("a run has two nodes at least")
     tag = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
-    rows = docs.select(tag.alias("tag"), F.col(id_col).alias("id"), recorded.alias("leaf"), (recorded if held is None else held).alias("held"), F.monotonically_increasing_id().alias("row"))
-    leaves = dense_ordinal(written(rows, "merkle-leaves"), ["tag"], [F.col("id").asc_nulls_first(), F.col("leaf"), F.col("held"), F.col("row")], name="n")
+    rows = docs.select(tag.alias("tag"), F.col(id_col).alias("id"), F.unhex(recorded).alias("leaf"), (F.lit(None).cast("binary") if held is None else F.when(held != recorded, F.unhex(held))).alias("held"), F.monotonically_increasing_id().alias("row"))
+    leaves = dense_ordinal(written(rows, "merkle-leaves"), ["tag"], [F.col("id").asc_nulls_first(), F.col("leaf"), F.coalesce("held", "leaf"), F.col("row")], name="n")
     run = written(leaves.groupBy("tag", F.expr(f"(n - 1) div {fan}").alias("run")).agg(F.array_sort(F.collect_list(F.struct("n", "id", "leaf", "held"))).alias("kids")), "merkle-runs")
     sizes = run.groupBy("tag").agg(F.max(F.element_at("kids", -1)["n"]).alias("leaves"))
     sources = written(dense_ordinal(sizes.withColumn("all", F.lit(0)), ["all"], [F.col("tag")], name="pos", max_groups=1).select("tag", "leaves", (F.col("pos") - 1).alias("pos")), "merkle-sources")
@@ -105,7 +110,7 @@ def build(docs: DataFrame, recorded: Column, held: Column | None = None, source_
     lone = F.col("leaves") == 1
     run = run.join(sized_broadcast(sources), "tag").select(
         "tag", F.col("run").alias("idx"), "kids", "pos", lone.alias("lone"), F.expr(f"(leaves + {fan - 1}) div {fan}").alias("width"), F.lit(1).cast("long").alias("runs"),
-        F.when(lone, F.col("kids")[0]["leaf"]).otherwise(F.sha2(_joined(F.col("kids.leaf")), 256)).alias("hash"))
+        F.when(lone, F.col("kids")[0]["leaf"]).otherwise(_hashed(F.col("kids.leaf"))).alias("hash"))
     run = written(run, "merkle-first")
     narrow = ("tag", "idx", "hash", "width", "pos", "runs")
     above = _levels(run.select(*narrow), -(-most // fan), fan, "level")
@@ -118,7 +123,7 @@ def build(docs: DataFrame, recorded: Column, held: Column | None = None, source_
     nodes += _levels(top, trees, fan, "top")
 
     spark = docs.sparkSession
-    stored = spark.createDataFrame([], "tag string, level int, idx long, hash string, kids array<string>, width long, pos long, runs long")
+    stored = spark.createDataFrame([], "tag string, level int, idx long, hash binary, kids array<binary>, width long, pos long, runs long")
     for x in nodes:
         stored = stored.unionByName(x.select(*stored.columns))
     links = _above(F.col("level"), trees, fan)
@@ -134,29 +139,35 @@ def build(docs: DataFrame, recorded: Column, held: Column | None = None, source_
 
 
 def _around(hashes: str, place: str, fan: int) -> tuple[str, str]:
-    """The digests before and after a place, joined."""
-    return f"array_join(slice({hashes}, 1, {place}), '')", f"array_join(slice({hashes}, {place} + 2, {fan}), '')"
+    """The digests before and after a place."""
+    return f"slice({hashes}, 1, {place})", f"slice({hashes}, {place} + 2, {fan})"
+
+
+def _text(hashes: str) -> str:
+    return f"array_join(transform({hashes}, h -> lower(hex(h))), '')"
 
 
 def climb(manifest: Manifest, fan: int = FAN) -> DataFrame:
     """One row per leaf: id, leaf, subroot, root, proof (its siblings' digests joined, level by level, left to right), folded_root, verified.
 
     folded_root is recomputed from the held digest and the recorded siblings;
-    verified tells whether it is the root.
+    verified tells whether it is the root. Digests move as 32 bytes each and
+    become hex text where they are hashed or returned; a held digest that is
+    the recorded one isn't stored twice.
     """
     spark = manifest.runs.sparkSession
     left, right = _around("kids.leaf", "i", fan)
     start = written(manifest.runs.selectExpr(
         "tag AS own_tag", "idx AS own_idx", "xxhash64(tag, idx) AS own",
-        f"transform(kids, (k, i) -> CASE WHEN lone THEN k.held ELSE sha2(concat({left}, k.held, {right}), 256) END) AS folded",
-        "CAST(NULL AS string) AS subroot", "hash AS root", "'' AS proof", "up_tag", "up_level", "up_idx", "CAST(pmod(xxhash64(tag, idx), up_copies) AS int) AS up_copy", "place"), "merkle-start")
+        f"transform(kids, (k, i) -> CASE WHEN lone THEN coalesce(k.held, k.leaf) ELSE unhex(sha2(concat({_text(left)}, lower(hex(coalesce(k.held, k.leaf))), {_text(right)}), 256)) END) AS folded",
+        "CAST(NULL AS binary) AS subroot", "hash AS root", "CAST(array() AS array<binary>) AS proof", "up_tag", "up_level", "up_idx", "CAST(pmod(xxhash64(tag, idx), up_copies) AS int) AS up_copy", "place"), "merkle-start")
     copied = manifest.nodes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     left, right = _around("n.kids", "c.place", fan)
     ascended = spark.sql(f"""
         WITH RECURSIVE climb(own_tag, own_idx, own, folded, subroot, root, proof, up_tag, up_level, up_idx, up_copy, place) AS (
             SELECT * FROM {{start}}
             UNION ALL
-            SELECT own_tag, own_idx, own, transform(folded, f -> sha2(concat(l, f, r), 256)), subroot, root, concat(proof, l, r), up_tag, up_level, up_idx, up_copy, place
+            SELECT own_tag, own_idx, own, transform(folded, f -> unhex(sha2(concat({_text('l')}, lower(hex(f)), {_text('r')}), 256))), subroot, root, concat(proof, l, r), up_tag, up_level, up_idx, up_copy, place
             FROM (SELECT c.own_tag, c.own_idx, c.own, c.folded, c.proof, {left} AS l, {right} AS r, n.hash AS root,
                          coalesce(c.subroot, CASE WHEN c.up_tag = '{_TOP}' THEN n.kids[c.place] END) AS subroot,
                          n.up_tag, n.up_level, n.up_idx, CAST(pmod(c.own, n.up_copies) AS int) AS up_copy, n.place
@@ -164,9 +175,10 @@ def climb(manifest: Manifest, fan: int = FAN) -> DataFrame:
         SELECT own_tag, own_idx, folded, coalesce(subroot, root) AS subroot, root, proof FROM climb WHERE up_tag IS NULL LIMIT ALL""", start=start, nodes=copied)
     ascended = written(ascended, "merkle-climbed")
     found = manifest.runs.select(F.col("tag").alias("own_tag"), F.col("idx").alias("own_idx"), "kids", "lone").join(ascended, ["own_tag", "own_idx"])
-    each = found.select("kids", "lone", "folded", "subroot", "root", "proof", F.posexplode("kids").alias("i", "kid"))
+    found = found.selectExpr("kids", "folded", "root AS top", "lower(hex(subroot)) AS subroot", "lower(hex(root)) AS root", f"{_text('proof')} AS proof")
+    each = found.select("*", F.posexplode("kids").alias("i", "kid"))
     left, right = _around("kids.leaf", "i", fan)
-    return each.selectExpr("kid.id AS id", "kid.leaf AS leaf", "subroot", "root", f"concat({left}, {right}, proof) AS proof", "folded[i] AS folded_root", "folded[i] = root AS verified")
+    return each.selectExpr("kid.id AS id", "lower(hex(kid.leaf)) AS leaf", "subroot", "root", f"concat({_text(left)}, {_text(right)}, proof) AS proof", "lower(hex(folded[i])) AS folded_root", "folded[i] = top AS verified")
 
 
 def verify_documents(docs: DataFrame, fan: int = FAN) -> DataFrame:

@@ -100,3 +100,12 @@ def test_only_the_tampered_row_fails(llm):
 def test_of_nothing(llm):
     got = merkle_manifest.verify_documents(llm.createDataFrame([], SCHEMA))
     assert got.columns == list(NAMES) and got.count() == 0
+
+
+def test_digests_move_as_bytes_and_once(llm):
+    docs = llm.createDataFrame([(i, "s", f"text {i}") for i in range(40)], "doc_id long, source string, text string")
+    recorded = merkle_manifest.digest(F.col("doc_id"), F.col("text"))
+    held = F.when(F.col("doc_id") == 17, merkle_manifest.digest(F.lit("other"))).otherwise(recorded)
+    kids = [k for r in merkle_manifest.build(docs, recorded, held).runs.collect() for k in r["kids"]]
+    assert len(kids) == 40 and all(len(k["leaf"]) == 32 for k in kids)
+    assert [(k["id"], len(k["held"])) for k in kids if k["held"] is not None] == [(17, 32)]
