@@ -91,9 +91,10 @@ def test_a_run_has_one_digest_over_all_its_chunks(spark):
     assert got == {(t, i): (md5(x), md5("".join(map(md5, texts)))) for t, texts in runs.items() for i, x in enumerate(texts)}
 
 
-def test_digest_rows_tell_the_whole_run(spark):
+def test_digest_rows_tell_the_whole_run(spark, scratch_dir):
     from __spark_entry__ import queries
-    rows = [r for r in queries()["digest_rows"](spark, "/root/testdata/sf0.001").collect() if r.digest_type == "org"]
-    rows.sort(key=lambda r: r.chunk_no)
-    assert rows and [r.n_chunks for r in rows] == [len(rows)] * len(rows)
+    docs = [(i, f"src{6 + i % 12}", "en", f"Text {i} que") for i in range(360)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").coalesce(1).write.parquet(os.path.join(scratch_dir, "documents.parquet"))
+    rows = sorted(queries()["digest_rows"](spark, scratch_dir).collect(), key=lambda r: r.chunk_no)
+    assert len(rows) > 1 and [(r.digest_type, r.n_chunks) for r in rows] == [("org", len(rows))] * len(rows)
     assert {r.digest_md5 for r in rows} == {hashlib.md5("".join(r.markdown_md5 for r in rows).encode()).hexdigest()}
