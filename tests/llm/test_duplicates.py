@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from feedweave.llm import exact_dedup, graph, ngram_join, substring_dedup
@@ -134,6 +136,38 @@ def test_divide_skip_search_and_group():
             assert all(label[i] == label[j] for i in range(len(sets)) for j in range(i) if link(sets[i], sets[j]))
 
 
+def test_links_of_packed_lists(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(200):
+        percent, pool, kinds = rng.choice([50, 80, 85]), range(rng.choice([6, 12, 40])), rng.choice([1, 2])
+        monkeypatch.setattr(ngram_join, "PROBE", rng.choice([0.01, 8, 1000]))
+        monkeypatch.setattr(ngram_join, "COUNTED", rng.choice([1, 20, 1000]))
+        sets = [set(rng.sample(pool, rng.randrange(1, len(pool)))) for _ in range(14)]
+        sets += [s ^ {rng.choice(list(pool))} or {0} for s in sets]
+        copies, blocks = [rng.randrange(1, 4) for _ in sets], [rng.randrange(kinds) for _ in sets]
+        pairs = [(i, j) for j in range(len(sets)) for i in range(j) if (len(set(blocks)) == 1 or blocks[i] != blocks[j]) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        want = [sum(copies[a + b - i] for a, b in pairs if i in (a, b)) for i in range(len(sets))]
+        count, edges = ngram_join.search_links([(len(s), np.array(sorted(s), dtype=np.uint64)) for s in sets], copies, blocks, percent)
+        assert count == want
+        assert all(tuple(sorted(e)) in pairs for e in edges)
+        label = list(range(len(sets)))
+        for i, j in edges:
+            assert label[i] != label[j]
+            label = [label[i] if x == label[j] else x for x in label]
+        assert all(label[i] == label[j] for i, j in pairs)
+
+
+def test_links_of_many_near_copies_are_found_in_numpy_passes():
+    rng = np.random.Generator(np.random.PCG64(3))
+    base, n = rng.integers(0, 1 << 62, 200, dtype=np.uint64), 600
+    sets = [(200, np.sort(np.where(rng.random(200) > 0.03, base, rng.integers(0, 1 << 62, 200, dtype=np.uint64)))) for _ in range(n)]
+    start = time.process_time()
+    count, edges = ngram_join.search_links(sets, [1] * n, [0] * n, 85)
+    # 10 us a pair; a merge and probes entry by entry took 20 or more
+    assert time.process_time() - start < n * n / 2 * 1e-5
+    assert n - 10 < len(edges) < n and sum(count) > 0.9 * n * (n - 1)
+
+
 def test_components(llm):
     edges = [(1, 2), (2, 3), (3, 1), (7, 6), (6, 7), (5, 5), (9, 8), (8, 2), *((i, i + 1) for i in range(20, 60)), *((100, i) for i in range(101, 160))]
     got = {r["node"]: r["component"] for r in graph.connected_components(llm.createDataFrame(edges, "a long, b long")).collect()}
