@@ -7,9 +7,10 @@ distance are then those of the largest inner product.
 The index is dealt to blocks. In each, one sorted array per projection holds
 the block's projected vectors. A query opens a window around its own
 projection in each array. Windows grow by a constant factor (virtual rehashing:
-nothing is hashed anew, only the newly reached entries are counted), a vector's
-collisions are the windows that hold it, and when they exceed the threshold
-its inner product is computed on the original vectors. A block's search ends
+nothing is hashed anew), a vector's collisions are the windows that hold its
+place in the sorted arrays, and when they exceed the threshold its inner product
+is computed on the original vectors, once. A query begins with windows a step
+narrower than those that ended the search before it. A block's search ends
 when the windows are wide enough for the k-th nearest found: then a vector
 nearer than that has exceeded the threshold with high probability. Every row is
 indexed; queries meet every block.
@@ -42,14 +43,18 @@ def projections(dim: int, count: int, seed: int) -> np.ndarray:
 
 
 class CollisionIndex:
-    """Sorted projections of a block of vectors (already of one length)."""
+    """Sorted projections of a block of vectors (already of one length), and each vector's place in every one of them."""
 
     def __init__(self, vectors: np.ndarray, directions: np.ndarray):
         self.directions = directions
         values = directions @ vectors.T
-        self.order = np.argsort(values, axis=1, kind="stable")  # of the type that bincount counts without a copy
-        self.sorted = np.take_along_axis(values, self.order, axis=1)
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=1)
         self.n = len(vectors)
+        # in as few bytes as hold n: counting walks through all of them
+        self.place = np.empty(order.shape, dtype=np.min_scalar_type(self.n))
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=self.place.dtype)[None, :], axis=1)
+        self._past, self._held = np.empty(self.n, dtype=self.place.dtype), np.empty(self.n, dtype=bool)
 
     def windows(self, queries: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last place (query, half width, projection) of each window, all found by binary search."""
@@ -57,34 +62,49 @@ class CollisionIndex:
         ends = [[self.sorted[j].searchsorted((c[:, None] + side * halves).ravel()).reshape(len(c), -1) for j, c in enumerate(centres)] for side in (-1, 1)]
         return np.stack(ends[0], axis=2), np.stack(ends[1], axis=2)
 
-    def search(self, low: np.ndarray, high: np.ndarray, halves: np.ndarray, k: int, score, distance, threshold: float, enough: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows verified for one query and their scores; low and high are its windows.
-
-        score(rows) is exact; distance(scores) turns them into distances. The last windows hold everything.
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many of the windows (first and last place by projection) hold each vector."""
+        count = np.zeros(self.n, dtype=np.min_scalar_type(len(low)))
+        held = self._held.view(np.uint8)
+        for place, first, width in zip(self.place, low.astype(self.place.dtype), (high - low).astype(self.place.dtype), strict=True):
+            # without sign, places before the first are beyond any width
+            np.subtract(place, first, out=self._past)
+            np.less(self._past, width, out=self._held)
+            np.add(count, held, out=count)
+        return count
+
+    def search(self, low: np.ndarray, high: np.ndarray, halves: np.ndarray, k: int, score, distance, threshold: float, enough: float, start: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows verified for one query, their scores, and which windows ended the search; low and high are its windows.
+
+        score(rows) is exact; distance(scores) turns them into distances. The
+        last windows hold everything. The search ends with the first windows
+        that are wide enough. As each holds the ones before, it may begin with
+        any of them (start) and go either way: the same ones end it.
         """
         least = math.ceil(threshold * low.shape[1])
-        count = np.zeros(self.n, dtype=np.int64)
-        done = np.zeros(self.n, dtype=bool)
-        rows, scores, nearest = [], [], np.zeros(0)
-        for i, half in enumerate(halves):
-            if i:
-                new = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low[i].tolist(), low[i - 1].tolist(), strict=True)) if a < b]
-                new += [self.order[j, a:b] for j, (a, b) in enumerate(zip(high[i - 1].tolist(), high[i].tolist(), strict=True)) if a < b]
-            else:
-                new = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low[0].tolist(), high[0].tolist(), strict=True)) if a < b]
-            if new:
-                count += np.bincount(np.concatenate(new), minlength=self.n)
-                found = np.flatnonzero((count >= least) & ~done)
-                if len(found):
-                    done[found] = True
-                    rows.append(found)
-                    scores.append(score(found))
-                    nearest = np.concatenate([nearest, distance(scores[-1])])
-                    if len(nearest) > k:
-                        nearest = np.partition(nearest, k - 1)[:k]
-            if len(nearest) >= k and half >= enough * nearest.max():
-                break
-        return (np.concatenate(rows), np.concatenate(scores)) if rows else (np.zeros(0, dtype=np.int64), np.zeros(0))
+        scores, done = np.zeros(self.n), np.zeros(self.n, dtype=bool)
+
+        def verified(i: int) -> tuple[np.ndarray, bool]:
+            found = np.flatnonzero(self.collisions(low[i], high[i]) >= least)
+            new = found[~done[found]]
+            if len(new):
+                scores[new] = score(new)
+                done[new] = True
+            return found, len(found) >= k and halves[i] >= enough * np.partition(distance(scores[found]), k - 1)[k - 1]
+
+        i = start
+        found, ended = verified(i)
+        if ended:
+            while i:
+                narrower, ended = verified(i - 1)
+                if not ended:
+                    break
+                found, i = narrower, i - 1
+        else:
+            while not ended and i + 1 < len(halves):
+                i += 1
+                found, ended = verified(i)
+        return found, scores[found], i
 
 
 def half_widths(longest: float, reach: float) -> np.ndarray:
@@ -138,13 +158,16 @@ def nearest(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec_id"
             # no two projections are farther apart than the vectors
             halves = half_widths(longest, 2 * longest * math.sqrt(dim + 1))
             own_ids, targets = right.column("id").to_pylist(), lengthened(queries, True)
+            # most searches end with the same windows or nearly so
+            ended = 0
             for at in range(0, len(own_ids), 256):
                 lows, highs = found.windows(targets[at:at + 256], halves)
                 for me, q, low, high in zip(own_ids[at:at + 256], queries[at:at + 256], lows, highs, strict=True):
                     length = math.sqrt(float(q @ q))
+                    # row by row: equal vectors score alike, whichever others are verified with them
                     # |x' - q'|^2 = 2 * longest^2 - 2 * (q . x) * longest / |q|
                     distance = lambda s, c=longest / length: np.sqrt(np.maximum(2 * longest ** 2 - 2 * c * s, 0.0))
-                    rows, scores = found.search(low, high, halves, k + 1, lambda r, q=q: index[r] @ q, distance, threshold, enough)
+                    rows, scores, ended = found.search(low, high, halves, k + 1, lambda r, q=q: np.einsum("ij,j->i", index[r], q), distance, threshold, enough, max(ended - 1, 0))
                     keep = (ids[rows] != me) | missing[rows]
                     rows, scores = rows[keep], scores[keep]
                     best = np.lexsort((ids[rows], -scores))[:k]

@@ -274,6 +274,39 @@ def test_nearest_vectors(llm):
     assert hits / total >= 0.95
 
 
+def test_search_begins_with_any_windows(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(4))
+    vectors = rng.standard_normal((700, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    queries, directions = vectors[:40], collision_search.projections(16, 64, 7)
+    index, halves = collision_search.CollisionIndex(vectors, directions), collision_search.half_widths(1.0, 8.0)
+    lows, highs = index.windows(queries, halves)
+    distance = lambda s: np.sqrt(np.maximum(2 - 2 * s, 0.0))
+    counted, count = [], collision_search.CollisionIndex.collisions
+    monkeypatch.setattr(collision_search.CollisionIndex, "collisions", lambda self, *windows: counted.append(1) or count(self, *windows))
+    start, steps = 0, []
+    for q, low, high in zip(queries, lows, highs, strict=True):
+        apart = np.abs((vectors - q) @ directions.T)
+        assert [count(index, low[i], high[i]).tolist() for i in (0, 5)] == [(apart <= halves[i]).sum(axis=1).tolist() for i in (0, 5)]
+        search = lambda at, q=q, low=low, high=high: index.search(low, high, halves, 21, lambda r: vectors[r] @ q, distance, 0.5, 0.85, at)
+        rows, scores, ended = search(0)
+        for at in (ended // 2, ended, len(halves) - 1):
+            other = search(at)
+            assert other[0].tolist() == rows.tolist() and np.allclose(other[1], scores, atol=1e-12) and other[2] == ended
+        assert np.sort(distance(scores))[20] <= halves[ended] / 0.85 and ended + 1 < len(halves)
+        counted.clear()
+        start = search(max(start - 1, 0))[2]
+        steps.append((len(counted), ended + 1))
+    # far fewer windows are counted than from the first ones on
+    assert sum(a for a, _ in steps) < 0.6 * sum(b for _, b in steps)
+
+
+def test_equal_vectors_are_equally_near(llm):
+    v = np.random.Generator(np.random.PCG64(1)).standard_normal((2, 64)).tolist()
+    found = collision_search.nearest(llm.createDataFrame([(0, v[0]), *((i, v[1]) for i in range(1, 1004))], "vec_id long, embedding array<double>").coalesce(1), 1003, F.col("vec_id") == 0).collect()
+    assert len({r["score"] for r in found}) == 1 and [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == list(range(1, 1004))
+
+
 def test_fewer_candidates_than_asked_for(llm):
     rows = [(i, [float(i), 1.0]) for i in range(0, 100, 20)]
     found = collision_search.nearest(llm.createDataFrame(rows, "vec_id long, embedding array<float>"), 20, F.col("vec_id") % 20 == 0).collect()
