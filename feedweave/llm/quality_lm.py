@@ -51,7 +51,7 @@ QUANTILE, PRIOR_WORDS = 0.99, 20
 #: A language's own quantile needs so many held-out documents; one with fewer takes that of all languages, if it is higher.
 LEAST_HELD_OUT = 5
 #: Pairs sent to one shard, about; bytes of text in a slice.
-SHARD_PAIRS, SCORED_BYTES = 1 << 23, 2 << 20
+SHARD_PAIRS, SCORED_BYTES = 1 << 23, 8 << 20
 #: Bytes of an id or pair that are sent to its shard.
 _SENT = 6
 #: Tells a row's scores by another model from those by model 0.
@@ -200,8 +200,7 @@ def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 class Slice(Words):
     """These, with what the shards answered for its distinct words (hits, and values for each of them)."""
 
-    def __init__(self, table: pa.Table, answers: pa.Table, shards: int, languages: int, values: int = 0):
-        r = table.slice(0, 1).to_pylist()[0]
+    def __init__(self, r: dict, answers: pa.Table, shards: int, languages: int, values: int = 0):
         read = lambda name, kind: np.frombuffer(r[name], kind)
         super().__init__(r, languages)
         keys, self.shape = self.keys, read("shapes", np.uint8).astype(np.int64)
@@ -239,6 +238,18 @@ class Slice(Words):
         return self.language[outside][word] << 16 | byte(at - 1, place > 0) << 8 | byte(at, place < end), outside[word]
 
 
+def _by_model(one: pa.Table, models: list[int], answers: pa.Table, shards: int, languages: int, values: int = 0) -> Iterator[Slice]:
+    """A slice as each of the models sees it."""
+    r = one.slice(0, 1).to_pylist()[0]
+    for m in models:
+        yield Slice({**r, "model": m}, answers.filter(pc.equal(answers.column("slice"), r["slice"] * FOLDS + m)), shards, languages, values)
+
+
+def _of_slice(looked_up: DataFrame):
+    """The answers for all models of a slice."""
+    return looked_up.groupBy(F.expr(f"slice div {FOLDS}"))
+
+
 def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int, languages: int) -> DataFrame:
     """What the shards of table (key, names) answer for the distinct words of each slice: slice, s, hits (places among the slice's words of the shard), values."""
 
@@ -340,10 +351,13 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     words = written(counted.groupBy("key").agg(F.min("language").alias("language"), F.sum("n").alias("n")).where("n > 1").select("key", "language"), "vocabulary")
 
     def pair_counts(one: pa.Table, answers: pa.Table) -> pa.Table:
-        """Pairs of ids (language 0 and up), and byte pairs of words outside the vocabulary (language -1)."""
-        own = Slice(one, answers, shards, len(languages))
+        fold = one.column("fold")[0].as_py()
+        return pa.concat_tables([counted_pairs(own) for own in _by_model(one, [m for m in range(FOLDS) if m != fold], answers, shards, len(languages))])
+
+    def counted_pairs(own: Slice) -> pa.Table:
+        """Pairs of ids (language 0 and up), and byte pairs of words outside the vocabulary (language -1, first)."""
         first, second = own.pairs()
-        pair, at, n = np.unique(pair_key(first, second), return_index=True, return_counts=True)
+        _, at, n = np.unique(pair_key(first, second), return_index=True, return_counts=True)
         language = np.repeat(own.languages, own.lengths)[at]
         spelled, word = own.spelled()
         spelled, back = np.unique(spelled, return_inverse=True)
@@ -351,12 +365,13 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         none = np.zeros(len(spelled), dtype=np.int64)
         joined = lambda a, b, kind: pa.array(np.concatenate([a.astype(kind), b.astype(kind)]))
         signed = lambda x: x.view(np.int64)
-        return pa.table({"pair": joined(signed(pair), spelled, np.int64), "language": joined(language, none - 1, np.int32), "first": joined(signed(first[at]), none, np.int64), "second": joined(signed(second[at]), none, np.int64), "n": joined(n, times, np.int64)})
+        return pa.table({"language": joined(language, none - 1, np.int32), "first": joined(signed(first[at]), spelled, np.int64), "second": joined(signed(second[at]), none, np.int64), "n": joined(n, times, np.int64)})
 
-    found = trained.groupBy("slice").cogroup(_looked_up(trained, words, [], shards, len(languages)).groupBy("slice")).applyInArrow(pair_counts, "pair long, language int, first long, second long, n long")
-    pairs = written(found.groupBy("language", "pair").agg(F.min("first").alias("first"), F.min("second").alias("second"), F.sum("n").alias("n")), "pairs")
+    # a slice is sent once, whatever the number of its models
+    found = slices.where("fold >= 0").groupBy("slice").cogroup(_of_slice(_looked_up(trained, words, [], shards, len(languages)))).applyInArrow(pair_counts, "language int, first long, second long, n long")
+    pairs = written(found.groupBy("language", "first", "second").agg(F.sum("n").alias("n")), "pairs")
     # at most 65,536 for each language of a model
-    letters = pairs.where("language < 0").select("pair", "n").toArrow()
+    letters = pairs.where("language < 0").select("first", "n").toArrow()
     pairs = pairs.where("language >= 0")
     by_first = pairs.groupBy(F.col("first").alias("key")).agg(F.min("language").alias("language"), F.sum("n").alias("total"), *(F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)))
     by_second = pairs.groupBy(F.col("second").alias("key")).agg(F.min("language").alias("language"), F.count(F.lit(1)).alias("before"))
@@ -389,12 +404,15 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         wanted = spark.createDataFrame([(k,) for k in place], "key long")
         for r in scored_ids.join(F.broadcast(wanted), "key", "left_semi").collect():
             start_weight[place[r["key"]]], start_p[place[r["key"]]] = r["log_weight"], r["log_p"]
-    sent_scores = spark.sparkContext.broadcast((model, start_weight, start_p, Spelling(letters.column("pair").to_numpy(), letters.column("n").to_numpy())))
+    sent_scores = spark.sparkContext.broadcast((model, start_weight, start_p, Spelling(letters.column("first").to_numpy(), letters.column("n").to_numpy())))
 
     def requests(one: pa.Table, answers: pa.Table) -> pa.Table:
+        fold = one.column("fold")[0].as_py()
+        return pa.concat_tables([requested(own) for own in _by_model(one, [0, fold] if fold > 0 else [0], answers, shards, len(languages), values=2)])
+
+    def requested(own: Slice) -> pa.Table:
         """By shard: rows, how many distinct pairs of each, the pairs and their counts; with each row's own sum at its home."""
         _, shape_weight, shape_p, spelling = sent_scores.value
-        own = Slice(one, answers, shards, len(languages), values=2)
         at_shape = own.language * SHAPES + own.shape
         log_weight, log_p = (np.where(own.known, own.values[:, k], x[at_shape] if len(at_shape) else 0.0) for k, x in enumerate((shape_weight, shape_p)))
         spelled, word = own.spelled()
@@ -428,15 +446,20 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 7], strict=True)], ["shard", "rows", "counts", "pairs", "times", "home", "base", "length"])
 
     def gains(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs packed by shard, and what they gain."""
         model = sent_model.value[0]
         for batch in rows:
-            language, n, total, lower = (batch.column(x).to_numpy() for x in ("language", "n", "total", "lower"))
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("pair"), pa.array(model.seen_gain(language, n, total, lower))], ["shard", "pair", "gain"])
+            language, first, second, n, total, lower = (batch.column(x).to_numpy() for x in ("language", "first", "second", "n", "total", "lower"))
+            pair, gain = pair_key(first.view(np.uint64), second.view(np.uint64)), model.seen_gain(language, n, total, lower)
+            order, cuts = _by_shard(pair, shards)
+            held = np.flatnonzero(np.diff(cuts))
+            parts = [order[cuts[s]:cuts[s + 1]] for s in held]
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([_pack(pair[x]) for x in parts], pa.binary()), pa.array([gain[x].astype("<f8").tobytes() for x in parts], pa.binary())], ["shard", "pairs", "gains"])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        pair = _unpack(_pack(known.column("pair").to_numpy().view(np.uint64)))
+        pair = _unpack(b"".join(known.column("pairs").to_pylist()))
         order = np.argsort(pair)
-        pair, gain = pair[order], known.column("gain").to_numpy()[order]
+        pair, gain = pair[order], np.frombuffer(b"".join(known.column("gains").to_pylist()), "<f8")[order]
         column = lambda name, kind: [np.frombuffer(x, kind) for x in asked.column(name).to_pylist()]
         rows, sums, lengths, copies = column("home", "<i8"), column("base", "<f8"), column("length", "<i8"), []
         copies = [np.ones(len(x), dtype=np.int64) for x in rows]
@@ -455,11 +478,11 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     vocabulary = scored_ids.join(words.select("key"), "key", "left_semi")
     looked = _looked_up(scoring, vocabulary, ["log_weight", "log_p"], shards, len(languages))
-    asked = scoring.groupBy("slice").cogroup(looked.groupBy("slice")).applyInArrow(requests, "shard long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
+    asked = slices.groupBy("slice").cogroup(_of_slice(looked)).applyInArrow(requests, "shard long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
     ids = broadcast_if_small(scored_ids)
     of_first, of_second = ids.select(F.col("key").alias("first"), "total", "log_weight"), ids.select(F.col("key").alias("second"), "log_p")
-    lower = pairs.join(of_first, "first").join(of_second, "second").select(_shard("pair", shards).alias("shard"), "pair", "language", "n", "total", (F.col("log_weight") + F.col("log_p")).alias("lower"))
-    known = lower.mapInArrow(gains, "shard long, pair long, gain double")
+    lower = pairs.join(of_first, "first").join(of_second, "second").select("first", "second", "language", "n", "total", (F.col("log_weight") + F.col("log_p")).alias("lower"))
+    known = lower.mapInArrow(gains, "shard long, pairs binary, gains binary")
     sums = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "row long, log_p double, n long, copies long")
     scored = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
     # rows that repeat were summed together

@@ -244,6 +244,27 @@ def test_gradients_of_the_labeller():
         assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-3, name
 
 
+def test_a_slice_and_a_pair_are_sent_once(llm, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(30))) for i in range(60)]
+    kept, asked, write = {}, [], quality_lm.written
+    monkeypatch.setattr(quality_lm, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    own = quality_lm._of_slice
+    monkeypatch.setattr(quality_lm, "_of_slice", lambda df: asked.append(df) or own(df))
+    docs = samples.documents(llm, rows)
+    got = quality_lm.judge(docs, llm.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()
+    assert len(got) == 60 and all(r["n_words"] == 30 for r in got)
+    # the answers of all models come together at their slice
+    slices = {r["slice"]: r["fold"] for r in kept["slices"].collect()}
+    for df, models in zip(asked, (lambda f: {0, 1, 2, 3} - {f}, lambda f: {0, f}), strict=True):
+        by_slice = defaultdict(set)
+        for r in df.select("slice", F.expr(f"slice div {quality_lm.FOLDS}").alias("of")).distinct().collect():
+            by_slice[r["of"]].add(r["slice"] % quality_lm.FOLDS)
+        assert by_slice == {s: models(f) for s, f in slices.items()}
+    # a pair is known by its words, without a hash of its own
+    assert kept["pairs"].columns == ["language", "first", "second", "n"]
+
+
 def brute_nearest(rows, k, every):
     good = [(i, np.array(v)) for i, v in rows if v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
