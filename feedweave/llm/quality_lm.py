@@ -16,6 +16,10 @@ languages are limited; an id is a 64-bit hash of language and word.
 * What seen pairs add to that comes from the pair table: each document sends
   its distinct pairs, with how often it has them, to their shards, which
   answer with one sum for each document.
+* The models share one table each of words, pairs and ids: a row has a column
+  for each model, so what several models have alike is moved once. An id or
+  pair that only some of them have (a word may be in the vocabulary of one
+  model and a shape to another) counts 0 for the others.
 * What is broadcast has a few numbers, eight shapes and at most 65,536 byte
   pairs for each language.
 * Of the trusted documents one in ``HELD_OUT`` is kept out of training. The
@@ -39,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.llm import batches, hashing
-from feedweave.llm.batches import broadcast_if_small, unused, written
+from feedweave.llm.batches import BROADCAST_ROWS, broadcast_if_small, unused, written
 
 #: Different ids that words can have; nothing else bounds a vocabulary.
 VOCABULARY = 1 << 64
@@ -153,10 +157,22 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Compressed, all first bytes before all second bytes and so on."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _loosened(squeezed: bytes, kind: str) -> np.ndarray:
+    planes = pa.decompress(squeezed[8:], int.from_bytes(squeezed[:8], "little"), "zstd", asbytes=True)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 _SLICE = "slice long, fold int, rows binary, lengths binary, languages binary, places binary, hashes binary, shapes binary, letters binary, sizes binary"
 
 
-_WORDS = ["model", "places", "hashes", "lengths", "languages"]
+_WORDS = ["places", "hashes", "lengths", "languages"]
 
 
 def _encoded(batch: pa.RecordBatch, number: dict[str, int]) -> tuple:
@@ -165,26 +181,27 @@ def _encoded(batch: pa.RecordBatch, number: dict[str, int]) -> tuple:
     texts = [t if x >= 0 else b"" for t, x in zip(batches.as_bytes(batch.column(0)), langs, strict=True)]
     found = hashing.Words(texts)
     lengths = np.diff(found.first)
-    _, at, places = np.unique(key(found.hash, np.repeat(langs, lengths)), return_index=True, return_inverse=True)
+    _, at, places, times = np.unique(key(found.hash, np.repeat(langs, lengths)), return_index=True, return_inverse=True, return_counts=True)
+    # frequent words first: most places are small numbers
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    at, places = at[order], rank[places]
     shape = shapes(found)[at] if len(at) else np.zeros(0, dtype=np.int64)
     size = found.end[at] - found.start[at]
     letters = np.frombuffer(found.data, dtype=np.uint8)[np.repeat(found.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    return (batch.column(2).to_numpy().astype("<i8").tobytes(), lengths.astype("<i4").tobytes(), langs.astype("<i4").tobytes(), places.astype(_places(len(at))).tobytes(),
-            found.hash[at].astype("<u8").tobytes(), shape.astype(np.uint8).tobytes(), letters.tobytes(), size.astype("<i4").tobytes())
-
-
-def _places(keys: int) -> str:
-    return "<u2" if keys <= 1 << 16 else "<u4"
+    return (batch.column(2).to_numpy().astype("<i8").tobytes(), _squeezed(lengths.astype("<i4")), _squeezed(langs.astype("<i4")), _squeezed(places.astype("<u4")),
+            found.hash[at].astype("<u8").tobytes(), _squeezed(shape.astype(np.uint8)), _squeezed(letters), _squeezed(size.astype("<i4")))
 
 
 class Words:
-    """Of a slice as one model sees it: each document's length and language, the distinct words' ids and languages, and where the documents have them. Language x of model k is k * languages + x."""
+    """Of a slice: each document's length and language, the distinct words' ids and languages, and where the documents have them."""
 
-    def __init__(self, r: dict, languages: int):
-        read = lambda name, kind: np.frombuffer(r[name], kind)
-        hashes, own = read("hashes", "<u8"), read("languages", "<i4").astype(np.int64)
-        self.lengths, self.languages = read("lengths", "<i4").astype(np.int64), np.where(own >= 0, own + r["model"] * languages, -1)
-        self.places = read("places", _places(len(hashes))).astype(np.int64)
+    def __init__(self, r: dict):
+        read = lambda name, kind: _loosened(r[name], kind)
+        hashes = np.frombuffer(r["hashes"], "<u8")
+        self.lengths, self.languages = read("lengths", "<i4").astype(np.int64), read("languages", "<i4").astype(np.int64)
+        self.places = read("places", "<u4").astype(np.int64)
         self.language = np.zeros(len(hashes), dtype=np.int64)
         self.language[self.places] = np.repeat(self.languages, self.lengths)
         self.keys = key(hashes, self.language)
@@ -198,24 +215,30 @@ def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Slice(Words):
-    """These, with what the shards answered for its distinct words (hits, and values for each of them)."""
-
-    def __init__(self, r: dict, answers: pa.Table, shards: int, languages: int, values: int = 0):
-        read = lambda name, kind: np.frombuffer(r[name], kind)
-        super().__init__(r, languages)
-        keys, self.shape = self.keys, read("shapes", np.uint8).astype(np.int64)
-        self.rows = read("rows", "<i8") ^ np.int64(r["model"] * _OTHER)
-        self.known, self.values = np.zeros(len(keys), dtype=bool), np.zeros((len(keys), values))
-        order, cuts = _by_shard(keys, shards)
-        for s, hits, value in zip(answers.column("s").to_pylist(), answers.column("hits").to_pylist(), answers.column("values").to_pylist(), strict=True):
+    """These, with what the shards answered for its distinct words: models whose vocabulary has them (a bit each), and values."""
+
+    def __init__(self, one: pa.Table, answers: pa.Table, shards: int, values: int = 0):
+        r = one.slice(0, 1).to_pylist()[0]
+        read = lambda name, kind: _loosened(r[name], kind).astype(np.int64)
+        super().__init__(r)
+        self.fold, self.shape, self.rows = r["fold"], read("shapes", "u1"), np.frombuffer(r["rows"], "<i8")
+        self.models, self.values = np.zeros(len(self.keys), dtype=np.uint8), np.zeros((len(self.keys), values))
+        order, cuts = _by_shard(self.keys, shards)
+        for s, hits, models, value in zip(*(answers.column(x).to_pylist() for x in ("s", "hits", "models", "values")), strict=True):
             at = order[cuts[s] + np.frombuffer(hits, "<u4").astype(np.int64)]
-            self.known[at] = True
+            self.models[at] = np.frombuffer(models, np.uint8)
             self.values[at] = np.frombuffer(value, "<f8").reshape(len(at), values)
-        self.ids = np.where(self.known, keys, key(self.shape, self.language))
+        self.shape_keys, self.start_keys = key(self.shape, self.language), key(np.zeros(len(self.languages)), self.languages)
         # documents with words; the start of a text comes before its first word
         self.full = np.flatnonzero(self.lengths)
         self.starts = (np.cumsum(self.lengths) - self.lengths)[self.full]
-        self.letters, self.sizes = read("letters", np.uint8).astype(np.int64), read("sizes", "<i4").astype(np.int64)
+        self.letters, self.sizes = read("letters", "u1"), read("sizes", "<i4")
+
+    def known(self, model: int) -> np.ndarray:
+        return (self.models >> model & 1).astype(bool)
+
+    def ids(self, model: int) -> np.ndarray:
+        return np.where(self.known(model), self.keys, self.shape_keys)
 
     def before(self, by_word: np.ndarray, at_start: np.ndarray) -> np.ndarray:
         """For each word in the texts, the value of the one before it; at_start: by document."""
@@ -224,12 +247,18 @@ class Slice(Words):
         out[self.starts] = at_start[self.full]
         return out
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.before(self.ids, key(np.zeros(len(self.languages)), self.languages)), self.ids[self.places]
+    def pairs(self, model: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.ids(model)
+        return self.before(ids, self.start_keys), ids[self.places]
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of words and how often they come: places of the first, or -1 - language at the start of a text; of the second."""
+        size, lowest = max(len(self.keys), 1), 1 + int(self.languages.max(initial=0))
+        pairs, n = np.unique((self.before(np.arange(len(self.keys)), -1 - self.languages) + lowest) * size + self.places, return_counts=True)
+        return pairs // size - lowest, pairs % size, n
 
-    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
-        """Byte pairs of the distinct words outside the vocabulary, with the white space around them, and which word each belongs to."""
-        outside = np.flatnonzero(~self.known)
+    def spelled(self, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte pairs of these of the distinct words, with the white space around them, and which word each belongs to."""
         size, begin = self.sizes[outside], (np.cumsum(self.sizes) - self.sizes)[outside]
         word = np.repeat(np.arange(len(outside)), size + 1)
         place = np.arange(len(word)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
@@ -238,45 +267,54 @@ class Slice(Words):
         return self.language[outside][word] << 16 | byte(at - 1, place > 0) << 8 | byte(at, place < end), outside[word]
 
 
-def _by_model(one: pa.Table, models: list[int], answers: pa.Table, shards: int, languages: int, values: int = 0) -> Iterator[Slice]:
-    """A slice as each of the models sees it."""
-    r = one.slice(0, 1).to_pylist()[0]
-    for m in models:
-        yield Slice({**r, "model": m}, answers.filter(pc.equal(answers.column("slice"), r["slice"] * FOLDS + m)), shards, languages, values)
-
-
-def _of_slice(looked_up: DataFrame):
-    """The answers for all models of a slice."""
-    return looked_up.groupBy(F.expr(f"slice div {FOLDS}"))
-
+def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int) -> DataFrame:
+    """What the shards of table (key, models, names) answer for the distinct words of each slice: slice, s, hits (places among the slice's words of the shard), models, values.
 
-def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int, languages: int) -> DataFrame:
-    """What the shards of table (key, names) answer for the distinct words of each slice: slice, s, hits (places among the slice's words of the shard), values."""
+    names has as many columns for each model; a slice gets those of its own models.
+    """
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for r in batch.to_pylist():
-                keys = Words(r, languages).keys
+                keys = Words(r).keys
                 order, cuts = _by_shard(keys, shards)
                 held = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), r["slice"])), pa.array([_pack(keys[order[cuts[s]:cuts[s + 1]]]) for s in held], pa.binary())], ["s", "slice", "keys"])
+                same = lambda x: pa.array(np.full(len(held), x))
+                yield pa.RecordBatch.from_arrays([pa.array(held), same(r["slice"]), same(r["fold"]), pa.array([_pack(keys[order[cuts[s]:cuts[s + 1]]]) for s in held], pa.binary())], ["s", "slice", "fold", "keys"])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         own = _unpack(_pack(known.column("key").to_numpy().view(np.uint64)))
         order = np.argsort(own)
-        own = own[order]
+        own, models = own[order], known.column("models").to_numpy()[order].astype(np.uint8)
         value = np.stack([known.column(x).to_numpy()[order] for x in names], axis=1) if names else np.zeros((len(own), 0))
-        hits, values = [], []
-        for wanted in map(_unpack, asked.column("keys").to_pylist()):
+        hits, masks, values = [], [], []
+        for fold, wanted in zip(asked.column("fold").to_pylist(), map(_unpack, asked.column("keys").to_pylist()), strict=True):
             at = np.minimum(np.searchsorted(own, wanted), max(len(own) - 1, 0))
             hit = np.flatnonzero(own[at] == wanted) if len(own) else np.zeros(0, dtype=np.int64)
             hits.append(hit.astype("<u4").tobytes())
-            values.append(value[at[hit]].astype("<f8").tobytes())
-        return pa.table({"s": asked.column("s"), "slice": asked.column("slice"), "hits": pa.array(hits, pa.binary()), "values": pa.array(values, pa.binary())})
+            masks.append(models[at[hit]].tobytes())
+            each = len(names) // FOLDS
+            values.append(value[at[hit]][:, [m * each + i for m in _judges(fold) for i in range(each)]].astype("<f8").tobytes())
+        return pa.table({"slice": asked.column("slice"), "s": asked.column("s"), **{x: pa.array(v, pa.binary()) for x, v in (("hits", hits), ("models", masks), ("values", values))}})
+
+    asked = slices.select("slice", F.col("fold").cast("long").alias("fold"), *_WORDS).mapInArrow(ask, "s long, slice long, fold long, keys binary")
+    held = table.select(_shard("key", shards).alias("s"), "key", "models", *names)
+    return asked.groupBy("s").cogroup(held.groupBy("s")).applyInArrow(answer, "slice long, s long, hits binary, models binary, values binary")
+
+
+def _judges(fold: int) -> list[int]:
+    """The models that score documents of a fold."""
+    return [0, fold] if fold > 0 else [0]
+
+
+def _scored_as(rows: np.ndarray, model: int) -> np.ndarray:
+    """What tells rows' scores by a model apart."""
+    return rows ^ np.int64(model * _OTHER)
 
-    asked = slices.select("slice", *_WORDS).mapInArrow(ask, "s long, slice long, keys binary")
-    held = table.select(_shard("key", shards).alias("s"), "key", *names)
-    return asked.groupBy("s").cogroup(held.groupBy("s")).applyInArrow(answer, "s long, slice long, hits binary, values binary")
+
+def _each(*names: str) -> list[str]:
+    """Columns of all models."""
+    return [f"{x}_{k}" for k in range(FOLDS) for x in names]
 
 
 def _shard(name: str, shards: int) -> Column:
@@ -328,113 +366,142 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId() << 32, 0
-        for batch in batches.slices(rows, text=0, limit=SCORED_BYTES):
+        for batch in rows:
             for fold in range(-1, FOLDS):
-                own = batch.filter(pc.equal(batch.column(3), fold))
-                if own.num_rows:
+                for own in batches.slices(iter([batch.filter(pc.equal(batch.column(3), fold))]), text=0, limit=SCORED_BYTES):
                     yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((task + count, fold, *_encoded(own, sent_number.value)), [pa.int64(), pa.int32(), *[pa.binary()] * 8], strict=True)], [c.split()[0] for c in _SLICE.split(", ")])
                     count += 1
 
     # a slice's documents are of one fold, -1 if they aren't trusted
     slices = written(keyed.join(marks, "id", "left").select("text", "lang", "row", F.coalesce("fold", F.lit(-1)).alias("fold")).mapInArrow(encode, _SLICE), "slices")
-    by_model = lambda df, models: df.withColumn("model", F.explode(models)).withColumn("slice", F.col("slice") * FOLDS + F.col("model")).drop("fold")
-    trained = by_model(slices.where("fold >= 0"), F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold")))
-    scoring = by_model(slices, F.when(F.col("fold") > 0, F.array(F.lit(0), F.col("fold"))).otherwise(F.array(F.lit(0))))
+    trained = slices.where("fold >= 0")
 
     def word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for r in batch.to_pylist():
-                own = Words(r, len(languages))
-                yield pa.RecordBatch.from_arrays([pa.array(own.keys.view(np.int64)), pa.array(own.language.astype(np.int32)), pa.array(np.bincount(own.places, minlength=len(own.keys)))], ["key", "language", "n"])
+                own = Words(r)
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys.view(np.int64)), pa.array(own.language.astype(np.int32)), pa.array(np.full(len(own.keys), r["fold"], dtype=np.int32)), pa.array(np.bincount(own.places, minlength=len(own.keys)))], ["key", "language", "fold", "n"])
 
-    counted = trained.select(*_WORDS).mapInArrow(word_counts, "key long, language int, n long")
-    words = written(counted.groupBy("key").agg(F.min("language").alias("language"), F.sum("n").alias("n")).where("n > 1").select("key", "language"), "vocabulary")
+    counted = trained.select("fold", *_WORDS).mapInArrow(word_counts, "key long, language int, fold int, n long")
+    # models, a bit each: a word is in a vocabulary if the other folds have it twice
+    outside = lambda k: F.sum("n") - F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0))
+    bits = sum((F.when(outside(k) > 1, 1 << k).otherwise(0) for k in range(1, FOLDS)), F.when(outside(0) > 1, 1).otherwise(0))
+    words = written(counted.groupBy("key").agg(F.min("language").alias("language"), bits.cast("int").alias("models")).where("models > 0"), "vocabulary")
 
     def pair_counts(one: pa.Table, answers: pa.Table) -> pa.Table:
-        fold = one.column("fold")[0].as_py()
-        return pa.concat_tables([counted_pairs(own) for own in _by_model(one, [m for m in range(FOLDS) if m != fold], answers, shards, len(languages))])
-
-    def counted_pairs(own: Slice) -> pa.Table:
-        """Pairs of ids (language 0 and up), and byte pairs of words outside the vocabulary (language -1, first)."""
-        first, second = own.pairs()
-        _, at, n = np.unique(pair_key(first, second), return_index=True, return_counts=True)
-        language = np.repeat(own.languages, own.lengths)[at]
-        spelled, word = own.spelled()
-        spelled, back = np.unique(spelled, return_inverse=True)
-        times = np.bincount(back, np.bincount(own.places, minlength=len(own.ids))[word], len(spelled)).astype(np.int64)
+        """Pairs of ids (language 0 and up), and byte pairs of words outside the vocabulary (language -1, first), with each model's count."""
+        own = Slice(one, answers, shards)
+        models = [m for m in range(FOLDS) if m != own.fold]
+        before, word, n = own.distinct()
+        start = key(np.zeros(len(before)), np.maximum(-1 - before, 0))
+        # as the first of the models has them, and what others have otherwise
+        parts = []
+        for m in models:
+            ids = own.ids(m)
+            first, second = np.where(before >= 0, ids[np.maximum(before, 0)], start) if len(ids) else start, ids[word]
+            alike = (first == parts[0][0]) & (second == parts[0][1]) if parts else np.zeros(len(n), dtype=bool)
+            if parts:
+                parts[0][3][alike, m] = n[alike]
+            counts = np.zeros((len(n), FOLDS), dtype=np.int64)
+            counts[:, m] = n
+            parts.append((first[~alike], second[~alike], own.language[word[~alike]], counts[~alike]))
+        first, second, language, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, back = np.unique(pair_key(first, second), return_index=True, return_inverse=True)
+        unknown = np.stack([~own.known(m) if m in models else np.zeros(len(own.keys), dtype=bool) for m in range(FOLDS)], axis=1)
+        spelled, of_word = own.spelled(np.flatnonzero(unknown.any(axis=1)))
+        spelled, spelled_back = np.unique(spelled, return_inverse=True)
+        times = (unknown * np.bincount(own.places, minlength=len(own.keys))[:, None])[of_word]
         none = np.zeros(len(spelled), dtype=np.int64)
+        summed = lambda back, n, size: np.bincount(back, n, size).astype(np.int64)
         joined = lambda a, b, kind: pa.array(np.concatenate([a.astype(kind), b.astype(kind)]))
         signed = lambda x: x.view(np.int64)
-        return pa.table({"language": joined(language, none - 1, np.int32), "first": joined(signed(first[at]), spelled, np.int64), "second": joined(signed(second[at]), none, np.int64), "n": joined(n, times, np.int64)})
+        return pa.table({"language": joined(language[at], none - 1, np.int32), "first": joined(signed(first[at]), spelled, np.int64), "second": joined(signed(second[at]), none, np.int64),
+                         **{f"n_{k}": joined(summed(back, counts[:, k], len(at)), summed(spelled_back, times[:, k], len(spelled)), np.int64) for k in range(FOLDS)}})
 
     # a slice is sent once, whatever the number of its models
-    found = slices.where("fold >= 0").groupBy("slice").cogroup(_of_slice(_looked_up(trained, words, [], shards, len(languages)))).applyInArrow(pair_counts, "language int, first long, second long, n long")
-    pairs = written(found.groupBy("language", "first", "second").agg(F.sum("n").alias("n")), "pairs")
+    found = trained.groupBy("slice").cogroup(_looked_up(trained, words, [], shards).groupBy("slice")).applyInArrow(pair_counts, "language int, first long, second long, " + ", ".join(f"{x} long" for x in _each("n")))
+    pairs = written(found.groupBy("language", "first", "second").agg(*(F.sum(x).alias(x) for x in _each("n"))), "pairs")
     # at most 65,536 for each language of a model
-    letters = pairs.where("language < 0").select("first", "n").toArrow()
+    letters = pairs.where("language < 0").drop("language", "second").toArrow()
     pairs = pairs.where("language >= 0")
-    by_first = pairs.groupBy(F.col("first").alias("key")).agg(F.min("language").alias("language"), F.sum("n").alias("total"), *(F.count_if(F.col("n") == k if k < 3 else F.col("n") >= 3).alias(f"n{k}") for k in (1, 2, 3)))
-    by_second = pairs.groupBy(F.col("second").alias("key")).agg(F.min("language").alias("language"), F.count(F.lit(1)).alias("before"))
-    unigrams = written(by_first.join(by_second, ["key", "language"], "full").na.fill(0, ["total", "n1", "n2", "n3", "before"]), "unigrams")
+    seen = lambda k: [F.sum(f"n_{k}").alias(f"total_{k}"), *(F.count_if(F.col(f"n_{k}") == j if j < 3 else F.col(f"n_{k}") >= 3).alias(f"n{j}_{k}") for j in (1, 2, 3))]
+    by_first = pairs.groupBy(F.col("first").alias("key")).agg(F.min("language").alias("language"), *(c for k in range(FOLDS) for c in seen(k)))
+    by_second = pairs.groupBy(F.col("second").alias("key")).agg(F.min("language").alias("language"), *(F.count_if(F.col(f"n_{k}") > 0).alias(f"before_{k}") for k in range(FOLDS)))
+    unigrams = written(by_first.join(by_second, ["key", "language"], "full").na.fill(0, _each("total", "n1", "n2", "n3", "before")), "unigrams")
 
     def by_language(counts: DataFrame, names: list[str]) -> np.ndarray:
+        """Language x of model k is k * languages + x."""
         out = np.zeros((numbers, len(names)), dtype=np.int64)
         for r in counts.collect():
-            out[r["language"]] = [r[x] for x in names]
+            for k in range(FOLDS):
+                out[k * len(languages) + r["language"]] = [r[f"{x}_{k}"] for x in names]
         return out
 
-    several = lambda c: [*(F.count_if(F.col(c) == k).alias(f"is{k}") for k in (1, 2, 3, 4)), F.count_if(F.col(c) >= 3).alias("more"), F.sum(c).alias("sum")]
+    several = lambda c: [x for k in range(FOLDS) for x in (*(F.count_if(F.col(f"{c}_{k}") == j).alias(f"is{j}_{k}") for j in (1, 2, 3, 4)), F.count_if(F.col(f"{c}_{k}") >= 3).alias(f"more_{k}"), F.sum(f"{c}_{k}").alias(f"sum_{k}"))]
     model = Model(by_language(pairs.groupBy("language").agg(*several("n")), ["is1", "is2", "is3", "is4"]), by_language(unigrams.groupBy("language").agg(*several("before")), ["is1", "is2", "is3", "is4", "more", "sum"]),
-                  by_language(words.groupBy("language").count(), ["count"])[:, 0])
+                  by_language(words.groupBy("language").agg(*(F.count_if(F.col("models").bitwiseAND(1 << k) > 0).alias(f"count_{k}") for k in range(FOLDS))), ["count"])[:, 0])
 
     def scores(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent_model.value[0]
         for batch in rows:
-            language, total, n1, n2, n3, before = (batch.column(x).to_numpy() for x in ("language", "total", "n1", "n2", "n3", "before"))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("total"), pa.array(model.log_weight(language, total, [n1, n2, n3])), pa.array(model.log_p(language, before))], ["key", "total", "log_weight", "log_p"])
+            column = lambda x, k: batch.column(f"{x}_{k}").to_numpy()  # noqa: B023, E731
+            out = [batch.column("key")]
+            for k in range(FOLDS):
+                language = batch.column("language").to_numpy() + k * len(languages)
+                out += [batch.column(f"total_{k}"), pa.array(model.log_weight(language, column("total", k), [column(x, k) for x in ("n1", "n2", "n3")])), pa.array(model.log_p(language, column("before", k)))]
+            yield pa.RecordBatch.from_arrays(out, ["key", *_each("total", "log_weight", "log_p")])
 
     sent_model = spark.sparkContext.broadcast((model,))
-    scored_ids = written(unigrams.mapInArrow(scores, "key long, total long, log_weight double, log_p double"), "unigram-scores")
+    scored_ids = unigrams.mapInArrow(scores, "key long, " + ", ".join(f"total_{k} long, log_weight_{k} double, log_p_{k} double" for k in range(FOLDS)))
     # the start of a text and the shapes, of each language
     every, of_shape = np.repeat(np.arange(numbers), SHAPES), np.tile(np.arange(SHAPES), numbers)
-    marks_of = key(of_shape, every).view(np.int64)
+    marks_of = key(of_shape, every % max(len(languages), 1)).view(np.int64)[:len(languages) * SHAPES]
     place = {int(k): i for i, k in enumerate(marks_of)}
     start_weight, start_p = np.zeros(len(every)), model.log_p(every, np.zeros(len(every), dtype=np.int64)) if len(every) else np.zeros(0)
     if languages:
         wanted = spark.createDataFrame([(k,) for k in place], "key long")
         for r in scored_ids.join(F.broadcast(wanted), "key", "left_semi").collect():
-            start_weight[place[r["key"]]], start_p[place[r["key"]]] = r["log_weight"], r["log_p"]
-    sent_scores = spark.sparkContext.broadcast((model, start_weight, start_p, Spelling(letters.column("first").to_numpy(), letters.column("n").to_numpy())))
-
-    def requests(one: pa.Table, answers: pa.Table) -> pa.Table:
-        fold = one.column("fold")[0].as_py()
-        return pa.concat_tables([requested(own) for own in _by_model(one, [0, fold] if fold > 0 else [0], answers, shards, len(languages), values=2)])
-
-    def requested(own: Slice) -> pa.Table:
-        """By shard: rows, how many distinct pairs of each, the pairs and their counts; with each row's own sum at its home."""
-        _, shape_weight, shape_p, spelling = sent_scores.value
-        at_shape = own.language * SHAPES + own.shape
-        log_weight, log_p = (np.where(own.known, own.values[:, k], x[at_shape] if len(at_shape) else 0.0) for k, x in enumerate((shape_weight, shape_p)))
-        spelled, word = own.spelled()
-        log_p = log_p + np.bincount(word, spelling.score(spelled), len(log_p))
+            for k in range(FOLDS):
+                at = k * len(place) + place[r["key"]]
+                start_weight[at], start_p[at] = r[f"log_weight_{k}"], r[f"log_p_{k}"]
+    spelled, spelled_n = (np.concatenate([f(k)[letters.column(f"n_{k}").to_numpy() > 0] for k in range(FOLDS)]) for f in (lambda k: letters.column("first").to_numpy() + (k * len(languages) << 16), lambda k: letters.column(f"n_{k}").to_numpy()))
+    sent_scores = spark.sparkContext.broadcast((start_weight, start_p, Spelling(spelled, spelled_n)))
+
+    def of_words(own: Slice, m: int, values: np.ndarray) -> np.ndarray:
+        """What the words of each document score by model m, as if none of its pairs were seen."""
+        shape_weight, shape_p, spelling = sent_scores.value
+        known, first_mark = own.known(m), m * len(languages) * SHAPES
+        at_shape = first_mark + own.language * SHAPES + own.shape
+        log_weight, log_p = (np.where(known, values[:, k], x[at_shape] if len(at_shape) else 0.0) for k, x in enumerate((shape_weight, shape_p)))
+        spelled, word = own.spelled(np.flatnonzero(~known))
+        log_p = log_p + np.bincount(word, spelling.score(spelled + (m * len(languages) << 16)), len(log_p))
         base = np.zeros(len(own.rows))
         if len(own.full):
-            of_start = np.where(own.languages >= 0, shape_weight[np.maximum(own.languages, 0) * SHAPES], 0.0)
+            of_start = np.where(own.languages >= 0, shape_weight[first_mark + np.maximum(own.languages, 0) * SHAPES], 0.0)
             base[own.full] = np.add.reduceat(own.before(log_weight, of_start) + log_p[own.places], own.starts)
-        pair, times, doc = [], [], []
-        keys = pair_key(*own.pairs())
+        return base
+
+    def requests(one: pa.Table, answers: pa.Table) -> pa.Table:
+        """By shard: rows, how many distinct pairs of each, the pairs and how often each model has them; with each row's own sum by each model at its home."""
+        models = _judges(one.column("fold")[0].as_py())
+        own = Slice(one, answers, shards, values=2 * len(models))
+        base = np.concatenate([of_words(own, m, own.values[:, 2 * i:2 * i + 2]) for i, m in enumerate(models)])
+        keys, pair, times, doc = [pair_key(*own.pairs(m)) for m in models], [], [], []
         for i, a in zip(own.full, own.starts, strict=True):
-            distinct, n = np.unique(keys[a:a + own.lengths[i]], return_counts=True)
+            # pairs that the models have alike are sent once
+            distinct, back = np.unique(np.concatenate([k[a:a + own.lengths[i]] for k in keys]), return_inverse=True)
+            n = np.stack([np.bincount(x, minlength=len(distinct)) for x in back.reshape(len(models), -1)])
             # a count is one byte; a pair that a document has more often is sent more than once
-            while (often := np.flatnonzero(n > 255)).size:
-                distinct, n = np.append(distinct, distinct[often]), np.append(np.where(n > 255, 255, n), n[often] - 255)
+            while (often := np.flatnonzero((n > 255).any(axis=0))).size:
+                distinct, n = np.append(distinct, distinct[often]), np.append(np.minimum(n, 255), np.maximum(n[:, often] - 255, 0), axis=1)
             pair.append(distinct)
-            times.append(n)
+            times.append(n.astype(np.uint8))
             doc.append(np.full(len(distinct), i))
-        times, doc = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (times, doc))
-        pair = np.concatenate(pair) if pair else np.zeros(0, dtype=np.uint64)
+        times = np.concatenate(times, axis=1) if times else np.zeros((len(models), 0), dtype=np.uint8)
+        pair, doc = (np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in ((pair, np.uint64), (doc, np.int64)))
         order, cuts = _by_shard(pair, shards)
-        home = own.rows % shards
+        rows, lengths = np.concatenate([_scored_as(own.rows, m) for m in models]), np.tile(own.lengths, len(models))
+        home = rows % shards
         by_home = np.argsort(home, kind="stable")
         home_cuts = np.searchsorted(home[by_home], np.arange(shards + 1))
         out = []
@@ -442,47 +509,58 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             here, homes = order[cuts[s]:cuts[s + 1]], by_home[home_cuts[s]:home_cuts[s + 1]]
             if len(here) or len(homes):
                 d, n = np.unique(doc[here], return_counts=True)
-                out.append((s, own.rows[d].tobytes(), n.astype("<i4").tobytes(), _pack(pair[here]), times[here].astype(np.uint8).tobytes(), own.rows[homes].tobytes(), base[homes].tobytes(), own.lengths[homes].tobytes()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 7], strict=True)], ["shard", "rows", "counts", "pairs", "times", "home", "base", "length"])
+                out.append((s, own.fold, own.rows[d].tobytes(), n.astype("<i4").tobytes(), _pack(pair[here]), times[:, here].tobytes(), rows[homes].tobytes(), base[homes].tobytes(), lengths[homes].tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), *[pa.binary()] * 7], strict=True)], ["shard", "fold", "rows", "counts", "pairs", "times", "home", "base", "length"])
 
     def gains(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs packed by shard, and what they gain."""
+        """Pairs packed by shard, the models that have seen them, and what they gain with each of these."""
         model = sent_model.value[0]
         for batch in rows:
-            language, first, second, n, total, lower = (batch.column(x).to_numpy() for x in ("language", "first", "second", "n", "total", "lower"))
-            pair, gain = pair_key(first.view(np.uint64), second.view(np.uint64)), model.seen_gain(language, n, total, lower)
+            column = lambda x, k: batch.column(f"{x}_{k}").to_numpy()  # noqa: B023, E731
+            pair, seen = pair_key(*(batch.column(x).to_numpy().view(np.uint64) for x in ("first", "second"))), np.zeros((batch.num_rows, FOLDS), dtype=bool)
+            gain = np.zeros(seen.shape)
+            for k in range(FOLDS):
+                at = np.flatnonzero(column("n", k))
+                language, seen[at, k] = batch.column("language").to_numpy()[at] + k * len(languages), True
+                lower = column("log_weight", k)[at] + model.log_p(language, column("before", k)[at])
+                gain[at, k] = model.seen_gain(language, column("n", k)[at], column("total", k)[at], lower)
             order, cuts = _by_shard(pair, shards)
             held = np.flatnonzero(np.diff(cuts))
             parts = [order[cuts[s]:cuts[s + 1]] for s in held]
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([_pack(pair[x]) for x in parts], pa.binary()), pa.array([gain[x].astype("<f8").tobytes() for x in parts], pa.binary())], ["shard", "pairs", "gains"])
+            packed = [_pack(pair[x]) for x in parts], [np.packbits(seen[x], axis=1).tobytes() for x in parts], [gain[x][seen[x]].astype("<f8").tobytes() for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "pairs", "seen", "gains"])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         pair = _unpack(b"".join(known.column("pairs").to_pylist()))
+        seen = np.unpackbits(np.frombuffer(b"".join(known.column("seen").to_pylist()), np.uint8).reshape(-1, 1), axis=1, count=FOLDS).astype(bool)
+        gain = np.zeros(seen.shape)
+        gain[seen] = np.frombuffer(b"".join(known.column("gains").to_pylist()), "<f8")
         order = np.argsort(pair)
-        pair, gain = pair[order], np.frombuffer(b"".join(known.column("gains").to_pylist()), "<f8")[order]
+        pair, gain = pair[order], gain[order]
         column = lambda name, kind: [np.frombuffer(x, kind) for x in asked.column(name).to_pylist()]
         rows, sums, lengths, copies = column("home", "<i8"), column("base", "<f8"), column("length", "<i8"), []
         copies = [np.ones(len(x), dtype=np.int64) for x in rows]
-        for owner, counts, wanted, times in zip(column("rows", "<i8"), column("counts", "<i4"), map(_unpack, asked.column("pairs").to_pylist()), column("times", np.uint8), strict=True):
-            if len(owner):
-                value = np.zeros(len(wanted))
-                if len(pair):
-                    at = np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)
-                    value = np.where(pair[at] == wanted, gain[at], 0.0) * times
-                rows.append(owner)
+        for fold, owner, counts, wanted, times in zip(asked.column("fold").to_pylist(), column("rows", "<i8"), column("counts", "<i4"), map(_unpack, asked.column("pairs").to_pylist()), column("times", np.uint8), strict=True):
+            if not len(owner):
+                continue
+            at = np.minimum(np.searchsorted(pair, wanted), max(len(pair) - 1, 0))
+            found = pair[at] == wanted if len(pair) else np.zeros(len(wanted), dtype=bool)
+            for m, n in zip(_judges(fold), times.reshape(len(_judges(fold)), -1), strict=True):
+                value = np.where(found, gain[at, m], 0.0) * n if len(pair) else np.zeros(len(wanted))
+                rows.append(_scored_as(owner, m))
                 sums.append(np.add.reduceat(value, np.cumsum(counts) - counts))
                 lengths.append(np.zeros(len(owner), dtype=np.int64))
                 copies.append(np.zeros(len(owner), dtype=np.int64))
         joined = [np.concatenate(x) if x else np.zeros(0) for x in (rows, sums, lengths, copies)]
         return pa.table({"row": pa.array(joined[0].astype(np.int64)), "log_p": pa.array(joined[1]), "n": pa.array(joined[2].astype(np.int64)), "copies": pa.array(joined[3].astype(np.int64))})
 
-    vocabulary = scored_ids.join(words.select("key"), "key", "left_semi")
-    looked = _looked_up(scoring, vocabulary, ["log_weight", "log_p"], shards, len(languages))
-    asked = slices.groupBy("slice").cogroup(_of_slice(looked)).applyInArrow(requests, "shard long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
-    ids = broadcast_if_small(scored_ids)
-    of_first, of_second = ids.select(F.col("key").alias("first"), "total", "log_weight"), ids.select(F.col("key").alias("second"), "log_p")
-    lower = pairs.join(of_first, "first").join(of_second, "second").select("first", "second", "language", "n", "total", (F.col("log_weight") + F.col("log_p")).alias("lower"))
-    known = lower.mapInArrow(gains, "shard long, pairs binary, gains binary")
+    vocabulary = scored_ids.select("key", *_each("log_weight", "log_p")).join(words.select("key", "models"), "key")
+    looked = _looked_up(slices, vocabulary, _each("log_weight", "log_p"), shards)
+    asked = slices.groupBy("slice").cogroup(looked.groupBy("slice")).applyInArrow(requests, "shard long, fold long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
+    # rows are wider than a few numbers; whole numbers take less to move than logarithms
+    of_first, of_second = (broadcast_if_small(x, BROADCAST_ROWS // 2) for x in (scored_ids.select(F.col("key").alias("first"), *_each("total", "log_weight")), unigrams.select(F.col("key").alias("second"), *_each("before"))))
+    lower = pairs.join(of_second, "second").join(of_first, "first")
+    known = lower.mapInArrow(gains, "shard long, pairs binary, seen binary, gains binary")
     sums = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "row long, log_p double, n long, copies long")
     scored = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
     # rows that repeat were summed together

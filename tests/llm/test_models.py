@@ -112,6 +112,34 @@ def test_perplexity_equals_a_plain_model(llm):
     assert sum(r["kept"] for r in got if r["doc_id"] is not None and r["doc_id"] < 150) >= 148
 
 
+def test_models_share_their_tables(llm, monkeypatch):
+    tables, plain = {}, quality_lm.written
+    monkeypatch.setattr(quality_lm, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    rng = random.Random(11)
+    # words that each model has; with others that only some models have twice
+    common = {i: [f"w{rng.randrange(12)}" for _ in range(40)] for i in range(160)}
+    for rare in (False, True):
+        tables.clear()
+        texts = {i: " ".join([*w, f"Rare{i // 4 % 37}x", f"{i // 6}-odd"] * 2 if rare and i % 3 else w) for i, w in common.items()}
+        lang = {i: "xy"[i % 4 == 0] for i in texts}
+        docs = llm.createDataFrame([(i, t, lang[i]) for i, t in texts.items()], "doc_id long, text string, lang string")
+        assert quality_lm.judge(docs.repartition(3), docs.selectExpr("doc_id", "1 AS quality")).count() == len(texts)
+        if not rare:
+            starts_and_pairs = {(lang[i], a, b) for i, t in texts.items() for a, b in zip(["", *t.split()[:-1]], t.split(), strict=True)}
+            assert tables["vocabulary"].count() == 24 and tables["pairs"].where("language >= 0").count() == len(starts_and_pairs)
+            continue
+        dealt = F.pmod(F.xxhash64("doc_id"), F.lit(quality_lm.HELD_OUT))
+        fold = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", F.when(dealt == 0, 0).otherwise(1 + F.floor((dealt - 1) / 3)).alias("fold")).collect()}
+        got = defaultdict(list)
+        for r in tables["held-out"].collect():
+            got[r["lang"], r["fold"]].append(math.exp(r["nats"] / r["n"]))
+        assert set(got) == {(x, k) for x in "xy" for k in range(quality_lm.FOLDS)}
+        for (x, k), mine in got.items():
+            train, held = ([texts[i] for i in texts if lang[i] == x and (fold[i] == k) == out] for out in (False, True))
+            want = brute_perplexity(train, held, held, quality_lm.VOCABULARY, 0)
+            assert all(math.isclose(p, q, rel_tol=1e-6) for p, q in zip(sorted(mine), sorted(want), strict=True))
+
+
 def test_quality_without_labels_or_documents(llm):
     docs = samples.documents(llm, samples.texts()[:10])
     none = llm.createDataFrame([], "doc_id long, quality int")
