@@ -224,10 +224,13 @@ class Slice(Words):
         self.fold, self.shape, self.rows = r["fold"], read("shapes", "u1"), np.frombuffer(r["rows"], "<i8")
         self.models, self.values = np.zeros(len(self.keys), dtype=np.uint8), np.zeros((len(self.keys), values))
         order, cuts = _by_shard(self.keys, shards)
-        for s, hits, models, value in zip(*(answers.column(x).to_pylist() for x in ("s", "hits", "models", "values")), strict=True):
+        for of, s, hits, value in zip(*(answers.column(x).to_pylist() for x in ("slice", "s", "hits", "values")), strict=True):
             at = order[cuts[s] + np.frombuffer(hits, "<u4").astype(np.int64)]
-            self.models[at] = np.frombuffer(models, np.uint8)
-            self.values[at] = np.frombuffer(value, "<f8").reshape(len(at), values)
+            self.models[at] |= np.uint8(1 << of % FOLDS)
+            if values:
+                each = values // len(_judges(self.fold))
+                i = each * _judges(self.fold).index(of % FOLDS)
+                self.values[at, i:i + each] = np.frombuffer(value, "<f8").reshape(len(at), each)
         self.shape_keys, self.start_keys = key(self.shape, self.language), key(np.zeros(len(self.languages)), self.languages)
         # documents with words; the start of a text comes before its first word
         self.full = np.flatnonzero(self.lengths)
@@ -267,10 +270,15 @@ class Slice(Words):
         return self.language[outside][word] << 16 | byte(at - 1, place > 0) << 8 | byte(at, place < end), outside[word]
 
 
-def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int) -> DataFrame:
-    """What the shards of table (key, models, names) answer for the distinct words of each slice: slice, s, hits (places among the slice's words of the shard), models, values.
+def _of_slice(looked_up: DataFrame):
+    """The answers for all models of a slice."""
+    return looked_up.groupBy(F.expr(f"slice div {FOLDS}"))
 
-    names has as many columns for each model; a slice gets those of its own models.
+
+def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int, models_of) -> DataFrame:
+    """What the shards of table (key, models, names) answer for the distinct words of each slice: slice * FOLDS + model, s, hits (places among the slice's words of the shard that the model knows), values.
+
+    names has as many columns for each model; a slice gets those of its own models (models_of its fold).
     """
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,19 +295,18 @@ def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: in
         order = np.argsort(own)
         own, models = own[order], known.column("models").to_numpy()[order].astype(np.uint8)
         value = np.stack([known.column(x).to_numpy()[order] for x in names], axis=1) if names else np.zeros((len(own), 0))
-        hits, masks, values = [], [], []
-        for fold, wanted in zip(asked.column("fold").to_pylist(), map(_unpack, asked.column("keys").to_pylist()), strict=True):
+        each, out = len(names) // FOLDS, []
+        for one, s, fold, wanted in zip(*(asked.column(x).to_pylist() for x in ("slice", "s", "fold")), map(_unpack, asked.column("keys").to_pylist()), strict=True):
             at = np.minimum(np.searchsorted(own, wanted), max(len(own) - 1, 0))
             hit = np.flatnonzero(own[at] == wanted) if len(own) else np.zeros(0, dtype=np.int64)
-            hits.append(hit.astype("<u4").tobytes())
-            masks.append(models[at[hit]].tobytes())
-            each = len(names) // FOLDS
-            values.append(value[at[hit]][:, [m * each + i for m in _judges(fold) for i in range(each)]].astype("<f8").tobytes())
-        return pa.table({"slice": asked.column("slice"), "s": asked.column("s"), **{x: pa.array(v, pa.binary()) for x, v in (("hits", hits), ("models", masks), ("values", values))}})
+            for m in models_of(fold):
+                by = hit[(models[at[hit]] >> m & 1).astype(bool)]
+                out.append((one * FOLDS + m, s, by.astype("<u4").tobytes(), value[at[by], m * each:(m + 1) * each].astype("<f8").tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["slice", "s", "hits", "values"])
 
     asked = slices.select("slice", F.col("fold").cast("long").alias("fold"), *_WORDS).mapInArrow(ask, "s long, slice long, fold long, keys binary")
     held = table.select(_shard("key", shards).alias("s"), "key", "models", *names)
-    return asked.groupBy("s").cogroup(held.groupBy("s")).applyInArrow(answer, "slice long, s long, hits binary, models binary, values binary")
+    return asked.groupBy("s").cogroup(held.groupBy("s")).applyInArrow(answer, "slice long, s long, hits binary, values binary")
 
 
 def _judges(fold: int) -> list[int]:
@@ -419,8 +426,8 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                          **{f"n_{k}": joined(summed(back, counts[:, k], len(at)), summed(spelled_back, times[:, k], len(spelled)), np.int64) for k in range(FOLDS)}})
 
     # a slice is sent once, whatever the number of its models
-    found = trained.groupBy("slice").cogroup(_looked_up(trained, words, [], shards).groupBy("slice")).applyInArrow(pair_counts, "language int, first long, second long, " + ", ".join(f"{x} long" for x in _each("n")))
-    pairs = written(found.groupBy("language", "first", "second").agg(*(F.sum(x).alias(x) for x in _each("n"))), "pairs")
+    found = trained.groupBy("slice").cogroup(_of_slice(_looked_up(trained, words, [], shards, lambda fold: [m for m in range(FOLDS) if m != fold]))).applyInArrow(pair_counts, "language int, first long, second long, " + ", ".join(f"{x} long" for x in _each("n")))
+    pairs = written(found.groupBy("language", "first", "second").agg(*(F.sum(x).alias(x) for x in _each("n"))).select("language", "first", "second", F.struct(*_each("n")).alias("n")), "pairs").select("language", "first", "second", "n.*")
     # at most 65,536 for each language of a model
     letters = pairs.where("language < 0").drop("language", "second").toArrow()
     pairs = pairs.where("language >= 0")
@@ -555,8 +562,8 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return pa.table({"row": pa.array(joined[0].astype(np.int64)), "log_p": pa.array(joined[1]), "n": pa.array(joined[2].astype(np.int64)), "copies": pa.array(joined[3].astype(np.int64))})
 
     vocabulary = scored_ids.select("key", *_each("log_weight", "log_p")).join(words.select("key", "models"), "key")
-    looked = _looked_up(slices, vocabulary, _each("log_weight", "log_p"), shards)
-    asked = slices.groupBy("slice").cogroup(looked.groupBy("slice")).applyInArrow(requests, "shard long, fold long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
+    looked = _looked_up(slices, vocabulary, _each("log_weight", "log_p"), shards, _judges)
+    asked = slices.groupBy("slice").cogroup(_of_slice(looked)).applyInArrow(requests, "shard long, fold long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
     # rows are wider than a few numbers; whole numbers take less to move than logarithms
     of_first, of_second = (broadcast_if_small(x, BROADCAST_ROWS // 2) for x in (scored_ids.select(F.col("key").alias("first"), *_each("total", "log_weight")), unigrams.select(F.col("key").alias("second"), *_each("before"))))
     lower = pairs.join(of_second, "second").join(of_first, "first")
