@@ -13,9 +13,11 @@ languages are limited; an id is a 64-bit hash of language and word.
   which of them are in the vocabulary, with their log(weight) and log(p).
 * Interpolation makes the score of an unseen pair a sum of two parts that
   depend on one word each: log(weight of v) + log(p(w)), summed at the slice.
-* What seen pairs add to that comes from the pair table: each document sends
-  its distinct pairs, with how often it has them, to their shards, which
-  answer with one sum for each document.
+* What seen pairs add to that comes from the pair table: a slice sends its
+  distinct pairs, sorted, to their shards, which answer how often each model
+  has them; the slice knows all else, and sums up each document.
+* Slices are scored in at most PARTS parts, one after the other: a part's
+  shuffle files go before the next one's are written.
 * The models share one table each of words, pairs and ids: a row has a column
   for each model, so what several models have alike is moved once. An id or
   pair that only some of them have (a word may be in the vocabulary of one
@@ -32,6 +34,7 @@ languages are limited; an id is a 64-bit hash of language and word.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -43,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.llm import batches, hashing
-from feedweave.llm.batches import BROADCAST_ROWS, broadcast_if_small, unused, written
+from feedweave.llm.batches import broadcast_if_small, unused, written
 
 #: Different ids that words can have; nothing else bounds a vocabulary.
 VOCABULARY = 1 << 64
@@ -54,10 +57,14 @@ HELD_OUT, FOLDS = 10, 4
 QUANTILE, PRIOR_WORDS = 0.99, 20
 #: A language's own quantile needs so many held-out documents; one with fewer takes that of all languages, if it is higher.
 LEAST_HELD_OUT = 5
-#: Pairs sent to one shard, about; bytes of text in a slice.
-SHARD_PAIRS, SCORED_BYTES = 1 << 23, 8 << 20
+#: Pairs sent to one shard, about; bytes of text in a slice; parts that slices are scored in, and bytes of text of one, if there are fewer.
+SHARD_PAIRS, SCORED_BYTES = 1 << 22, 8 << 20
+PARTS, PART_BYTES = 4, 32 << 20
+#: Rows of the pair table that are packed together.
+_PACKED_ROWS = 1 << 20
 #: Bytes of an id or pair that are sent to its shard.
 _SENT = 6
+_MASK = np.uint64((1 << 8 * _SENT) - 1)
 #: Tells a row's scores by another model from those by model 0.
 _OTHER = 0x123456789ABCDEF
 
@@ -148,13 +155,12 @@ class Spelling:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT].tobytes()
+    """The last _SENT bytes of these, best if sorted by them."""
+    return _squeezed(np.diff(values & _MASK, prepend=np.uint64(0)))
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // _SENT, 8), dtype=np.uint8)
-    out[:, :_SENT] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, _SENT)
-    return out.view("<u8").reshape(-1)
+    return np.cumsum(_loosened(packed, "<u8"), dtype=np.uint64)
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -169,10 +175,10 @@ def _loosened(squeezed: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-_SLICE = "slice long, fold int, rows binary, lengths binary, languages binary, places binary, hashes binary, shapes binary, letters binary, sizes binary"
+_SLICE = "slice long, fold int, rows binary, lengths binary, languages binary, places binary, shapes binary, letters binary, sizes binary"
 
 
-_WORDS = ["places", "hashes", "lengths", "languages"]
+_WORDS = ["places", "lengths", "languages", "letters", "sizes"]
 
 
 def _encoded(batch: pa.RecordBatch, number: dict[str, int]) -> tuple:
@@ -191,7 +197,7 @@ def _encoded(batch: pa.RecordBatch, number: dict[str, int]) -> tuple:
     size = found.end[at] - found.start[at]
     letters = np.frombuffer(found.data, dtype=np.uint8)[np.repeat(found.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
     return (batch.column(2).to_numpy().astype("<i8").tobytes(), _squeezed(lengths.astype("<i4")), _squeezed(langs.astype("<i4")), _squeezed(places.astype("<u4")),
-            found.hash[at].astype("<u8").tobytes(), _squeezed(shape.astype(np.uint8)), _squeezed(letters), _squeezed(size.astype("<i4")))
+            _squeezed(shape.astype(np.uint8)), _squeezed(letters), _squeezed(size.astype("<i4")))
 
 
 class Words:
@@ -199,7 +205,10 @@ class Words:
 
     def __init__(self, r: dict):
         read = lambda name, kind: _loosened(r[name], kind)
-        hashes = np.frombuffer(r["hashes"], "<u8")
+        self.letters, self.sizes = read("letters", "u1").astype(np.int64), read("sizes", "<i4").astype(np.int64)
+        spaced = np.full(len(self.letters) + len(self.sizes), 32, dtype=np.uint8)
+        spaced[np.arange(len(self.letters)) + np.repeat(np.arange(len(self.sizes)), self.sizes)] = self.letters
+        hashes = hashing.Words([spaced.tobytes()]).hash
         self.lengths, self.languages = read("lengths", "<i4").astype(np.int64), read("languages", "<i4").astype(np.int64)
         self.places = read("places", "<u4").astype(np.int64)
         self.language = np.zeros(len(hashes), dtype=np.int64)
@@ -208,34 +217,37 @@ class Words:
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys by shard, and where each shard begins in it."""
+    """The order of keys by shard and then by what is sent of them, and where each shard begins in it."""
     shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    order = np.lexsort((keys & _MASK, shard))
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 class Slice(Words):
-    """These, with what the shards answered for its distinct words: models whose vocabulary has them (a bit each), and values."""
+    """These, with what the shards answered for its distinct words: models whose vocabulary has them (a bit each), and of each model so many values."""
 
     def __init__(self, one: pa.Table, answers: pa.Table, shards: int, values: int = 0):
         r = one.slice(0, 1).to_pylist()[0]
-        read = lambda name, kind: _loosened(r[name], kind).astype(np.int64)
         super().__init__(r)
-        self.fold, self.shape, self.rows = r["fold"], read("shapes", "u1"), np.frombuffer(r["rows"], "<i8")
-        self.models, self.values = np.zeros(len(self.keys), dtype=np.uint8), np.zeros((len(self.keys), values))
+        self.fold, self.shape, self.rows = r["fold"], _loosened(r["shapes"], "u1").astype(np.int64), np.frombuffer(r["rows"], "<i8")
+        self.models, self.values = np.zeros(len(self.keys), dtype=np.uint8), np.zeros((FOLDS, values, len(self.keys)), dtype=np.int64)
+        #: (model, shard): what the shard of pairs answered
+        self.of_pairs = {}
         order, cuts = _by_shard(self.keys, shards)
         for of, s, hits, value in zip(*(answers.column(x).to_pylist() for x in ("slice", "s", "hits", "values")), strict=True):
-            at = order[cuts[s] + np.frombuffer(hits, "<u4").astype(np.int64)]
-            self.models[at] |= np.uint8(1 << of % FOLDS)
+            m = of % FOLDS
+            if s >= shards:
+                self.of_pairs[m, s - shards] = value
+                continue
+            own = order[cuts[s]:cuts[s + 1]]
+            at = own[np.unpackbits(np.frombuffer(hits, np.uint8), count=len(own)).astype(bool)]
+            self.models[at] |= np.uint8(1 << m)
             if values:
-                each = values // len(_judges(self.fold))
-                i = each * _judges(self.fold).index(of % FOLDS)
-                self.values[at, i:i + each] = np.frombuffer(value, "<f8").reshape(len(at), each)
+                self.values[m][:, at] = _loosened(value, "<i8").reshape(values, -1)
         self.shape_keys, self.start_keys = key(self.shape, self.language), key(np.zeros(len(self.languages)), self.languages)
         # documents with words; the start of a text comes before its first word
         self.full = np.flatnonzero(self.lengths)
         self.starts = (np.cumsum(self.lengths) - self.lengths)[self.full]
-        self.letters, self.sizes = read("letters", "u1"), read("sizes", "<i4")
 
     def known(self, model: int) -> np.ndarray:
         return (self.models >> model & 1).astype(bool)
@@ -250,15 +262,25 @@ class Slice(Words):
         out[self.starts] = at_start[self.full]
         return out
 
-    def pairs(self, model: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.ids(model)
-        return self.before(ids, self.start_keys), ids[self.places]
-
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of words and how often they come: places of the first, or -1 - language at the start of a text; of the second."""
+        """Distinct pairs of words, and which of them each word ends: places of the first, or -1 - language at the start of a text; of the second."""
         size, lowest = max(len(self.keys), 1), 1 + int(self.languages.max(initial=0))
-        pairs, n = np.unique((self.before(np.arange(len(self.keys)), -1 - self.languages) + lowest) * size + self.places, return_counts=True)
-        return pairs // size - lowest, pairs % size, n
+        pairs, back = np.unique((self.before(np.arange(len(self.keys)), -1 - self.languages) + lowest) * size + self.places, return_inverse=True)
+        return pairs // size - lowest, pairs % size, back
+
+    def named(self, model: int, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs by the model's ids."""
+        ids, start = self.ids(model), key(np.zeros(len(before)), np.maximum(-1 - before, 0))
+        return np.where(before >= 0, ids[np.maximum(before, 0)], start) if len(ids) else start, ids[word]
+
+    def wanted(self, before: np.ndarray, word: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The keys of these by the models that score the slice, each once, by shard; where each shard begins; by model, which of them each pair has."""
+        models = _judges(self.fold)
+        keys, back = np.unique(np.concatenate([pair_key(*self.named(m, before, word)) for m in models]), return_inverse=True)
+        order, cuts = _by_shard(keys, shards)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        return keys[order], cuts, list(rank[back].reshape(len(models), -1))
 
     def spelled(self, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte pairs of these of the distinct words, with the white space around them, and which word each belongs to."""
@@ -276,7 +298,7 @@ def _of_slice(looked_up: DataFrame):
 
 
 def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: int, models_of) -> DataFrame:
-    """What the shards of table (key, models, names) answer for the distinct words of each slice: slice * FOLDS + model, s, hits (places among the slice's words of the shard that the model knows), values.
+    """What the shards of table (key, models, names) answer for the distinct words of each slice: slice * FOLDS + model, s, hits (a bit for each of the slice's words of the shard, if the model knows it), values.
 
     names has as many columns for each model; a slice gets those of its own models (models_of its fold).
     """
@@ -291,17 +313,17 @@ def _looked_up(slices: DataFrame, table: DataFrame, names: list[str], shards: in
                 yield pa.RecordBatch.from_arrays([pa.array(held), same(r["slice"]), same(r["fold"]), pa.array([_pack(keys[order[cuts[s]:cuts[s + 1]]]) for s in held], pa.binary())], ["s", "slice", "fold", "keys"])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        own = _unpack(_pack(known.column("key").to_numpy().view(np.uint64)))
+        own = known.column("key").to_numpy().view(np.uint64) & _MASK
         order = np.argsort(own)
         own, models = own[order], known.column("models").to_numpy()[order].astype(np.uint8)
-        value = np.stack([known.column(x).to_numpy()[order] for x in names], axis=1) if names else np.zeros((len(own), 0))
+        value = np.stack([known.column(x).to_numpy()[order] for x in names]) if names else np.zeros((0, len(own)), dtype=np.int64)
         each, out = len(names) // FOLDS, []
         for one, s, fold, wanted in zip(*(asked.column(x).to_pylist() for x in ("slice", "s", "fold")), map(_unpack, asked.column("keys").to_pylist()), strict=True):
             at = np.minimum(np.searchsorted(own, wanted), max(len(own) - 1, 0))
-            hit = np.flatnonzero(own[at] == wanted) if len(own) else np.zeros(0, dtype=np.int64)
+            known_by = np.where(own[at] == wanted, models[at], 0) if len(own) else np.zeros(len(wanted), dtype=np.uint8)
             for m in models_of(fold):
-                by = hit[(models[at[hit]] >> m & 1).astype(bool)]
-                out.append((one * FOLDS + m, s, by.astype("<u4").tobytes(), value[at[by], m * each:(m + 1) * each].astype("<f8").tobytes()))
+                hit = (known_by >> m & 1).astype(bool)
+                out.append((one * FOLDS + m, s, np.packbits(hit).tobytes(), _squeezed(value[m * each:(m + 1) * each, at[hit]].astype("<i8").reshape(-1)) if each else b""))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["slice", "s", "hits", "values"])
 
     asked = slices.select("slice", F.col("fold").cast("long").alias("fold"), *_WORDS).mapInArrow(ask, "s long, slice long, fold long, keys binary")
@@ -319,6 +341,10 @@ def _scored_as(rows: np.ndarray, model: int) -> np.ndarray:
     return rows ^ np.int64(model * _OTHER)
 
 
+#: What a model has of an id: how many pairs begin with it, how many different ones that were seen once, twice and more often; different ids before it.
+_COUNTS = ["total", "n1", "n2", "n3", "before"]
+
+
 def _each(*names: str) -> list[str]:
     """Columns of all models."""
     return [f"{x}_{k}" for k in range(FOLDS) for x in names]
@@ -376,7 +402,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         for batch in rows:
             for fold in range(-1, FOLDS):
                 for own in batches.slices(iter([batch.filter(pc.equal(batch.column(3), fold))]), text=0, limit=SCORED_BYTES):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((task + count, fold, *_encoded(own, sent_number.value)), [pa.int64(), pa.int32(), *[pa.binary()] * 8], strict=True)], [c.split()[0] for c in _SLICE.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((task + count, fold, *_encoded(own, sent_number.value)), [pa.int64(), pa.int32(), *[pa.binary()] * 7], strict=True)], [c.split()[0] for c in _SLICE.split(", ")])
                     count += 1
 
     # a slice's documents are of one fold, -1 if they aren't trusted
@@ -396,16 +422,15 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     words = written(counted.groupBy("key").agg(F.min("language").alias("language"), bits.cast("int").alias("models")).where("models > 0"), "vocabulary")
 
     def pair_counts(one: pa.Table, answers: pa.Table) -> pa.Table:
-        """Pairs of ids (language 0 and up), and byte pairs of words outside the vocabulary (language -1, first), with each model's count."""
+        """By shard: pairs of ids (language 0 and up), and byte pairs of words outside the vocabulary (language -1, first), with each model's count."""
         own = Slice(one, answers, shards)
         models = [m for m in range(FOLDS) if m != own.fold]
-        before, word, n = own.distinct()
-        start = key(np.zeros(len(before)), np.maximum(-1 - before, 0))
+        before, word, back = own.distinct()
+        n = np.bincount(back, minlength=len(word))
         # as the first of the models has them, and what others have otherwise
         parts = []
         for m in models:
-            ids = own.ids(m)
-            first, second = np.where(before >= 0, ids[np.maximum(before, 0)], start) if len(ids) else start, ids[word]
+            first, second = own.named(m, before, word)
             alike = (first == parts[0][0]) & (second == parts[0][1]) if parts else np.zeros(len(n), dtype=bool)
             if parts:
                 parts[0][3][alike, m] = n[alike]
@@ -418,23 +443,41 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         spelled, of_word = own.spelled(np.flatnonzero(unknown.any(axis=1)))
         spelled, spelled_back = np.unique(spelled, return_inverse=True)
         times = (unknown * np.bincount(own.places, minlength=len(own.keys))[:, None])[of_word]
-        none = np.zeros(len(spelled), dtype=np.int64)
         summed = lambda back, n, size: np.bincount(back, n, size).astype(np.int64)
-        joined = lambda a, b, kind: pa.array(np.concatenate([a.astype(kind), b.astype(kind)]))
-        signed = lambda x: x.view(np.int64)
-        return pa.table({"language": joined(language[at], none - 1, np.int32), "first": joined(signed(first[at]), spelled, np.int64), "second": joined(signed(second[at]), none, np.int64),
-                         **{f"n_{k}": joined(summed(back, counts[:, k], len(at)), summed(spelled_back, times[:, k], len(spelled)), np.int64) for k in range(FOLDS)}})
+        first, second = np.append(first[at], spelled.astype(np.uint64)), np.append(second[at], np.zeros(len(spelled), dtype=np.uint64))
+        language = np.append(language[at], np.full(len(spelled), -1))
+        counts = np.stack([np.append(summed(back, counts[:, k], len(at)), summed(spelled_back, times[:, k], len(spelled))) for k in range(FOLDS)])
+        shard = (pair_key(first, second) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((second, first, shard))
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        out = [(s, *pair_rows(language[i], first[i], second[i], counts[:, i])) for s in range(shards) if len(i := order[cuts[s]:cuts[s + 1]])]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int64(), *[pa.binary()] * 4], strict=True)], ["s", "language", "first", "second", "n"])
+
+    def pair_rows(language: np.ndarray, first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+        return _squeezed(language.astype("<i4")), _squeezed(np.diff(first, prepend=np.uint64(0))), second.astype("<u8").tobytes(), _squeezed(counts.astype("<i8").reshape(-1))
+
+    def added(sent: pa.Table) -> pa.Table:
+        """The pairs of a shard, each once."""
+        column = lambda name: sent.column(name).to_pylist()
+        language, second = np.concatenate([_loosened(x, "<i4") for x in column("language")]), np.concatenate([np.frombuffer(x, "<u8") for x in column("second")])
+        first, counts = np.concatenate([np.cumsum(_loosened(x, "<u8"), dtype=np.uint64) for x in column("first")]), np.concatenate([_loosened(x, "<i8").reshape(FOLDS, -1) for x in column("n")], axis=1)
+        order = np.lexsort((second, first, language))
+        language, first, second = language[order], first[order], second[order]
+        new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (language[1:] != language[:-1])]))
+        return pa.table({"language": pa.array(language[new]), "first": pa.array(first[new].view(np.int64)), "second": pa.array(second[new].view(np.int64)), **{f"n_{k}": pa.array(np.add.reduceat(counts[k][order], new)) for k in range(FOLDS)}})
 
     # a slice is sent once, whatever the number of its models
-    found = trained.groupBy("slice").cogroup(_of_slice(_looked_up(trained, words, [], shards, lambda fold: [m for m in range(FOLDS) if m != fold]))).applyInArrow(pair_counts, "language int, first long, second long, " + ", ".join(f"{x} long" for x in _each("n")))
-    pairs = written(found.groupBy("language", "first", "second").agg(*(F.sum(x).alias(x) for x in _each("n"))).select("language", "first", "second", F.struct(*_each("n")).alias("n")), "pairs").select("language", "first", "second", "n.*")
+    found = trained.groupBy("slice").cogroup(_of_slice(_looked_up(trained, words, [], shards, lambda fold: [m for m in range(FOLDS) if m != fold]))).applyInArrow(pair_counts, "s long, language binary, first binary, second binary, n binary")
+    summed = found.groupBy("s").applyInArrow(added, "language int, first long, second long, " + ", ".join(f"{x} long" for x in _each("n")))
+    pairs = written(summed.select("language", "first", "second", F.struct(*_each("n")).alias("n")), "pairs").select("language", "first", "second", "n.*")
     # at most 65,536 for each language of a model
     letters = pairs.where("language < 0").drop("language", "second").toArrow()
     pairs = pairs.where("language >= 0")
     seen = lambda k: [F.sum(f"n_{k}").alias(f"total_{k}"), *(F.count_if(F.col(f"n_{k}") == j if j < 3 else F.col(f"n_{k}") >= 3).alias(f"n{j}_{k}") for j in (1, 2, 3))]
     by_first = pairs.groupBy(F.col("first").alias("key")).agg(F.min("language").alias("language"), *(c for k in range(FOLDS) for c in seen(k)))
     by_second = pairs.groupBy(F.col("second").alias("key")).agg(F.min("language").alias("language"), *(F.count_if(F.col(f"n_{k}") > 0).alias(f"before_{k}") for k in range(FOLDS)))
-    unigrams = written(by_first.join(by_second, ["key", "language"], "full").na.fill(0, _each("total", "n1", "n2", "n3", "before")), "unigrams")
+    # models is 0 for the start of a text and the shapes
+    unigrams = written(by_first.join(by_second, ["key", "language"], "full").join(words.select("key", "models"), "key", "left").na.fill(0, [*_each(*_COUNTS), "models"]), "unigrams")
 
     def by_language(counts: DataFrame, names: list[str]) -> np.ndarray:
         """Language x of model k is k * languages + x."""
@@ -448,128 +491,109 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     model = Model(by_language(pairs.groupBy("language").agg(*several("n")), ["is1", "is2", "is3", "is4"]), by_language(unigrams.groupBy("language").agg(*several("before")), ["is1", "is2", "is3", "is4", "more", "sum"]),
                   by_language(words.groupBy("language").agg(*(F.count_if(F.col("models").bitwiseAND(1 << k) > 0).alias(f"count_{k}") for k in range(FOLDS))), ["count"])[:, 0])
 
-    def scores(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent_model.value[0]
-        for batch in rows:
-            column = lambda x, k: batch.column(f"{x}_{k}").to_numpy()  # noqa: B023, E731
-            out = [batch.column("key")]
-            for k in range(FOLDS):
-                language = batch.column("language").to_numpy() + k * len(languages)
-                out += [batch.column(f"total_{k}"), pa.array(model.log_weight(language, column("total", k), [column(x, k) for x in ("n1", "n2", "n3")])), pa.array(model.log_p(language, column("before", k)))]
-            yield pa.RecordBatch.from_arrays(out, ["key", *_each("total", "log_weight", "log_p")])
-
     sent_model = spark.sparkContext.broadcast((model,))
-    scored_ids = unigrams.mapInArrow(scores, "key long, " + ", ".join(f"total_{k} long, log_weight_{k} double, log_p_{k} double" for k in range(FOLDS)))
     # the start of a text and the shapes, of each language
     every, of_shape = np.repeat(np.arange(numbers), SHAPES), np.tile(np.arange(SHAPES), numbers)
     marks_of = key(of_shape, every % max(len(languages), 1)).view(np.int64)[:len(languages) * SHAPES]
     place = {int(k): i for i, k in enumerate(marks_of)}
-    start_weight, start_p = np.zeros(len(every)), model.log_p(every, np.zeros(len(every), dtype=np.int64)) if len(every) else np.zeros(0)
+    of_marks = np.zeros((len(_COUNTS), len(every)), dtype=np.int64)
     if languages:
         wanted = spark.createDataFrame([(k,) for k in place], "key long")
-        for r in scored_ids.join(F.broadcast(wanted), "key", "left_semi").collect():
+        for r in unigrams.join(F.broadcast(wanted), "key", "left_semi").collect():
             for k in range(FOLDS):
-                at = k * len(place) + place[r["key"]]
-                start_weight[at], start_p[at] = r[f"log_weight_{k}"], r[f"log_p_{k}"]
+                of_marks[:, k * len(place) + place[r["key"]]] = [r[f"{x}_{k}"] for x in _COUNTS]
     spelled, spelled_n = (np.concatenate([f(k)[letters.column(f"n_{k}").to_numpy() > 0] for k in range(FOLDS)]) for f in (lambda k: letters.column("first").to_numpy() + (k * len(languages) << 16), lambda k: letters.column(f"n_{k}").to_numpy()))
-    sent_scores = spark.sparkContext.broadcast((start_weight, start_p, Spelling(spelled, spelled_n)))
-
-    def of_words(own: Slice, m: int, values: np.ndarray) -> np.ndarray:
-        """What the words of each document score by model m, as if none of its pairs were seen."""
-        shape_weight, shape_p, spelling = sent_scores.value
-        known, first_mark = own.known(m), m * len(languages) * SHAPES
-        at_shape = first_mark + own.language * SHAPES + own.shape
-        log_weight, log_p = (np.where(known, values[:, k], x[at_shape] if len(at_shape) else 0.0) for k, x in enumerate((shape_weight, shape_p)))
-        spelled, word = own.spelled(np.flatnonzero(~known))
-        log_p = log_p + np.bincount(word, spelling.score(spelled + (m * len(languages) << 16)), len(log_p))
-        base = np.zeros(len(own.rows))
-        if len(own.full):
-            of_start = np.where(own.languages >= 0, shape_weight[first_mark + np.maximum(own.languages, 0) * SHAPES], 0.0)
-            base[own.full] = np.add.reduceat(own.before(log_weight, of_start) + log_p[own.places], own.starts)
-        return base
+    sent_scores = spark.sparkContext.broadcast((of_marks, Spelling(spelled, spelled_n)))
+
+    def of_documents(own: Slice, m: int, before: np.ndarray, word: np.ndarray, back: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What each document scores by model m, that has the slice's distinct pairs n times."""
+        (model,), (of_marks, spelling) = sent_model.value, sent_scores.value
+        out = np.zeros(len(own.rows))
+        if not len(own.full):
+            return out
+        mark, known, language = m * len(languages) * SHAPES, own.known(m), own.language + m * len(languages)
+        total, *kinds, followed = np.where(known, own.values[m], of_marks[:, mark + own.language * SHAPES + own.shape])
+        log_weight, log_p = model.log_weight(language, total, kinds), model.log_p(language, followed)
+        # the start of a text of each language
+        at_start = of_marks[:, mark:mark + len(languages) * SHAPES:SHAPES]
+        start_weight = model.log_weight(np.arange(len(languages)) + m * len(languages), at_start[0], list(at_start[1:4]))
+        of_start, of_first = np.maximum(-1 - before, 0), np.maximum(before, 0)
+        total = np.where(before >= 0, total[of_first], at_start[0][of_start])
+        score = np.where(before >= 0, log_weight[of_first], start_weight[of_start]) + log_p[word]
+        at = np.flatnonzero((n > 0) & (total > 0))
+        score[at] += model.seen_gain(language[word[at]], n[at], total[at], score[at])
+        spelled, of_word = own.spelled(np.flatnonzero(~known))
+        spelled = np.bincount(of_word, spelling.score(spelled + (m * len(languages) << 16)), len(known))
+        out[own.full] = np.add.reduceat(score[back] + spelled[own.places], own.starts)
+        return out
 
     def requests(one: pa.Table, answers: pa.Table) -> pa.Table:
-        """By shard: rows, how many distinct pairs of each, the pairs and how often each model has them; with each row's own sum by each model at its home."""
-        models = _judges(one.column("fold")[0].as_py())
-        own = Slice(one, answers, shards, values=2 * len(models))
-        base = np.concatenate([of_words(own, m, own.values[:, 2 * i:2 * i + 2]) for i, m in enumerate(models)])
-        keys, pair, times, doc = [pair_key(*own.pairs(m)) for m in models], [], [], []
-        for i, a in zip(own.full, own.starts, strict=True):
-            # pairs that the models have alike are sent once
-            distinct, back = np.unique(np.concatenate([k[a:a + own.lengths[i]] for k in keys]), return_inverse=True)
-            n = np.stack([np.bincount(x, minlength=len(distinct)) for x in back.reshape(len(models), -1)])
-            # a count is one byte; a pair that a document has more often is sent more than once
-            while (often := np.flatnonzero((n > 255).any(axis=0))).size:
-                distinct, n = np.append(distinct, distinct[often]), np.append(np.minimum(n, 255), np.maximum(n[:, often] - 255, 0), axis=1)
-            pair.append(distinct)
-            times.append(n.astype(np.uint8))
-            doc.append(np.full(len(distinct), i))
-        times = np.concatenate(times, axis=1) if times else np.zeros((len(models), 0), dtype=np.uint8)
-        pair, doc = (np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in ((pair, np.uint64), (doc, np.int64)))
-        order, cuts = _by_shard(pair, shards)
-        rows, lengths = np.concatenate([_scored_as(own.rows, m) for m in models]), np.tile(own.lengths, len(models))
-        home = rows % shards
-        by_home = np.argsort(home, kind="stable")
-        home_cuts = np.searchsorted(home[by_home], np.arange(shards + 1))
-        out = []
-        for s in range(shards):
-            here, homes = order[cuts[s]:cuts[s + 1]], by_home[home_cuts[s]:home_cuts[s + 1]]
-            if len(here) or len(homes):
-                d, n = np.unique(doc[here], return_counts=True)
-                out.append((s, own.fold, own.rows[d].tobytes(), n.astype("<i4").tobytes(), _pack(pair[here]), times[:, here].tobytes(), rows[homes].tobytes(), base[homes].tobytes(), lengths[homes].tobytes()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), *[pa.binary()] * 7], strict=True)], ["shard", "fold", "rows", "counts", "pairs", "times", "home", "base", "length"])
-
-    def gains(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs packed by shard, the models that have seen them, and what they gain with each of these."""
-        model = sent_model.value[0]
-        for batch in rows:
-            column = lambda x, k: batch.column(f"{x}_{k}").to_numpy()  # noqa: B023, E731
-            pair, seen = pair_key(*(batch.column(x).to_numpy().view(np.uint64) for x in ("first", "second"))), np.zeros((batch.num_rows, FOLDS), dtype=bool)
-            gain = np.zeros(seen.shape)
-            for k in range(FOLDS):
-                at = np.flatnonzero(column("n", k))
-                language, seen[at, k] = batch.column("language").to_numpy()[at] + k * len(languages), True
-                lower = column("log_weight", k)[at] + model.log_p(language, column("before", k)[at])
-                gain[at, k] = model.seen_gain(language, column("n", k)[at], column("total", k)[at], lower)
+        """By shard: the slice's distinct pairs, as its models know them."""
+        own = Slice(one, answers, shards)
+        pair, cuts, _ = own.wanted(*own.distinct()[:2], shards)
+        held, number = np.flatnonzero(np.diff(cuts)), one.column("slice")[0].as_py()
+        return pa.table({"s": pa.array(held), "slice": pa.array(np.full(len(held), number)), "fold": pa.array(np.full(len(held), own.fold)), "pairs": pa.array([_pack(pair[cuts[s]:cuts[s + 1]]) for s in held], pa.binary())})
+
+    def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs and each model's counts by shard."""
+
+        def by_shard(held: pa.Table) -> pa.RecordBatch:
+            pair = pair_key(*(held.column(x).to_numpy().view(np.uint64) for x in ("first", "second")))
+            counts = np.stack([held.column(x).to_numpy() for x in _each("n")])
             order, cuts = _by_shard(pair, shards)
-            held = np.flatnonzero(np.diff(cuts))
-            parts = [order[cuts[s]:cuts[s + 1]] for s in held]
-            packed = [_pack(pair[x]) for x in parts], [np.packbits(seen[x], axis=1).tobytes() for x in parts], [gain[x][seen[x]].astype("<f8").tobytes() for x in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "pairs", "seen", "gains"])
+            some = np.flatnonzero(np.diff(cuts))
+            parts = [order[cuts[s]:cuts[s + 1]] for s in some]
+            return pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x, pa.binary()) for x in ([_pack(pair[i]) for i in parts], [_squeezed(counts[:, i].astype("<i8").reshape(-1)) for i in parts]))], ["s", "pairs", "n"])
+
+        held, size = [], 0
+        for batch in rows:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= _PACKED_ROWS:
+                yield by_shard(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield by_shard(pa.Table.from_batches(held))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        pair = _unpack(b"".join(known.column("pairs").to_pylist()))
-        seen = np.unpackbits(np.frombuffer(b"".join(known.column("seen").to_pylist()), np.uint8).reshape(-1, 1), axis=1, count=FOLDS).astype(bool)
-        gain = np.zeros(seen.shape)
-        gain[seen] = np.frombuffer(b"".join(known.column("gains").to_pylist()), "<f8")
+        """How often each of a slice's models has its pairs of this shard; s is beyond the shards of words."""
+        column = lambda name: known.column(name).to_pylist()
+        pair = np.concatenate([np.zeros(0, dtype=np.uint64), *map(_unpack, column("pairs"))])
+        counts = np.concatenate([np.zeros((FOLDS, 0), dtype=np.int64), *(_loosened(x, "<i8").reshape(FOLDS, -1) for x in column("n"))], axis=1)
         order = np.argsort(pair)
-        pair, gain = pair[order], gain[order]
-        column = lambda name, kind: [np.frombuffer(x, kind) for x in asked.column(name).to_pylist()]
-        rows, sums, lengths, copies = column("home", "<i8"), column("base", "<f8"), column("length", "<i8"), []
-        copies = [np.ones(len(x), dtype=np.int64) for x in rows]
-        for fold, owner, counts, wanted, times in zip(asked.column("fold").to_pylist(), column("rows", "<i8"), column("counts", "<i4"), map(_unpack, asked.column("pairs").to_pylist()), column("times", np.uint8), strict=True):
-            if not len(owner):
-                continue
+        pair, counts, out = pair[order], counts[:, order], []
+        for s, number, fold, wanted in zip(*(asked.column(x).to_pylist() for x in ("s", "slice", "fold")), map(_unpack, asked.column("pairs").to_pylist()), strict=True):
             at = np.minimum(np.searchsorted(pair, wanted), max(len(pair) - 1, 0))
-            found = pair[at] == wanted if len(pair) else np.zeros(len(wanted), dtype=bool)
-            for m, n in zip(_judges(fold), times.reshape(len(_judges(fold)), -1), strict=True):
-                value = np.where(found, gain[at, m], 0.0) * n if len(pair) else np.zeros(len(wanted))
-                rows.append(_scored_as(owner, m))
-                sums.append(np.add.reduceat(value, np.cumsum(counts) - counts))
-                lengths.append(np.zeros(len(owner), dtype=np.int64))
-                copies.append(np.zeros(len(owner), dtype=np.int64))
-        joined = [np.concatenate(x) if x else np.zeros(0) for x in (rows, sums, lengths, copies)]
-        return pa.table({"row": pa.array(joined[0].astype(np.int64)), "log_p": pa.array(joined[1]), "n": pa.array(joined[2].astype(np.int64)), "copies": pa.array(joined[3].astype(np.int64))})
-
-    vocabulary = scored_ids.select("key", *_each("log_weight", "log_p")).join(words.select("key", "models"), "key")
-    looked = _looked_up(slices, vocabulary, _each("log_weight", "log_p"), shards, _judges)
-    asked = slices.groupBy("slice").cogroup(_of_slice(looked)).applyInArrow(requests, "shard long, fold long, rows binary, counts binary, pairs binary, times binary, home binary, base binary, length binary")
-    # rows are wider than a few numbers; whole numbers take less to move than logarithms
-    of_first, of_second = (broadcast_if_small(x, BROADCAST_ROWS // 2) for x in (scored_ids.select(F.col("key").alias("first"), *_each("total", "log_weight")), unigrams.select(F.col("key").alias("second"), *_each("before"))))
-    lower = pairs.join(of_second, "second").join(of_first, "first")
-    known = lower.mapInArrow(gains, "shard long, pairs binary, seen binary, gains binary")
-    sums = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "row long, log_p double, n long, copies long")
-    scored = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+            seen = pair[at] == wanted if len(pair) else np.zeros(len(wanted), dtype=bool)
+            out += [(number * FOLDS + m, shards + s, b"", _squeezed(np.where(seen, counts[m, at], 0).astype("<i8") if len(pair) else np.zeros(len(wanted), dtype="<i8"))) for m in _judges(fold)]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["slice", "s", "hits", "values"])
+
+    def row_sums(one: pa.Table, answers: pa.Table) -> pa.Table:
+        """Rows by the models that score them, what they score, and their words."""
+        own = Slice(one, answers, shards, values=len(_COUNTS))
+        before, word, back = own.distinct()
+        pair, cuts, places = own.wanted(before, word, shards)
+        rows, sums = [], []
+        for m, at in zip(_judges(own.fold), places, strict=True):
+            n = np.concatenate([np.zeros(0, dtype=np.int64), *(_loosened(own.of_pairs[m, s], "<i8") for s in np.flatnonzero(np.diff(cuts)))])
+            rows.append(_scored_as(own.rows, m))
+            sums.append(of_documents(own, m, before, word, back, n[at]))
+        return pa.table({"row": pa.array(np.concatenate(rows)), "log_p": pa.array(np.concatenate(sums)), "n": pa.array(np.tile(own.lengths, len(rows)))})
+
+    known = written(pairs.select("first", "second", *_each("n")).mapInArrow(packed, "s long, pairs binary, n binary"), "known")
+
+    def scored_part(part: DataFrame) -> DataFrame:
+        asked = part.groupBy("slice").cogroup(_of_slice(_looked_up(part, words, [], shards, _judges))).applyInArrow(requests, "s long, slice long, fold long, pairs binary")
+        of_pairs = asked.groupBy("s").cogroup(known.groupBy("s")).applyInArrow(answer, "slice long, s long, hits binary, values binary")
+        of_words = _looked_up(part, unigrams.where("models > 0"), _each(*_COUNTS), shards, _judges)
+        answers = of_words.unionByName(of_pairs).withColumn("of", F.expr(f"slice div {FOLDS}"))
+        return part.groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(row_sums, "row long, log_p double, n long")
+
+    count = min(PARTS, 1 + size // PART_BYTES)
+    # the slices of a task are numbered from 0 in the low half
+    parts = [scored_part(slices.where(F.expr(f"pmod((slice >> 32) + slice, {count}) = {i}"))) for i in range(count)]
+    sums = functools.reduce(DataFrame.unionAll, [written(x, "sums") for x in parts] if count > 1 else parts)
+    scored = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     # rows that repeat were summed together
     scored = written(scored.select("row", (-F.col("log_p") / F.col("copies")).alias("nats"), (F.col("n") / F.col("copies")).cast("long").alias("n")), "scored")
     modelled = F.broadcast(spark.createDataFrame([(x, k, True) for k in range(FOLDS) for x in languages if model.trained[k * len(languages) + number[x]]], "lang string, fold int, known boolean"))
