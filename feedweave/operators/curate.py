@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from feedweave.functions import text as tx
 from feedweave.operators import term_match
 from feedweave.operators.common import dense_ordinal
+from feedweave.session import reliable_checkpoint
 
 # Target size of a curated pass (at most 20, aim for 15).
 PICK_MAX = 20
@@ -69,31 +70,47 @@ def score_items(items: DataFrame, rules: Iterable[dict]) -> DataFrame:
                         (F.col("_found.skip") & ~F.col("_found.prefer")).alias("dropped"))
 
 
-def rule_hits(items: DataFrame, rules: DataFrame, keys: list[str], **of_term: Column) -> DataFrame:
-    """``keys..., term, of_term...`` of the terms of ``rules`` (``schemas.RULE``) that an item has; ``of_term`` are aggregates over the rules of a term."""
-    own = items.select(*keys, haystack().alias("_hay"))
+def rule_terms(rules: DataFrame, **of_term: Column) -> DataFrame:
+    """``term, of_term...`` of the lower-case terms of ``rules`` (``schemas.RULE``); ``of_term`` are aggregates over the rules of a term."""
     each = rules.groupBy(F.lower(F.coalesce("term", F.lit(""))).alias("term")).agg(F.max("term").alias("_any"), *(c.alias(name) for name, c in of_term.items()))
-    return term_match.matches(own, "_hay", keys, each.filter(F.col("_any").isNotNull()), carried=tuple(of_term))
+    return each.filter(F.col("_any").isNotNull()).drop("_any")
 
 
 def score_by_table(items: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("digest_type", "item_no")) -> DataFrame:
-    """``score_items`` with the rules of a table (K1); ``keys`` name an item."""
+    """``score_items`` with the rules of a table (K1); ``keys`` name an item.
+
+    A term counts once an item, in however many of its words it is: the weights
+    of an item's words come to it as arrays and are told apart there.  What the
+    words have is checkpointed, so that Spark can split the join at a word that
+    most items have.
+    """
     k = list(keys)
     weight = F.when(F.col("kind").isin("prefer", "seek", "less"), F.coalesce("weight", F.lit(0))).otherwise(F.lit(0))
-    hits = rule_hits(items, rules, k, _weight=F.sum(weight), _skips=F.bool_or(F.col("kind") == "skip"), _prefers=F.bool_or(F.col("kind") == "prefer")).groupBy(*k).agg(
-        F.sum("_weight").cast("int").alias("_score"), F.bool_or("_skips").alias("_skip"), F.bool_or("_prefers").alias("_prefer"))
+    each = rule_terms(rules, _weight=F.sum(weight), _skips=F.bool_or(F.col("kind") == "skip"), _prefers=F.bool_or(F.col("kind") == "prefer"))
+    words, inside, rest = term_match.in_words(items.select(*k, haystack().alias("_hay")), "_hay", k, each, ("_weight", "_skips", "_prefers"))
+    kinds = (F.bool_or("_skips").alias("_skips"), F.bool_or("_prefers").alias("_prefers"))
+    of_word = reliable_checkpoint(inside.groupBy("word").agg(F.collect_list(F.when(F.col("_weight") != 0, F.struct("term", "_weight"))).alias("_terms"), *kinds))
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    met = words.join(of_word, "word").drop("word").repartition(n, *k).withColumn("_of", F.explode_outer("_terms"))
+    once = met.groupBy(*k, "_text", F.col("_of.term").alias("term")).agg(F.max(F.col("_of._weight") * F.col("_times")).alias("_weight"), *kinds)
+    hits = once.select(*k, "_weight", "_skips", "_prefers").unionByName(rest.select(*k, "_weight", "_skips", "_prefers")).groupBy(*k).agg(
+        F.coalesce(F.sum("_weight"), F.lit(0)).cast("int").alias("_score"), *kinds)
     j = items.join(hits, k, "left")
     return j.select(*items.columns, F.coalesce("_score", F.lit(0)).alias("score"),
-                    F.coalesce(F.col("_skip") & ~F.col("_prefer"), F.lit(False)).alias("dropped"))
+                    F.coalesce(F.col("_skips") & ~F.col("_prefers"), F.lit(False)).alias("dropped"))
 
 
 def categorise_by_table(picks: DataFrame, rules: DataFrame, default: str = "General",
                         keys: tuple[str, ...] = ("digest_type", "item_no")) -> DataFrame:
-    """``categorise`` with the rules of a table (K3)."""
+    """``categorise`` with the rules of a table (K3); the rules are numbered in their order, and the least number leads."""
     k = list(keys)
-    hits = rule_hits(picks, rules.filter(F.col("kind") == "category"), k, _first=F.min(F.struct("priority", "label")))
-    best = hits.groupBy(*k).agg(F.min("_first").alias("_best"))
-    return picks.join(best, k, "left").withColumn("category", F.coalesce("_best.label", F.lit(default))).drop("_best")
+    each = rule_terms(rules.filter(F.col("kind") == "category"), _first=F.min(F.struct("priority", "label")))
+    each = reliable_checkpoint(each.orderBy("_first")).withColumn("_no", F.monotonically_increasing_id())
+    words, inside, rest = term_match.in_words(picks.select(*k, haystack().alias("_hay")), "_hay", k, each, ("_no",))
+    of_word = reliable_checkpoint(inside.groupBy("word").agg(F.min("_no").alias("_no")))
+    hits = words.join(of_word, "word").select(*k, "_no").unionByName(rest.select(*k, "_no"))
+    best = hits.groupBy(*k).agg(F.min("_no").alias("_no")).join(each.select("_no", F.col("_first.label").alias("_label")), "_no").drop("_no")
+    return picks.join(best, k, "left").withColumn("category", F.coalesce("_label", F.lit(default))).drop("_label")
 
 
 def top_with_floor(scored: DataFrame, group_cols=("digest_type",)) -> DataFrame:

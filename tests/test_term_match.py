@@ -57,3 +57,34 @@ def test_nothing_but_counts_is_shuffled_however_many_terms(spark, monkeypatch):
     # runs and hits meet by broadcast: one exchange of the texts a slice, and no join by shuffle
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == -(-len(set(words)) // 7) and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_a_word_of_many_items_meets_the_rules_once(spark):
+    words = ["alphabet", "alphabetic", "betting"]
+    rules = [{"kind": ("prefer", "less")[i % 2], "term": t, "label": "", "weight": i % 3 - 1, "priority": 0} for i, t in enumerate(sorted({w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}))]
+    items = spark.createDataFrame([("org", i, "", f"{i} " + ", ".join(words)) for i in range(100)], "digest_type string, item_no long, title string, summary string").repartition(3)
+    table = spark.createDataFrame([tuple(r.get(f.name) for f in schemas.RULE.fields) for r in rules], schemas.RULE)
+    scored = curate.score_by_table(items, table)
+    assert {(r.score, r.dropped) for r in scored.collect()} == {(sum(r["weight"] for r in rules), False)}
+
+    def met(node):  # rows that joins make
+        kind, below = node.getClass().getSimpleName(), node.children()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [below.apply(i) for i in range(below.size())]
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in kind else 0
+        return own + sum(map(met, inner))
+    # each of the 100 items has more than 70 terms, but only 4 words
+    assert len(rules) > 70 and met(scored._jdf.queryExecution().executedPlan()) < 100 * 10
+
+
+def test_terms_in_words_and_beside_them(spark):
+    texts = ["naïve CAFÉ-bar 日本語" + "漢字" * 40 + "末尾", "école 42nd st", "x" * 200 + "tail" + "y" * 31 + "z", "", None, "ab\nab", "ΑΣ ΑΣΑ"]
+    terms = ["é", "fé-b", "語漢字", "字末尾", "漢字" * 17, "é", "2n", "tail" + "y" * 28, "tail" + "y" * 29, "yz", "", " ", "b\na", "ab\n", "ς", "ασα", "x" * 32, "x" * 200 + "t"]
+    rows = [("org", i % 2 if i < 4 else i, t, None) for i, t in enumerate([*texts, texts[0]])]  # two keys are there twice
+    items = spark.createDataFrame(rows, "digest_type string, item_no long, title string, summary string").repartition(3)
+    rules = [{"kind": ("prefer", "less", "category")[i % 3], "term": t, "label": f"l{i}", "weight": 1 << i, "priority": -i // 4} for i, t in enumerate(terms)]
+    table = spark.createDataFrame([tuple(r.get(f.name) for f in schemas.RULE.fields) for r in rules], schemas.RULE)
+    got = {(r.item_no, r.title): (r.score, r.category) for r in curate.categorise_by_table(curate.score_by_table(items, table), table).collect()}
+    for _, key, title, _ in rows:
+        hits = [r for _, k, t, _ in rows if k == key for r in rules if r["term"] in ((t or "").lower() + " ")]
+        first = min(((r["priority"], r["label"]) for r in hits if r["kind"] == "category"), default=(0, "General"))
+        assert got[key, title] == (sum(r["weight"] for r in hits if r["kind"] != "category"), first[1])
