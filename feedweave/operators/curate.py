@@ -15,6 +15,7 @@ Terms match as case-insensitive substrings of ``title + ' ' + summary``.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,20 +77,29 @@ def rule_terms(rules: DataFrame, **of_term: Column) -> DataFrame:
     return each.filter(F.col("_any").isNotNull()).drop("_any")
 
 
+def by_word(inside: list[DataFrame], first: list[Column], again: list[Column]) -> DataFrame:
+    """A row a word: the aggregates ``first`` over the slices of ``term_match.in_words``, one after the other, then ``again`` over theirs.
+
+    Checkpointed, so that one slice is broadcast at a time, and Spark can split
+    the join with the texts' words at a word that most of them have.
+    """
+    slices = [reliable_checkpoint(s.groupBy("word").agg(*first)) for s in inside]
+    return slices[0] if len(slices) == 1 else reliable_checkpoint(reduce(DataFrame.unionByName, slices).groupBy("word").agg(*again))
+
+
 def score_by_table(items: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("digest_type", "item_no")) -> DataFrame:
     """``score_items`` with the rules of a table (K1); ``keys`` name an item.
 
     A term counts once an item, in however many of its words it is: the weights
-    of an item's words come to it as arrays and are told apart there.  What the
-    words have is checkpointed, so that Spark can split the join at a word that
-    most items have.
+    of an item's words come to it as arrays and are told apart there.
     """
     k = list(keys)
     weight = F.when(F.col("kind").isin("prefer", "seek", "less"), F.coalesce("weight", F.lit(0))).otherwise(F.lit(0))
     each = rule_terms(rules, _weight=F.sum(weight), _skips=F.bool_or(F.col("kind") == "skip"), _prefers=F.bool_or(F.col("kind") == "prefer"))
     words, inside, rest = term_match.in_words(items.select(*k, haystack().alias("_hay")), "_hay", k, each, ("_weight", "_skips", "_prefers"))
     kinds = (F.bool_or("_skips").alias("_skips"), F.bool_or("_prefers").alias("_prefers"))
-    of_word = reliable_checkpoint(inside.groupBy("word").agg(F.collect_list(F.when(F.col("_weight") != 0, F.struct("term", "_weight"))).alias("_terms"), *kinds))
+    weights = F.collect_list(F.when(F.col("_weight") != 0, F.struct("term", "_weight"))).alias("_terms")
+    of_word = by_word(inside, [weights, *kinds], [F.flatten(F.collect_list("_terms")).alias("_terms"), *kinds])
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     met = words.join(of_word, "word").drop("word").repartition(n, *k).withColumn("_of", F.explode_outer("_terms"))
     once = met.groupBy(*k, "_text", F.col("_of.term").alias("term")).agg(F.max(F.col("_of._weight") * F.col("_times")).alias("_weight"), *kinds)
@@ -107,9 +117,9 @@ def categorise_by_table(picks: DataFrame, rules: DataFrame, default: str = "Gene
     each = rule_terms(rules.filter(F.col("kind") == "category"), _first=F.min(F.struct("priority", "label")))
     each = reliable_checkpoint(each.orderBy("_first")).withColumn("_no", F.monotonically_increasing_id())
     words, inside, rest = term_match.in_words(picks.select(*k, haystack().alias("_hay")), "_hay", k, each, ("_no",))
-    of_word = reliable_checkpoint(inside.groupBy("word").agg(F.min("_no").alias("_no")))
-    hits = words.join(of_word, "word").select(*k, "_no").unionByName(rest.select(*k, "_no"))
-    best = hits.groupBy(*k).agg(F.min("_no").alias("_no")).join(each.select("_no", F.col("_first.label").alias("_label")), "_no").drop("_no")
+    least = [F.min("_no").alias("_no")]
+    hits = words.join(by_word(inside, least, least), "word").select(*k, "_no").unionByName(rest.select(*k, "_no"))
+    best = hits.groupBy(*k).agg(*least).join(each.select("_no", F.col("_first.label").alias("_label")), "_no").drop("_no")
     return picks.join(best, k, "left").withColumn("category", F.coalesce("_label", F.lit(default))).drop("_label")
 
 

@@ -46,14 +46,21 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def matches(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame, term_col: str = "term", carried: tuple[str, ...] = (), words: bool = False) -> DataFrame:
+def matches(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame, term_col: str = "term", carried: tuple[str, ...] = ()) -> DataFrame:
     """``keys..., term, carried...``: the distinct terms that occur in a row's text, case apart.
 
     ``keys`` name a row of ``texts``.  The empty term occurs everywhere, a null
     term or text nowhere.  ``carried``: columns of ``terms`` that come with each
-    hit; it then has one row a term, apart from case.  ``words``: the texts are
-    short, so they are cut into all their runs of up to ``WORD_MOST`` characters,
-    and a term up to so long is its own anchor.
+    hit; it then has one row a term, apart from case.
+    """
+    return reduce(DataFrame.unionByName, sliced_matches(texts, text_col, keys, terms, term_col, carried))
+
+
+def sliced_matches(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame, term_col: str = "term", carried: tuple[str, ...] = (), words: bool = False) -> list[DataFrame]:
+    """``matches``, a table for each slice of the terms; what is run of them at one time is broadcast at one time.
+
+    ``words``: the texts are short, so they are cut into all their runs of up to
+    ``WORD_MOST`` characters, and a term up to so long is its own anchor.
     """
     spark, anchor = texts.sparkSession, WORD_MOST if words else ANCHOR
     own = terms.select(F.lower(term_col).alias("term"), *carried).filter(F.col("term").isNotNull())
@@ -62,7 +69,7 @@ def matches(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame,
     lengths = sorted(sizes["of"])  # 0 to anchor
     low = texts.select(*keys, F.lower(text_col).alias("_hay")).filter(F.col("_hay").isNotNull())
     if not lengths:
-        return low.limit(0).select(*keys, F.lit("").alias("term"), *(F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in carried))
+        return [low.limit(0).select(*keys, F.lit("").alias("term"), *(F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in carried))]
     # a text is lowered and cut once, not for each of its runs, and few short texts don't share one task
     low = low.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *keys).withColumn("_chars", _chars(F.col("_hay")))
 
@@ -93,18 +100,18 @@ def matches(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame,
         some = [n for n in lengths if n]
         cut = F.concat(*([F.array(F.lit(""))] if 0 in lengths else []), *([runs_of(F.col("_chars"), some)] if some else []))
         runs = low.select(*keys, "_hay", F.explode(cut).alias("gram"))
-    found = [runs.join(F.broadcast(anchors.filter(F.pmod("_deal", F.lit(slices)) == k)), "gram")
-             .filter(F.contains("_hay", "term")).select(*keys, "term", *carried) for k in range(slices)]
-    return reduce(DataFrame.unionByName, found)
+    return [runs.join(F.broadcast(anchors.filter(F.pmod("_deal", F.lit(slices)) == k)), "gram")
+            .filter(F.contains("_hay", "term")).select(*keys, "term", *carried) for k in range(slices)]
 
 
-def in_words(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What ``matches`` finds in lower-case ``texts`` and ``terms``, in three tables that together are smaller.
+def in_words(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """What ``matches`` finds in lower-case ``texts`` and ``terms``, in tables that together are smaller.
 
     ``keys..., _text, _times, word``: the distinct words of each text; ``_text``
     tells the texts of a key apart, ``_times`` is how many of its rows have that
-    text.  ``word, term, carried...``: the terms in each word.  ``keys..., term,
-    carried...``: the hits of the other terms, which are no part of a word.
+    text.  ``word, term, carried...``: the terms in each word, a table a slice of
+    the terms.  ``keys..., term, carried...``: the hits of the other terms, which
+    are no part of a word.
     """
     low = texts.select(*keys, F.col(text_col).alias("_hay")).filter(F.col("_hay").isNotNull())
     low = low.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
@@ -116,5 +123,5 @@ def in_words(texts: DataFrame, text_col: str, keys: list[str], terms: DataFrame,
     own = low.groupBy(*keys, "_hay").agg(F.count(F.lit(1)).alias("_times")).select(*keys, F.xxhash64("_hay").alias("_text"), "_times", each).select(*keys, "_text", "_times", word)
     vocabulary = reliable_checkpoint(low.select(each).select(word).distinct())
     worded = F.col("term").rlike(rf"\A[{WORD_CHARS}]{{1,{WORD_MOST}}}\z")
-    inside = matches(vocabulary, "word", ["word"], terms.filter(worded), carried=carried, words=True)
+    inside = sliced_matches(vocabulary, "word", ["word"], terms.filter(worded), carried=carried, words=True)
     return own, inside, matches(texts, text_col, keys, terms.filter(~worded), carried=carried)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from feedweave import schemas
 from feedweave.operators import curate, term_match
 
@@ -76,7 +78,9 @@ def test_a_word_of_many_items_meets_the_rules_once(spark):
     assert len(rules) > 70 and met(scored._jdf.queryExecution().executedPlan()) < 100 * 10
 
 
-def test_terms_in_words_and_beside_them(spark):
+@pytest.mark.parametrize("slice_terms", [1 << 20, 3])
+def test_terms_in_words_and_beside_them(spark, monkeypatch, slice_terms):
+    monkeypatch.setattr(term_match, "SLICE_TERMS", slice_terms)
     texts = ["naïve CAFÉ-bar 日本語" + "漢字" * 40 + "末尾", "école 42nd st", "x" * 200 + "tail" + "y" * 31 + "z", "", None, "ab\nab", "ΑΣ ΑΣΑ"]
     terms = ["é", "fé-b", "語漢字", "字末尾", "漢字" * 17, "é", "2n", "tail" + "y" * 28, "tail" + "y" * 29, "yz", "", " ", "b\na", "ab\n", "ς", "ασα", "x" * 32, "x" * 200 + "t"]
     rows = [("org", i % 2 if i < 4 else i, t, None) for i, t in enumerate([*texts, texts[0]])]  # two keys are there twice
